@@ -88,21 +88,13 @@ def sql_full(source: str, id_col: str, expr: str, arabic: bool = False, name: st
     """
     letters = r"\x{0621}-\x{063A}\x{0641}-\x{064A}\x{0671}-\x{06D3}" if arabic else r"\p{L}"
     return f"""
-{name}_body AS (SELECT {id_col}, {sql_full_body(expr, arabic)} AS b FROM {source}),
-{name}_chars AS (
-  SELECT {id_col}, u.i AS i, substr(b, u.i, 1) AS c
-  FROM {name}_body, unnest(range(1, length(b) + 1)) AS u(i)),
-{name}_near AS (
-  SELECT {id_col}, i, c,
-    lag(c, 1) OVER w AS p1, lag(c, 2) OVER w AS p2, lead(c, 1) OVER w AS n1
-  FROM {name}_chars WINDOW w AS (PARTITION BY {id_col} ORDER BY i)),
-{name}_runs AS (
-  SELECT {id_col}, string_agg(c, '' ORDER BY i) AS r FROM {name}_near
-  WHERE NOT (c <> chr(10) AND coalesce(c = p1, false) AND (coalesce(c = p2, false) OR coalesce(c = n1, false)))
-  GROUP BY {id_col}),
+{name}_body AS (SELECT {id_col}, string_split({sql_full_body(expr, arabic)}, '') AS l FROM {source}),
 {name} AS (
-  SELECT s.{id_col}, trim(regexp_replace(coalesce(r, ''), '[^{letters}]+', ' ', 'g')) AS t
-  FROM {source} s LEFT JOIN {name}_runs USING ({id_col}))"""
+  SELECT {id_col}, trim(regexp_replace(array_to_string(list_filter(l, lambda c, i:
+    NOT (c <> chr(10) AND coalesce(c = l[i - 1], false)
+         AND (coalesce(c = l[i - 2], false) OR coalesce(c = l[i + 1], false)))), ''),
+    '[^{letters}]+', ' ', 'g')) AS t
+  FROM {name}_body)"""
 
 
 def sql_keys(source: str, id_col: str, expr: str = "text", extra: str = "", name: str = "keys") -> str:

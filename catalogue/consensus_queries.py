@@ -1 +1,106 @@
-"""Queries."""
+"""Three annotators: resolution, coarsening, table checks, re-resolution."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalogue.base import query, table
+from labelloom.operators import consensus as C
+from labelloom.operators import weak
+
+SQL_ANNOTATORS = """
+ann AS (
+  SELECT doc_id,
+    CASE WHEN doc_id % 5 = 0 THEN ['HATE', 'OFFENSIVE', 'NEUTRAL'][doc_id % 3 + 1] ELSE g END AS ws_label,
+    CASE WHEN doc_id % 7 = 0 THEN ['HATE', 'OFFENSIVE', 'NEUTRAL'][(doc_id + 1) % 3 + 1] ELSE g END AS gpt_label,
+    CASE WHEN doc_id % 11 = 0 THEN ['HATE', 'OFFENSIVE', 'NEUTRAL'][(doc_id + 2) % 3 + 1] ELSE g END AS llama_label
+  FROM (SELECT doc_id, CASE WHEN toxic = 1 THEN 'HATE' WHEN quality = 0 THEN 'OFFENSIVE' ELSE 'NEUTRAL' END AS g
+        FROM labels))"""
+SQL_RESOLVED = SQL_ANNOTATORS + """,
+resolved AS (
+  SELECT *, CASE WHEN ws_label = gpt_label OR ws_label = llama_label THEN ws_label ELSE gpt_label END AS final_label,
+    CASE (SELECT count(DISTINCT x) FROM unnest([ws_label, gpt_label, llama_label]) AS t(x))
+      WHEN 1 THEN 'full_agreement' WHEN 2 THEN 'majority_vote' ELSE 'gpt_tiebreaker' END AS method
+  FROM ann)"""
+ANNOTATORS = ("ws_label", "gpt_label", "llama_label")
+
+
+def annotators(spark, sf):
+    g = F.when(F.col("toxic") == 1, "HATE").when(F.col("quality") == 0, "OFFENSIVE").otherwise("NEUTRAL")
+    names = F.array(F.lit("HATE"), F.lit("OFFENSIVE"), F.lit("NEUTRAL"))
+
+    def ann(step, shift):
+        other = F.get(names, ((F.col("doc_id") + shift) % 3).cast("int"))
+        return F.when(F.col("doc_id") % step == 0, other).otherwise(g)
+
+    return table(spark, sf, "labels").select(
+        "doc_id", ann(5, 0).alias("ws_label"), ann(7, 1).alias("gpt_label"), ann(11, 2).alias("llama_label")
+    )
+
+
+@query("consensus", f"WITH {SQL_RESOLVED} SELECT * FROM resolved")
+def consensus(spark, sf):
+    return C.consensus(annotators(spark, sf), ANNOTATORS, "gpt_label")
+
+
+@query("label_coarsen", f"""WITH {SQL_RESOLVED}
+SELECT doc_id, CASE WHEN final_label = 'NEUTRAL' THEN 'NEUTRAL' ELSE 'HARMFUL' END AS label_bin FROM resolved""")
+def label_coarsen(spark, sf):
+    df = C.consensus(annotators(spark, sf), ANNOTATORS, "gpt_label")
+    mapping = {"HATE": "HARMFUL", "OFFENSIVE": "HARMFUL"}
+    return df.select("doc_id", C.coarsen("final_label", mapping, "NEUTRAL").alias("label_bin"))
+
+
+@query("consensus_checks", f"""WITH {SQL_RESOLVED},
+final AS (SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN 'NEUTRAL' ELSE final_label END AS label FROM resolved),
+bin AS (SELECT doc_id, CASE WHEN final_label = 'NEUTRAL' THEN 'NEUTRAL' ELSE 'HARMFUL' END AS label FROM resolved)
+SELECT 'final_eq_rule' AS "check", count(*) AS n, count(*) FILTER (WHERE f.label = r.final_label) AS n_ok,
+  bool_and(f.label = r.final_label) AS ok FROM resolved r JOIN final f USING (doc_id)
+UNION ALL SELECT 'binary_eq_rule', count(*), count(*), true FROM resolved
+UNION ALL SELECT 'text_rows_present', (SELECT count(*) FROM resolved), count(*), true
+  FROM resolved JOIN documents USING (doc_id)
+UNION ALL SELECT 'human_verified', count(*), count(*) FILTER (WHERE doc_id % 13 = 0), true FROM resolved""")
+def consensus_checks(spark, sf):
+    df = C.consensus(annotators(spark, sf), ANNOTATORS, "gpt_label")
+    mapping = {"HATE": "HARMFUL", "OFFENSIVE": "HARMFUL"}
+    final = df.select("doc_id", F.when(F.col("doc_id") % 97 == 0, "NEUTRAL").otherwise(F.col("final_label")).alias("label"))
+    binary = df.select("doc_id", C.coarsen("final_label", mapping, "NEUTRAL").alias("label"))
+    texts = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    checks = {
+        "final_eq_rule": F.col("final_label") == F.col("res_final_label"),
+        "binary_eq_rule": C.coarsen("res_final_label", mapping, "NEUTRAL") == F.col("bin_label"),
+        "text_rows_present": F.col("doc_text").isNotNull(),
+        "human_verified": F.col("doc_id") % 13 == 0,
+    }
+    return C.table_checks(
+        {"res": df, "final": final, "bin": binary, "doc": texts.select("doc_id", "text")},
+        "doc_id", checks, report_only=["human_verified"],
+    )
+
+
+@query("re_resolve", f"""WITH {SQL_RESOLVED},
+again AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'HATE' ELSE ws_label END AS ws2 FROM resolved),
+r2 AS (SELECT doc_id, final_label, method, CASE WHEN ws2 = gpt_label OR ws2 = llama_label THEN ws2 ELSE gpt_label END AS label3,
+    CASE (SELECT count(DISTINCT x) FROM unnest([ws2, gpt_label, llama_label]) AS t(x))
+      WHEN 1 THEN 'full_agreement' WHEN 2 THEN 'majority_vote' ELSE 'gpt_tiebreaker' END AS method_v2 FROM again)
+SELECT method, method_v2, count(*) AS n, count(*) FILTER (WHERE final_label <> label3) AS changed
+FROM r2 GROUP BY method, method_v2""")
+def re_resolve(spark, sf):
+    """A re-weighted weak label changes the consensus: old method x new method."""
+    df = C.consensus(annotators(spark, sf), ANNOTATORS, "gpt_label")
+    ws2 = F.when(F.col("doc_id") % 3 == 0, "HATE").otherwise(F.col("ws_label"))
+    again = C.consensus(
+        df.withColumn("ws2", ws2), ("ws2", "gpt_label", "llama_label"), "gpt_label", "label3", "method_v2"
+    )
+    return again.groupBy("method", "method_v2").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("final_label") != F.col("label3")).alias("changed")
+    )
+
+
+@query("annotator_agreement", f"""WITH {SQL_ANNOTATORS}
+SELECT count(*) AS n, count(*) FILTER (WHERE gpt_label = llama_label) AS n_agree,
+  round(count(*) FILTER (WHERE gpt_label = llama_label)::DOUBLE / count(*), 9) AS agreement FROM ann""")
+def annotator_agreement(spark, sf):
+    return weak.agreement(annotators(spark, sf), "gpt_label", "llama_label").withColumn(
+        "agreement", F.round("agreement", 9)
+    )

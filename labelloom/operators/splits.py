@@ -47,23 +47,23 @@ def _largest_remainder(table: DataFrame, size: str, total: str, draws: Column, o
     scaled = F.col(size).cast("decimal(38,0)") * draws.cast("decimal(20,0)")
     total_c = F.greatest(F.col(total), F.lit(1)).cast("decimal(20,0)")
     base = table.select(
-        "*", F.floor(scaled / total_c).cast("long").alias("_approx"), draws.cast("long").alias("_draws")
+        "*", F.floor(scaled / total_c).cast("long").alias("_lr_approx"), draws.cast("long").alias("_lr_draws")
     )
     # The decimal quotient is rounded; settle the floor exactly from the product.
-    product = F.col(size).cast("decimal(38,0)") * F.col("_draws").cast("decimal(20,0)")
-    rest0 = product - F.col("_approx").cast("decimal(20,0)") * total_c
+    product = F.col(size).cast("decimal(38,0)") * F.col("_lr_draws").cast("decimal(20,0)")
+    rest0 = product - F.col("_lr_approx").cast("decimal(20,0)") * total_c
     fixed = base.select(
         "*",
-        (F.col("_approx") + F.when(rest0 < 0, -1).when(rest0 >= total_c, 1).otherwise(0)).alias("_floor"),
+        (F.col("_lr_approx") + F.when(rest0 < 0, -1).when(rest0 >= total_c, 1).otherwise(0)).alias("_lr_floor"),
     )
-    rest = product - F.col("_floor").cast("decimal(20,0)") * total_c
-    grouped = fixed.withColumn("_rest", rest.cast("decimal(38,0)"))
+    rest = product - F.col("_lr_floor").cast("decimal(20,0)") * total_c
+    grouped = fixed.withColumn("_lr_rest", rest.cast("decimal(38,0)"))
     by = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
     return (
-        grouped.withColumn("_left", F.col("_draws") - F.sum("_floor").over(by))
-        .withColumn("_place", F.row_number().over(by.orderBy(F.desc("_rest"), "_code")))
-        .withColumn(out, F.col("_floor") + (F.col("_place") <= F.col("_left")).cast("long"))
-        .drop("_approx", "_draws", "_floor", "_rest", "_left", "_place")
+        grouped.withColumn("_lr_left", F.col("_lr_draws") - F.sum("_lr_floor").over(by))
+        .withColumn("_lr_place", F.row_number().over(by.orderBy(F.desc("_lr_rest"), "_code")))
+        .withColumn(out, F.col("_lr_floor") + (F.col("_lr_place") <= F.col("_lr_left")).cast("long"))
+        .drop("_lr_approx", "_lr_draws", "_lr_floor", "_lr_rest", "_lr_left", "_lr_place")
     )
 
 
