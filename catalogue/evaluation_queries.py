@@ -1 +1,454 @@
-"""Queries."""
+"""Metrics, ensembles, validation-only selection and paired statistics over a prediction table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalogue.base import (
+    N_CLASSES, SEEDS, SQL_PREDICTIONS, SYSTEMS, labels3, predictions, query, table,
+)
+from labelloom.operators import ensemble as E
+from labelloom.operators import metrics as M
+from labelloom.operators import selection as Sel
+from labelloom.operators import stats as H
+from labelloom.plans import evaluation as P
+
+RUN = ["system", "seed"]
+TEST = "split = 'test'"
+
+
+def _rounded(df, *cols, digits=9):
+    return df.select(*[F.round(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def _sql_metrics(source: str, run: str, prefix: str = "") -> str:
+    """CTEs: cells -> per class -> run metrics, over a (run, y, pred) source."""
+    on = " AND ".join(f"r.{c.strip()} = c.{c.strip()}" for c in run.split(","))
+    return f"""
+{prefix}cells AS (SELECT {run}, y, pred, count(*) AS n FROM {source} GROUP BY {run}, y, pred),
+{prefix}cls AS (
+  SELECT {', '.join('r.' + c.strip() for c in run.split(','))}, k.k AS cls,
+    coalesce(sum(n) FILTER (WHERE c.y = k.k), 0)::BIGINT AS support,
+    coalesce(sum(n) FILTER (WHERE c.pred = k.k), 0)::BIGINT AS n_pred,
+    coalesce(sum(n) FILTER (WHERE c.y = k.k AND c.pred = k.k), 0)::BIGINT AS tp
+  FROM (SELECT DISTINCT {run} FROM {prefix}cells) r CROSS JOIN (VALUES (0), (1), (2)) k(k)
+  JOIN {prefix}cells c ON {on} GROUP BY ALL),
+{prefix}pcls AS (
+  SELECT *, CASE WHEN n_pred > 0 THEN tp::DOUBLE / n_pred ELSE 0 END AS precision,
+    CASE WHEN support > 0 THEN tp::DOUBLE / support ELSE 0 END AS recall,
+    CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (n_pred + support) ELSE 0 END AS f1 FROM {prefix}cls),
+{prefix}runm AS (
+  SELECT {run}, sum(support)::BIGINT AS n, sum(tp)::DOUBLE / sum(support) AS accuracy,
+    avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1
+  FROM {prefix}pcls GROUP BY {run})"""
+
+
+SQL_ALL = f"WITH {SQL_PREDICTIONS}, {_sql_metrics('preds', 'system, seed, split')}"
+SQL_TEST_M = f"WITH {SQL_PREDICTIONS}, {_sql_metrics('(SELECT * FROM preds WHERE ' + TEST + ')', 'system, seed')}"
+SQL_VAL_M = f"WITH {SQL_PREDICTIONS}, {_sql_metrics('''(SELECT * FROM preds WHERE split = 'val')''', 'system, seed', 'v')}"
+SQL_SINGLE = SQL_VAL_M + """,
+single AS (SELECT system, avg(macro_f1) AS score, CAST(substr(system, 2) AS INTEGER) AS position FROM vrunm GROUP BY system)"""
+
+FOUR = ("accuracy", "macro_precision", "macro_recall", "macro_f1")
+
+
+def cells(spark, sf, run=("system", "seed", "split")):
+    return M.confusion_cells(M.predicted(predictions(spark, sf)), list(run))
+
+
+def test_scores(spark, sf):
+    p = predictions(spark, sf).filter(F.col("split") == "test")
+    return P.run_scores(p, RUN, N_CLASSES)
+
+
+def plan(exhaustive=True):
+    return P.EnsemblePlan(SYSTEMS, N_CLASSES, SEEDS, size=3, exhaustive=exhaustive)
+
+
+# ------------------------------------------------------------------------------- metrics
+@query("confusion_matrix", SQL_ALL + """,
+runs AS (SELECT DISTINCT system, seed, split FROM cells)
+SELECT r.system, r.seed, r.split, a.k::INTEGER AS y, b.k::INTEGER AS pred, coalesce(c.n, 0) AS n
+FROM runs r CROSS JOIN (VALUES (0), (1), (2)) a(k) CROSS JOIN (VALUES (0), (1), (2)) b(k)
+LEFT JOIN cells c ON c.system = r.system AND c.seed = r.seed AND c.split = r.split AND c.y = a.k AND c.pred = b.k""")
+def confusion_matrix(spark, sf):
+    run = ["system", "seed", "split"]
+    return M.confusion_matrix(cells(spark, sf), run, N_CLASSES)
+
+
+@query("per_class_metrics", SQL_ALL + """
+SELECT system, seed, split, cls::INTEGER AS cls, round(precision, 9) AS precision, round(recall, 9) AS recall,
+  round(f1, 9) AS f1, support, n_pred, tp FROM pcls""")
+def per_class_metrics(spark, sf):
+    return _rounded(M.per_class(cells(spark, sf), ["system", "seed", "split"], N_CLASSES), "precision", "recall", "f1")
+
+
+@query("absent_class_metrics", f"""WITH {SQL_PREDICTIONS},
+p4 AS (SELECT system, y, pred FROM preds)
+SELECT g.system, k.k::INTEGER AS cls, count(*) FILTER (WHERE y = k.k) AS support,
+  CASE WHEN k.k = 3 THEN 0.0 ELSE round(2.0::DOUBLE * count(*) FILTER (WHERE y = k.k AND pred = k.k)
+    / (count(*) FILTER (WHERE y = k.k) + count(*) FILTER (WHERE pred = k.k)), 9) END AS f1
+FROM p4 g CROSS JOIN (VALUES (0), (1), (2), (3)) k(k) GROUP BY g.system, k.k""")
+def absent_class_metrics(spark, sf):
+    """A listed class that never occurs still has its row of zeros."""
+    c = M.confusion_cells(M.predicted(predictions(spark, sf)), ["system"])
+    return _rounded(M.per_class(c, ["system"], N_CLASSES + 1), "f1").select("system", "cls", "support", "f1")
+
+
+@query("macro_metrics", SQL_ALL + " SELECT system, seed, split, n, "
+       + ", ".join(f"round({c}, 9) AS {c}" for c in FOUR) + " FROM runm")
+def macro_metrics(spark, sf):
+    run = ["system", "seed", "split"]
+    return _rounded(M.run_metrics(cells(spark, sf), run, N_CLASSES), *FOUR)
+
+
+@query("metric_mean_sd", SQL_TEST_M + " SELECT system, count(*) AS n_runs, "
+       + ", ".join(f"round(avg({c}), 9) AS {c}_mean, round(coalesce(stddev_samp({c}), 0), 9) AS {c}_sd" for c in FOUR)
+       + " FROM runm GROUP BY system")
+def metric_mean_sd(spark, sf):
+    return _rounded(M.mean_sd(test_scores(spark, sf), ["system"], FOUR), *[f"{c}_{s}" for c in FOUR for s in ("mean", "sd")])
+
+
+@query("per_class_mean_sd", SQL_TEST_M + """
+SELECT system, cls::INTEGER AS cls, count(*) AS n_runs, """
+       + ", ".join(f"round(avg({c}), 9) AS {c}_mean, round(coalesce(stddev_samp({c}), 0), 9) AS {c}_sd" for c in ("precision", "recall", "f1"))
+       + " FROM pcls GROUP BY system, cls")
+def per_class_mean_sd(spark, sf):
+    p = predictions(spark, sf).filter(F.col("split") == "test")
+    pc = M.per_class(M.confusion_cells(M.predicted(p), RUN), RUN, N_CLASSES)
+    three = ("precision", "recall", "f1")
+    return _rounded(M.mean_sd(pc, ["system", "cls"], three), *[f"{c}_{s}" for c in three for s in ("mean", "sd")])
+
+
+@query("mean_val_f1", SQL_SINGLE + " SELECT system, round(score, 9) AS score, position FROM single")
+def mean_val_f1(spark, sf):
+    return _rounded(P.single_scores(predictions(spark, sf), plan()), "score")
+
+
+@query("system_catalogue", f"""WITH {SQL_PREDICTIONS},
+s AS (SELECT *, concat(system, '__s', CAST(seed AS VARCHAR)) AS run_id FROM preds)
+SELECT c.name AS system, count(DISTINCT run_id) AS n_runs, count(*) AS n FROM s
+JOIN (VALUES ('base:m0', '^m0__s.*$'), ('first seed', '^m[0-9]__s42$'), ('odd', '^m[13]__s4[0-9]$')) c(name, pat)
+  ON regexp_matches(s.run_id, c.pat) GROUP BY c.name""")
+def system_catalogue(spark, sf):
+    p = predictions(spark, sf).select(F.concat("system", F.lit("__s"), F.col("seed").cast("string")).alias("run_id"))
+    named = M.systems_from_patterns(
+        p, "run_id", {"base:m0": "m0__s.*", "first seed": "m[0-9]__s42", "odd": "m[13]__s4[0-9]"}
+    )
+    per_run = named.groupBy("system", "run_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_run.groupBy("system").agg(F.count(F.lit(1)).alias("n_runs"), F.sum("n").alias("n"))
+
+
+# ------------------------------------------------------------------------------ ensembles
+MEMBERS = ("m1", "m2", "m3")
+
+
+def _sql_ensemble(rule: str, members=MEMBERS, source: str = "preds", weight: str = "1.0::DOUBLE") -> str:
+    ms = ", ".join(f"'{m}'" for m in members)
+    uni = [f"round(avg(p{c}), 12)" for c in range(3)]
+    wei = [f"round(sum({weight} * p{c}) / sum({weight}), 12)" for c in range(3)]
+    v = [f"count(*) FILTER (WHERE pred = {c})" for c in range(3)]
+    tie = " + ".join(f"(({x}) = greatest({', '.join(v)}))::INTEGER" for x in v)
+    if rule == "uniform_prob_mean":
+        q = uni
+    elif rule == "valf1_weighted_prob_mean":
+        q = wei
+    else:
+        q = [f"CASE WHEN {tie} > 1 THEN {u} ELSE round(({x})::DOUBLE / {len(members)}, 12) END" for u, x in zip(uni, v)]
+    return f"""SELECT split, seed, uid, max(y) AS y, {q[0]} AS q0, {q[1]} AS q1, {q[2]} AS q2
+  FROM {source} WHERE system IN ({ms}) GROUP BY split, seed, uid"""
+
+
+_ENS_OUT = """ SELECT split, seed, uid, y, round(q0, 9) AS q0, round(q1, 9) AS q1, round(q2, 9) AS q2,
+  CASE WHEN q0 >= q1 AND q0 >= q2 THEN 0 WHEN q1 >= q2 THEN 1 ELSE 2 END AS pred FROM ens"""
+
+
+def _ens_columns(df):
+    return M.predicted(df).select(
+        "split", "seed", "uid", "y", *[F.round(F.get("probs", F.lit(c)), 9).alias(f"q{c}") for c in range(3)], "pred"
+    )
+
+
+@query("ens_uniform", f"WITH {SQL_PREDICTIONS}, ens AS ({_sql_ensemble('uniform_prob_mean')})" + _ENS_OUT)
+def ens_uniform(spark, sf):
+    return _ens_columns(E.combine(predictions(spark, sf), MEMBERS, "uniform_prob_mean", N_CLASSES, ["split", "seed"]))
+
+
+@query("ens_hard", f"WITH {SQL_PREDICTIONS}, ens AS ({_sql_ensemble('hard_majority')})" + _ENS_OUT)
+def ens_hard(spark, sf):
+    return _ens_columns(E.combine(predictions(spark, sf), MEMBERS, "hard_majority", N_CLASSES, ["split", "seed"]))
+
+
+@query("ens_weighted", SQL_SINGLE + f""",
+pw AS (SELECT p.*, s.score AS w FROM preds p JOIN single s USING (system)),
+ens AS ({_sql_ensemble('valf1_weighted_prob_mean', source='pw', weight='w')})""" + _ENS_OUT)
+def ens_weighted(spark, sf):
+    p = predictions(spark, sf)
+    w = {r.system: r.score for r in P.single_scores(p, plan()).collect()}
+    return _ens_columns(E.combine(p, MEMBERS, "valf1_weighted_prob_mean", N_CLASSES, ["split", "seed"], w))
+
+
+def _sql_candidates() -> str:
+    subs = E.subsets(SYSTEMS, 3)
+    rules = ("uniform_prob_mean", "hard_majority", "valf1_weighted_prob_mean")
+    parts = []
+    for i, (s, r) in enumerate((s, r) for s in subs for r in rules):
+        body = _sql_ensemble(r, s, "vw", "w")
+        parts.append(f"SELECT {i} AS candidate, '{'+'.join(s)}' AS members, '{r}' AS rule, e.* FROM ({body}) e")
+    return " UNION ALL ".join(parts)
+
+
+SQL_SELECT = SQL_SINGLE + f""",
+vw AS (SELECT p.*, s.score AS w FROM preds p JOIN single s USING (system) WHERE split = 'val'),
+cand AS ({_sql_candidates()}),
+cpred AS (SELECT *, CASE WHEN q0 >= q1 AND q0 >= q2 THEN 0 WHEN q1 >= q2 THEN 1 ELSE 2 END AS pred FROM cand),
+{_sql_metrics('cpred', 'candidate, seed', 'c')},
+cmean AS (SELECT candidate, round(avg(macro_f1), 12) AS f FROM crunm GROUP BY candidate),
+scored AS (
+  SELECT m.candidate, c.members, c.rule, round(m.f, 9) AS mean_val_macro_f1,
+    row_number() OVER (ORDER BY m.f DESC, m.candidate) AS rank
+  FROM cmean m JOIN (SELECT DISTINCT candidate, members, rule FROM cand) c USING (candidate))"""
+
+
+@query("ensemble_select", SQL_SELECT + " SELECT candidate::INTEGER AS candidate, members, rule, mean_val_macro_f1, rank::INTEGER AS rank FROM scored")
+def ensemble_select(spark, sf):
+    return _rounded(P.select_ensemble(predictions(spark, sf), plan()), "mean_val_macro_f1")
+
+
+@query("top_k_members", SQL_SINGLE + """
+SELECT system, round(score, 9) AS score, position, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (ORDER BY score DESC, position) AS rank FROM single) x WHERE rank <= 3""")
+def top_k_members(spark, sf):
+    return _rounded(Sel.top_k(P.single_scores(predictions(spark, sf), plan()), [], 3), "score")
+
+
+@query("best_single", SQL_SINGLE + " SELECT system, round(score, 9) AS score FROM single ORDER BY score DESC, position LIMIT 1")
+def best_single(spark, sf):
+    return _rounded(Sel.best(P.single_scores(predictions(spark, sf), plan()), []), "score").select("system", "score")
+
+
+@query("teacher_select", SQL_SINGLE + """,
+roles AS (SELECT * FROM (VALUES ('primary', 'm0', 0), ('primary', 'm1', 1), ('primary', 'm2', 2),
+  ('repro', 'm2', 0), ('repro', 'm0', 1)) r(role, system, place))
+SELECT role, system, round(score, 9) AS score FROM (
+  SELECT role, system, score, row_number() OVER (PARTITION BY role ORDER BY score DESC, place) AS k
+  FROM roles JOIN single USING (system)) x WHERE k = 1""")
+def teacher_select(spark, sf):
+    """Teachers from two declared candidate lists."""
+    scores = P.single_scores(predictions(spark, sf), plan()).drop("position")
+    lists = {"primary": ["m0", "m1", "m2"], "repro": ["m2", "m0"]}
+    out = None
+    for role, cands in lists.items():
+        one = Sel.listed(scores, "system", cands).withColumn("role", F.lit(role))
+        out = one if out is None else out.unionByName(one)
+    return _rounded(Sel.best(out, ["role"]).select("role", "system", "score"), "score")
+
+
+SQL_ALPHA = SQL_SINGLE + """,
+var AS (SELECT CASE WHEN system IN ('m0', 'm1') THEN 'enc0' ELSE 'enc1' END AS encoder,
+  CASE WHEN system IN ('m0', 'm2') THEN '0.5' ELSE '0.7' END AS alpha, system, score FROM single),
+pick AS (SELECT encoder, alpha, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY encoder ORDER BY score DESC, alpha) AS k FROM var) x WHERE k = 1)"""
+
+
+def _variants(df):
+    return df.withColumn("encoder", F.when(F.col("system").isin("m0", "m1"), "enc0").otherwise("enc1")).withColumn(
+        "alpha", F.when(F.col("system").isin("m0", "m2"), "0.5").otherwise("0.7")
+    )
+
+
+def alpha_choice(spark, sf):
+    scores = _variants(P.single_scores(predictions(spark, sf), plan()).drop("position"))
+    return Sel.best(Sel.listed(scores, "alpha", ["0.5", "0.7"]), ["encoder"]).select("encoder", "alpha", "score")
+
+
+@query("alpha_select", SQL_ALPHA + " SELECT encoder, alpha, round(score, 9) AS score FROM pick")
+def alpha_select(spark, sf):
+    return _rounded(alpha_choice(spark, sf), "score")
+
+
+@query("resolve_runs", SQL_ALPHA + """
+SELECT v.encoder, v.alpha, p.seed, p.uid, p.y, p.pred FROM preds p JOIN var v USING (system)
+JOIN pick k ON k.encoder = v.encoder AND k.alpha = v.alpha WHERE p.split = 'test'""")
+def resolve_runs(spark, sf):
+    """Test predictions of the selected variant of every encoder."""
+    p = _variants(predictions(spark, sf)).filter(F.col("split") == "test")
+    chosen = Sel.resolve_runs(p, alpha_choice(spark, sf), ["encoder"], "alpha")
+    return M.predicted(chosen).select("encoder", "alpha", "seed", "uid", "y", "pred")
+
+
+@query("ens_materialised", f"""WITH {SQL_PREDICTIONS}, ens AS ({_sql_ensemble('uniform_prob_mean')}),
+every AS (
+  SELECT 'ens' AS system, seed, split, y, CASE WHEN q0 >= q1 AND q0 >= q2 THEN 0 WHEN q1 >= q2 THEN 1 ELSE 2 END AS pred FROM ens
+  UNION ALL SELECT system, seed, split, y, pred FROM preds),
+{_sql_metrics('every', 'system, seed, split')}
+SELECT system, seed, split, n, round(macro_f1, 9) AS macro_f1 FROM runm""")
+def ens_materialised(spark, sf):
+    """The ensemble as one more system beside its members, scored like them."""
+    p = predictions(spark, sf)
+    ens = E.as_system(E.combine(p, MEMBERS, "uniform_prob_mean", N_CLASSES, ["seed", "split"]), "ens")
+    scores = P.run_scores(p.unionByName(ens), ["system", "seed", "split"], N_CLASSES)
+    return _rounded(scores.select("system", "seed", "split", "n", "macro_f1"), "macro_f1")
+
+
+@query("alias_system", f"""WITH {SQL_PREDICTIONS},
+every AS (SELECT system, seed, y, pred FROM preds UNION ALL SELECT 'distill4', seed, y, pred FROM preds WHERE system = 'm2'),
+{_sql_metrics('every', 'system, seed')}
+SELECT system, seed, n, round(macro_f1, 9) AS macro_f1 FROM runm""")
+def alias_system(spark, sf):
+    p = predictions(spark, sf)
+    both = p.unionByName(E.alias_system(p, "m2", "distill4"))
+    return _rounded(P.run_scores(both, RUN, N_CLASSES).select(*RUN, "n", "macro_f1"), "macro_f1")
+
+
+# ------------------------------------------------------------------------------ statistics
+PAIRS = [("m3", "m0"), ("m3", "m1"), ("m2", "m0"), ("m1", "m0")]
+SQL_PAIRS = "pairs AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PAIRS) + ") p(a, b))"
+# For df = 2 Student's t has closed forms: p = 1 - |t| / sqrt(2 + t^2), t(0.975) below.
+T975_DF2 = "(0.95::DOUBLE * sqrt(2.0::DOUBLE) / sqrt(1.0::DOUBLE - 0.95::DOUBLE * 0.95::DOUBLE))"
+SQL_TTEST = SQL_TEST_M + f""", {SQL_PAIRS},
+d AS (SELECT p.a, p.b, x.macro_f1 - y.macro_f1 AS d FROM pairs p JOIN runm x ON x.system = p.a
+      JOIN runm y ON y.system = p.b AND y.seed = x.seed),
+size AS (SELECT count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'test') AS n_test FROM labels3),
+tt AS (
+  SELECT a, b, count(*) AS r, avg(d) AS mean_diff, stddev_samp(d) AS sd_diff,
+    avg(d) / sqrt((1.0::DOUBLE / count(*) + max(n_test)::DOUBLE / max(n_train)) * var_samp(d)) AS t, count(*) - 1 AS df
+  FROM d, size GROUP BY a, b),
+tp AS (SELECT *, 1 - abs(t) / sqrt(2 + t * t) AS p FROM tt)"""
+
+
+def ttests(spark, sf):
+    scores = test_scores(spark, sf).withColumn("task", F.lit("three"))
+    pairs = spark.createDataFrame([("three", a, b) for a, b in PAIRS], "task string, a string, b string")
+    sizes = labels3(spark, sf).agg(
+        F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test")
+    )
+    diffs = H.paired_differences(scores, pairs, "task", "system", ["seed"])
+    diffs = diffs.withColumn("n_train", sizes.select("n_train").scalar()).withColumn(
+        "n_test", sizes.select("n_test").scalar()
+    )
+    return H.corrected_ttest(diffs, ["task", "a", "b"], F.col("n_train"), F.col("n_test"))
+
+
+_TCOLS = ("mean_diff", "sd_diff", "t", "p")
+
+
+@query("nb_ttest", SQL_TTEST + """
+SELECT a, b, r, df, round(mean_diff, 9) AS mean_diff, round(sd_diff, 9) AS sd_diff, round(t, 6) AS t, round(p, 6) AS p FROM tp""")
+def nb_ttest(spark, sf):
+    t = ttests(spark, sf)
+    return t.select("a", "b", "r", "df", *[F.round(c, 9).alias(c) for c in ("mean_diff", "sd_diff")],
+                    *[F.round(c, 6).alias(c) for c in ("t", "p")])
+
+
+@query("holm_adjust", SQL_TTEST + """,
+k AS (SELECT a, b, p, row_number() OVER (ORDER BY p, a, b) AS k, count(*) OVER () AS m FROM tp)
+SELECT x.a, x.b, round(max(least(1.0, (y.m - y.k + 1) * y.p)), 6) AS p_holm
+FROM k x JOIN k y ON y.k <= x.k GROUP BY x.a, x.b""")
+def holm_adjust(spark, sf):
+    adjusted = H.holm(ttests(spark, sf), ["task"], "p", ["a", "b"])
+    return adjusted.select("a", "b", F.round("p_holm", 6).alias("p_holm"))
+
+
+SQL_MCNEMAR = f"""WITH {SQL_PREDICTIONS}, {SQL_PAIRS},
+mc AS (
+  SELECT x.seed, p.a, p.b AS b_system, count(*) AS n_items, 0::BIGINT AS n_unpaired,
+    count(*) FILTER (WHERE x.pred = x.y AND y.pred <> y.y) AS b, count(*) FILTER (WHERE x.pred <> x.y AND y.pred = y.y) AS c
+  FROM pairs p JOIN preds x ON x.system = p.a AND x.split = 'test'
+  JOIN preds y ON y.system = p.b AND y.seed = x.seed AND y.uid = x.uid GROUP BY x.seed, p.a, p.b),
+m2 AS (SELECT *, CASE WHEN b + c = 0 THEN 'none' WHEN b + c < 25 THEN 'exact_binomial' ELSE 'chi2_cc' END AS method,
+  CASE WHEN b + c >= 25 THEN power(abs(b - c) - 1, 2)::DOUBLE / (b + c) END AS chi2_cc FROM mc),
+tail AS (
+  SELECT seed, a, b_system,
+    least(1.0::DOUBLE, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0::DOUBLE)))
+      FROM (SELECT b + c AS n) z, unnest(range(0, least(b, c) + 1)) AS u(i))) AS exact_p,
+    CASE WHEN chi2_cc > 0 THEN 1 - (SELECT sum(exp(-h + (2 * i + 1) * ln(sqrt(h)) - lgamma(i + 1.5)))
+      FROM (SELECT chi2_cc / 2 AS h) z, unnest(range(0, 400)) AS u(i)) ELSE 1 END AS chi_p
+  FROM m2)"""
+
+
+@query("mcnemar", SQL_MCNEMAR + """
+SELECT m2.seed, m2.a, m2.b_system, n_items, n_unpaired, b, c, method, round(chi2_cc, 9) AS chi2_cc,
+  round(CASE method WHEN 'none' THEN 1 WHEN 'exact_binomial' THEN exact_p ELSE chi_p END, 6) AS p
+FROM m2 JOIN tail t ON t.seed = m2.seed AND t.a = m2.a AND t.b_system = m2.b_system""")
+def mcnemar(spark, sf):
+    test = M.predicted(predictions(spark, sf).filter(F.col("split") == "test"))
+    masks = H.correctness_masks(test, SYSTEMS, ["seed"])
+    out = H.mcnemar(H.mcnemar_counts(masks, SYSTEMS, PAIRS, ["seed"]))
+    return out.withColumn("chi2_cc", F.round("chi2_cc", 9)).withColumn("p", F.round("p", 6))
+
+
+@query("paired_compare", SQL_TTEST + """,
+k AS (SELECT *, row_number() OVER (ORDER BY p, a, b) AS k, count(*) OVER () AS m FROM tp),
+h AS (SELECT x.a, x.b, max(least(1.0, (y.m - y.k + 1) * y.p)) AS p_holm FROM k x JOIN k y ON y.k <= x.k GROUP BY x.a, x.b)
+SELECT tp.a, tp.b, r, round(mean_diff, 9) AS mean_diff, round(p, 6) AS p, round(p_holm, 6) AS p_holm, 3 AS n_mcnemar
+FROM tp JOIN h ON tp.a = h.a AND tp.b = h.b""")
+def paired_compare(spark, sf):
+    test = predictions(spark, sf).filter(F.col("split") == "test")
+    n = {r["split"]: r["count"] for r in labels3(spark, sf).groupBy("split").count().collect()}
+    out = P.comparison_report(test, PAIRS, N_CLASSES, n["train"], n["test"])
+    return out.select(
+        "a", "b", "r", F.round("mean_diff", 9).alias("mean_diff"), F.round("p", 6).alias("p"),
+        F.round("p_holm", 6).alias("p_holm"), F.size("mcnemar").alias("n_mcnemar"),
+    )
+
+
+@query("t_ci", SQL_TEST_M + f"""
+SELECT system, count(*) AS n_runs, round(avg(macro_f1), 9) AS macro_f1_mean,
+  round(avg(macro_f1) - {T975_DF2} * stddev_samp(macro_f1) / sqrt(count(*)), 6) AS macro_f1_lo,
+  round(avg(macro_f1) + {T975_DF2} * stddev_samp(macro_f1) / sqrt(count(*)), 6) AS macro_f1_hi
+FROM runm GROUP BY system""")
+def t_ci(spark, sf):
+    out = H.t_interval(M.mean_sd(test_scores(spark, sf), ["system"], ["macro_f1"]), "macro_f1")
+    return out.select(
+        "system", "n_runs", F.round("macro_f1_mean", 9).alias("macro_f1_mean"),
+        F.round("macro_f1_lo", 6).alias("macro_f1_lo"), F.round("macro_f1_hi", 6).alias("macro_f1_hi"),
+    )
+
+
+@query("system_report", SQL_TEST_M + f"""
+SELECT system, count(*) AS n_runs, """ + ", ".join(
+    f"round(avg({c}), 9) AS {c}_mean, round(stddev_samp({c}), 9) AS {c}_sd" for c in FOUR) + f""",
+  round(avg(macro_f1) - {T975_DF2} * stddev_samp(macro_f1) / sqrt(count(*)), 6) AS macro_f1_lo,
+  round(avg(macro_f1) + {T975_DF2} * stddev_samp(macro_f1) / sqrt(count(*)), 6) AS macro_f1_hi
+FROM runm GROUP BY system""")
+def system_report(spark, sf):
+    out = P.system_report(predictions(spark, sf).filter(F.col("split") == "test"), N_CLASSES)
+    out = _rounded(out, *[f"{c}_{s}" for c in FOUR for s in ("mean", "sd")])
+    return _rounded(out, "macro_f1_lo", "macro_f1_hi", digits=6)
+
+
+@query("bootstrap_patterns", f"""WITH {SQL_PREDICTIONS},
+item AS (SELECT system, uid, max(y) AS y, sum(pred * CASE seed WHEN 42 THEN 1 WHEN 43 THEN 3 ELSE 9 END)::BIGINT AS code
+  FROM preds WHERE split = 'test' GROUP BY system, uid)
+SELECT system, y::INTEGER AS y, code, true AS complete, count(*) AS n FROM item GROUP BY system, y, code""")
+def bootstrap_patterns(spark, sf):
+    test = M.predicted(predictions(spark, sf).filter(F.col("split") == "test"))
+    return H.bootstrap_patterns(test, ["system"], "seed", SEEDS, N_CLASSES)
+
+
+@query("boot_ci")
+def boot_ci(spark, sf):
+    return H.bootstrap_interval(bootstrap_patterns(spark, sf), ["system"], len(SEEDS), N_CLASSES)
+
+
+# -------------------------------------------------------------------------- early stopping
+@query("early_stop", """
+WITH RECURSIVE h AS (
+  SELECT conv_id, turn, (length(text) % 97) / 97.0::DOUBLE AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+walk AS (
+  SELECT conv_id, i, turn AS best_epoch, s AS best_score, 0 AS bad FROM h WHERE i = 1
+  UNION ALL
+  SELECT h.conv_id, h.i, CASE WHEN h.s > w.best_score THEN h.turn ELSE w.best_epoch END,
+    greatest(h.s, w.best_score), CASE WHEN h.s > w.best_score THEN 0 ELSE w.bad + 1 END
+  FROM walk w JOIN h ON h.conv_id = w.conv_id AND h.i = w.i + 1 WHERE w.bad < 2),
+fin AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS k FROM walk)
+SELECT f.conv_id, best_epoch, round(best_score, 9) AS best_score, f.i::INTEGER AS epochs_run,
+  f.i < (SELECT count(*) FROM h WHERE h.conv_id = f.conv_id) AS stopped_early
+FROM fin f WHERE k = 1""")
+def early_stop(spark, sf):
+    """Each conversation is a training run, its turns the epochs, a length hash the score."""
+    h = table(spark, sf, "conversations").select(
+        "conv_id", "turn", ((F.length("text") % 97) / F.lit(97.0)).alias("score")
+    )
+    return _rounded(Sel.early_stop(h, ["conv_id"], "turn", "score", 2), "best_score")
