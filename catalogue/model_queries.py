@@ -1 +1,185 @@
-"""Queries."""
+"""Vocabulary, encoding, score arithmetic and the MLlib model stage."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalogue.base import N_CLASSES, PROFILE, SQL_LABELS3, labels3, query, table
+from labelloom.functions import arrays as A
+from labelloom.functions.text import full
+from labelloom.operators import attribution as X
+from labelloom.operators import splits as S
+from labelloom.operators import training as T
+from labelloom.operators import vocab as V
+
+_SQL_FILTERS = r"[!\x{22}#$%&()*+,\x{2D}./:;<=>?@\[\x{5C}\]^_`{|}~\t\n]"
+SQL_VOCAB = f"""
+split_words AS (
+  SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '{_SQL_FILTERS}', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM documents),
+toks AS (SELECT doc_id, u.i - 1 AS pos, w[u.i] AS word FROM split_words, unnest(range(1, len(w) + 1)) AS u(i)),
+train_toks AS (SELECT * FROM toks WHERE substr(md5(concat(CAST(doc_id AS VARCHAR), ':42')), 1, 1) NOT IN ('0', '1', '2')),
+firsts AS (SELECT word, count(*) AS n, min(doc_id * 16777216 + pos) AS f FROM train_toks GROUP BY word),
+vocab AS (SELECT word, n, f // 16777216 AS first_row, f % 16777216 AS first_pos, row_number() OVER (ORDER BY n DESC, f) AS idx FROM firsts)"""
+
+
+def train_documents(spark, sf):
+    digit = F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":42"))), 1, 1)
+    return table(spark, sf, "documents").filter(~digit.isin("0", "1", "2"))
+
+
+def vocabulary(spark, sf):
+    return V.fit_vocabulary(train_documents(spark, sf), "text", "doc_id")
+
+
+@query("vocab_fit", f"WITH {SQL_VOCAB} SELECT * FROM vocab")
+def vocab_fit(spark, sf):
+    return vocabulary(spark, sf)
+
+
+@query("vocab_size", f"WITH {SQL_VOCAB} SELECT least(count(*) + 1, 5000) AS vocab_size FROM vocab")
+def vocab_size(spark, sf):
+    return V.vocabulary_size(vocabulary(spark, sf), 5000)
+
+
+@query("vocab_encode", f"""WITH {SQL_VOCAB},
+known AS (SELECT t.doc_id, t.pos, v.idx, row_number() OVER (PARTITION BY t.doc_id ORDER BY t.pos DESC) AS back
+  FROM toks t JOIN vocab v USING (word) WHERE v.idx < 5000),
+tail AS (SELECT doc_id, list(idx ORDER BY pos) AS l FROM known WHERE back <= 80 GROUP BY doc_id),
+padded AS (SELECT d.doc_id, list_concat(list_transform(range(0, 80 - coalesce(len(l), 0)), lambda x: 0::BIGINT), coalesce(l, [])) AS ids
+  FROM documents d LEFT JOIN tail USING (doc_id))
+SELECT doc_id, md5(array_to_string(ids, ',')) AS ids_md5, len(ids)::INTEGER AS n, len(list_filter(ids, lambda x: x > 0))::INTEGER AS n_known FROM padded""")
+def vocab_encode(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    enc = V.encode(docs, "text", vocabulary(spark, sf), 5000, 80)
+    return enc.select(
+        "doc_id", F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids_md5"),
+        F.size("ids").alias("n"), F.size(F.filter("ids", lambda i: i > 0)).alias("n_known"),
+    )
+
+
+SQL_SOFT = """
+e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS z FROM embeddings),
+s AS (SELECT *, list_transform(z, lambda x: exp(x - list_max(z))) AS ex FROM e)"""
+
+
+@query("softmax_argmax", f"""WITH {SQL_SOFT}
+SELECT vec_id, list_position(z, list_max(z))::INTEGER - 1 AS pred, round(list_max(ex) / list_sum(ex), 9) AS top_prob,
+  round(ln(greatest(list_min(ex) / list_sum(ex), 1e-12)), 6) AS min_log_prob FROM s""")
+def softmax_argmax(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", A.softmax("embedding").alias("p"))
+    return e.select(
+        "vec_id", A.argmax("embedding").alias("pred"), F.round(F.array_max("p"), 9).alias("top_prob"),
+        F.round(F.array_min(A.log_probs("p")), 6).alias("min_log_prob"),
+    )
+
+
+@query("cross_entropy", """WITH e AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS t,
+    list_transform(list_reverse(embedding), lambda x: x::DOUBLE) AS s FROM embeddings),
+l AS (SELECT *, ln(list_sum(list_transform(t, lambda x: exp(x)))) AS lt1, ln(list_sum(list_transform(s, lambda x: exp(x)))) AS ls1,
+  ln(list_sum(list_transform(t, lambda x: exp(x / 4)))) AS lt4, ln(list_sum(list_transform(s, lambda x: exp(x / 4)))) AS ls4 FROM e),
+k AS (SELECT vec_id, label, lt1 - t[label + 1] AS ce_teacher, ls1 - s[label + 1] AS ce_student,
+  list_sum(list_transform(range(1, len(t) + 1), lambda i: exp(t[i] / 4 - lt4) * ((t[i] / 4 - lt4) - (s[i] / 4 - ls4)))) AS kl FROM l)
+SELECT label, count(*) AS n, round(avg(ce_teacher), 6) AS ce, round(avg(0.5 * 16 * kl + 0.5 * ce_student), 6) AS distill_loss
+FROM k GROUP BY label""")
+def cross_entropy(spark, sf):
+    """Embeddings as teacher logits, the same vectors reversed as student logits."""
+    e = table(spark, sf, "embeddings").select("label", "embedding", F.reverse("embedding").alias("student"))
+    rows = e.select(
+        "label", A.cross_entropy("embedding", "label").alias("ce"),
+        A.distillation_loss("student", "embedding", "label", 4.0, 0.5).alias("dl"),
+    )
+    return rows.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("ce"), 6).alias("ce"), F.round(F.avg("dl"), 6).alias("distill_loss")
+    )
+
+
+# ------------------------------------------------------------------------------- MLlib stage
+def labelled_documents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "text").join(labels3(spark, sf), "doc_id")
+
+
+def model_text():
+    return full(F.col("text"), PROFILE)
+
+
+def fitted(spark, sf):
+    docs = labelled_documents(spark, sf)
+    return T.fit_text_model(docs.filter(F.col("split") == "train"), model_text(), "y", vocab_size=5000), docs
+
+
+@query("mllib_scores")
+def mllib_scores(spark, sf):
+    model, docs = fitted(spark, sf)
+    out = model.predict(docs, model_text(), ["doc_id", "split", "y"])
+    return out.select(
+        "doc_id", "split", "y", A.argmax("probs").alias("pred"), F.round(F.array_max("probs"), 3).alias("top_prob")
+    )
+
+
+@query("distill_scores")
+def distill_scores(spark, sf):
+    """A student trained on the teacher's softened probabilities and the truth."""
+    teacher, docs = fitted(spark, sf)
+    train = docs.filter(F.col("split") == "train")
+    logits = teacher.predict(train, model_text(), ["doc_id"]).select("doc_id", "logits")
+    soft = T.soft_label_rows(train, logits, "doc_id", "y", N_CLASSES)
+    student = T.fit_text_model(
+        soft, model_text(), "soft_label", weight="soft_weight", vectoriser=teacher.vectoriser
+    )
+    out = student.predict(docs, model_text(), ["doc_id", "split", "y"])
+    return out.select("doc_id", "split", "y", A.argmax("probs").alias("pred"))
+
+
+@query("linear_attributions")
+def linear_attributions(spark, sf):
+    """Exact Shapley values of the linear model for every word of every test document,
+    aggregated to the most important words."""
+    model, docs = fitted(spark, sf)
+    test = docs.filter(F.col("split") == "test")
+    train_counts = T.word_counts(docs.filter(F.col("split") == "train"), model_text(), "doc_id")
+    n_train = labels3(spark, sf).filter(F.col("split") == "train").agg(F.count(F.lit(1)).alias("n"))
+    means = train_counts.groupBy("token").agg(F.sum("x").alias("_x")).withColumn(
+        "mean", F.col("_x") / n_train.scalar()
+    ).drop("_x")
+    counts = T.word_counts(test, model_text(), "doc_id").withColumnRenamed("doc_id", "uid")
+    attr = X.linear_attributions(counts, model.coefficients(docs), means)
+    return X.global_importance(attr).select("token", F.round("mean_abs", 6).alias("mean_abs"), "count")
+
+
+def explained(spark, sf):
+    """Local surrogates of an outcome-free sample of test documents."""
+    model, docs = fitted(spark, sf)
+    test = docs.filter(F.col("split") == "test")
+    sample = S.stratified_sample(test, "doc_id", "y", [0, 1, 2], 15, 42)
+    counts = T.word_counts(test.join(sample.select("doc_id"), "doc_id", "left_semi"), model_text(), "doc_id")
+    coefs = model.coefficients(docs).groupBy("token").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("cls", "coef"))), lambda s: s["coef"]).alias("c")
+    )
+    bias = [float(b) for b in model.classifier.interceptVector.toArray()]
+    rows = counts.join(coefs, "token").groupBy(F.col("doc_id").cast("string").alias("uid")).agg(
+        F.array_sort(F.collect_list(F.struct("token", "x", "c"))).alias("t")
+    )
+    instances = rows.select(
+        "uid", F.col("t.token").alias("tokens"), F.col("t.x").alias("x"), F.col("t.c").alias("coefs"),
+        F.array(*[F.lit(b) for b in bias]).alias("bias"),
+    )
+    return X.explain_locally(instances, N_CLASSES)
+
+
+@query("local_surrogates")
+def local_surrogates(spark, sf):
+    return explained(spark, sf).withColumn("weight", F.round("weight", 6))
+
+
+SAMPLE_SQL = f"""WITH {SQL_LABELS3},
+r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(concat(CAST(doc_id AS VARCHAR), ':42')), doc_id) AS k
+  FROM labels3 WHERE split = 'test')
+SELECT doc_id, y FROM r WHERE k <= 200 // 3"""
+
+
+@query("explain_sample", SAMPLE_SQL)
+def explain_sample(spark, sf):
+    """Which test documents get explained: stratified by truth, blind to predictions."""
+    test = labels3(spark, sf).filter(F.col("split") == "test")
+    return S.stratified_sample(test, "doc_id", "y", [0, 1, 2], 200, 42)

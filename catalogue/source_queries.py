@@ -1 +1,171 @@
-"""Queries."""
+"""Round trips through the file formats, pooled ids, re-attached labels, the frozen manifest."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from catalogue.base import PROFILE, SQL_PREDICTIONS, STOP_WORDS, predictions, query, table
+from catalogue.consensus_queries import SQL_RESOLVED, annotators
+from catalogue.dedup_queries import SOURCES, SQL_GROUPS, SQL_KEYS
+from catalogue.explanation_queries import SQL_ATTR, attributions
+from catalogue.split_queries import SQL_FOLDS, kfold
+from catalogue.weak_queries import TERMS
+from labelloom.functions.staging import shared_folder
+from labelloom.operators import attribution as X
+from labelloom.operators import consensus as C
+from labelloom.operators import dedup as D
+from labelloom.operators import splits as S
+from labelloom.plans import corpus_freeze as CF
+from labelloom.sources import corpora as Src
+from labelloom.sources import tables as Tab
+
+
+def fresh(spark, name):
+    app = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/labelloom-{app}/{name}-{uuid.uuid4().hex}"
+
+
+@query("tsv_round_trip", r"""
+SELECT CAST(doc_id AS VARCHAR) AS id, md5(regexp_replace(text, '[\t\n\r]', ' ', 'g')) AS text_md5, lang, source,
+  '' AS human_verified FROM documents""")
+def tsv_round_trip(spark, sf):
+    d = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), "text", "lang", "source", F.lit(None).cast("string").alias("human_verified")
+    )
+    path = fresh(spark, "tsv")
+    Src.write_tsv(d, path)
+    back = Src.read_tsv(spark, path, d.columns)
+    return back.select("id", F.md5("text").alias("text_md5"), "lang", "source", "human_verified")
+
+
+@query("manifest_round_trip", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS text_md5, lang FROM documents")
+def manifest_round_trip(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    path = fresh(spark, "manifest")
+    Src.write_manifest_tsv(d, path)
+    back = Src.read_manifest_tsv(spark, path, d.columns)
+    return back.select("doc_id", F.md5("text").alias("text_md5"), "lang")
+
+
+@query("json_round_trip", "SELECT doc_id AS row_no, md5(text) AS text_md5, source, lang AS keyword_category FROM documents")
+def json_round_trip(spark, sf):
+    d = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("row_no"), "text", "source", F.col("lang").alias("keyword_category")
+    )
+    path = fresh(spark, "json")
+    d.write.json(path)
+    back = Src.read_json_lines(spark, path, d.schema)
+    return back.select("row_no", F.md5("text").alias("text_md5"), "source", "keyword_category")
+
+
+@query("pooled_ids", """
+WITH p AS (SELECT 0 AS f, 'documents.json' AS src_file, doc_id AS row_no FROM documents
+  UNION ALL SELECT 1, 'benchmark.json', item_id FROM benchmark
+  UNION ALL SELECT 2, 'conversations.json', conv_id * 1000 + turn FROM conversations)
+SELECT src_file, row_no, row_number() OVER (ORDER BY f, row_no) AS id FROM p""")
+def pooled_ids(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("row_no"))
+    bench = table(spark, sf, "benchmark").select(F.col("item_id").alias("row_no"))
+    conv = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_no"))
+    return Src.pool([("in/documents.json", docs), ("in/benchmark.json", bench), ("in/conversations.json", conv)])
+
+
+SQL_PUBLISHED = f"WITH {SQL_KEYS}, {SQL_GROUPS}, pub AS (SELECT uid, min(lang) AS label FROM keys JOIN grp USING (uid) WHERE NOT grp.conflict GROUP BY uid)"
+
+
+def published(spark, sf):
+    """Ids and labels as they would be published: no texts, one row per key."""
+    keys = D.text_keys(table(spark, sf, "documents"), "text", ["doc_id", "source", "lang"], PROFILE)
+    kept = D.kept_rows(keys, "source", "doc_id", SOURCES)
+    return kept.join(keys.groupBy("uid").agg(F.min("lang").alias("label")), "uid").select("uid", "label")
+
+
+@query("reattach_labels", SQL_PUBLISHED + """
+SELECT k.doc_id, k.uid, p.label FROM keys k JOIN pub p USING (uid)""")
+def reattach_labels(spark, sf):
+    texts = table(spark, sf, "documents").select("doc_id", "text")
+    matched, _ = Src.reattach(texts, "text", published(spark, sf), PROFILE)
+    return matched.select("doc_id", "uid", "label")
+
+
+@query("reattach_missing", SQL_PUBLISHED + """
+SELECT p.uid, p.label FROM pub p WHERE p.uid NOT IN (SELECT uid FROM keys WHERE lang <> 'fr')""")
+def reattach_missing(spark, sf):
+    """Published ids whose text the holder lacks (here: a holder without the French texts)."""
+    texts = table(spark, sf, "documents").filter(F.col("lang") != "fr").select("doc_id", "text")
+    _, missing = Src.reattach(texts, "text", published(spark, sf), PROFILE)
+    return missing
+
+
+@query("predictions_round_trip", f"""WITH {SQL_PREDICTIONS}
+SELECT system, seed, CAST(uid AS VARCHAR) AS uid, y, round(p0, 5) AS p0, round(p1, 5) AS p1 FROM preds WHERE split = 'val'""")
+def predictions_round_trip(spark, sf):
+    p = predictions(spark, sf).select(
+        "system", "seed", F.lit(0).alias("fold"), F.col("uid").cast("string").alias("uid"), "y",
+        F.transform("probs", lambda v: F.ln(v).cast("float")).alias("logits"),
+        F.transform("probs", lambda v: v.cast("float")).alias("probs"), F.lit("three").alias("task"), "split",
+    )
+    path = fresh(spark, "predictions")
+    Tab.write_predictions(p, path)
+    back = Tab.read_predictions(spark, path, task="three", split="val")
+    return back.select(
+        "system", "seed", "uid", "y",
+        *[F.round(F.get("probs", F.lit(c)).cast("double"), 5).alias(f"p{c}") for c in range(2)],
+    )
+
+
+@query("membership_round_trip", f"""WITH {SQL_FOLDS}
+SELECT fold, part, CAST(doc_id AS VARCHAR) AS uid FROM member WHERE fold IN (1, 7)""")
+def membership_round_trip(spark, sf):
+    long = S.fold_membership(kfold(spark, sf), "doc_id").withColumnRenamed("doc_id", "uid")
+    path = fresh(spark, "folds")
+    Tab.write_membership(long.withColumn("uid", F.col("uid").cast("string")), path)
+    return Tab.read_membership(spark, path, [1, 7])
+
+
+@query("csv_export", f"""WITH {SQL_ATTR},
+g AS (SELECT cls, token, round(avg(value), 12) AS m, count(*) AS n FROM attr GROUP BY cls, token HAVING count(*) >= 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY m DESC, token) AS r FROM g)
+SELECT cls::INTEGER AS cls, token, n AS "count" FROM k WHERE r <= 30""")
+def csv_export(spark, sf):
+    top = X.class_importance(attributions(spark, sf)).select("cls", "token", "count")
+    path = fresh(spark, "csv")
+    Tab.write_csv(top, path)
+    return spark.read.schema(top.schema).csv(path, header=True)
+
+
+# ---------------------------------------------------------------------- the whole build
+def annotated(spark, sf):
+    """Labelled documents with three annotators, as the build expects them."""
+    a = C.consensus(annotators(spark, sf), ("ws_label", "gpt_label", "llama_label"), "gpt_label")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source", F.col("lang").alias("keyword_cat"))
+    return docs.join(a, "doc_id").withColumnRenamed("doc_id", "id")
+
+
+PLAN = CF.CorpusPlan(lexicons=TERMS, profile=PROFILE, stop_words=STOP_WORDS)
+
+SQL_FREEZE_KEYS = f"""WITH {SQL_RESOLVED}, {SQL_KEYS},
+lk AS (SELECT k.*, r.final_label FROM keys k JOIN resolved r USING (doc_id)),
+keepers AS (SELECT uid, min(doc_id) AS doc_id FROM lk WHERE NOT is_empty GROUP BY uid HAVING count(DISTINCT final_label) = 1)"""
+
+
+@query("frozen_manifest", SQL_FREEZE_KEYS + """
+SELECT r.doc_id AS orig_id, p.uid, r.final_label AS label3_v1,
+  CASE WHEN r.final_label = 'NEUTRAL' THEN 'NEUTRAL' ELSE 'HARMFUL' END AS labelb_v1, r.ws_label AS ws_v1,
+  r.method AS method_v1, lk.raw_sha256
+FROM keepers p JOIN resolved r USING (doc_id) JOIN lk USING (doc_id)""")
+def frozen_manifest(spark, sf):
+    """Columns of the frozen manifest that do not depend on the split."""
+    m = CF.freeze_corpus(annotated(spark, sf), PLAN)["manifest"]
+    return m.select("orig_id", "uid", "label3_v1", "labelb_v1", "ws_v1", "method_v1", "raw_sha256")
+
+
+@query("frozen_manifest_labels")
+def frozen_manifest_labels(spark, sf):
+    """Split, re-weighted weak label and re-resolved consensus of every kept text."""
+    m = CF.freeze_corpus(annotated(spark, sf), PLAN)["manifest"]
+    return m.select(
+        "orig_id", "split", "ws_v2", "ws_v2_conf", "ws_novote", "label3", "label_bin", "method_v2"
+    )
