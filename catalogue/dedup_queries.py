@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue.base import PROFILE, STOP_WORDS, query, sql_bag, sql_keys, table
+from catalogue.base import PROFILE, STOP_WORDS, query, sql_bag, sql_keys, texts
 from labelloom.functions.text import bag
 from labelloom.operators import dedup as D
 
@@ -17,7 +17,7 @@ grp AS (
 
 
 def keys(spark, sf, extra=("source",)):
-    return D.text_keys(table(spark, sf, "documents"), "text", ["doc_id", *extra], PROFILE)
+    return D.text_keys(texts(spark, sf), "text", ["doc_id", *extra], PROFILE)
 
 
 @query("text_keys", f"WITH {SQL_KEYS} SELECT doc_id, source, uid, raw_sha256, is_empty FROM keys")
@@ -34,7 +34,7 @@ def canonical_groups(spark, sf):
 SELECT d.doc_id, g.uid, d.source, d.lang, md5(d.text) AS text_md5
 FROM documents d JOIN grp g ON d.doc_id = g.doc_id WHERE NOT g.conflict""")
 def dedup_keep(spark, sf):
-    kept = D.deduplicate(table(spark, sf, "documents"), "text", "source", "doc_id", SOURCES, PROFILE)
+    kept = D.deduplicate(texts(spark, sf), "text", "source", "doc_id", SOURCES, PROFILE)
     return kept.select("doc_id", "uid", "source", "lang", F.md5("text").alias("text_md5"))
 
 
@@ -116,5 +116,5 @@ SELECT count(*) AS groups, count(*) FILTER (WHERE n > 1) AS groups_size_gt1,
   coalesce(sum(n) FILTER (WHERE n > 1), 0)::BIGINT AS rows_in_groups_size_gt1, max(n) AS largest_group,
   count(*) FILTER (WHERE k > 1) AS groups_with_mixed_labels, sum(e)::BIGINT AS rows_with_empty_input FROM g""")
 def lossy_groups(spark, sf):
-    d = table(spark, sf, "documents").select("source", bag("text", STOP_WORDS).alias("t"))
+    d = texts(spark, sf).select("source", bag("text", STOP_WORDS).alias("t"))
     return D.lossy_groups(d, F.sha2("t", 256), "source", F.col("t") == "", SOURCES)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue.base import SQL_PREDICTIONS, SQL_WS, predictions, query, table
+from catalogue.base import SQL_PREDICTIONS, SQL_WS, predictions, query, texts
 from labelloom.functions.text import words
 from labelloom.operators import attribution as X
 
@@ -20,7 +20,7 @@ attr AS (
 
 
 def tokens(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         F.col("doc_id").alias("uid"), F.posexplode(words(F.col("text"))).alias("pos", "token")
     )
 

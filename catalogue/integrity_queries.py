@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalogue.base import (
     N_CLASSES, PROFILE, SQL_PREDICTIONS, STOP_WORDS, SYSTEMS, predictions, query, sql_bag, sql_keys,
-    sql_minimal, table,
+    sql_minimal, table, texts,
 )
 from catalogue.split_queries import LANGS, SQL_FOLDS, SQL_SPLIT
 from labelloom.operators import dedup as D
@@ -27,13 +27,9 @@ views AS (SELECT DISTINCT view FROM view_keys)"""
 
 
 def keyed_documents(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    k = D.text_keys(d, "text", ["doc_id", "lang", "text"], PROFILE)
-    return k
-
-
-def _keys():
-    return I.representation_keys("text", PROFILE, STOP_WORDS)
+    """The six keys of every document: only these travel to meet the partition names."""
+    k = D.text_keys(texts(spark, sf), "text", ["doc_id", "text"], PROFILE)
+    return k.select("doc_id", I.representation_keys("text", PROFILE, STOP_WORDS).alias("keys"))
 
 
 @query("leakage_matrix", f"""WITH {SQL_VIEWS}, {SQL_SPLIT},
@@ -47,7 +43,7 @@ GROUP BY v.view, p.a, p.b""")
 def leakage_matrix(spark, sf):
     split = S.stratified_split(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", "lang", LANGS, 42)
     df = keyed_documents(spark, sf).join(split.select("doc_id", "split"), "doc_id")
-    return I.with_severity(I.leakage_matrix(df, _keys(), "split"))
+    return I.with_severity(I.leakage_matrix(df, F.col("keys"), "split"))
 
 
 @query("leakage_by_fold", f"""WITH {SQL_VIEWS}, {SQL_FOLDS},
@@ -59,14 +55,14 @@ FROM seen CROSS JOIN pairs GROUP BY fold, view, a, b""")
 def leakage_by_fold(spark, sf):
     folds = S.stratified_kfold(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", "lang", LANGS, 42)
     df = keyed_documents(spark, sf).join(folds.select("doc_id", "parts"), "doc_id")
-    return I.leakage_by_fold(df, _keys(), "parts", 10)
+    return I.leakage_by_fold(df, F.col("keys"), "parts", 10)
 
 
 @query("uid_unique", f"""WITH {sql_keys('documents', 'doc_id')},
 g AS (SELECT uid, count(*) AS n FROM keys GROUP BY uid)
 SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_keys, count(*) FILTER (WHERE n > 1) AS n_repeated FROM g""")
 def uid_unique(spark, sf):
-    return I.repeated_keys(D.text_keys(table(spark, sf, "documents"), "text", ["doc_id"], PROFILE))
+    return I.repeated_keys(D.text_keys(texts(spark, sf), "text", ["doc_id"], PROFILE))
 
 
 def _sql_fp(columns: list[str]) -> str:
@@ -82,7 +78,7 @@ WITH f AS (SELECT lang, {_sql_fp(['doc_id', 'text', 'lang', 'source', 'n_chars']
 SELECT lang, {_DIGEST} FROM f GROUP BY lang""")
 def content_digest(spark, sf):
     return I.content_digest(
-        table(spark, sf, "documents"), ["doc_id", "text", "lang", "source", "n_chars"], ["lang"]
+        texts(spark, sf), ["doc_id", "text", "lang", "source", "n_chars"], ["lang"]
     )
 
 
@@ -93,7 +89,7 @@ da AS (SELECT source, concat_ws(':', count(*), CAST(sum(fp::HUGEINT) AS VARCHAR)
 db AS (SELECT source, concat_ws(':', count(*), CAST(sum(fp::HUGEINT) AS VARCHAR), bit_xor(fp)) AS digest_after FROM b GROUP BY source)
 SELECT source, digest_before, digest_after FROM da JOIN db USING (source) WHERE digest_before <> digest_after""")
 def digest_changes(spark, sf):
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf)
     tampered = d.withColumn("text", F.when(F.col("source") == "src3", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     before = I.content_digest(d, ["doc_id", "text"], ["source"])
     return I.digest_changes(before, I.content_digest(tampered, ["doc_id", "text"], ["source"]), ["source"])

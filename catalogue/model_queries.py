@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue.base import N_CLASSES, PROFILE, SQL_LABELS3, labels3, query, table
+from catalogue.base import N_CLASSES, PROFILE, SQL_LABELS3, labels3, query, table, texts
 from labelloom.functions import arrays as A
 from labelloom.functions.text import full
 from labelloom.operators import attribution as X
@@ -24,7 +24,7 @@ vocab AS (SELECT word, n, f // 16777216 AS first_row, f % 16777216 AS first_pos,
 
 def train_documents(spark, sf):
     digit = F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":42"))), 1, 1)
-    return table(spark, sf, "documents").filter(~digit.isin("0", "1", "2"))
+    return texts(spark, sf).filter(~digit.isin("0", "1", "2"))
 
 
 def vocabulary(spark, sf):
@@ -49,7 +49,7 @@ padded AS (SELECT d.doc_id, list_concat(list_transform(range(0, 80 - coalesce(le
   FROM documents d LEFT JOIN tail USING (doc_id))
 SELECT doc_id, md5(array_to_string(ids, ',')) AS ids_md5, len(ids)::INTEGER AS n, len(list_filter(ids, lambda x: x > 0))::INTEGER AS n_known FROM padded""")
 def vocab_encode(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf).select("doc_id", "text")
     enc = V.encode(docs, "text", vocabulary(spark, sf), 5000, 80)
     return enc.select(
         "doc_id", F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids_md5"),
@@ -96,7 +96,7 @@ def cross_entropy(spark, sf):
 
 # ------------------------------------------------------------------------------- MLlib stage
 def labelled_documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text").join(labels3(spark, sf), "doc_id")
+    return texts(spark, sf).select("doc_id", "text").join(labels3(spark, sf), "doc_id")
 
 
 def model_text():

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from catalogue.base import PROFILE, SQL_PREDICTIONS, STOP_WORDS, predictions, query, table
+from catalogue.base import PROFILE, SQL_PREDICTIONS, STOP_WORDS, predictions, query, table, texts
 from catalogue.consensus_queries import SQL_RESOLVED, annotators
 from catalogue.dedup_queries import SOURCES, SQL_GROUPS, SQL_KEYS
 from catalogue.explanation_queries import SQL_ATTR, attributions
@@ -31,7 +31,7 @@ def fresh(spark, name):
 SELECT CAST(doc_id AS VARCHAR) AS id, md5(regexp_replace(text, '[\t\n\r]', ' ', 'g')) AS text_md5, lang, source,
   '' AS human_verified FROM documents""")
 def tsv_round_trip(spark, sf):
-    d = table(spark, sf, "documents").select(
+    d = texts(spark, sf).select(
         F.col("doc_id").alias("id"), "text", "lang", "source", F.lit(None).cast("string").alias("human_verified")
     )
     path = fresh(spark, "tsv")
@@ -42,7 +42,7 @@ def tsv_round_trip(spark, sf):
 
 @query("manifest_round_trip", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS text_md5, lang FROM documents")
 def manifest_round_trip(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    d = texts(spark, sf).select("doc_id", "text", "lang")
     path = fresh(spark, "manifest")
     Src.write_manifest_tsv(d, path)
     back = Src.read_manifest_tsv(spark, path, d.columns)
@@ -51,7 +51,7 @@ def manifest_round_trip(spark, sf):
 
 @query("json_round_trip", "SELECT doc_id AS row_no, md5(text) AS text_md5, source, lang AS keyword_category FROM documents")
 def json_round_trip(spark, sf):
-    d = table(spark, sf, "documents").select(
+    d = texts(spark, sf).select(
         F.col("doc_id").alias("row_no"), "text", "source", F.col("lang").alias("keyword_category")
     )
     path = fresh(spark, "json")
@@ -77,7 +77,7 @@ SQL_PUBLISHED = f"WITH {SQL_KEYS}, {SQL_GROUPS}, pub AS (SELECT uid, min(lang) A
 
 def published(spark, sf):
     """Ids and labels as they would be published: no texts, one row per key."""
-    keys = D.text_keys(table(spark, sf, "documents"), "text", ["doc_id", "source", "lang"], PROFILE)
+    keys = D.text_keys(texts(spark, sf), "text", ["doc_id", "source", "lang"], PROFILE)
     kept = D.kept_rows(keys, "source", "doc_id", SOURCES)
     return kept.join(keys.groupBy("uid").agg(F.min("lang").alias("label")), "uid").select("uid", "label")
 
@@ -85,7 +85,7 @@ def published(spark, sf):
 @query("reattach_labels", SQL_PUBLISHED + """
 SELECT k.doc_id, k.uid, p.label FROM keys k JOIN pub p USING (uid)""")
 def reattach_labels(spark, sf):
-    texts = table(spark, sf, "documents").select("doc_id", "text")
+    texts = texts(spark, sf).select("doc_id", "text")
     matched, _ = Src.reattach(texts, "text", published(spark, sf), PROFILE)
     return matched.select("doc_id", "uid", "label")
 
@@ -94,7 +94,7 @@ def reattach_labels(spark, sf):
 SELECT p.uid, p.label FROM pub p WHERE p.uid NOT IN (SELECT uid FROM keys WHERE lang <> 'fr')""")
 def reattach_missing(spark, sf):
     """Published ids whose text the holder lacks (here: a holder without the French texts)."""
-    texts = table(spark, sf, "documents").filter(F.col("lang") != "fr").select("doc_id", "text")
+    texts = texts(spark, sf).filter(F.col("lang") != "fr").select("doc_id", "text")
     _, missing = Src.reattach(texts, "text", published(spark, sf), PROFILE)
     return missing
 
@@ -140,7 +140,7 @@ def csv_export(spark, sf):
 def annotated(spark, sf):
     """Labelled documents with three annotators, as the build expects them."""
     a = C.consensus(annotators(spark, sf), ("ws_label", "gpt_label", "llama_label"), "gpt_label")
-    docs = table(spark, sf, "documents").select("doc_id", "text", "source", F.col("lang").alias("keyword_cat"))
+    docs = texts(spark, sf).select("doc_id", "text", "source", F.col("lang").alias("keyword_cat"))
     return docs.join(a, "doc_id").withColumnRenamed("doc_id", "id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogue.base import (
-    PROFILE, SQL_WS, STOP_WORDS, query, spell, sql_bag, sql_full, sql_minimal, sql_spell, table,
+    PROFILE, SQL_WS, STOP_WORDS, query, spell, sql_bag, sql_full, sql_minimal, sql_spell, texts,
 )
 from labelloom.functions import text as T
 
@@ -22,7 +22,7 @@ def _sql_digest(id_col: str, expr: str, source: str) -> str:
        "length(coalesce(text, '')) AS n_chars FROM documents")
 def text_none(spark, sf):
     t = T.preprocess("text", "none")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", T.raw_hash("text").alias("raw_sha256"), F.length(t).cast("long").alias("n_chars")
     )
 
@@ -30,59 +30,59 @@ def text_none(spark, sf):
 @query("text_minimal", f"WITH m AS (SELECT doc_id, {sql_minimal('text')} AS t FROM documents) "
        + _sql_digest("doc_id", "t", "m"))
 def text_minimal(spark, sf):
-    return _digest(table(spark, sf, "documents").select("doc_id", T.minimal("text").alias("t")), "doc_id", F.col("t"))
+    return _digest(texts(spark, sf).select("doc_id", T.minimal("text").alias("t")), "doc_id", F.col("t"))
 
 
 @query("text_minimal_arabic", f"WITH m AS (SELECT doc_id, {sql_minimal(sql_spell('text'))} AS t FROM documents) "
        + _sql_digest("doc_id", "t", "m"))
 def text_minimal_arabic(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", T.minimal(spell("text")).alias("t"))
+    d = texts(spark, sf).select("doc_id", T.minimal(spell("text")).alias("t"))
     return _digest(d, "doc_id", F.col("t"))
 
 
 @query("text_bag", f"WITH m AS (SELECT doc_id, {sql_bag('text')} AS t FROM documents) "
        + _sql_digest("doc_id", "t", "m"))
 def text_bag(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", T.bag("text", STOP_WORDS).alias("t"))
+    d = texts(spark, sf).select("doc_id", T.bag("text", STOP_WORDS).alias("t"))
     return _digest(d, "doc_id", F.col("t"))
 
 
 @query("text_bag_arabic", f"WITH m AS (SELECT doc_id, {sql_bag(sql_spell('text'))} AS t FROM documents) "
        + _sql_digest("doc_id", "t", "m"))
 def text_bag_arabic(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", T.bag(spell("text"), STOP_WORDS).alias("t"))
+    d = texts(spark, sf).select("doc_id", T.bag(spell("text"), STOP_WORDS).alias("t"))
     return _digest(d, "doc_id", F.col("t"))
 
 
 @query("text_full", f"WITH {sql_full('documents', 'doc_id', 'text')} " + _sql_digest("doc_id", "t", "norm"))
 def text_full(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", T.full("text", PROFILE).alias("t"))
+    d = texts(spark, sf).select("doc_id", T.full("text", PROFILE).alias("t"))
     return _digest(d, "doc_id", F.col("t"))
 
 
 @query("text_full_arabic", f"WITH {sql_full('documents', 'doc_id', sql_spell('text'), arabic=True)} "
        + _sql_digest("doc_id", "t", "norm"))
 def text_full_arabic(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", T.full(spell("text")).alias("t"))
+    d = texts(spark, sf).select("doc_id", T.full(spell("text")).alias("t"))
     return _digest(d, "doc_id", F.col("t"))
 
 
 @query("canonical_uid", f"WITH {sql_full('documents', 'doc_id', 'text')} "
        "SELECT doc_id, sha256(t) AS uid FROM norm")
 def canonical_uid(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.text_id("text", PROFILE).alias("uid"))
+    return texts(spark, sf).select("doc_id", T.text_id("text", PROFILE).alias("uid"))
 
 
 @query("canonical_uid_arabic", f"WITH {sql_full('documents', 'doc_id', sql_spell('text'), arabic=True)} "
        "SELECT doc_id, sha256(translate(t, 'یک', 'يك')) AS uid FROM norm")
 def canonical_uid_arabic(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.text_id(spell("text")).alias("uid"))
+    return texts(spark, sf).select("doc_id", T.text_id(spell("text")).alias("uid"))
 
 
 @query("word_counts", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, "
        f"'[{SQL_WS}]+'), lambda w: w <> ''))::INTEGER AS n_words FROM documents")
 def word_counts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.word_count("text").alias("n_words"))
+    return texts(spark, sf).select("doc_id", T.word_count("text").alias("n_words"))
 
 
 @query("preprocess_modes", f"""
@@ -100,7 +100,7 @@ def preprocess_modes(spark, sf):
         F.struct(F.lit(m).alias("mode"), T.preprocess("text", m, PROFILE, STOP_WORDS).alias("t"))
         for m in ("none", "minimal", "alg3", "mhamed")
     ])
-    keyed = table(spark, sf, "documents").select(F.inline(modes)).select(
+    keyed = texts(spark, sf).select(F.inline(modes)).select(
         "mode", F.md5("t").alias("h"), F.length("t").cast("long").alias("n")
     )
     per_text = keyed.groupBy("mode", "h").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))

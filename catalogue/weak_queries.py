@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue.base import SEED, SQL_WS, query, table
+from catalogue.base import SEED, SQL_WS, query, texts
 from labelloom.functions.staging import stage
 from labelloom.operators import weak
 from labelloom.operators.lexicon import lexicon_signals
@@ -120,7 +120,7 @@ BOTH = f"WITH {SQL_VOTES}, {_sql_weights()}, {_sql_weighted()}, {SQL_MAJORITY}"
 
 def votes_of(spark, sf, keep=("doc_id",)):
     """Votes of all documents as a written table: several passes read it."""
-    return stage(apply_rules(table(spark, sf, "documents"), "text", TERMS, RULES, list(keep)), "votes")
+    return stage(apply_rules(texts(spark, sf), "text", TERMS, RULES, list(keep)), "votes")
 
 
 def _in_train():
@@ -138,14 +138,14 @@ def labelled(spark, sf, keep=("doc_id",)):
        + ", " + ", ".join(f"c_{s} AS n_{n}" for n, s in zip(LEXICONS, SHORT) if n in COUNTED)
        + ", words::INTEGER AS word_count FROM sig")
 def lexicon_flags(spark, sf):
-    sig = lexicon_signals(table(spark, sf, "documents"), "text", TERMS, COUNTED)
+    sig = lexicon_signals(texts(spark, sf), "text", TERMS, COUNTED)
     return sig.select("doc_id", *[f"has_{n}" for n in LEXICONS], *[f"n_{n}" for n in LEXICONS if n in COUNTED], "word_count")
 
 
 @query("lf_votes_long", f"WITH {SQL_VOTES} SELECT doc_id, rule::INTEGER AS rule, {SQL_NAMES}[rule + 1] AS rule_name, "
        "vote::TINYINT AS vote FROM long")
 def lf_votes_long(spark, sf):
-    votes = apply_rules(table(spark, sf, "documents"), "text", TERMS, RULES, ["doc_id"])
+    votes = apply_rules(texts(spark, sf), "text", TERMS, RULES, ["doc_id"])
     return votes_long(votes, RULES, ["doc_id"])
 
 
@@ -156,7 +156,7 @@ SELECT rule::INTEGER AS rule, {SQL_NAMES}[rule + 1] AS rule_name, count(*) FILTE
   count(*) FILTER (WHERE vote = 2) AS n_neutral
 FROM long GROUP BY rule""")
 def lf_analysis(spark, sf):
-    votes = apply_rules(table(spark, sf, "documents"), "text", TERMS, RULES, ["doc_id"])
+    votes = apply_rules(texts(spark, sf), "text", TERMS, RULES, ["doc_id"])
     return weak.rule_analysis(votes, NAMES, LABEL_NAMES)
 
 
@@ -165,14 +165,14 @@ k AS (SELECT doc_id, count(DISTINCT vote) FILTER (WHERE vote >= 0) AS kinds FROM
 SELECT count(*) AS n_texts, count(*) FILTER (WHERE kinds > 0) AS any_vote,
   count(*) FILTER (WHERE kinds = 0) AS no_vote, count(*) FILTER (WHERE kinds > 1) AS conflicts FROM k""")
 def lf_matrix_summary(spark, sf):
-    votes = apply_rules(table(spark, sf, "documents"), "text", TERMS, RULES, ["doc_id"])
+    votes = apply_rules(texts(spark, sf), "text", TERMS, RULES, ["doc_id"])
     return weak.matrix_summary(votes)
 
 
 @query("majority_vote", f"WITH {SQL_VOTES}, {SQL_MAJORITY} SELECT doc_id, mv_label::INTEGER AS mv_label, "
        "round(mv_conf, 9) AS mv_conf FROM mv")
 def majority_vote(spark, sf):
-    votes = apply_rules(table(spark, sf, "documents"), "text", TERMS, RULES, ["doc_id"])
+    votes = apply_rules(texts(spark, sf), "text", TERMS, RULES, ["doc_id"])
     return weak.majority_vote(votes, 3, NEUTRAL).select("doc_id", "mv_label", F.round("mv_conf", 9).alias("mv_conf"))
 
 
@@ -180,7 +180,7 @@ def majority_vote(spark, sf):
 SELECT rule::INTEGER AS rule, {SQL_NAMES}[rule + 1] AS rule_name, labeled, round(coverage, 9) AS coverage,
   round(weight, 9) AS weight FROM w""")
 def lf_weights(spark, sf):
-    votes = apply_rules(table(spark, sf, "documents"), "text", TERMS, RULES, ["doc_id"])
+    votes = apply_rules(texts(spark, sf), "text", TERMS, RULES, ["doc_id"])
     return weak.rule_weights(votes, NAMES).select(
         "rule", "rule_name", "labeled", F.round("coverage", 9).alias("coverage"), F.round("weight", 9).alias("weight")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,9 +12,22 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it by name in ``body``.
+
+    A Column used twice is computed twice, and inside a lambda once per element; binding it as
+    a lambda variable keeps array arithmetic linear."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def argmax(scores: Column | str) -> Column:
     """0-based position of the first maximum."""
-    s = _col(scores)
+    if isinstance(scores, str):
+        return _first_max(F.col(scores))
+    return let(scores, _first_max)
+
+
+def _first_max(s: Column) -> Column:
     return (F.array_position(s, F.array_max(s)) - 1).cast("int")
 
 
@@ -21,21 +36,31 @@ def array_total(values: Column | str) -> Column:
     return F.aggregate(_col(values), F.lit(0.0), lambda acc, v: acc + v.cast("double"))
 
 
+def _scaled(logits: Column | str, temperature: float) -> Column:
+    return F.transform(_col(logits), lambda v: v.cast("double") / F.lit(float(temperature)))
+
+
 def softmax(logits: Column | str, temperature: float = 1.0) -> Column:
     """Softmax, shifted by the maximum so that it cannot overflow."""
-    z = F.transform(_col(logits), lambda v: v.cast("double") / F.lit(float(temperature)))
-    e = F.transform(z, lambda v: F.exp(v - F.array_max(z)))
-    return F.transform(e, lambda v: v / array_total(e))
 
+    def exps(z: Column) -> Column:
+        return let(F.array_max(z), lambda top: F.transform(z, lambda v: F.exp(v - top)))
 
-def log_sum_exp(logits: Column) -> Column:
-    top = F.array_max(logits)
-    return top + F.ln(array_total(F.transform(logits, lambda v: F.exp(v - top))))
+    return let(
+        let(_scaled(logits, temperature), exps),
+        lambda e: let(array_total(e), lambda total: F.transform(e, lambda v: v / total)),
+    )
 
 
 def log_softmax(logits: Column | str, temperature: float = 1.0) -> Column:
-    z = F.transform(_col(logits), lambda v: v.cast("double") / F.lit(float(temperature)))
-    return F.transform(z, lambda v: v - log_sum_exp(z))
+    def shifted(z: Column) -> Column:
+        return let(F.array_max(z), lambda top: F.transform(z, lambda v: v - top))
+
+    def less_norm(z: Column) -> Column:
+        norm = F.ln(array_total(F.transform(z, lambda v: F.exp(v))))
+        return let(norm, lambda n: F.transform(z, lambda v: v - n))
+
+    return let(let(_scaled(logits, temperature), shifted), less_norm)
 
 
 def log_probs(probs: Column | str, floor: float = 1e-12) -> Column:
@@ -58,10 +83,12 @@ def distillation_loss(
     alpha: float,
 ) -> Column:
     """alpha * T^2 * KL(teacher || student) at temperature T + (1 - alpha) * cross entropy."""
-    lt, ls = log_softmax(teacher, temperature), log_softmax(student, temperature)
-    kl = array_total(F.zip_with(lt, ls, lambda t, s: F.exp(t) * (t - s)))
+    terms = F.zip_with(
+        log_softmax(teacher, temperature), log_softmax(student, temperature),
+        lambda t, s: F.exp(t) * (t - s),
+    )
     return (
-        F.lit(alpha * temperature * temperature) * kl
+        F.lit(alpha * temperature * temperature) * array_total(terms)
         + F.lit(1.0 - alpha) * cross_entropy(student, label)
     )
 
@@ -70,6 +97,6 @@ def label_index(label: Column | str, labels: list[str]) -> Column:
     """0-based position in the ordered label list; an unknown label stops the job."""
     c = _col(label)
     pos = F.array_position(F.array(*[F.lit(v) for v in labels]), c)
-    return F.when(pos > 0, (pos - 1).cast("int")).otherwise(
-        F.raise_error(F.concat(F.lit("label outside the declared list: "), F.coalesce(c.cast("string"), F.lit("NULL")))).cast("int")
-    )
+    shown = F.coalesce(c.cast("string"), F.lit("NULL"))
+    stop = F.raise_error(F.concat(F.lit("label outside the declared list: "), shown))
+    return F.when(pos > 0, (pos - 1).cast("int")).otherwise(stop.cast("int"))

@@ -36,3 +36,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/labelloom-{app}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a small, badly split corpus one piece per core before CPU-bound text work.
+
+    A file with a single row group (or one JSON array) is one task however many cores are
+    idle.  A scan that already has plenty of pieces is returned unchanged, so a large corpus
+    is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(2 * cores, key)

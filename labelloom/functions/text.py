@@ -13,19 +13,25 @@ from __future__ import annotations
 
 import string
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from labelloom.functions.arrays import let
+
 # --------------------------------------------------------------------------- fixed values
 # White space as Unicode-aware matching understands it (Java's \s is ASCII only).
 WS = (
     r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
+# Same class behind a cheap first test, so that letters are rejected at once; and without the
+# blank itself.
+SPACE = rf"[[\x00-\x20\x85\xa0\x{{1680}}-\x{{3000}}]&&[{WS}]]"
+OTHER_SPACE = rf"[[\x00-\x1f\x85\xa0\x{{1680}}-\x{{3000}}]&&[{WS}]]"
 URL = rf"https?://[^{WS}]+|www\.[^{WS}]+"
 MENTION = r"@[\p{L}\p{N}_]+"
 LONG_RUN = r"(?d)(.)\1{2,}"
@@ -38,19 +44,15 @@ TEH_MARBUTA = "\u0629"
 TATWEEL = "\u0640"
 # Marks deleted by the full profile: U+064B-U+0652, U+0670, U+06D6-U+06ED.
 MARKS = "".join(map(chr, [*range(0x064B, 0x0653), 0x0670, *range(0x06D6, 0x06EE)]))
-# Emoji and symbol blocks, variation selectors, joiner and keycap, blanked by the full profile.
-SYMBOLS = (
-    r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2300}-\x{23FF}\x{2B00}-\x{2BFF}"
-    r"\x{FE00}-\x{FE0F}\x{200D}\x{20E3}]+"
-)
 # Letters kept by the full profile: U+0621-U+063A, U+0641-U+064A, U+0671-U+06D3.
 ARABIC_LETTERS = r"\x{0621}-\x{063A}\x{0641}-\x{064A}\x{0671}-\x{06D3}"
 
-# The minimal rule: a narrower alef fold and its own emoji ranges.
-MINIMAL_ALEF = "\u0625\u0623\u0622"
+# The minimal rule: three alef forms, and these emoji ranges (behind a cheap first test).
+MINIMAL_ALEF = r"[\x{0622}-\x{0625}&&[\x{0625}\x{0623}\x{0622}]]"
 MINIMAL_SYMBOLS = (
+    r"[[\x{24C2}-\x{1F6FF}]&&"
     r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}"
-    r"\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]+"
+    r"\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]]+"
 )
 
 # The bag-of-words rule: ASCII and Arabic punctuation and marks are deleted (no space is left).
@@ -99,13 +101,36 @@ def _text(col: Column | str) -> Column:
 
 
 def _swap(col: Column, old: str, new: str, drop: str = "") -> Column:
-    """One ``translate``: ``old`` -> ``new`` character by character, ``drop`` removed."""
-    return F.translate(col, old + drop, new) if old or drop else col
+    """One ``translate``: ``old`` -> ``new`` character by character, ``drop`` removed.  A text
+    without any non-ASCII character is passed by when only those are concerned."""
+    if not old + drop:
+        return col
+    if any(c.isascii() for c in old + drop):
+        return F.translate(col, old + drop, new)
+    return _unless_ascii(col, lambda t: F.translate(t, old + drop, new))
+
+
+def _unless_ascii(col: Column, change: Callable[[Column], Column]) -> Column:
+    return let(col, lambda t: F.when(F.length(t) != F.octet_length(t), change(t)).otherwise(t))
+
+
+def _without_links(col: Column, by: str) -> Column:
+    """Links, then mentions, replaced; a regex runs only where its fixed part occurs."""
+    urls = let(
+        col,
+        lambda t: F.when(
+            F.contains(t, F.lit("://")) | F.contains(t, F.lit("www.")), F.regexp_replace(t, URL, by)
+        ).otherwise(t),
+    )
+    return let(
+        urls,
+        lambda t: F.when(F.contains(t, F.lit("@")), F.regexp_replace(t, MENTION, by)).otherwise(t),
+    )
 
 
 def words(col: Column) -> Column:
     """White-space separated words, empty ones removed."""
-    return F.filter(F.split(col, f"[{WS}]+"), lambda w: w != "")
+    return F.filter(F.split(F.regexp_replace(col, OTHER_SPACE, " "), " "), lambda w: w != "")
 
 
 def word_count(col: Column | str) -> Column:
@@ -113,27 +138,27 @@ def word_count(col: Column | str) -> Column:
 
 
 def full(col: Column | str, profile: TextProfile = ARABIC) -> Column:
-    """Full normalisation: links, mentions, symbols and marks go, letter variants are folded,
-    runs of three or more equal characters shrink to one, everything but letters is a space."""
+    """Full normalisation: links and mentions go, letter variants are folded, marks deleted,
+    runs of three or more equal characters shrink to one, everything but letters is a space.
+
+    ``#``, emoji and symbols need no step of their own: they are no letters, so the last step
+    turns them into spaces, and until then they separate runs just as a space would.
+    """
     t = _text(col)
     if profile.lowercase:
         t = F.lower(t)
-    t = F.regexp_replace(t, URL, " ")
-    t = F.regexp_replace(t, MENTION, " ")
-    t = _swap(t, "#" + profile.fold_from, " " + profile.fold_to)
-    t = F.regexp_replace(t, SYMBOLS, " ")
-    t = _swap(t, "", "", profile.drop)
+    t = _swap(_without_links(t, " "), profile.fold_from, profile.fold_to, profile.drop)
     t = F.regexp_replace(t, LONG_RUN, "$1")
     return F.trim(F.regexp_replace(t, f"[^{profile.letters}]+", " "))
 
 
 def minimal(col: Column | str) -> Column:
     """Light normalisation: links, mentions, ``#`` and emoji are deleted, alef forms folded."""
-    t = F.regexp_replace(_text(col), URL, "")
-    t = F.regexp_replace(t, MENTION, "")
-    t = _swap(t, MINIMAL_ALEF, ALEF * 3, drop="#")
-    t = F.regexp_replace(t, MINIMAL_SYMBOLS, "")
-    return F.trim(F.regexp_replace(t, f"[{WS}]+", " "))
+    t = F.replace(_without_links(_text(col), ""), F.lit("#"), F.lit(""))
+    t = _unless_ascii(
+        t, lambda x: F.regexp_replace(F.regexp_replace(x, MINIMAL_ALEF, ALEF), MINIMAL_SYMBOLS, "")
+    )
+    return F.array_join(words(t), " ")
 
 
 def bag(col: Column | str, stop_words: Iterable[str] = ()) -> Column:
@@ -181,6 +206,12 @@ def nfkc(col: Column | str) -> Column:
     return F.coalesce(normalise(not_ascii), t)
 
 
+def known(col: Column) -> Column:
+    """Mark a value as never null.  Joins and aggregates on it then add no null filter, which
+    Spark would push below the projection and pay for with a second normalisation."""
+    return F.coalesce(col, F.lit(""))
+
+
 def canonical_key(col: Column | str, profile: TextProfile = ARABIC) -> Column:
     """Key under which two texts count as the same text."""
     return _swap(full(nfkc(col), profile), profile.key_fold_from, profile.key_fold_to)
@@ -188,8 +219,8 @@ def canonical_key(col: Column | str, profile: TextProfile = ARABIC) -> Column:
 
 def text_id(col: Column | str, profile: TextProfile = ARABIC) -> Column:
     """Row and group id: SHA-256 (hex) of the canonical key."""
-    return F.sha2(canonical_key(col, profile), 256)
+    return known(F.sha2(canonical_key(col, profile), 256))
 
 
 def raw_hash(col: Column | str) -> Column:
-    return F.sha2(_text(col), 256)
+    return known(F.sha2(_text(col), 256))

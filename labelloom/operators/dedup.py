@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.arrays import label_index
-from labelloom.functions.text import ARABIC, TextProfile, canonical_key, raw_hash
+from labelloom.functions.text import ARABIC, TextProfile, canonical_key, known, raw_hash
 
 
 def text_keys(
@@ -24,7 +24,7 @@ def text_keys(
     kept = [c for c in keyed.columns if c not in ("_text", "_key")]
     return keyed.select(
         *kept,
-        F.sha2("_key", 256).alias("uid"),
+        known(F.sha2("_key", 256)).alias("uid"),
         raw_hash("_text").alias("raw_sha256"),
         (F.col("_key") == "").alias("is_empty"),
     )
@@ -42,15 +42,17 @@ def canonical_groups(
     """One row per non-empty canonical key: size, smallest row id, whether labels conflict."""
     code = _label_code(label, labels)
     return (
-        keys.filter(~F.col("is_empty"))
-        .select("uid", F.col(row_id).cast("long").alias("_id"), code.alias("_code"))
+        keys.select("uid", "is_empty", F.col(row_id).cast("long").alias("_id"), code.alias("_code"))
         .groupBy("uid")
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
             F.min("_id").alias(row_id),
             F.min("_code").alias("_lo"),
             F.max("_code").alias("_hi"),
+            F.max("is_empty").alias("_empty"),
         )
+        # Dropped after the aggregation: a filter on the key would normalise every text twice.
+        .filter(~F.col("_empty"))
         .select("uid", "n_rows", row_id, (F.col("_lo") != F.col("_hi")).alias("conflict"))
     )
 

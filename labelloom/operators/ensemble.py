@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.functions.arrays import argmax
+from labelloom.functions.arrays import argmax, let
 
 RULES = ("uniform_prob_mean", "valf1_weighted_prob_mean", "hard_majority")  # fixed values
 DIGITS = 12
@@ -32,9 +32,14 @@ def _pick(rule: str, probs: Column, weighted: Column, votes: Column, k: int) ->
     if rule == "valf1_weighted_prob_mean":
         return weighted
     if rule == "hard_majority":
-        top = F.array_max(votes)
-        tie = F.size(F.filter(votes, lambda v: v == top)) > 1
-        return F.when(tie, probs).otherwise(F.transform(votes, lambda v: v / F.lit(float(k))))
+
+        def settle(v: Column) -> Column:
+            leaders = let(F.array_max(v), lambda top: F.filter(v, lambda x: x == top))
+            return F.when(F.size(leaders) > 1, probs).otherwise(
+                F.transform(v, lambda x: x / F.lit(float(k)))
+            )
+
+        return let(votes, settle)
     raise ValueError(f"unknown ensemble rule: {rule}")
 
 
@@ -123,14 +128,16 @@ def candidate_cells(
         weighted = F.array(*[
             total([w * F.get(r, F.lit(c)) for w, r in zip(ws, rows)]) / total(ws) for c in range(n_classes)
         ])
+        picks = [F.get("_picks", F.lit(at[m])) for m in subset]
         votes = F.array(*[
-            total([(argmax(r) == c).cast("double") for r in rows]) for c in range(n_classes)
+            total([(p == c).cast("double") for p in picks]) for c in range(n_classes)
         ])
         return argmax(_rounded(_pick(rule, uniform, weighted, votes, k)))
 
     guesses = F.array(*[prediction(s, r) for s, r in candidates])
     return (
         matrix.withColumn("_w", weights)
+        .withColumn("_picks", F.transform("members", lambda r: argmax(r)))
         .select(*run, "y", F.posexplode(guesses).alias("candidate", "pred"))
         .groupBy("candidate", *run, "y", "pred")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -59,7 +59,7 @@ def leakage_matrix(
     partitions it was seen in, so a boiler-plate key is one small record per map task.
     """
     masks = (
-        df.select(_bit(F.col(part), parts).alias("bit"), F.inline(keys))
+        df.select(_bit(F.col(part), parts).alias("bit"), F.inline_outer(keys))
         .groupBy("view", "key")
         .agg(F.bit_or("bit").alias("mask"))
         .groupBy("view", "mask")
@@ -132,7 +132,7 @@ def leakage_by_fold(
         return out
 
     masked = df.select(
-        *[mask(c).alias(f"_m{i}") for i, c in enumerate(chunks)], F.inline(keys)
+        *[mask(c).alias(f"_m{i}") for i, c in enumerate(chunks)], F.inline_outer(keys)
     )
     names = [f"_m{i}" for i in range(len(chunks))]
     masks = (

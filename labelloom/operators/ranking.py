@@ -66,25 +66,30 @@ def _bucket_offsets(sizes: DataFrame, n_groups: int, n_levels: int) -> DataFrame
             return F.lit(0)
         return F.struct(*[F.col(f"_bucket.{f}").alias(f) for f in fields])
 
-    out = sizes.select("_bucket", F.lit(0).cast("long").alias("_offset"))
-    for depth in range(1, n_levels + 1):
-        here = (
-            sizes.select(
-                prefix(depth).alias("_node"), prefix(depth - 1).alias("_parent"),
-                F.col(f"_bucket.l{depth - 1}").alias("_at"), "_size",
-            )
-            .groupBy("_node", "_parent", "_at")
-            .agg(F.sum("_size").alias("_size"))
-        )
+    def running(table: DataFrame, *keep: str) -> DataFrame:
         so_far = (
             Window.partitionBy("_parent")
             .orderBy("_at")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
-        here = here.select("_node", (F.sum("_size").over(so_far) - F.col("_size")).alias("_before"))
+        before = F.sum("_size").over(so_far) - F.col("_size")
+        return table.select(*keep, before.alias("_before"))
+
+    def level(depth: int) -> list[Column]:
+        return [prefix(depth - 1).alias("_parent"), F.col(f"_bucket.l{depth - 1}").alias("_at"), F.col("_size")]
+
+    # The finest level is the bucket itself; each coarser one adds the rows before its node.
+    out = running(sizes.select("_bucket", *level(n_levels)), "_bucket")
+    out = out.withColumnRenamed("_before", "_offset")
+    for depth in range(n_levels - 1, 0, -1):
+        nodes = (
+            sizes.select(prefix(depth).alias("_node"), *level(depth))
+            .groupBy("_node", "_parent", "_at")
+            .agg(F.sum("_size").alias("_size"))
+        )
         out = (
             out.withColumn("_node", prefix(depth))
-            .join(here, "_node")
+            .join(running(nodes, "_node"), "_node")
             .select("_bucket", (F.col("_offset") + F.col("_before")).alias("_offset"))
         )
     return out

@@ -74,7 +74,9 @@ def apply_rules(
 def votes_long(votes: DataFrame, rules: Sequence[Rule], keep: Sequence[str]) -> DataFrame:
     """One row per text and rule."""
     names = F.array(*[F.lit(r.name) for r in rules])
-    return votes.select(*keep, F.posexplode("votes").alias("rule", "vote")).select(
+    # The outer form: for the inner one Spark adds a filter on the array, which it then pushes
+    # down and evaluates in full a second time.
+    return votes.select(*keep, F.posexplode_outer("votes").alias("rule", "vote")).select(
         *keep, "rule", F.element_at(names, F.col("rule") + 1).alias("rule_name"), "vote"
     )
 

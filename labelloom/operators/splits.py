@@ -280,7 +280,7 @@ def stratified_group_kfold(
 
 def fold_membership(folds: DataFrame, key: str, only: Sequence[int] | None = None) -> DataFrame:
     """Long membership ``(fold, part, key)``; ``only`` restricts it to some folds."""
-    long = folds.select(key, F.posexplode("parts").alias("fold", "part")).select("fold", "part", key)
+    long = folds.select(key, F.posexplode_outer("parts").alias("fold", "part")).select("fold", "part", key)
     return long if only is None else long.filter(F.col("fold").isin(*only))
 
 
@@ -342,7 +342,7 @@ def fold_report(folds: DataFrame, label: str) -> DataFrame:
     aggregated per distinct (label, parts) first."""
     patterns = folds.groupBy(label, "parts").agg(F.count(F.lit(1)).alias("n"))
     return (
-        patterns.select(label, "n", F.posexplode("parts").alias("fold", "part"))
+        patterns.select(label, "n", F.posexplode_outer("parts").alias("fold", "part"))
         .groupBy("fold", "part", label)
         .agg(F.sum("n").alias("n"))
     )

@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.functions.arrays import let
 from labelloom.operators.rules import ABSTAIN
 
 COVERAGE_SMOOTHING = 0.005  # fixed value
@@ -30,7 +31,7 @@ def rule_analysis(votes: DataFrame, names: Sequence[str], classes: Sequence[str]
     """Per rule: texts labelled, coverage in percent, votes per class."""
     per_rule = (
         vote_patterns(votes)
-        .select("n", F.posexplode("votes").alias("rule", "vote"))
+        .select("n", F.posexplode_outer("votes").alias("rule", "vote"))
         .groupBy("rule")
         .agg(
             F.sum("n").alias("n_texts"),
@@ -81,7 +82,12 @@ def majority_vote(votes: DataFrame, n_classes: int, default: int) -> DataFrame:
     counts = F.array(*[F.size(F.filter("votes", _is_class(c))) for c in range(n_classes)])
     tallied = votes.select("*", cast.alias("_cast"), counts.alias("_counts"))
     best = F.array_max("_counts")
-    leaders = F.filter("_cast", lambda v: F.element_at(F.col("_counts"), v.cast("int") + 1) == best)
+    leaders = let(
+        best,
+        lambda top: F.filter(
+            "_cast", lambda v: F.element_at(F.col("_counts"), v.cast("int") + 1) == top
+        ),
+    )
     return tallied.select(
         *votes.columns,
         F.coalesce(F.get(leaders, F.lit(0)).cast("int"), F.lit(default)).alias("mv_label"),

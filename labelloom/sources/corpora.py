@@ -32,7 +32,9 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
         F.col("_metadata.file_path").alias("path"),
         F.from_json("value", T.ArrayType(schema), {"mode": "FAILFAST"}).alias("rows"),
     )
-    return whole.select("path", F.posexplode("rows").alias("row_no", "r")).select(
+    # Outer, so that no filter on the parsed array is pushed down and parses it twice.
+    every = whole.select("path", F.posexplode_outer("rows").alias("row_no", "r"))
+    return every.filter(F.col("row_no").isNotNull()).select(
         "path", F.col("row_no").cast("long").alias("row_no"), "r.*"
     )
 
