@@ -73,6 +73,8 @@ def token_pairs(base: DataFrame, other: DataFrame, k: int) -> DataFrame:
     """
     w = Window.partitionBy("model", "uid").orderBy(F.desc(F.abs("weight")), "pos")
     both = base.withColumn("model", F.lit(0)).unionByName(other.withColumn("model", F.lit(1)))
+    # One shuffle by text serves the ranking, the pairing and the comparison that follows.
+    both = both.repartition("uid")
     ranked = both.withColumn("_top", F.row_number().over(w) <= k)
 
     def of(model: int, col: str) -> Column:

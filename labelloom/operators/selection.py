@@ -127,11 +127,10 @@ def early_stop(history: DataFrame, run: Sequence[str], epoch: str, score: str, p
     )
     per_run = flat.withColumn("_stop", F.coalesce(stop, F.col("_n").cast("int")))
     seen = per_run.filter(F.col("_i") <= F.col("_stop"))
+    # Improvements grow in epoch and score alike, so the last one is the best one.
     return seen.groupBy(*run).agg(
-        F.max(F.when(F.col("_up"), F.struct("_i", "_e", "_s"))).alias("b"),
+        F.max(F.when(F.col("_up"), F.col("_e"))).alias("best_epoch"),
+        F.max(F.when(F.col("_up"), F.col("_s"))).alias("best_score"),
         F.max("_stop").cast("int").alias("epochs_run"),
         (F.max("_stop") < F.max("_n")).alias("stopped_early"),
-    ).select(
-        *run, F.col("b._e").alias("best_epoch"), F.col("b._s").alias("best_score"),
-        "epochs_run", "stopped_early",
     )

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions.arrays import label_index
+from labelloom.functions.staging import stage
 from labelloom.operators.ranking import exact_rank, hash_bucket, hash_rank, order_hash
 
 PARTS = ("train", "val", "test")
@@ -249,12 +250,12 @@ def stratified_group_kfold(
     Groups are ordered by size (large first) and hash inside their dominant label and dealt to
     the folds in a snake; in fold f every ``round(1 / val_frac)``-th of the remaining groups
     (again in a snake, whose start moves with f) is validation.  Sizes and label shares are
-    balanced by this order, not guaranteed.
+    balanced by this order, not guaranteed.  The group table is written once (a job).
     """
     inner = round(1.0 / val_frac)
     groups = group_table(df, group, label, labels).withColumn("_hash", order_hash(group, seed))
     ranked = exact_rank(
-        groups,
+        stage(groups, "groups"),
         ["_code"],
         levels=[-F.col("n_rows"), hash_bucket(F.col("_hash"))],
         order=[F.col("_hash"), F.col(group)],

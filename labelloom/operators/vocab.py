@@ -12,6 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.functions.staging import stage
 from labelloom.operators.ranking import exact_rank
 
 # Fixed value: the 33 characters that separate words besides the blank.
@@ -30,7 +31,8 @@ def fit_vocabulary(df: DataFrame, text: str, row_no: str) -> DataFrame:
     """``(word, n, first_row, first_pos, idx)``: most frequent first, ties by first appearance.
 
     The place of first appearance is packed into one long, so the word counts are plain hash
-    aggregates; frequent words shrink to one record per task.
+    aggregates; frequent words shrink to one record per task.  The counts are written once (a
+    job), since ranking reads them more than once and the texts should be read once.
     """
     packed = F.when(
         (F.col(row_no) < F.lit(1 << (63 - POSITION_BITS))) & (F.col("pos") < (1 << POSITION_BITS)),
@@ -42,7 +44,7 @@ def fit_vocabulary(df: DataFrame, text: str, row_no: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.min(packed).alias("_first"))
     )
     ranked = exact_rank(
-        counted,
+        stage(counted, "word-counts"),
         partition=[],
         levels=[
             -F.col("n"),
