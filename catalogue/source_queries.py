@@ -10,8 +10,8 @@ from catalogue.base import PROFILE, SQL_PREDICTIONS, STOP_WORDS, predictions, qu
 from catalogue.consensus_queries import SQL_RESOLVED, annotators
 from catalogue.dedup_queries import SOURCES, SQL_GROUPS, SQL_KEYS
 from catalogue.explanation_queries import SQL_ATTR, attributions
-from catalogue.split_queries import SQL_FOLDS, kfold
-from catalogue.weak_queries import TERMS
+from catalogue.split_queries import SQL_FOLDS, _sql_quota, kfold
+from catalogue.weak_queries import SQL_VOTES, TERMS, _sql_weighted, _sql_weights
 from labelloom.functions.staging import shared_folder
 from labelloom.operators import attribution as X
 from labelloom.operators import consensus as C
@@ -85,8 +85,8 @@ def published(spark, sf):
 @query("reattach_labels", SQL_PUBLISHED + """
 SELECT k.doc_id, k.uid, p.label FROM keys k JOIN pub p USING (uid)""")
 def reattach_labels(spark, sf):
-    texts = texts(spark, sf).select("doc_id", "text")
-    matched, _ = Src.reattach(texts, "text", published(spark, sf), PROFILE)
+    held = texts(spark, sf).select("doc_id", "text")
+    matched, _ = Src.reattach(held, "text", published(spark, sf), PROFILE)
     return matched.select("doc_id", "uid", "label")
 
 
@@ -94,8 +94,8 @@ def reattach_labels(spark, sf):
 SELECT p.uid, p.label FROM pub p WHERE p.uid NOT IN (SELECT uid FROM keys WHERE lang <> 'fr')""")
 def reattach_missing(spark, sf):
     """Published ids whose text the holder lacks (here: a holder without the French texts)."""
-    texts = texts(spark, sf).filter(F.col("lang") != "fr").select("doc_id", "text")
-    _, missing = Src.reattach(texts, "text", published(spark, sf), PROFILE)
+    held = texts(spark, sf).filter(F.col("lang") != "fr").select("doc_id", "text")
+    _, missing = Src.reattach(held, "text", published(spark, sf), PROFILE)
     return missing
 
 
@@ -162,7 +162,37 @@ def frozen_manifest(spark, sf):
     return m.select("orig_id", "uid", "label3_v1", "labelb_v1", "ws_v1", "method_v1", "raw_sha256")
 
 
-@query("frozen_manifest_labels")
+SQL_FREEZE_LABELS = SQL_FREEZE_KEYS + f""",
+kdocs AS (
+  SELECT p.doc_id, p.uid, list_position(['HATE', 'OFFENSIVE', 'NEUTRAL'], r.final_label) - 1 AS code
+  FROM keepers p JOIN resolved r USING (doc_id)),
+kranked AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY md5(concat(uid, ':42')), uid) AS r FROM kdocs),
+kcnt AS (SELECT c.code, count(d.doc_id) AS n FROM (VALUES (0), (1), (2)) c(code) LEFT JOIN kdocs d ON c.code = d.code GROUP BY c.code),
+ktot AS (SELECT sum(n)::BIGINT AS n_all FROM kcnt),
+base AS (SELECT * FROM kcnt, ktot),""" + _sql_quota(
+    "k1", "base", "n", "n_all", "n_all - ceil(0.2::DOUBLE * n_all)::BIGINT"
+) + """,
+aside AS (SELECT *, n - k1_q AS n_aside, sum(n - k1_q) OVER ()::BIGINT AS all_aside FROM k1),""" + _sql_quota(
+    "k2", "aside", "n_aside", "all_aside", "all_aside - ceil(0.5::DOUBLE * all_aside)::BIGINT"
+) + f""",
+ksplit AS (
+  SELECT doc_id, CASE WHEN r <= n_aside - k2_q THEN 'test' WHEN r <= n_aside THEN 'val' ELSE 'train' END AS split
+  FROM kranked JOIN k2 USING (code)),
+{SQL_VOTES}, {_sql_weights("WHERE doc_id IN (SELECT doc_id FROM ksplit WHERE split = 'train')")}, {_sql_weighted()},
+again AS (
+  SELECT s.doc_id, s.split, ['HATE', 'OFFENSIVE', 'NEUTRAL'][wv_label + 1] AS ws_v2, round_even(wv_conf, 4) AS ws_v2_conf,
+    wv_novote, r.gpt_label, r.llama_label
+  FROM ksplit s JOIN wv USING (doc_id) JOIN resolved r USING (doc_id)),
+final AS (
+  SELECT *, CASE WHEN ws_v2 = gpt_label OR ws_v2 = llama_label THEN ws_v2 ELSE gpt_label END AS label3,
+    CASE (SELECT count(DISTINCT x) FROM unnest([ws_v2, gpt_label, llama_label]) AS t(x))
+      WHEN 1 THEN 'full_agreement' WHEN 2 THEN 'majority_vote' ELSE 'gpt_tiebreaker' END AS method_v2
+  FROM again)
+SELECT doc_id AS orig_id, split, ws_v2, ws_v2_conf, wv_novote::INTEGER AS ws_novote, label3,
+  CASE WHEN label3 = 'NEUTRAL' THEN 'NEUTRAL' ELSE 'HARMFUL' END AS label_bin, method_v2 FROM final"""
+
+
+@query("frozen_manifest_labels", SQL_FREEZE_LABELS)
 def frozen_manifest_labels(spark, sf):
     """Split, re-weighted weak label and re-resolved consensus of every kept text."""
     m = CF.freeze_corpus(annotated(spark, sf), PLAN)["manifest"]

@@ -292,8 +292,10 @@ SELECT d.doc_id + 1 AS id, md5(replace(replace(d.text, chr(9), ' '), chr(10), '
   '' AS human_label
 FROM documents d JOIN wv USING (doc_id)""")
 def weak_labels(spark, sf):
-    df = labelled(spark, sf, ("doc_id", "text", "source", "lang"))
-    out = weak_label_table(df, "doc_id", "text", "source", "lang", "wv_label", "wv_conf", LABEL_NAMES)
+    # The sink needs the texts: they are read twice (weights, then labels) and never copied.
+    docs = texts(spark, sf)
+    votes = apply_rules(docs, "text", TERMS, RULES, ["doc_id", "text", "source", "lang"])
+    out = weak_label_table(weak.fit_and_vote(votes, NAMES, 3, NEUTRAL), "doc_id", "text", "source", "lang", "wv_label", "wv_conf", LABEL_NAMES)
     return out.select("id", F.md5("text").alias("text_md5"), "source", "keyword_cat", "weak_label", "label_name", "human_label")
 
 

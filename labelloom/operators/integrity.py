@@ -62,8 +62,7 @@ def leakage_matrix(
         df.select(_bit(F.col(part), parts).alias("bit"), F.inline_outer(keys))
         .groupBy("view", "key")
         .agg(F.bit_or("bit").alias("mask"))
-        .groupBy("view", "mask")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("n", F.lit(1).cast("long"))
     )
     pairs = [(i, j) for i, j in combinations(range(len(parts)), 2)]
     return _pair_counts(
@@ -72,7 +71,7 @@ def leakage_matrix(
 
 
 def _pair_counts(masks: DataFrame, views: Sequence[str], pairs: list[tuple[str, int]]) -> DataFrame:
-    """Sum the (few) distinct masks into one count per view and pair."""
+    """Sum the masks of all keys into one count per view and pair."""
     sums = masks.groupBy("view").agg(
         F.array(*[
             F.struct(
@@ -228,6 +227,14 @@ def freeze_check(frozen: DataFrame, now: DataFrame, expected: Sequence[str]) ->
     )
 
 
+def assert_frozen(frozen: DataFrame, now: DataFrame, expected: Sequence[str]) -> None:
+    """Action, called before any test row is opened: raise unless every expected selection is
+    frozen and unchanged (one row per selection reaches the driver)."""
+    bad = freeze_check(frozen, now, expected).filter("status <> 'ok'").orderBy("name").collect()
+    if bad:
+        raise RuntimeError("test firewall: " + ", ".join(f"{r.name} {r.status}" for r in bad))
+
+
 def firewall_check(
     selections: DataFrame, predictions: DataFrame, candidate: str, split: str, ts: str
 ) -> DataFrame:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelloom.functions.arrays import log_probs
 from labelloom.operators import ensemble, metrics, selection, stats
 
 METRICS = ("accuracy", "macro_precision", "macro_recall", "macro_f1")
@@ -74,10 +75,52 @@ def select_ensemble(predictions: DataFrame, plan: EnsemblePlan) -> DataFrame:
     )
 
 
-def system_report(predictions: DataFrame, n_classes: int, level: float = 0.95) -> DataFrame:
-    """Per system: runs, mean and SD of the four headline metrics, t interval of macro-F1."""
+def materialise_ensemble(
+    predictions: DataFrame, members: Sequence[str], rule: str, n_classes: int, name: str,
+    weights: dict[str, float] | None = None, run: Sequence[str] = ("seed", "split"),
+) -> DataFrame:
+    """An ensemble as one more system: same columns as its members, ``logits`` = log of its
+    probabilities.  Call it for the test partition only after the freeze is asserted."""
+    combined = ensemble.combine(predictions, members, rule, n_classes, list(run), weights)
+    return ensemble.as_system(combined, name).withColumn("logits", log_probs("probs"))
+
+
+def system_report(
+    predictions: DataFrame, n_classes: int, level: float = 0.95,
+    seeds: Sequence[int] | None = None, replicates: int = 2000,
+) -> DataFrame:
+    """Per system: runs, mean and SD of the four headline metrics, t interval of macro-F1 and,
+    when ``seeds`` are listed, the bootstrap interval over items."""
     scores = run_scores(predictions, ["system", "seed"], n_classes)
-    return stats.t_interval(metrics.mean_sd(scores, ["system"], METRICS), "macro_f1", level)
+    report = stats.t_interval(metrics.mean_sd(scores, ["system"], METRICS), "macro_f1", level)
+    if seeds is None:
+        return report
+    patterns = stats.bootstrap_patterns(
+        metrics.predicted(predictions), ["system"], "seed", seeds, n_classes
+    )
+    boot = stats.bootstrap_interval(patterns, ["system"], len(seeds), n_classes, replicates, level)
+    return report.join(boot, "system", "left")
+
+
+def class_report(predictions: DataFrame, n_classes: int) -> DataFrame:
+    """Per system and class: mean and SD of precision, recall and F1 over runs."""
+    run = ["system", "seed"]
+    cells = metrics.confusion_cells(metrics.predicted(predictions), run)
+    return metrics.mean_sd(
+        metrics.per_class(cells, run, n_classes), ["system", "cls"], ("precision", "recall", "f1")
+    )
+
+
+def task_report(
+    predictions: DataFrame, pairs: Sequence[tuple[str, str]], n_classes: int,
+    seeds: Sequence[int], n_train: int, n_test: int, replicates: int = 2000,
+) -> dict[str, DataFrame]:
+    """Everything the report of one task shows, from its test predictions."""
+    return {
+        "systems": system_report(predictions, n_classes, seeds=seeds, replicates=replicates),
+        "classes": class_report(predictions, n_classes),
+        "comparisons": comparison_report(predictions, pairs, n_classes, n_train, n_test),
+    }
 
 
 def comparison_report(

@@ -95,3 +95,15 @@ def markdown_report(task: str, systems: DataFrame, comparisons: DataFrame | None
                 f"- {r.a} vs {r.b}: Δ={100 * r.mean_diff:.2f} pp, corrected t p={r.p}, Holm p={r.p_holm}"
             )
     return "\n".join(lines) + "\n"
+
+
+def write_report(task: str, report: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
+    """Report tables as JSON, one folder each, and the Markdown summary beside them (runs jobs)."""
+    for name, df in report.items():
+        df.write.mode(mode).json(f"{path}/{task}/{name}")
+    systems = report["systems"]
+    spark = systems.sparkSession
+    # The stored tables are read back, so that nothing is computed twice.
+    stored = {n: spark.read.schema(df.schema).json(f"{path}/{task}/{n}") for n, df in report.items()}
+    text = markdown_report(task, stored["systems"], stored.get("comparisons"))
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/{task}/markdown")

@@ -171,6 +171,26 @@ def test_group_kfold_never_straddles(spark):
     assert all(len(v) == 1 for v in per_group.values())
 
 
+def test_hot_group_is_split_by_the_join(spark):
+    """A group with a third of all rows: the join back to the rows splits its partition."""
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions"]
+    old = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in zip(names, ("-1", "30KB", "20KB", "100")):
+            spark.conf.set(n, v)
+        df = spark.range(60_000).select(
+            F.col("id").alias("uid"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.md5(F.col("id").cast("string"))).alias("g"),
+            F.when(F.col("id") % 5 < 2, "x").otherwise("y").alias("label"),
+        )
+        folds = splits.stratified_group_kfold(df, "uid", "g", "label", ["x", "y"], 42)
+        assert len(folds.collect()) == 60_000
+        assert "skew=true" in folds._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
+
+
 def test_stratified_sample_is_blind_and_capped_by_class_size(spark):
     df = labelled(spark, {"x": 50, "y": 3})
     got = splits.stratified_sample(df, "uid", "label", ["x", "y"], 20, 42)

@@ -138,6 +138,9 @@ def test_freeze_statuses(spark):
     n = spark.createDataFrame([("a", "1"), ("b", "9")], "name string, digest string")
     got = {r.name: r.status for r in integrity.freeze_check(f, n, ["a", "b", "c", "d"]).collect()}
     assert got == {"a": "ok", "b": "changed", "c": "missing", "d": "unfrozen"}
+    integrity.assert_frozen(f, f, ["a", "b", "c"])
+    with pytest.raises(RuntimeError, match="b changed, c missing, d unfrozen"):
+        integrity.assert_frozen(f, n, ["a", "b", "c", "d"])
 
 
 def early(history, patience):

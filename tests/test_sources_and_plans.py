@@ -153,6 +153,22 @@ def test_report_and_markdown(spark):
     assert order == best and "a vs b" in md
 
 
+def test_task_report_is_written(spark, tmp_path):
+    rows = [(s, sd, f"u{i}", i % 2, [0.4, 0.6] if (i + k + sd) % (3 + k) else [0.6, 0.4])
+            for k, s in enumerate(("a", "b")) for sd in (1, 2) for i in range(30)]
+    p = spark.createDataFrame(rows, "system string, seed int, uid string, y int, probs array<double>")
+    ens = P.materialise_ensemble(p.withColumn("split", F.lit("test")), ["a", "b"], "uniform_prob_mean", 2, "ens")
+    every = p.unionByName(ens.select(*p.columns))
+    report = P.task_report(every, [("ens", "a"), ("a", "b")], 2, [1, 2], 100, 30, replicates=100)
+    tables.write_report("binary", report, str(tmp_path))
+    systems = spark.read.json(str(tmp_path / "binary" / "systems"))
+    assert systems.count() == 3 and systems.filter("boot_lo <= macro_f1_mean and macro_f1_mean <= boot_hi").count() == 3
+    assert spark.read.json(str(tmp_path / "binary" / "classes")).count() == 6
+    md = "\n".join(r.value for r in spark.read.text(str(tmp_path / "binary" / "markdown")).collect())
+    assert "ens vs a" in md and md.startswith("## binary")
+    assert ens.selectExpr("max(abs(logits[0] - ln(probs[0])))").first()[0] < 1e-9
+
+
 def test_stream_labels_like_the_batch(spark, tmp_path):
     src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
     batch = build(spark).select("id", "text")
