@@ -6,10 +6,13 @@ columns (map-side combined); nothing is collected per key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+import sys
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,28 +76,26 @@ def combine(
     return sums.select(*run, uid, "y", _rounded(scores).alias("probs"))
 
 
+def _cell(member: int, cls: int) -> str:
+    return f"p{member}_{cls}"
+
+
 def member_matrix(
     predictions: DataFrame, members: Sequence[str], n_classes: int, run: Sequence[str],
     system: str = "system", uid: str = "uid",
 ) -> DataFrame:
-    """One row per text key with every member's class probabilities side by side."""
-    cells = [(m, c) for m in members for c in range(n_classes)]
-    wide = (
+    """One row per text key: ``run``, uid, y and a column per member and class (``p0_0`` ...)."""
+    return (
         predictions.filter(F.col(system).isin(*members))
         .groupBy(*run, uid)
         .agg(
             F.max("y").alias("y"),
             *[
-                F.max(F.when(F.col(system) == m, F.get("probs", F.lit(c)).cast("double"))).alias(f"_{i}")
-                for i, (m, c) in enumerate(cells)
+                F.max(F.when(F.col(system) == m, F.get("probs", F.lit(c)).cast("double"))).alias(_cell(i, c))
+                for i, m in enumerate(members) for c in range(n_classes)
             ],
         )
     )
-    rows = [
-        F.array(*[F.col(f"_{i * n_classes + c}") for c in range(n_classes)])
-        for i in range(len(members))
-    ]
-    return wide.select(*run, uid, "y", F.array(*rows).alias("members"))
 
 
 def subsets(members: Sequence[str], size: int) -> list[tuple[str, ...]]:
@@ -112,38 +113,61 @@ def candidate_cells(
 ) -> DataFrame:
     """Confusion cells of every (member subset, rule) candidate.
 
-    Each key's row is turned into one prediction per candidate and reduced to cells map-side;
-    ``weights`` is an array in member order (a scalar subquery over the validation scores).
+    Candidates are data, not plan: each Arrow batch of the member matrix is scored for all of
+    them with array arithmetic and leaves the task as confusion cells, so hundreds of subsets
+    cost neither plan size nor shuffle.  ``weights`` is an array in member order (a scalar
+    subquery over the validation scores).  A text some member lacks stops the job.
     """
-    at = {m: i for i, m in enumerate(members)}
-
-    def total(parts: list[Column]) -> Column:
-        return reduce(Column.__add__, parts)
-
-    def prediction(subset: tuple[str, ...], rule: str) -> Column:
-        rows = [F.get("members", F.lit(at[m])) for m in subset]
-        ws = [F.get("_w", F.lit(at[m])) for m in subset]
-        k = len(subset)
-        uniform = F.array(*[total([F.get(r, F.lit(c)) for r in rows]) / F.lit(float(k)) for c in range(n_classes)])
-        weighted = F.array(*[
-            total([w * F.get(r, F.lit(c)) for w, r in zip(ws, rows)]) / total(ws) for c in range(n_classes)
-        ])
-        picks = [F.get("_picks", F.lit(at[m])) for m in subset]
-        votes = F.array(*[
-            total([(p == c).cast("double") for p in picks]) for c in range(n_classes)
-        ])
-        return argmax(_rounded(_pick(rule, uniform, weighted, votes, k)))
-
-    guesses = F.array(*[prediction(s, r) for s, r in candidates])
-    return (
-        matrix.withColumn("_w", weights)
-        .withColumn("_picks", F.transform("members", lambda r: argmax(r)))
-        .select(*run, "y", F.posexplode(guesses).alias("candidate", "pred"))
-        .groupBy("candidate", *run, "y", "pred")
-        .agg(F.count(F.lit(1)).alias("n"))
+    place = {m: i for i, m in enumerate(members)}
+    todo = [([place[m] for m in subset], rule) for subset, rule in candidates]
+    if unknown := {rule for _, rule in todo} - set(RULES):
+        raise ValueError(f"unknown ensemble rule: {', '.join(sorted(unknown))}")
+    m = len(members)
+    score_columns = [_cell(i, c) for i in range(m) for c in range(n_classes)]
+    weight_columns = [f"w{i}" for i in range(m)]
+    keys = list(run)
+    types = dict(matrix.select(*keys).dtypes)
+    schema = ", ".join(["candidate int", *[f"{k} {types[k]}" for k in keys], "y int", "pred int", "n long"])
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            probs = batch[score_columns].to_numpy().reshape(len(batch), m, n_classes)
+            if np.isnan(probs).any():
+                raise ValueError("members do not cover the same texts")
+            w = batch[weight_columns].iloc[0].to_numpy()
+            run_of, runs = pd.factorize(pd.MultiIndex.from_frame(batch[keys]))
+            base = (run_of * n_classes + batch["y"].to_numpy()) * n_classes
+            for i, (subset, rule) in enumerate(todo):
+                pred = np.round(subset_scores(probs[:, subset], w[subset], rule), DIGITS).argmax(axis=1)
+                counts = np.bincount(base + pred, minlength=len(runs) * n_classes * n_classes)
+                hit = np.flatnonzero(counts)
+                cells = pd.DataFrame([runs[h // n_classes**2] for h in hit], columns=keys)
+                cells.insert(0, "candidate", i)
+                yield cells.assign(y=hit // n_classes % n_classes, pred=hit % n_classes, n=counts[hit])
+
+    weighed = matrix.withColumn("_w", weights).select(
+        *keys, "y", *score_columns, *[F.get("_w", F.lit(i)).alias(f"w{i}") for i in range(m)]
+    )
+    return weighed.mapInPandas(score, schema).groupBy("candidate", *keys, "y", "pred").agg(
+        F.sum("n").alias("n")
     )
 
 
+def subset_scores(probs: np.ndarray, weights: np.ndarray, rule: str) -> np.ndarray:
+    """Class scores (texts x classes) of one subset; ``probs`` is texts x members x classes."""
+    uniform = probs.mean(axis=1)
+    if rule == "uniform_prob_mean":
+        return uniform
+    if rule == "valf1_weighted_prob_mean":
+        return np.einsum("k,nkc->nc", weights / weights.sum(), probs)
+    n_members, n_classes = probs.shape[1:]
+    votes = (probs.argmax(axis=2)[:, :, None] == np.arange(n_classes)).sum(axis=1)
+    tie = (votes == votes.max(axis=1, keepdims=True)).sum(axis=1) > 1
+    return np.where(tie[:, None], uniform, votes / n_members)
+
+
 def as_system(combined: DataFrame, name: str, system: str = "system") -> DataFrame:
     """Combined predictions as rows of a further system."""
     return combined.withColumn(system, F.lit(name))
@@ -152,3 +176,6 @@ def as_system(combined: DataFrame, name: str, system: str = "system") -> DataFra
 def alias_system(predictions: DataFrame, source: str, name: str, system: str = "system") -> DataFrame:
     """A system that shares another one's predictions (same teacher, same training)."""
     return predictions.filter(F.col(system) == source).withColumn(system, F.lit(name))
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.arrays import softmax
+from labelloom.functions.staging import stage
 from labelloom.functions.text import words
 
 
@@ -54,9 +55,12 @@ def fit_text_model(
     weight: str | None = None, max_iter: int = 20, reg: float = 0.01,
     vectoriser: CountVectorizerModel | None = None,
 ) -> TextModel:
-    """Fit on the training partition (runs jobs)."""
+    """Fit on the training partition (runs jobs).
+
+    The texts are normalised once: the words are written to the shared folder, and counting the
+    vocabulary and fitting read them from there."""
     keep = [label] + ([weight] if weight else [])
-    tokens = train.select(*keep, words(text).alias("_words"))
+    tokens = stage(train.select(*keep, words(text).alias("_words")), "words")
     if vectoriser is None:
         vectoriser = CountVectorizer(
             inputCol="_words", outputCol="_features", vocabSize=vocab_size, minDF=min_df
