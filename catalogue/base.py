@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.functions.staging import spread
 from labelloom.functions.text import ANY_SCRIPT
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,16 +28,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table for CPU-bound text work: spread over the cores when it is one small file."""
-    return spread(table(spark, sf_dir, name), TEXT_TABLES[name])
+    return table(spark, sf_dir, name)
 
 
 # ----------------------------------------------------------------- text normalisation in SQL

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from catalogue.base import PROFILE, SQL_PREDICTIONS, STOP_WORDS, predictions, query, table, texts
@@ -12,7 +10,7 @@ from catalogue.dedup_queries import SOURCES, SQL_GROUPS, SQL_KEYS
 from catalogue.explanation_queries import SQL_ATTR, attributions
 from catalogue.split_queries import SQL_FOLDS, _sql_quota, kfold
 from catalogue.weak_queries import SQL_VOTES, TERMS, _sql_weighted, _sql_weights
-from labelloom.functions.staging import shared_folder
+from labelloom.functions.staging import fresh_path as fresh
 from labelloom.operators import attribution as X
 from labelloom.operators import consensus as C
 from labelloom.operators import dedup as D
@@ -22,11 +20,6 @@ from labelloom.sources import corpora as Src
 from labelloom.sources import tables as Tab
 
 
-def fresh(spark, name):
-    app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/labelloom-{app}/{name}-{uuid.uuid4().hex}"
-
-
 @query("tsv_round_trip", r"""
 SELECT CAST(doc_id AS VARCHAR) AS id, md5(regexp_replace(text, '[\t\n\r]', ' ', 'g')) AS text_md5, lang, source,
   '' AS human_verified FROM documents""")

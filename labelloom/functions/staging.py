@@ -7,45 +7,27 @@ executor costs a re-read and never a recomputation of the texts.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: dict[str, str] = {}
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only on a local master."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder of the warehouse.
+
+    The warehouse is as shared as the session's tables are, so no machine-local folder is used.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = context.applicationId
-    if app not in _local_folder:
-        _local_folder[app] = tempfile.mkdtemp(prefix="labelloom-")
-    return _local_folder[app]
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing has written to yet."""
+    return f"{shared_folder(spark)}/labelloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared folder and return the written table (runs one job)."""
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_folder(spark)}/labelloom-{app}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a small, badly split corpus one piece per core before CPU-bound text work.
-
-    A file with a single row group (or one JSON array) is one task however many cores are
-    idle.  A scan that already has plenty of pieces is returned unchanged, so a large corpus
-    is never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(2 * cores, key)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -15,6 +16,7 @@ def build_session(cores: int = 8, shuffle: int = 8):
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="labelloom-tests-"))
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

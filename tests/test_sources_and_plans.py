@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelloom.functions.staging import shared_folder, spread, stage
+from labelloom.functions.staging import shared_folder, stage
 from labelloom.functions.text import ANY_SCRIPT
 from labelloom.operators import integrity, splits, weak
 from labelloom.operators.rules import Rule
@@ -50,19 +50,11 @@ def test_tsv_dialects(spark, tmp_path):
 
 def test_staging_uses_the_shared_folder_of_the_session(spark):
     folder = shared_folder(spark)
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    assert folder == named.rstrip("/") if named else folder
+    assert folder == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     staged = stage(spark.range(5), "five")
     assert staged.count() == 5 and folder in staged.inputFiles()[0]
 
 
-def test_spread_leaves_well_split_scans_alone(spark):
-    few = spark.range(0, 100, 1, 2)
-    assert spread(few, "id").rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
-    many = spark.range(0, 100, 1, 64)
-    assert spread(many, "id") is many
-
-
 def test_add_dataset_proves_old_tables_unchanged(spark, tmp_path):
     old, new = str(tmp_path / "old"), str(tmp_path / "new")
     spark.range(10).write.parquet(old)
