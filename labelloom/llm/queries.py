@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from labelloom.functions.staging import fresh_path
-from labelloom.llm import token_files
+from labelloom.llm import mixing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +30,38 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.digest(spark, path)
+
+
+@query
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.mix(table(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+
+
+ORACLES["op6_mix_sources"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+    md5('doc0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS no FROM s),
+w AS (SELECT *, CASE no % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+  source_size * 2.0::DOUBLE AS cap FROM r),
+f AS (SELECT *,
+  coalesce(sum(cap) OVER (ORDER BY cap / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+  coalesce(sum(weight) OVER (ORDER BY cap / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone,
+  sum(weight) OVER () AS weights, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM w),
+l AS (SELECT *, (total - filled) / (weights - gone) AS level FROM f),
+m AS (SELECT *, max(CASE WHEN level <= cap / weight THEN level END) OVER () AS lowest FROM l),
+t AS (SELECT source, no, source_size, CAST(ceil(n_docs / 512.0) AS BIGINT) AS n_blocks,
+  coalesce(least(cap, lowest * weight), cap) AS target FROM m),
+g AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS passes FROM t),
+x AS (SELECT d.doc_id, d.size, d.key, g.*, target - passes * source_size AS rest,
+  CAST('0x' || substr(key, 1, 8) AS BIGINT) % n_blocks AS block FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+b AS (SELECT no, block, sum(size) AS block_size, md5('block0:' || no || ':' || block) AS turn FROM x GROUP BY no, block),
+p AS (SELECT no, block, coalesce(sum(block_size) OVER (PARTITION BY no ORDER BY turn, block
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block_before FROM b),
+y AS (SELECT x.*, p.block_before + coalesce(sum(size) OVER (PARTITION BY x.no, x.block ORDER BY key, doc_id, size
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words_before FROM x JOIN p ON x.no = p.no AND x.block = p.block)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE
+  size * (passes + CASE WHEN words_before + size / 2.0 <= rest THEN 1 ELSE 0 END) END AS BIGINT) AS taken FROM y
+"""

@@ -27,7 +27,7 @@ from labelloom.llm.words import CHUNK, hashes, spans
 
 SCHEMA = "doc_id long, part int, offset long, n_tokens int, ids array<int>"
 #: Words whose ids a worker remembers before it starts over.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -53,8 +53,8 @@ class Encoder:
         rest = [b for b in range(256) if b not in keep]
         self.letters = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.known: dict[int, int] = {}  # word hash -> number of its entry
-        self.entries: list[np.ndarray] = []
-        self.piece_ids: dict[str, list[int]] = {}
+        self.entries: list[bytes] = []  # ids as little-endian 32-bit integers
+        self.piece_ids: dict[str, bytes] = {}
         self.fast = self._same_rules()
 
     def _same_rules(self) -> bool:
@@ -67,15 +67,15 @@ class Encoder:
             and parts["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": self.pieces.pattern}
         )
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         if not self.fast or "<|" in word or not self.plain.fullmatch(word):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<i4").tobytes()
+        out = b""
         for piece in self.pieces.findall(word.lower()):
             ids = self.piece_ids.get(piece)
             if ids is None:
                 spelled = "".join(map(self.letters.__getitem__, piece.encode()))
-                ids = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+                ids = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], dtype="<i4").tobytes()
                 if len(self.piece_ids) >= REMEMBERED:
                     self.piece_ids.clear()
                 self.piece_ids[piece] = ids
@@ -101,11 +101,11 @@ class Encoder:
             if n is None:
                 at = first[i]
                 n = known[h] = len(entries)
-                entries.append(np.array(self.word(raw[starts[at] : ends[at]].decode()), dtype=np.int32))
+                entries.append(self.word(raw[starts[at] : ends[at]].decode()))
             numbers[i] = n
         own = [entries[n] for n in numbers.tolist()]
-        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
-        flat, begin = np.concatenate(own), np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
+        flat, begin = np.frombuffer(b"".join(own), dtype="<i4"), np.concatenate(([0], np.cumsum(sizes)[:-1]))
         each = sizes[place]
         total = np.concatenate(([0], np.cumsum(each)))
         ids = flat[np.repeat(begin[place] - total[:-1], each) + np.arange(total[-1])]
@@ -115,7 +115,7 @@ class Encoder:
         at = 0
         while at < len(texts):
             last, size = at, 0
-            while last < len(texts) and (last == at or size + len(texts[last]) <= 4 * CHUNK):
+            while last < len(texts) and (last == at or size + len(texts[last]) <= 2 * CHUNK):
                 size += len(texts[last]) + 1
                 last += 1
             yield (at, last, *self.chunk(texts[at:last]))
