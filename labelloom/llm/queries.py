@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions.staging import fresh_path
-from labelloom.llm import mixing, token_files
+from labelloom.llm import mixing, token_files, url_templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,18 @@ y AS (SELECT x.*, p.block_before + coalesce(sum(size) OVER (PARTITION BY x.no, x
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE
   size * (passes + CASE WHEN words_before + size / 2.0 <= rest THEN 1 ELSE 0 END) END AS BIGINT) AS taken FROM y
 """
+
+
+URL_RULES = (
+    ("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"),
+    ("block", "org/es/"),
+)
+
+
+@query
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number that ends a path names the document a page shows, whose quality label it bears."""
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("url_label_key"), F.col("quality").alias("good"))
+    judged = url_templates.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
