@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions.staging import fresh_path
-from labelloom.llm import mixing, token_files, url_templates
+from labelloom.llm import mixing, quality, token_files, url_templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,12 @@ def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("url_label_key"), F.col("quality").alias("good"))
     judged = url_templates.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"),
+                         quality.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
