@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions.staging import fresh_path
-from labelloom.llm import mixing, quality, token_files, url_templates
+from labelloom.llm import mixing, quality, repeats, token_files, url_templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,9 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"),
                          quality.score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
