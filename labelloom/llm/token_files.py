@@ -26,17 +26,22 @@ from pyspark.sql import functions as F
 from labelloom.llm.words import CHUNK, hashes, spans
 
 SCHEMA = "doc_id long, part int, offset long, n_tokens int, ids array<int>"
-#: Words whose ids a worker remembers before it starts over.
-REMEMBERED = 250_000
+#: Pieces whose ids a worker remembers before it starts over.
+REMEMBERED = 400_000
 _encoders: dict[str, "Encoder"] = {}
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = True
 
 
 class Encoder:
-    """Ids of whole texts, remembering the ids of words.
+    """Ids of whole texts, remembering the ids of pieces.
 
-    White space always separates the tokenizer's pieces and no rule looks across it, so a text's
-    ids are the ids of its words in order.  ASCII and Latin words are cut into pieces by the
-    tokenizer's own pattern; all other words go through the complete tokenizer.
+    White space always separates the tokenizer's pieces, and so does the step between an ASCII letter
+    and an ASCII mark other than the apostrophe; no rule looks across either.  A text's ids
+    are therefore the ids of these pieces in order.  ASCII and Latin pieces are cut further by the
+    tokenizer's own pattern and go to its model; all others go through the complete tokenizer.
     """
 
     def __init__(self, path: str):
@@ -52,9 +57,8 @@ class Encoder:
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in keep]
         self.letters = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.known: dict[int, int] = {}  # word hash -> number of its entry
+        self.known: dict[int, int] = {}  # hash of a piece -> number of its entry
         self.entries: list[bytes] = []  # ids as little-endian 32-bit integers
-        self.piece_ids: dict[str, bytes] = {}
         self.fast = self._same_rules()
 
     def _same_rules(self) -> bool:
@@ -67,49 +71,55 @@ class Encoder:
             and parts["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": self.pieces.pattern}
         )
 
-    def word(self, word: str) -> bytes:
-        if not self.fast or "<|" in word or not self.plain.fullmatch(word):
-            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<i4").tobytes()
-        out = b""
-        for piece in self.pieces.findall(word.lower()):
-            ids = self.piece_ids.get(piece)
-            if ids is None:
-                spelled = "".join(map(self.letters.__getitem__, piece.encode()))
-                ids = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], dtype="<i4").tobytes()
-                if len(self.piece_ids) >= REMEMBERED:
-                    self.piece_ids.clear()
-                self.piece_ids[piece] = ids
-            out += ids
-        return out
+    def _model(self, piece: bytes) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(piece.decode("latin-1").translate(self.letters))]
+
+    def piece(self, piece: bytes) -> bytes:
+        if self.fast and piece.isalpha():  # ASCII letters only
+            ids = self._model(piece.lower())
+        else:
+            text = piece.decode()
+            if not self.fast or "<|" in text or not self.plain.fullmatch(text):
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            else:
+                ids = [i for p in self.pieces.findall(text.lower()) for i in self._model(p.encode())]
+        return np.array(ids, dtype="<i4").tobytes()
 
     def chunk(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each text has."""
-        data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+        raw = b"\n".join(texts) + b"\n"
+        plain = self.fast and b"<|" not in raw
+        if plain:
+            raw = raw.lower()
+        data = np.frombuffer(raw, dtype=np.uint8)
         starts, ends = spans(data)
+        if plain and len(starts):
+            letter, mark = _LETTER[data], _MARK[data]
+            step = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
+            starts, ends = np.sort(np.concatenate((starts, step))), np.sort(np.concatenate((ends, step)))
         bounds = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-        words = np.searchsorted(starts, bounds)
+        pieces = np.searchsorted(starts, bounds)
         if not len(starts):
             return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
         values, first, place = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.entries) + len(values) > REMEMBERED:
-            self.known.clear()
-            self.entries.clear()
-        raw, known, entries = data.tobytes(), self.known, self.entries
-        numbers = np.empty(len(values), dtype=np.int64)
-        for i, h in enumerate(values.tolist()):
-            n = known.get(h)
+        known, entries = self.known, self.entries
+        numbers = list(map(known.get, keys := values.tolist()))
+        if len(entries) + numbers.count(None) > REMEMBERED and entries:
+            known.clear()
+            entries.clear()
+            numbers = [None] * len(keys)
+        begins, stops = starts[first].tolist(), ends[first].tolist()
+        for i, n in enumerate(numbers):
             if n is None:
-                at = first[i]
-                n = known[h] = len(entries)
-                entries.append(self.word(raw[starts[at] : ends[at]].decode()))
-            numbers[i] = n
-        own = [entries[n] for n in numbers.tolist()]
+                numbers[i] = known[keys[i]] = len(entries)
+                entries.append(self.piece(raw[begins[i] : stops[i]]))
+        own = list(map(entries.__getitem__, numbers))
         sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
         flat, begin = np.frombuffer(b"".join(own), dtype="<i4"), np.concatenate(([0], np.cumsum(sizes)[:-1]))
         each = sizes[place]
         total = np.concatenate(([0], np.cumsum(each)))
         ids = flat[np.repeat(begin[place] - total[:-1], each) + np.arange(total[-1])]
-        return ids, np.diff(total[words])
+        return ids, np.diff(total[pieces])
 
     def batch(self, texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         at = 0
