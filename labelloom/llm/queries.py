@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions.staging import fresh_path
-from labelloom.llm import contamination, jaccard_join, main_text, mixing, quality, repeats, secrets, token_files, url_templates
+from labelloom.llm import contamination, jaccard_join, main_text, mixing, quality, repeats, secrets, token_files, top_inner, url_templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,17 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"),
                         F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op4_top_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner.search(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+ORACLES["op4_top_inner"] = """
+WITH e AS (SELECT vec_id, [CAST(floor(256.0 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
