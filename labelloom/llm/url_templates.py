@@ -52,7 +52,7 @@ def rejected_shapes(shapes: DataFrame, *, depth: int, min_support: int, similar:
                     prior: float) -> DataFrame:
     """``host, shape, template, rejected`` for ``host, shape, n, good, bad``."""
     parts = F.split(F.regexp_replace("shape", "^/", ""), "/")
-    nodes = shapes.select("*", parts.alias("parts"), F.lit("").alias("template"))
+    nodes = stage(shapes.select("*", parts.alias("parts"), F.lit("").alias("template")), "url-shapes")
     sums = [F.sum(c).alias(c) for c in ("n", "good", "bad")]
     for level in range(depth):
         last = F.concat_ws("/", F.slice("parts", level + 1, F.greatest(F.size("parts"), F.lit(1))))
@@ -73,7 +73,7 @@ def rejected_shapes(shapes: DataFrame, *, depth: int, min_support: int, similar:
         nodes = nodes.join(branch, same & F.col("part").eqNullSafe(F.col("b_part"))).select(
             "host", "shape", "n", "good", "bad", "parts",
             F.when(F.col("part").isNull(), F.col("template")).otherwise(deeper).alias("template"))
-    nodes = stage(nodes.select("host", "shape", "n", "good", "bad", "template"), "url-templates")
+        nodes = stage(nodes, f"url-level{level}")  # each level reads the one before three times
     total = nodes.agg((F.sum("good") / F.greatest(F.sum("good") + F.sum("bad"), F.lit(1))).alias("share"))
     smooth = lambda base: (F.sum("good") + prior * base) / (F.sum("good") + F.sum("bad") + prior)
     hosts = nodes.groupBy("host").agg(smooth(total.scalar()).alias("host_share"))
