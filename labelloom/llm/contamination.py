@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.staging import stage
+from labelloom.llm.graph import without
 
 #: Marks of the placeholders for numbers, names and units.
 MARKS = "#@~"
@@ -104,5 +105,5 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns."""
-    found = find(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(stage(found, "contaminated"), docs[id_col].eqNullSafe(F.col("__found")), "left_anti")
+    found = find(docs, benchmark, id_col=id_col, **options).select("doc_id").distinct()
+    return without(docs, stage(found, "contaminated"), id_col)

@@ -16,6 +16,12 @@ def sized(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= limit else ids
 
 
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``ids`` (a written table ``doc_id``; null equals null)."""
+    gone = sized(ids.select(F.col("doc_id").alias("__gone")))
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (smallest node reachable) for ``u, v``; nodes without a link are absent.
 

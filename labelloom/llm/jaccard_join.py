@@ -31,11 +31,11 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions.staging import stage
-from labelloom.llm.graph import components, sized
+from labelloom.llm.graph import components, sized, without
 from labelloom.llm.words import chunks, encoded, mix, whole, window_hashes
 
 NO_ID = -(2**63)
@@ -342,3 +342,20 @@ def _verified(texts: DataFrame, profile: DataFrame, pairs: DataFrame, n: int, pe
     tested = pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(
         _linked(percent), "u long, v long")
     return stage(tested.distinct(), "links")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each group of linked documents, the one with the smallest id, with all its columns.
+
+    Of rows that share an id the one with the smallest text stays.
+    """
+    linked = stage(link(docs, id_col=id_col, text_col=text_col, **options), "linked")
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = without(docs, stage(linked.where(~own).select("doc_id").distinct(), "near-copies"), id_col)
+    again = stage(linked.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return kept
+    shared = kept.join(sized(again.select(F.col("doc_id").alias("__again"))),
+                       kept[id_col].eqNullSafe(F.col("__again")), "left_semi")
+    turn = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col), F.xxhash64(*docs.columns)))
+    return without(kept, again, id_col).unionByName(shared.withColumn("__turn", turn).where("__turn = 1").drop("__turn"))

@@ -123,16 +123,17 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, block_docs: int = 512,
-        levels: int = 4, seed: int = 0) -> DataFrame:
+        levels: int = 4, seed: int = 0, carry: bool = False) -> DataFrame:
     """``doc_id, source, size, source_size, target, draws`` for every row of ``docs``.
 
     ``draws`` holds one ``(copy, shard, position)`` for each time the document is taken;
-    ``2 ** levels`` shards; ``position`` is the key of the local shuffle.
+    ``2 ** levels`` shards; ``position`` is the key of the local shuffle.  With ``carry`` the whole
+    input row comes along as the struct ``row``.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.concat_ws(":", F.lit(f"doc{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    thin = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"),
-                             key.alias("key")), "mix-sizes")
+    named = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")]
+    thin = stage(docs.select(*named), "mix-sizes")
 
     per_source = thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     goal = targets(per_source, weights, share, limit)
@@ -141,17 +142,18 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     goal = stage(goal.select(
         "*", passes.alias("passes"), (F.col("target") - passes * F.col("source_size")).alias("rest"),
         F.ceil(F.col("n_docs") / block_docs).cast("long").alias("n_blocks")), "mix-targets")
+    goal = goal.withColumnRenamed("source", "of_source")
 
-    block = (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("n_blocks")).alias("block")
-    rows = thin.join(goal, thin.source.eqNullSafe(goal.source)).select(
-        "doc_id", thin.source, "size", "key", "no", "source_size", "target", "passes", "rest", "n_blocks", block)
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        block = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("n_blocks")
+        return rows.join(goal, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source").withColumn("block", block)
 
     drawn_before = Window.partitionBy("no").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
     turn = F.md5(F.concat_ws(":", F.lit(f"block{seed}"), "no", "block"))
-    blocks = rows.groupBy("no", "block").agg(
+    blocks = in_blocks(thin).groupBy("no", "block").agg(
         F.sum("size").alias("block_size"), *[F.first(c).alias(c) for c in ("passes", "rest", "n_blocks")])
     blocks = blocks.withColumn("turn", turn).select(
-        "no", "block", "passes", "rest", "n_blocks",
+        "no", "block", "passes", "rest", F.col("n_blocks").alias("in_source"),
         F.coalesce(F.sum("block_size").over(drawn_before), F.lit(0)).alias("block_before"),
         (F.row_number().over(Window.partitionBy("no").orderBy("turn", "block")) - 1).cast("long").alias("place"))
     blocks = stage(blocks, "mix-blocks")
@@ -159,8 +161,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         (F.first("passes") * F.count(F.lit(1)) + F.count_if(F.col("block_before") < F.col("rest"))).alias("quota"))
     ends = split_quotas(quotas, levels, seed)
 
-    placed = blocks.join(ends, "no").select("no", "block", "block_before", "place", F.col("n_blocks").alias("in_source"), "ends")
-    placed = rows.join(placed, ["no", "block"])
+    placed = blocks.join(ends, "no").select("no", "block", "block_before", "place", "in_source", "ends")
+    rows = docs.select(*named, F.struct(*[docs[c] for c in docs.columns]).alias("row")) if carry else thin
+    placed = in_blocks(rows).join(placed, ["no", "block"])
     before = Window.partitionBy("no", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     words_before = F.col("block_before") + F.coalesce(F.sum("size").over(before), F.lit(0))
     times = F.col("passes") + F.when(words_before + F.col("size") / 2.0 <= F.col("rest"), 1).otherwise(0)
@@ -175,4 +178,16 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     draws = F.when(F.col("times") > 0, F.transform(F.sequence(F.lit(0), F.col("times") - 1), draw))
     none = F.array().cast("array<struct<copy:int,shard:int,position:string>>")
-    return placed.select("doc_id", "source", "size", "source_size", "target", F.coalesce(draws, none).alias("draws"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", F.coalesce(draws, none).alias("draws"),
+                         *(["row"] if carry else []))
+
+
+def drawn(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is drawn, dealt by shard and shuffled there.
+
+    A shard is dealt to several tasks by the first digits of the shuffle's key.
+    """
+    each = mix(docs, carry=True, **options).select("row", F.explode("draws").alias("draw"))
+    each = each.select("row", "draw.shard", "draw.position")
+    each = each.repartition("shard", F.substring("position", 1, 2)).sortWithinPartitions("shard", "position")
+    return each.select("row.*")
