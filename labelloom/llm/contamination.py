@@ -27,7 +27,8 @@ from labelloom.llm.graph import without
 
 #: Marks of the placeholders for numbers, names and units.
 MARKS = "#@~"
-NAME = r"(?<=[\p{Ll}\p{N},;:][ \t\r\n])\p{Lu}\p{Ll}+"
+#: The look behind stands after the capital, so it is only tried there.
+NAME = r"\p{Lu}(?<=[\p{Ll}\p{N},;:][ \t\r\n].)\p{Ll}+"
 UNITS = (
     "mm|cm|m|km|mg|g|kg|t|ml|cl|l|s|sec|secs|seconds|min|mins|minutes|h|hr|hrs|hours|days|weeks|months|years|"
     "inch|inches|ft|feet|yards|miles|mph|oz|lb|lbs|pounds|percent|eur|usd|euros|dollars|cents|degrees|w|kw|kwh|v|hz"
@@ -36,11 +37,10 @@ UNITS = (
 
 def canonical(text: Column, keep_values: bool = False) -> Column:
     """Template words of a text; with ``keep_values`` each placeholder is followed by its value."""
-    value = "$0" if keep_values else ""
-    t = F.translate(F.coalesce(text, F.lit("")), MARKS, "   ")
-    t = F.regexp_replace(t, NAME, f" @{value} ")
-    t = F.regexp_replace(t, "[0-9]+", f" #{value} ")
-    t = F.regexp_replace(t, r"(?i)(?<=#[0-9]{0,18} {1,2})(?:" + UNITS + r")(?![\p{L}\p{N}])", f"~{value}")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{MARKS}]", " ")
+    t = F.regexp_replace(t, NAME, " @$0 " if keep_values else " @ ")
+    t = F.regexp_replace(t, rf"([0-9]+) ?((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", " #$1 ~$2 " if keep_values else " # ~ ")
+    t = F.regexp_replace(t, "(?<![#0-9])[0-9]+" if keep_values else "[0-9]+", " #$0 " if keep_values else " # ")
     return F.array_remove(F.split(F.lower(t), r"[^\p{L}\p{M}#@~0-9]+"), "")
 
 
