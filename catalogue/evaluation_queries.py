@@ -317,16 +317,20 @@ tt AS (
 tp AS (SELECT *, 1 - abs(t) / sqrt(2 + t * t) AS p FROM tt)"""
 
 
+def partition_sizes(spark, sf):
+    """Sizes of the training and test partitions as scalar subqueries."""
+    def size(split):
+        return labels3(spark, sf).agg(F.count_if(F.col("split") == split).alias("n")).scalar()
+
+    return size("train"), size("test")
+
+
 def ttests(spark, sf):
     scores = test_scores(spark, sf).withColumn("task", F.lit("three"))
     pairs = spark.createDataFrame([("three", a, b) for a, b in PAIRS], "task string, a string, b string")
-    sizes = labels3(spark, sf).agg(
-        F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test")
-    )
+    n_train, n_test = partition_sizes(spark, sf)
     diffs = H.paired_differences(scores, pairs, "task", "system", ["seed"])
-    diffs = diffs.withColumn("n_train", sizes.select("n_train").scalar()).withColumn(
-        "n_test", sizes.select("n_test").scalar()
-    )
+    diffs = diffs.withColumn("n_train", n_train).withColumn("n_test", n_test)
     return H.corrected_ttest(diffs, ["task", "a", "b"], F.col("n_train"), F.col("n_test"))
 
 
@@ -385,8 +389,7 @@ SELECT tp.a, tp.b, r, round(mean_diff, 9) AS mean_diff, round(p, 6) AS p, round(
 FROM tp JOIN h ON tp.a = h.a AND tp.b = h.b""")
 def paired_compare(spark, sf):
     test = predictions(spark, sf).filter(F.col("split") == "test")
-    n = {r["split"]: r["count"] for r in labels3(spark, sf).groupBy("split").count().collect()}
-    out = P.comparison_report(test, PAIRS, N_CLASSES, n["train"], n["test"])
+    out = P.comparison_report(test, PAIRS, N_CLASSES, *partition_sizes(spark, sf))
     return out.select(
         "a", "b", "r", F.round("mean_diff", 9).alias("mean_diff"), F.round("p", 6).alias("p"),
         F.round("p_holm", 6).alias("p_holm"), F.size("mcnemar").alias("n_mcnemar"),
@@ -418,6 +421,51 @@ def system_report(spark, sf):
     return _rounded(out, "macro_f1_lo", "macro_f1_hi", digits=6)
 
 
+# Five folds and three seeds: t(0.975) for df = 14.
+T975_DF14 = "2.1447866879169273::DOUBLE"
+SQL_FOLDS_M = (f"WITH {SQL_PREDICTIONS}, "
+               + _sql_metrics("(SELECT *, CAST(uid % 5 AS INTEGER) AS fold FROM preds WHERE " + TEST + ")", "system, seed, fold"))
+
+
+def fold_predictions(spark, sf):
+    """Test predictions of runs told apart by seed and fold: every text is tested in one fold."""
+    test = predictions(spark, sf).filter(F.col("split") == "test")
+    return test.withColumn("fold", (F.col("uid") % 5).cast("int"))
+
+
+@query("fold_system_report", SQL_FOLDS_M + f"""
+SELECT system, count(*) AS n_runs, """ + ", ".join(
+    f"round(avg({c}), 9) AS {c}_mean, round(stddev_samp({c}), 9) AS {c}_sd" for c in FOUR) + f""",
+  round(avg(macro_f1) - {T975_DF14} * stddev_samp(macro_f1) / sqrt(count(*)), 6) AS macro_f1_lo,
+  round(avg(macro_f1) + {T975_DF14} * stddev_samp(macro_f1) / sqrt(count(*)), 6) AS macro_f1_hi
+FROM runm GROUP BY system""")
+def fold_system_report(spark, sf):
+    out = P.system_report(fold_predictions(spark, sf), N_CLASSES, run=("seed", "fold"))
+    out = _rounded(out, *[f"{c}_{s}" for c in FOUR for s in ("mean", "sd")])
+    return _rounded(out, "macro_f1_lo", "macro_f1_hi", digits=6)
+
+
+@query("fold_paired_keys", SQL_FOLDS_M + f""", {SQL_PAIRS}
+SELECT p.a, p.b, x.seed, x.fold, round(x.macro_f1 - y.macro_f1, 9) AS diff FROM pairs p JOIN runm x ON x.system = p.a
+JOIN runm y ON y.system = p.b AND y.seed = x.seed AND y.fold = x.fold""")
+def fold_paired_keys(spark, sf):
+    """Differences of macro-F1 between runs of the same seed and fold."""
+    scores = P.run_scores(fold_predictions(spark, sf), ["system", "seed", "fold"], N_CLASSES).withColumn("task", F.lit("t"))
+    pairs = spark.createDataFrame([("t", a, b) for a, b in PAIRS], "task string, a string, b string")
+    out = H.paired_differences(scores, pairs, "task", "system", ["seed", "fold"])
+    return out.select("a", "b", "seed", "fold", F.round(F.col("score_a") - F.col("score_b"), 9).alias("diff"))
+
+
+@query("fold_comparisons", SQL_FOLDS_M + f""", {SQL_PAIRS},
+d AS (SELECT p.a, p.b, x.macro_f1 - y.macro_f1 AS d FROM pairs p JOIN runm x ON x.system = p.a
+  JOIN runm y ON y.system = p.b AND y.seed = x.seed AND y.fold = x.fold)
+SELECT a, b, count(*) AS r, round(avg(d), 9) AS mean_diff, 15 AS n_mcnemar FROM d GROUP BY a, b""")
+def fold_comparisons(spark, sf):
+    out = P.comparison_report(
+        fold_predictions(spark, sf), PAIRS, N_CLASSES, *partition_sizes(spark, sf), run=("seed", "fold"))
+    return out.select("a", "b", "r", F.round("mean_diff", 9).alias("mean_diff"), F.size("mcnemar").alias("n_mcnemar"))
+
+
 @query("bootstrap_patterns", f"""WITH {SQL_PREDICTIONS},
 item AS (SELECT system, uid, max(y) AS y, sum(pred * CASE seed WHEN 42 THEN 1 WHEN 43 THEN 3 ELSE 9 END)::BIGINT AS code
   FROM preds WHERE split = 'test' GROUP BY system, uid)

@@ -91,7 +91,16 @@ def pairs(spark, sf):
     return X.token_pairs(base, other, 5)
 
 
-@query("token_delta", f"WITH {SQL_WEIGHTS} SELECT * FROM tp")
+@query("token_delta", f"""WITH {SQL_TOKENS},
+one AS (SELECT uid, token, min(pos) AS pos FROM toks GROUP BY uid, token),
+two AS (SELECT uid, token, pos,
+  CASE WHEN pos % 5 <> 0 THEN (((length(token) * 13 + pos * 7) % 41) - 20)::DOUBLE END AS w_base,
+  CASE WHEN pos % 7 <> 0 THEN (((length(token) * 13 + 5 + pos * 7) % 41) - 20)::DOUBLE END AS w_other FROM one),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY abs(w_base) DESC NULLS LAST, pos) AS k_base,
+  row_number() OVER (PARTITION BY uid ORDER BY abs(w_other) DESC NULLS LAST, pos) AS k_other FROM two)
+SELECT uid, token, w_base, w_other, w_base IS NOT NULL AND k_base <= 5 AS top_base,
+  w_other IS NOT NULL AND k_other <= 5 AS top_other, w_other - w_base AS delta
+FROM ranked WHERE w_base IS NOT NULL OR w_other IS NOT NULL""")
 def token_delta(spark, sf):
     return pairs(spark, sf)
 

@@ -66,8 +66,9 @@ def uid_unique(spark, sf):
 
 
 def _sql_fp(columns: list[str]) -> str:
-    parts = ", ".join(f"coalesce(concat('v', CAST({c} AS VARCHAR)), 'n')" for c in columns)
-    return f"('0x' || substr(md5(concat_ws(chr(31), {parts})), 1, 15))::BIGINT"
+    parts = ", ".join(
+        f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'n')" for c in columns)
+    return f"('0x' || substr(md5(concat_ws(',', {parts})), 1, 15))::BIGINT"
 
 
 _DIGEST = "count(*) AS n_rows, CAST(sum(fp::HUGEINT) AS VARCHAR) AS fp_sum, bit_xor(fp) AS fp_xor"

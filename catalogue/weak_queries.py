@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue.base import SEED, SQL_WS, query, texts
+from catalogue.base import SEED, SQL_WS, query, table, texts
 from labelloom.functions.staging import stage
 from labelloom.operators import weak
-from labelloom.operators.lexicon import lexicon_signals
+from labelloom.operators.lexicon import lexicon_signals, lexicons_from_table
 from labelloom.operators.rules import LABEL_NAMES, LEXICONS, NEUTRAL, RULES, apply_rules, votes_long
 from labelloom.sources.corpora import weak_label_records, weak_label_table
 
@@ -142,6 +142,27 @@ def lexicon_flags(spark, sf):
     return sig.select("doc_id", *[f"has_{n}" for n in LEXICONS], *[f"n_{n}" for n in LEXICONS if n in COUNTED], "word_count")
 
 
+TERM_LISTS = ("l0", "l1", "l2", "l3")
+
+
+@query("lexicon_table_signals", """
+WITH terms AS (SELECT concat('l', item_id % 4) AS lexicon, substr(text, 1, 4) AS term FROM benchmark
+  UNION ALL SELECT 'l0', substr(text, 1, 4) FROM benchmark WHERE item_id = 0),
+hits AS (SELECT doc_id, lexicon, count(*) FILTER (WHERE contains(text, term)) AS n FROM documents CROSS JOIN terms GROUP BY doc_id, lexicon)
+SELECT doc_id, """ + ", ".join(
+    f"max(n) FILTER (WHERE lexicon = '{n}')::INTEGER AS n_{n}, max(n) FILTER (WHERE lexicon = '{n}') > 0 AS has_{n}"
+    for n in TERM_LISTS) + " FROM hits GROUP BY doc_id")
+def lexicon_table_signals(spark, sf):
+    """Term lists read from a table; one entry stands there twice and counts twice."""
+    start = F.substring("text", 1, 4).alias("term")
+    items = table(spark, sf, "benchmark")
+    terms = items.select(F.concat(F.lit("l"), F.col("item_id") % 4).alias("lexicon"), start).unionByName(
+        items.where("item_id = 0").select(F.lit("l0").alias("lexicon"), start))
+    lexicons = lexicons_from_table(terms, TERM_LISTS)
+    sig = lexicon_signals(texts(spark, sf), "text", lexicons, TERM_LISTS)
+    return sig.select("doc_id", *[f"{p}_{n}" for n in TERM_LISTS for p in ("n", "has")])
+
+
 @query("lf_votes_long", f"WITH {SQL_VOTES} SELECT doc_id, rule::INTEGER AS rule, {SQL_NAMES}[rule + 1] AS rule_name, "
        "vote::TINYINT AS vote FROM long")
 def lf_votes_long(spark, sf):

@@ -15,26 +15,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions.arrays import argmax
+from labelloom.functions.text import WS
 
 DIGITS = 12
 
 
 def _clean(attributions: DataFrame) -> DataFrame:
-    return attributions.withColumn("token", F.trim("token")).filter(F.col("token") != "")
-
-
-def _occurrences(attributions: DataFrame) -> Column:
-    """Each occurrence has one row per class; count it once."""
-    return F.count_if(F.col("cls") == 0)
+    """Tokens without the white space around them; empty ones are left out."""
+    token = F.regexp_replace("token", rf"^[{WS}]+|[{WS}]+$", "")
+    return attributions.withColumn("token", token).filter(F.col("token") != "")
 
 
 def global_importance(attributions: DataFrame, k: int = 100) -> DataFrame:
     """Top k tokens by mean over occurrences of the absolute value summed over classes.
 
+    An occurrence is one place of one text, whichever classes have a value there.
     Ties are listed by token.  The trim to k happens in every task before the last merge."""
-    per_token = _clean(attributions).groupBy("token").agg(
-        F.sum(F.abs("value")).alias("_total"), _occurrences(attributions).alias("count")
-    )
+    places = _clean(attributions).groupBy("uid", "pos", "token").agg(F.sum(F.abs("value")).alias("_value"))
+    per_token = places.groupBy("token").agg(F.sum("_value").alias("_total"), F.count(F.lit(1)).alias("count"))
     mean = F.round(F.col("_total") / F.col("count"), DIGITS)
     return per_token.select("token", mean.alias("mean_abs"), "count").orderBy(
         F.desc("mean_abs"), "token"

@@ -156,16 +156,23 @@ def candidate_cells(
 
 
 def subset_scores(probs: np.ndarray, weights: np.ndarray, rule: str) -> np.ndarray:
-    """Class scores (texts x classes) of one subset; ``probs`` is texts x members x classes."""
-    uniform = probs.mean(axis=1)
-    if rule == "uniform_prob_mean":
-        return uniform
-    if rule == "valf1_weighted_prob_mean":
-        return np.einsum("k,nkc->nc", weights / weights.sum(), probs)
-    n_members, n_classes = probs.shape[1:]
-    votes = (probs.argmax(axis=2)[:, :, None] == np.arange(n_classes)).sum(axis=1)
-    tie = (votes == votes.max(axis=1, keepdims=True)).sum(axis=1) > 1
-    return np.where(tie[:, None], uniform, votes / n_members)
+    """Class scores (texts x classes) of one subset; ``probs`` is texts x members x classes.
+
+    Every rule is a weighted sum over members, of their scores or of their ballots.
+    """
+    even = np.full(probs.shape[1], 1.0 / probs.shape[1])
+
+    def blend(values: np.ndarray, share: np.ndarray) -> np.ndarray:
+        return np.tensordot(values, share, axes=(1, 0))
+
+    if rule != "hard_majority":
+        return blend(probs, even if rule == "uniform_prob_mean" else weights / np.sum(weights))
+    ballots = np.eye(probs.shape[2])[np.argmax(probs, axis=2)]
+    scores = blend(ballots, even)
+    ranked = np.sort(np.sum(ballots, axis=1), axis=1)
+    undecided = ranked[:, -1] == ranked[:, -2] if ranked.shape[1] > 1 else np.zeros(len(ranked), dtype=bool)
+    scores[undecided] = blend(probs[undecided], even)
+    return scores
 
 
 def as_system(combined: DataFrame, name: str, system: str = "system") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from labelloom.functions.arrays import argmax
 from labelloom.functions.text import ARABIC, TextProfile, preprocess
 
+# Names of the six representations.
 STRICT_VIEWS = ("uid", "raw_sha256", "none", "minimal", "alg3")
 REPORT_VIEWS = ("mhamed",)
 VIEWS = STRICT_VIEWS + REPORT_VIEWS
@@ -40,6 +41,8 @@ def representation_keys(
 
 def _bit(part: Column, parts: Sequence[str]) -> Column:
     """One bit per partition name; rows of other partitions carry no bit."""
+    if len(parts) > 62:
+        raise ValueError("at most 62 names fit one mask")
     out = F.lit(0).cast("long")
     for i, p in enumerate(parts):
         out = F.when(part == p, F.lit(1 << i).cast("long")).otherwise(out)
@@ -152,7 +155,14 @@ def leakage_by_fold(
                  count_of(f, i, j).alias("n_shared"))
         for f in range(k) for i, j in pairs
     ]).alias("c"))
-    return flat.select("view", F.inline("c")).select("fold", "view", "pair", "n_shared")
+    # A view without rows must still show its zeros.
+    zeros = flat.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(v).alias("view"), F.lit(f).alias("fold"), F.lit(f"{parts[i]}&{parts[j]}").alias("pair"),
+                 F.lit(0).cast("long").alias("n_shared"))
+        for v in views for f in range(k) for i, j in pairs
+    ])))
+    found = flat.select("view", F.inline("c")).unionByName(zeros)
+    return found.groupBy("fold", "view", "pair").agg(F.max("n_shared").alias("n_shared"))
 
 
 def repeated_keys(df: DataFrame, key: str = "uid") -> DataFrame:
@@ -166,10 +176,19 @@ def repeated_keys(df: DataFrame, key: str = "uid") -> DataFrame:
 
 
 # --------------------------------------------------------------------------------- digests
+def framed(columns: Sequence[str]) -> Column:
+    """The row's values as one text: each behind its length, nulls marked, so that no value can
+    be mistaken for a border between two."""
+    def part(c: str) -> Column:
+        value = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("n"))
+
+    return F.concat_ws(",", *[part(c) for c in columns])
+
+
 def row_fingerprint(columns: Sequence[str]) -> Column:
-    """md5 of the row: every value as text, with nulls and column borders marked."""
-    parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in columns]
-    return F.md5(F.concat_ws("\x1f", *parts))
+    """md5 of the framed row."""
+    return F.md5(framed(columns))
 
 
 def content_digest(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -232,7 +251,7 @@ def assert_frozen(frozen: DataFrame, now: DataFrame, expected: Sequence[str]) ->
     frozen and unchanged (one row per selection reaches the driver)."""
     bad = freeze_check(frozen, now, expected).filter("status <> 'ok'").orderBy("name").collect()
     if bad:
-        raise RuntimeError("test firewall: " + ", ".join(f"{r.name} {r.status}" for r in bad))
+        raise RuntimeError("test data stays closed, selections not as frozen: " + ", ".join(f"{r.name}={r.status}" for r in bad))
 
 
 def firewall_check(
@@ -261,8 +280,6 @@ def reproduction_check(
 ) -> DataFrame:
     """Two prediction sets of the same keys: share of equal argmax, largest score difference,
     keys found on one side only."""
-    from labelloom.functions.arrays import argmax
-
     x = a.select(*key, *[c for c in by if c not in key], F.col(scores).alias("_a"))
     y = b.select(*key, F.col(scores).alias("_b"))
     gap = F.aggregate(

@@ -1,98 +1,52 @@
 """Lexicon predicates: which term lists occur in a text, and how many of their entries.
 
-Lexicons are data of the user: a dict, or a table ``(lexicon, term)``.  Matching is plain
-substring search on the raw text, without word boundaries.
+Lexicons are data of the user: a dict of term lists, or a table ``(lexicon, term)``.  Matching is
+plain substring search on the raw text, without word boundaries, on the JVM and in one pass
+per lexicon.
 """
 
 from __future__ import annotations
 
-import importlib.util
-from collections.abc import Collection, Iterator, Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import word_count
 
-Lexicons = Mapping[str, Sequence[str]]
+#: Terms of each lexicon, as literals or as a column of arrays.
+Lexicons = Mapping[str, "Sequence[str] | Column"]
 
-# From this many terms on, one automaton pass over the text beats one search per term.
-MANY_TERMS = 16
 
+def lexicons_from_table(table: DataFrame, names: Sequence[str]) -> dict[str, Column]:
+    """The named lexicons of a ``(lexicon, term)`` table as scalar subqueries.
 
-def lexicons_from_table(table: DataFrame, max_terms: int = 100_000) -> dict[str, list[str]]:
-    """Read a ``(lexicon, term)`` table into literals (runs a job; refuses to collect more
-    than ``max_terms`` rows)."""
-    rows = table.select("lexicon", "term").distinct().orderBy("lexicon", "term").limit(
-        max_terms + 1
-    ).collect()
-    if len(rows) > max_terms:
-        raise ValueError(f"lexicon table holds more than {max_terms} terms")
-    out: dict[str, list[str]] = {}
-    for r in rows:
-        out.setdefault(r.lexicon, []).append(r.term)
-    return out
+    The terms stay in the plan: no row reaches the driver.  Repeated entries are kept, since each
+    counts; null terms are not entries.
+    """
+    def terms(name: str) -> Column:
+        own = table.where((F.col("lexicon") == name) & F.col("term").isNotNull())
+        return own.agg(F.array_sort(F.collect_list("term")).alias("terms")).scalar()
+
+    return {name: terms(name) for name in names}
 
 
-def _terms(terms: Sequence[str]) -> Column:
-    return F.array(*[F.lit(t) for t in terms])
+def _terms(terms: Sequence[str] | Column) -> Column:
+    if isinstance(terms, Column):
+        return terms
+    return F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
 
 
-def contains_any(text: Column, terms: Sequence[str]) -> Column:
+def contains_any(text: Column, terms: Sequence[str] | Column) -> Column:
     """True when at least one term is a substring; stops at the first hit."""
-    if not terms:
-        return F.lit(False)
     return F.exists(_terms(terms), lambda t: F.contains(text, t))
 
 
-def count_terms(text: Column, terms: Sequence[str]) -> Column:
+def count_terms(text: Column, terms: Sequence[str] | Column) -> Column:
     """Number of list entries that occur (not of occurrences); overlapping entries all count."""
-    if not terms:
-        return F.lit(0)
     return F.size(F.filter(_terms(terms), lambda t: F.contains(text, t)))
 
 
-def entry_counts(text: Column, lexicons: Lexicons) -> Column:
-    """Per lexicon the number of entries that occur, all from one pass over the text.
-
-    An Arrow UDF around a multi-pattern automaton: its cost does not grow with the number of
-    terms (541 terms: 15 times faster than as many native searches).  Every worker builds the
-    automaton once per task from the literal term lists.
-    """
-    lists = [list(terms) for terms in lexicons.values()]
-
-    @F.pandas_udf("array<int>")
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        owners: dict[str, list[int]] = {}
-        for i, terms in enumerate(lists):
-            for t in terms:
-                owners.setdefault(t, []).append(i)
-        always = owners.pop("", [])  # the empty string occurs in every text
-        automaton = ahocorasick.Automaton()
-        for t, who in owners.items():
-            automaton.add_word(t, (t, who))
-        if owners:
-            automaton.make_automaton()
-
-        def one(value: str) -> list[int]:
-            counts = [0] * len(lists)
-            for i in always:
-                counts[i] += 1
-            found = dict(hit for _, hit in automaton.iter(value)) if owners else {}
-            for who in found.values():
-                for i in who:
-                    counts[i] += 1
-            return counts
-
-        for batch in batches:
-            yield batch.map(one)
-
-    return search(text)
-
-
 def flag(name: str) -> str:
     return f"has_{name}"
 
@@ -101,38 +55,23 @@ def count(name: str) -> str:
     return f"n_{name}"
 
 
-def lexicon_signals(
-    df: DataFrame,
-    text: str,
-    lexicons: Lexicons,
-    counted: Collection[str] = (),
-    engine: str = "auto",
-) -> DataFrame:
+def lexicon_signals(df: DataFrame, text: str, lexicons: Lexicons, counted: Collection[str] = ()) -> DataFrame:
     """Add one boolean per lexicon, entry counts for the ``counted`` ones and the word count.
 
-    ``engine``: ``native`` searches term by term on the JVM, ``automaton`` uses
-    :func:`entry_counts`, ``auto`` decides by the number of terms and by what is installed.
+    Every lexicon is searched once: where a count is wanted the flag is read off the count.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    if engine == "auto":
-        many = sum(len(terms) for terms in lexicons.values()) >= MANY_TERMS
-        engine = "automaton" if many and importlib.util.find_spec("ahocorasick") else "native"
-    if engine == "automaton":
-        searched = df.select("*", entry_counts(t, lexicons).alias("_entries"), word_count(text).alias("word_count"))
-        per_lexicon = {n: F.get("_entries", F.lit(i)) for i, n in enumerate(lexicons)}
-        return searched.select(
-            *df.columns, "word_count",
-            *[c.alias(count(n)) for n, c in per_lexicon.items() if n in counted],
-            *[(c > 0).alias(flag(n)) for n, c in per_lexicon.items()],
-        )
-    # Every lexicon is searched once: where a count is wanted the flag is read off the count.
+    columns = df.columns
+    # Term arrays that are subqueries become columns first: lambdas take no subqueries.
+    held = {n: F.col(f"_terms_{n}") if isinstance(terms, Column) else terms for n, terms in lexicons.items()}
+    df = df.select("*", *[terms.alias(f"_terms_{n}") for n, terms in lexicons.items() if isinstance(terms, Column)])
     searched = df.select(
-        "*",
+        *columns,
         *[
             count_terms(t, terms).alias(count(n))
             if n in counted
             else contains_any(t, terms).alias(flag(n))
-            for n, terms in lexicons.items()
+            for n, terms in held.items()
         ],
         word_count(text).alias("word_count"),
     )

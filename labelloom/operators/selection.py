@@ -12,6 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from labelloom.operators.integrity import framed
+
 
 def validation_only(predictions: DataFrame, split: str = "split") -> DataFrame:
     """Selectors see the validation partition and nothing else."""
@@ -49,10 +51,7 @@ def score_array(scores: DataFrame, column: str, members: Sequence[str], score: s
 
 def selection_digest(selections: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
     """``(name, digest)`` over the content of each selection."""
-    parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in columns]
-    return selections.select(
-        F.col(name).alias("name"), F.sha2(F.concat_ws("\x1f", F.col(name), *parts), 256).alias("digest")
-    )
+    return selections.select(F.col(name).alias("name"), F.sha2(framed([name, *columns]), 256).alias("digest"))
 
 
 def write_once(selection: DataFrame, path: str, name: str = "name") -> DataFrame:
@@ -80,7 +79,6 @@ def write_once(selection: DataFrame, path: str, name: str = "name") -> DataFrame
         )
         .filter(~(F.col("same_inputs") & F.col("same_choice")))
         .orderBy(name)
-        .limit(20)
         .collect()
     )
     if differing:

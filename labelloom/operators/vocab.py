@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import string
 import sys
 from collections.abc import Iterator
 
@@ -16,9 +15,11 @@ from labelloom.functions.staging import stage
 from labelloom.operators.ranking import exact_rank
 
 # Fixed value: the 33 characters that separate words besides the blank.
-FILTERS = "".join(c for c in string.punctuation if c != "'") + "\t\n"
-
-POSITION_BITS = 24  # words per text < 2^24, rows < 2^39
+FILTERS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n"
+#: Positions in a text are 32-bit integers.
+PLACES = 1 << 31
+#: Index entries that are collected and sent to every worker at most.
+LARGEST_INDEX = 1_000_000
 
 
 def tokens(text: Column | str) -> Column:
@@ -30,36 +31,29 @@ def tokens(text: Column | str) -> Column:
 def fit_vocabulary(df: DataFrame, text: str, row_no: str) -> DataFrame:
     """``(word, n, first_row, first_pos, idx)``: most frequent first, ties by first appearance.
 
-    The place of first appearance is packed into one long, so the word counts are plain hash
+    The place of first appearance is one wide decimal, so the word counts are plain hash
     aggregates; frequent words shrink to one record per task.  The counts are written once (a
     job), since ranking reads them more than once and the texts should be read once.
     """
-    packed = F.when(
-        (F.col(row_no) < F.lit(1 << (63 - POSITION_BITS))) & (F.col("pos") < (1 << POSITION_BITS)),
-        F.shiftleft(F.col(row_no).cast("long"), POSITION_BITS).bitwiseOR(F.col("pos").cast("long")),
-    ).otherwise(F.raise_error(F.lit("row number or word position out of range")).cast("long"))
+    place = F.col(row_no).cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(10,0)") + F.col("pos")
     counted = (
         df.select(F.col(row_no).cast("long").alias(row_no), F.posexplode(tokens(text)).alias("pos", "word"))
         .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(packed).alias("_first"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("_first"))
+    )
+    first_row = F.floor(F.col("_first") / F.lit(PLACES).cast("decimal(10,0)")).cast("long")
+    counted = counted.select("word", "n", first_row.alias("first_row"), "_first").select(
+        "word", "n", "first_row",
+        (F.col("_first") - F.col("first_row").cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(10,0)")).cast("long").alias("first_pos"),
     )
     ranked = exact_rank(
         stage(counted, "word-counts"),
         partition=[],
-        levels=[
-            -F.col("n"),
-            F.shiftright("_first", POSITION_BITS + 20),
-            F.shiftright("_first", POSITION_BITS + 10),
-        ],
-        order=[F.col("_first")],
+        levels=[-F.col("n"), F.shiftright("first_row", 20), F.shiftright("first_row", 10)],
+        order=[F.col("first_row"), F.col("first_pos")],
         name="idx",
     )
-    return ranked.select(
-        "word", "n",
-        F.shiftright("_first", POSITION_BITS).alias("first_row"),
-        F.col("_first").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).alias("first_pos"),
-        "idx",
-    )
+    return ranked.select("word", "n", "first_row", "first_pos", "idx")
 
 
 def vocabulary_size(vocabulary: DataFrame, num_words: int) -> DataFrame:
@@ -75,9 +69,11 @@ def encode(
     """Word indices per text: unknown words and indices >= ``num_words`` are dropped, the last
     ``max_len`` stay, zeros pad on the left.
 
-    At most ``num_words - 1`` index entries exist; they are collected once (a job) and shipped
+    At most ``num_words - 1`` index entries exist (``LARGEST_INDEX`` at most); they are collected once (a job) and shipped
     as a broadcast variable, so encoding needs no shuffle however long the texts are.
     """
+    if num_words > LARGEST_INDEX:
+        raise ValueError(f"an index of more than {LARGEST_INDEX} words does not fit a broadcast")
     known = vocabulary.filter(F.col("idx") < num_words).select("word", "idx")
     index = {r.word: r.idx for r in known.collect()}
     shared = df.sparkSession.sparkContext.broadcast(index)

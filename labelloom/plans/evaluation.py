@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions.arrays import log_probs
@@ -87,11 +87,17 @@ def materialise_ensemble(
 
 def system_report(
     predictions: DataFrame, n_classes: int, level: float = 0.95,
-    seeds: Sequence[int] | None = None, replicates: int = 2000,
+    seeds: Sequence[int] | None = None, replicates: int = 2000, run: Sequence[str] = ("seed",),
 ) -> DataFrame:
     """Per system: runs, mean and SD of the four headline metrics, t interval of macro-F1 and,
-    when ``seeds`` are listed, the bootstrap interval over items."""
-    scores = run_scores(predictions, ["system", "seed"], n_classes)
+    when ``seeds`` are listed, the bootstrap interval over items.
+
+    ``run`` names the columns that tell the runs of a system apart; with folds ``("seed", "fold")``.
+    The bootstrap needs runs over the same items, so folds have none.
+    """
+    if seeds is not None and tuple(run) != ("seed",):
+        raise ValueError("runs on different items cannot be resampled jointly")
+    scores = run_scores(predictions, ["system", *run], n_classes)
     report = stats.t_interval(metrics.mean_sd(scores, ["system"], METRICS), "macro_f1", level)
     if seeds is None:
         return report
@@ -102,9 +108,9 @@ def system_report(
     return report.join(boot, "system", "left")
 
 
-def class_report(predictions: DataFrame, n_classes: int) -> DataFrame:
+def class_report(predictions: DataFrame, n_classes: int, run: Sequence[str] = ("seed",)) -> DataFrame:
     """Per system and class: mean and SD of precision, recall and F1 over runs."""
-    run = ["system", "seed"]
+    run = ["system", *run]
     cells = metrics.confusion_cells(metrics.predicted(predictions), run)
     return metrics.mean_sd(
         metrics.per_class(cells, run, n_classes), ["system", "cls"], ("precision", "recall", "f1")
@@ -124,19 +130,24 @@ def task_report(
 
 
 def comparison_report(
-    predictions: DataFrame, pairs: Sequence[tuple[str, str]], n_classes: int, n_train: int, n_test: int
+    predictions: DataFrame, pairs: Sequence[tuple[str, str]], n_classes: int, n_train: int | Column, n_test: int | Column,
+    run: Sequence[str] = ("seed",),
 ) -> DataFrame:
-    """Corrected t test with Holm adjustment and per-seed McNemar p-values for declared pairs."""
-    spark = predictions.sparkSession
-    scores = run_scores(predictions, ["system", "seed"], n_classes).withColumn("task", F.lit("t"))
+    """Corrected t test with Holm adjustment and per-run McNemar p-values for declared pairs.
+
+    Runs of two systems are paired on all ``run`` columns.  The sizes may be scalar subqueries.
+    """
+    spark, run = predictions.sparkSession, list(run)
+    scores = run_scores(predictions, ["system", *run], n_classes).withColumn("task", F.lit("t"))
     table = spark.createDataFrame([("t", a, b) for a, b in pairs], "task string, a string, b string")
-    diffs = stats.paired_differences(scores, table, "task", "system", ["seed"])
-    tests = stats.corrected_ttest(diffs, ["task", "a", "b"], F.lit(n_train), F.lit(n_test))
+    diffs = stats.paired_differences(scores, table, "task", "system", run)
+    diffs = diffs.withColumn("n_train", F.lit(n_train)).withColumn("n_test", F.lit(n_test))
+    tests = stats.corrected_ttest(diffs, ["task", "a", "b"], F.col("n_train"), F.col("n_test"))
     adjusted = stats.holm(tests, ["task"], "p", ["a", "b"]).drop("task")
     systems = sorted({s for pair in pairs for s in pair})
-    masks = stats.correctness_masks(metrics.predicted(predictions), systems, ["seed"])
-    per_seed = stats.mcnemar(stats.mcnemar_counts(masks, systems, pairs, ["seed"]))
-    listed = per_seed.groupBy("a", F.col("b_system").alias("b")).agg(
-        F.array_sort(F.collect_list(F.struct("seed", "p"))).alias("mcnemar")
+    masks = stats.correctness_masks(metrics.predicted(predictions), systems, run)
+    per_run = stats.mcnemar(stats.mcnemar_counts(masks, systems, pairs, run))
+    listed = per_run.groupBy("a", F.col("b_system").alias("b")).agg(
+        F.array_sort(F.collect_list(F.struct(*run, "p"))).alias("mcnemar")
     )
     return adjusted.join(listed, ["a", "b"], "left")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.operators.integrity import content_digest, digest_changes
@@ -65,6 +65,8 @@ def add_dataset(frozen: dict[str, str], name: str, df: DataFrame, path: str) ->
     try:
         df.write.mode("errorifexists").parquet(path)
     except AnalysisException as e:
+        if "PATH_ALREADY_EXISTS" not in str(e):
+            raise
         raise RuntimeError(f"{name} is already stored at {path}") from e
     if kept is not None:
         changed = digest_changes(kept, digests(), ["name"]).collect()
@@ -72,29 +74,35 @@ def add_dataset(frozen: dict[str, str], name: str, df: DataFrame, path: str) ->
             raise RuntimeError("frozen tables changed: " + ", ".join(sorted(r.name for r in changed)))
 
 
+def markdown_table(rows: Sequence[Row], columns: dict[str, Callable[[Row], str]]) -> str:
+    """A Markdown table: one column per title, each cell made by its function."""
+    head = [list(columns), ["---"] * len(columns)]
+    body = [[cell(r) for cell in columns.values()] for r in rows]
+    return "\n".join("|" + "|".join(f" {c} " for c in line) + "|" for line in head + body)
+
+
+def _number(value: float | None, digits: int = 4) -> str:
+    return "n/a" if value is None else f"{value:.{digits}f}"
+
+
 def markdown_report(task: str, systems: DataFrame, comparisons: DataFrame | None = None) -> str:
     """Markdown of the (report-sized) system and comparison tables, best macro-F1 first."""
-    lines = [
-        f"## {task}", "",
-        "| system | runs | Acc | P | R | macro-F1 | 95% CI (seeds) |", "|---|---|---|---|---|---|---|",
-    ]
-
-    def pm(row, c: str) -> str:
-        return f"{100 * row[c + '_mean']:.2f} ± {100 * row[c + '_sd']:.2f}"
-
-    for r in systems.orderBy(F.desc("macro_f1_mean"), "system").collect():
-        lines.append(
-            f"| {r.system} | {r.n_runs} | {pm(r, 'accuracy')} | {pm(r, 'macro_precision')} | "
-            f"{pm(r, 'macro_recall')} | {pm(r, 'macro_f1')} | "
-            f"[{100 * r.macro_f1_lo:.2f}, {100 * r.macro_f1_hi:.2f}] |"
-        )
+    ranked = systems.orderBy(F.desc("macro_f1_mean"), "system").collect()
+    place = {r.system: i for i, r in enumerate(ranked, start=1)}
+    columns: dict[str, Callable[[Row], str]] = {
+        "rank": lambda r: str(place[r.system]), "system": lambda r: r.system, "runs": lambda r: str(r.n_runs)}
+    for title in ("accuracy", "macro_precision", "macro_recall", "macro_f1"):
+        columns[f"{title} (sd)"] = lambda r, c=title: f"{_number(r[c + '_mean'])} ({_number(r[c + '_sd'])})"
+    columns["macro_f1 from"] = lambda r: _number(r.macro_f1_lo)
+    columns["macro_f1 to"] = lambda r: _number(r.macro_f1_hi)
+    parts = [f"# Task {task}", "## Systems", markdown_table(ranked, columns)]
     if comparisons is not None:
-        for r in comparisons.orderBy("a", "b").collect():
-            lines.append("")
-            lines.append(
-                f"- {r.a} vs {r.b}: Δ={100 * r.mean_diff:.2f} pp, corrected t p={r.p}, Holm p={r.p_holm}"
-            )
-    return "\n".join(lines) + "\n"
+        by_run = lambda r: "; ".join(_number(x.p) for x in r.mcnemar or [])
+        parts += ["## Declared comparisons", markdown_table(comparisons.orderBy("a", "b").collect(), {
+            "first": lambda r: r.a, "second": lambda r: r.b, "mean difference": lambda r: _number(r.mean_diff),
+            "corrected t, p": lambda r: _number(r.p), "Holm, p": lambda r: _number(r.p_holm),
+            **({"McNemar by run, p": by_run} if "mcnemar" in comparisons.columns else {})})]
+    return "\n\n".join(parts) + "\n"
 
 
 def write_report(task: str, report: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:

@@ -139,7 +139,7 @@ def test_freeze_statuses(spark):
     got = {r.name: r.status for r in integrity.freeze_check(f, n, ["a", "b", "c", "d"]).collect()}
     assert got == {"a": "ok", "b": "changed", "c": "missing", "d": "unfrozen"}
     integrity.assert_frozen(f, f, ["a", "b", "c"])
-    with pytest.raises(RuntimeError, match="b changed, c missing, d unfrozen"):
+    with pytest.raises(RuntimeError, match="b=changed, c=missing, d=unfrozen"):
         integrity.assert_frozen(f, n, ["a", "b", "c", "d"])
 
 
@@ -251,3 +251,37 @@ def test_bootstrap_needs_the_same_items_in_every_run(spark):
     patterns = stats.bootstrap_patterns(p, ["system"], "seed", [1, 2], 3)
     r = stats.bootstrap_interval(patterns, ["system"], 2, 3, replicates=100).first()
     assert r.boot_lo is None and r.boot_hi is None
+
+
+def test_digest_frames_values_so_that_borders_cannot_move(spark):
+    from labelloom.operators.integrity import content_digest
+    a = spark.createDataFrame([("x\x1fvy", "z")], "a string, b string")
+    b = spark.createDataFrame([("x", "y\x1fvz")], "a string, b string")
+    c = spark.createDataFrame([("x,1:y", "z")], "a string, b string")
+    d = spark.createDataFrame([("x", None)], "a string, b string")
+    assert len({content_digest(t, ["a", "b"]).first().fp_sum for t in (a, b, c, d)}) == 4
+
+
+def test_tokens_lose_all_white_space_and_occurrences_need_no_class_zero(spark):
+    from labelloom.operators.attribution import global_importance
+    rows = [("u", 0, "\thello\n", 1, 2.0), ("u", 1, "hello\xa0", 1, 4.0), ("u", 1, "hello\xa0", 2, -1.0),
+            ("v", 0, "\u2003", 1, 9.0), ("v", 1, "hello", 2, 0.5)]
+    got = global_importance(spark.createDataFrame(rows, "uid string, pos int, token string, cls int, value double")).collect()
+    assert [(r.token, r["count"], r.mean_abs) for r in got] == [("hello", 3, 2.5)]
+
+
+def test_folds_of_an_empty_table_list_every_zero(spark):
+    from labelloom.operators.integrity import VIEWS, leakage_by_fold
+    df = spark.createDataFrame([], "parts array<string>, keys array<struct<view:string,key:binary>>")
+    rows = leakage_by_fold(df, F.col("keys"), "parts", 2).collect()
+    assert len(rows) == len(VIEWS) * 3 * 2 and all(r.n_shared == 0 for r in rows)
+
+
+def test_runs_of_folds_are_not_pooled(spark):
+    from labelloom.plans import evaluation as P
+    rows = [("a", s, f, f"u{i}", i % 2, [0.4, 0.6] if (i * 7 + s + f) % 3 else [0.6, 0.4])
+            for s in (1, 2) for f in range(5) for i in range(f, 50, 5)]
+    p = spark.createDataFrame(rows, "system string, seed int, fold int, uid string, y int, probs array<double>")
+    report = P.system_report(p, 2, run=("seed", "fold")).first()
+    each = P.run_scores(p, ["seed", "fold"], 2).agg(F.avg("macro_f1")).first()[0]
+    assert report.n_runs == 10 and abs(report.macro_f1_mean - each) < 1e-12

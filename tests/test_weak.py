@@ -25,13 +25,10 @@ def frame(spark, ts):
     return spark.createDataFrame(list(enumerate(ts)), "i int, t string")
 
 
-@pytest.mark.parametrize("engine", ["native", "automaton"])
-def test_signals_match_brute_force(spark, engine):
-    if engine == "automaton":
-        pytest.importorskip("ahocorasick")
+def test_signals_match_brute_force(spark):
     ts = texts(200) + ["", "ka" * 50]
     counted = counted_lexicons(RULES)
-    rows = lexicon_signals(frame(spark, ts), "t", LEX, counted, engine).orderBy("i").collect()
+    rows = lexicon_signals(frame(spark, ts), "t", LEX, counted).orderBy("i").collect()
     for r, t in zip(rows, ts):
         for n, terms in LEX.items():
             assert r[f"has_{n}"] == any(x in t for x in terms)
@@ -122,8 +119,11 @@ def test_review_plan_boundaries(spark):
     assert (r.high, r.medium, r.low, r.effort) == (2, 3, 2, 2)
 
 
-def test_lexicon_table_is_read_and_bounded(spark):
-    t = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z"), ("a", "x")], "lexicon string, term string")
-    assert lexicons_from_table(t) == {"a": ["x", "y"], "b": ["z"]}
-    with pytest.raises(ValueError):
-        lexicons_from_table(t, max_terms=2)
+def test_lexicon_table_keeps_repeated_entries_and_stays_in_the_plan(spark):
+    t = spark.createDataFrame(
+        [("a", "x"), ("a", "y"), ("b", "z"), ("a", "x"), ("a", None)], "lexicon string, term string")
+    docs = spark.createDataFrame([(1, "xz"), (2, "y"), (3, None)], "id long, text string")
+    sig = lexicon_signals(docs, "text", lexicons_from_table(t, ["a", "b", "none"]), ["a"])
+    got = {r.id: (r.n_a, r.has_a, r.has_b, r.has_none) for r in sig.collect()}
+    assert got == {1: (2, True, True, False), 2: (1, True, False, False), 3: (0, False, False, False)}
+    assert "Python" not in sig._jdf.queryExecution().toString()
