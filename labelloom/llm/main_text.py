@@ -52,7 +52,7 @@ HINTS = {
 }
 HINT_ROLE = {word: role for role, words in HINTS.items() for word in words.split()}
 #: Words of the same attributes that name the article itself.
-CONTENT = frozenset("article articlebody article-body post-content entry-content story story-body main-content content".split())
+CONTENT = frozenset("article articlebody post entry story content".split())
 LIMIT = 8.0
 
 
@@ -64,12 +64,12 @@ def role_of(name: str, attributes: str) -> str | None:
     for found in HINT.findall(attributes):
         for part in (found[0] or found[1] or found[2]).lower().split():
             words += [part, *re.split(r"[-_]", part)]
-    if any(w in CONTENT for w in words) and name in ("div", "section"):
-        return "content"
     for word in words:
         if word in HINT_ROLE:
             return HINT_ROLE[word]
-    return ROLES.get(name)
+    if name in ROLES:
+        return ROLES[name]
+    return "content" if name in ("div", "section") and any(w in CONTENT for w in words) else None
 
 
 def tokens(page: str):
@@ -154,7 +154,7 @@ def extract(page: str, learned: dict[tuple[str, str], float]) -> str:
     first = start = last = 0
     for i, (text, context, role, marked) in enumerate(parts):
         if text is None:
-            total += learned.get(("t", context), -0.5) if context else 0.0
+            total += learned.get(("t", context), -0.1 if context.startswith("plain:") else -0.5) if context else 0.0
         elif not (role and marked):
             total += len(text.split()) * learned.get(("w", context), -1.0 if role else 1.0)
         if total <= 0:

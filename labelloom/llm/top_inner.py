@@ -18,7 +18,7 @@ Edge cases: vectors that are null or hold null or non-finite components take no
 with a null id; shorter vectors (also empty ones) are filled up with zeros; rows repeated with id and vector
 count once; rows sharing an id with different vectors are candidates and queries of their own; ties go to the
 smaller id; products beyond 53 bits are computed with whole numbers, and scores outside the range of
-a long are held at its ends; other columns are not read; an empty table gives an empty result.
+a long are held at its ends and rank there; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ BLOCK = 4096
 #: Local cosine from which coordinates prune better than lengths, and how many coordinates are looked at.
 HIGH_COSINE, FOCUS = 0.5, 4
 _EXACT = float(1 << 52)
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
 def matrix(column) -> np.ndarray:
@@ -94,15 +95,15 @@ class Block:
             score = rows @ query
         else:
             whole = [int(x) for x in query]
-            score = np.array([sum(int(a) * b for a, b in zip(r, whole, strict=True)) for r in rows] + [None], dtype=object)[:-1]
+            exact = [sum(int(a) * b for a, b in zip(r, whole, strict=True)) for r in rows]
+            score = np.array([max(LOWEST, min(HIGHEST, x)) for x in exact] + [None], dtype=object)[:-1]
         mine = ids != own
         ids, score = ids[mine], score[mine]
         if len(ids) > k and score.dtype != object:
             floor = np.partition(score, len(score) - k)[len(score) - k]
             ids, score = ids[score >= floor], score[score >= floor]
         order = sorted(range(len(ids)), key=lambda i: (-score[i], ids[i]))[:k]
-        low, high = -(1 << 63), (1 << 63) - 1
-        return ids[order], [max(low, min(high, int(score[i]))) for i in order]
+        return ids[order], [int(score[i]) for i in order]
 
 
 def _meet(k: int):
