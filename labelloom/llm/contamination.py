@@ -13,7 +13,8 @@ benchmark's windows, which are counted first, number at most ``broadcast_rows``;
 join shuffles the hashes.  Texts meet only the few matches with slots again.
 
 Edge cases: null and empty texts have no windows; items with fewer than ``k`` words have none
-either and are never found; repeated items are reported each, repeated rows of a document once; documents with
+either and are never found; repeated items are reported each, rows sharing an id are
+one document; documents with
 a null id are found under the null id; empty tables give an empty result; other columns are not read.
 """
 
@@ -76,21 +77,22 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     items = stage(benchmark_windows(benchmark, item_col=item_col, text_col=item_text_col, k=k, min_literal=min_literal),
                   "benchmark-windows")
     small = F.broadcast(items) if items.count() <= broadcast_rows else items
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    words = texts.select("doc_id", canonical(F.col("text")).alias("words"))
-    seen = words.select("doc_id", F.posexplode(_windows(F.col("words"), k)).alias("pos", "hash"))
+    # Rows that share an id are told apart by their text.
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    words = texts.select("doc_id", "row", canonical(F.col("text")).alias("words"))
+    seen = words.select("doc_id", "row", F.posexplode(_windows(F.col("words"), k)).alias("pos", "hash"))
     hits = stage(seen.join(small, "hash").select(
-        "doc_id", "item_id", "ipos", "usable", "pos", (F.col("pos") - F.col("ipos")).alias("shift"), "slots"), "hits")
+        "doc_id", "row", "item_id", "ipos", "usable", "pos", (F.col("pos") - F.col("ipos")).alias("shift"), "slots"), "hits")
 
     plain = hits.where(F.size("slots") == 0).select("doc_id", "item_id", "usable", "ipos", F.lit(False).alias("changed"))
     slotted = hits.where(F.size("slots") > 0)
-    wanted = slotted.select("doc_id").distinct().withColumnRenamed("doc_id", "w_id")
-    valued = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id"))).select(
-        F.col("w_id"), canonical(F.col("text"), True).alias("values"))
+    wanted = slotted.select(F.col("doc_id").alias("w_id"), F.col("row").alias("w_row")).distinct()
+    same_row = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row"))
+    valued = texts.join(wanted, same_row).select("w_id", "w_row", canonical(F.col("text"), True).alias("values")).distinct()
     pairs = F.arrays_zip(F.col("slots").alias("b"), _slots(F.slice("values", F.col("pos") + 1, F.lit(k))).alias("d"))
-    aligned = slotted.join(valued, F.col("doc_id").eqNullSafe(F.col("w_id"))).select(
-        "doc_id", "item_id", "usable", "ipos", "shift", pairs.alias("pairs"))
-    aligned = aligned.groupBy("doc_id", "item_id", "usable", "shift").agg(
+    aligned = slotted.join(valued, same_row).select(
+        "doc_id", "row", "item_id", "usable", "ipos", "shift", pairs.alias("pairs"))
+    aligned = aligned.groupBy("doc_id", "row", "item_id", "usable", "shift").agg(
         F.collect_set("ipos").alias("ipos"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     one_to_one = (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.b")))) & (
         F.size("pairs") == F.size(F.array_distinct(F.col("pairs.d"))))
