@@ -3,8 +3,8 @@
 Method.  Digits of a path become ``#``; equal shapes of a host are counted once, with the good
 and bad labels of their pages.  The tree is built level by level from the host down.  Below one
 template, a segment with fewer than ``min_support`` pages is variable and joins the wildcard
-``*``; a segment whose share of bad labels does not differ from its siblings' (two-proportion
-test, ``z`` below ``similar``) is merged into the wildcard too; the others stay branches of their own.
+``*``; the others are ordered by their share of bad labels and merged as long as neighbours do not differ
+(two-proportion test, ``z`` below ``similar``).  The largest merged branch is the wildcard.
 Segments from ``depth`` on form one last segment.  A template is rejected when its share of good labels,
 smoothed by its host's share and that by the share of all labels, is below ``purity``.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions.staging import stage
@@ -48,6 +48,30 @@ def by_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return text, verdict
 
 
+def _merged(child: DataFrame, similar: float) -> DataFrame:
+    """``host, template, part, branch`` for well-supported segments below each template.
+
+    Segments are put in order of their share of bad labels and cut where neighbours differ significantly;
+    what stands between two cuts is one branch.  The branch with most pages is the wildcard.
+    """
+    siblings = Window.partitionBy("host", "template")
+    order = siblings.orderBy("share", "part")
+    c = child.withColumn("seen", F.col("good") + F.col("bad")).withColumn("share", F.col("bad") / F.col("seen"))
+    c = c.withColumn("n0", F.lag("seen").over(order)).withColumn("b0", F.lag("bad").over(order))
+    pooled = (F.col("bad") + F.col("b0")) / (F.col("seen") + F.col("n0"))
+    spread = pooled * (1 - pooled) * (1 / F.col("seen") + 1 / F.col("n0"))
+    apart = F.col("share") - F.col("b0") / F.col("n0")
+    cut = F.coalesce((spread > 0) & (apart * apart >= similar * similar * spread), F.lit(False)).cast("int")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = c.withColumn("cut", cut).withColumn("group", F.sum("cut").over(so_far))
+    together = Window.partitionBy("host", "template", "group")
+    c = c.withColumn("pages", F.sum("n").over(together)).withColumn("parts_in", F.count(F.lit(1)).over(together))
+    c = c.withColumn("main", F.max(F.struct(F.col("pages"), (-F.col("group")).alias("g"))).over(siblings))
+    name = F.when(F.col("group") == -F.col("main.g"), "*").when(F.col("parts_in") == 1, F.col("part")).otherwise(
+        F.concat(F.lit("*"), F.col("group").cast("string")))
+    return c.select("host", "template", "part", name.alias("branch"))
+
+
 def rejected_shapes(shapes: DataFrame, *, depth: int, min_support: int, similar: float, purity: float,
                     prior: float) -> DataFrame:
     """``host, shape, template, rejected`` for ``host, shape, n, good, bad``."""
@@ -55,26 +79,22 @@ def rejected_shapes(shapes: DataFrame, *, depth: int, min_support: int, similar:
     nodes = stage(shapes.select("*", parts.alias("parts"), F.lit("").alias("template")), "url-shapes")
     sums = [F.sum(c).alias(c) for c in ("n", "good", "bad")]
     for level in range(depth):
-        last = F.concat_ws("/", F.slice("parts", level + 1, F.greatest(F.size("parts"), F.lit(1))))
+        rest = F.concat_ws("/", F.slice("parts", level + 1, F.greatest(F.size("parts"), F.lit(1))))
+        last = F.when(F.size("parts") > level, rest)
         part = last if level == depth - 1 else F.get("parts", level)
         nodes = nodes.withColumn("part", part)
         child = nodes.groupBy("host", "template", "part").agg(*sums)
-        parent = child.groupBy("host", "template").agg(*[F.sum(c).alias("all_" + c) for c in ("n", "good", "bad")])
-        seen, others = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad") - F.col("good") - F.col("bad")
-        share = F.col("all_bad") / F.greatest(F.col("all_good") + F.col("all_bad"), F.lit(1))
-        spread = share * (1 - share) * (1 / F.greatest(seen, F.lit(1)) + 1 / F.greatest(others, F.lit(1)))
-        apart = F.col("bad") / F.greatest(seen, F.lit(1)) - (F.col("all_bad") - F.col("bad")) / F.greatest(others, F.lit(1))
-        own = (F.col("n") >= min_support) & (seen > 0) & (others > 0) & (apart * apart >= similar * similar * spread) & (spread > 0)
-        branch = child.join(parent, ["host", "template"]).select(
-            F.col("host").alias("b_host"), F.col("template").alias("b_template"), F.col("part").alias("b_part"),
-            F.when(own, F.col("part")).otherwise("*").alias("branch"))
+        branch = child.join(_merged(child.where((F.col("n") >= min_support) & (F.col("good") + F.col("bad") > 0)), similar),
+                            ["host", "template", "part"], "left")
+        branch = branch.select(F.col("host").alias("b_host"), F.col("template").alias("b_template"),
+                               F.col("part").alias("b_part"), F.coalesce("branch", F.lit("*")).alias("branch"))
         same = (F.col("host") == F.col("b_host")) & (F.col("template") == F.col("b_template"))
         deeper = F.concat("template", F.lit("/"), "branch")
         nodes = nodes.join(branch, same & F.col("part").eqNullSafe(F.col("b_part"))).select(
             "host", "shape", "n", "good", "bad", "parts",
             F.when(F.col("part").isNull(), F.col("template")).otherwise(deeper).alias("template"))
         nodes = stage(nodes, f"url-level{level}")  # each level reads the one before three times
-    total = nodes.agg((F.sum("good") / F.greatest(F.sum("good") + F.sum("bad"), F.lit(1))).alias("share"))
+    total = nodes.agg(((F.sum("good") + 1) / (F.sum("good") + F.sum("bad") + 1)).alias("share"))
     smooth = lambda base: (F.sum("good") + prior * base) / (F.sum("good") + F.sum("bad") + prior)
     hosts = nodes.groupBy("host").agg(smooth(total.scalar()).alias("host_share"))
     leaves = nodes.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
@@ -96,10 +116,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]],
     rows = rows.withColumn("shape", F.regexp_replace("path", "[0-9]+", "#"))
     marked = labels.groupBy(F.col("url_label_key")).agg(F.min("good").alias("low"), F.max("good").alias("high"))
     marked = marked.where("low = high").select("url_label_key", F.col("low").alias("good"))
-    counted = rows.select("host", "shape", label_key(F.col("path")).alias("url_label_key")).join(
-        marked, "url_label_key", "left")
-    shapes = counted.groupBy("host", "shape").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") == 0).alias("bad"))
+    # Counted before the join, so that pages without a number are one row for each shape.
+    counted = rows.groupBy("host", "shape", label_key(F.col("path")).alias("url_label_key")).agg(F.count(F.lit(1)).alias("n"))
+    shapes = counted.join(marked, "url_label_key", "left").groupBy("host", "shape").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("good") == 1, F.col("n")).otherwise(0)).alias("good"),
+        F.sum(F.when(F.col("good") == 0, F.col("n")).otherwise(0)).alias("bad"))
     shapes = rejected_shapes(shapes, depth=depth, min_support=min_support, similar=similar, purity=purity, prior=prior)
     salted = shapes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))
