@@ -10,6 +10,7 @@ from catalogue.base import (
 )
 from catalogue.split_queries import LANGS, SQL_FOLDS, SQL_SPLIT
 from labelloom.operators import dedup as D
+from labelloom.functions.staging import fresh_path
 from labelloom.operators import integrity as I
 from labelloom.operators import selection as Sel
 from labelloom.operators import splits as S
@@ -115,6 +116,17 @@ def input_digest(spark, sf):
     return I.input_hash(_run_digests(spark, sf), ["system"], ["seed"])
 
 
+@query("selection_written", f"""WITH {SQL_PREDICTIONS}, {SQL_RUN_DIGESTS}
+SELECT concat('best_', system) AS name, system AS chosen, inputs_sha256 FROM inputs""")
+def selection_written(spark, sf):
+    """Selections stored once; the repeat finds them unchanged."""
+    inputs = I.input_hash(_run_digests(spark, sf), ["system"], ["seed"])
+    sel = inputs.select(F.concat(F.lit("best_"), "system").alias("name"), F.col("system").alias("chosen"), "inputs_sha256")
+    path = fresh_path(spark, "selections")
+    Sel.write_once(sel, path)
+    return Sel.write_once(sel, path).select("name", "chosen", "inputs_sha256")
+
+
 @query("freeze_check", f"""WITH {SQL_PREDICTIONS}, {SQL_RUN_DIGESTS}
 SELECT concat('best_', system) AS name,
   CASE system WHEN 'm1' THEN 'changed' WHEN 'm2' THEN 'missing' ELSE 'ok' END AS status FROM inputs

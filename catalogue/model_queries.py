@@ -105,7 +105,7 @@ def model_text():
 
 def fitted(spark, sf):
     docs = labelled_documents(spark, sf)
-    return T.fit_text_model(docs.filter(F.col("split") == "train"), model_text(), "y", vocab_size=5000), docs
+    return T.fit_text_model(docs.filter(F.col("split") == "train"), model_text(), "y"), docs
 
 
 @query("mllib_scores")
@@ -133,7 +133,7 @@ def distill_scores(spark, sf):
 
 @query("linear_attributions")
 def linear_attributions(spark, sf):
-    """Exact Shapley values of the linear model for every word of every test document,
+    """Contributions of the words that stand in a test document to the linear model's logits,
     aggregated to the most important words."""
     model, docs = fitted(spark, sf)
     test = docs.filter(F.col("split") == "test")

@@ -92,9 +92,7 @@ def reattach_missing(spark, sf):
     return missing
 
 
-@query("predictions_round_trip", f"""WITH {SQL_PREDICTIONS}
-SELECT system, seed, CAST(uid AS VARCHAR) AS uid, y, round(p0, 5) AS p0, round(p1, 5) AS p1 FROM preds WHERE split = 'val'""")
-def predictions_round_trip(spark, sf):
+def _stored_predictions(spark, sf):
     p = predictions(spark, sf).select(
         "system", "seed", F.lit(0).alias("fold"), F.col("uid").cast("string").alias("uid"), "y",
         F.transform("probs", lambda v: F.ln(v).cast("float")).alias("logits"),
@@ -102,31 +100,58 @@ def predictions_round_trip(spark, sf):
     )
     path = fresh(spark, "predictions")
     Tab.write_predictions(p, path)
-    back = Tab.read_predictions(spark, path, task="three", split="val")
-    return back.select(
-        "system", "seed", "uid", "y",
-        *[F.round(F.get("probs", F.lit(c)).cast("double"), 5).alias(f"p{c}") for c in range(2)],
-    )
+    return path
+
+
+_SCORES = ", ".join(f"round(p{c}, 5) AS p{c}, round(ln(p{c}), 4) AS l{c}" for c in range(3))
+
+
+def _score_columns():
+    return [F.round(F.get(a, F.lit(c)).cast("double"), d).alias(f"{n}{c}")
+            for c in range(3) for a, d, n in (("probs", 5, "p"), ("logits", 4, "l"))]
+
+
+@query("predictions_round_trip", f"""WITH {SQL_PREDICTIONS}
+SELECT system, seed, 0 AS fold, CAST(uid AS VARCHAR) AS uid, y, 'three' AS task, split, {_SCORES} FROM preds""")
+def predictions_round_trip(spark, sf):
+    back = Tab.read_predictions(spark, _stored_predictions(spark, sf))
+    return back.select("system", "seed", "fold", "uid", "y", "task", "split", *_score_columns())
+
+
+@query("predictions_one_split", f"""WITH {SQL_PREDICTIONS}
+SELECT system, seed, CAST(uid AS VARCHAR) AS uid, y, {_SCORES} FROM preds WHERE split = 'val'""")
+def predictions_one_split(spark, sf):
+    """The pruned read of the same table: only the folder of one task and split is opened."""
+    back = Tab.read_predictions(spark, _stored_predictions(spark, sf), task="three", split="val")
+    return back.select("system", "seed", "uid", "y", *_score_columns())
 
 
 @query("membership_round_trip", f"""WITH {SQL_FOLDS}
-SELECT fold, part, CAST(doc_id AS VARCHAR) AS uid FROM member WHERE fold IN (1, 7)""")
+SELECT fold, part, CAST(doc_id AS VARCHAR) AS uid FROM member""")
 def membership_round_trip(spark, sf):
     long = S.fold_membership(kfold(spark, sf), "doc_id").withColumnRenamed("doc_id", "uid")
     path = fresh(spark, "folds")
     Tab.write_membership(long.withColumn("uid", F.col("uid").cast("string")), path)
-    return Tab.read_membership(spark, path, [1, 7])
+    return Tab.read_membership(spark, path)
 
 
 @query("csv_export", f"""WITH {SQL_ATTR},
 g AS (SELECT cls, token, round(avg(value), 12) AS m, count(*) AS n FROM attr GROUP BY cls, token HAVING count(*) >= 3),
 k AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY m DESC, token) AS r FROM g)
-SELECT cls::INTEGER AS cls, token, n AS "count" FROM k WHERE r <= 30""")
+SELECT cls::INTEGER AS cls, token, round(m, 9) AS mean_value, n AS "count" FROM k WHERE r <= 30""")
 def csv_export(spark, sf):
-    top = X.class_importance(attributions(spark, sf)).select("cls", "token", "count")
+    top = X.class_importance(attributions(spark, sf)).select("cls", "token", "mean_value", "count")
     path = fresh(spark, "csv")
     Tab.write_csv(top, path)
-    return spark.read.schema(top.schema).csv(path, header=True)
+    return spark.read.schema(top.schema).csv(path, header=True).withColumn("mean_value", F.round("mean_value", 9))
+
+
+@query("dataset_added", "SELECT item_id, md5(text) AS text_md5 FROM benchmark")
+def dataset_added(spark, sf):
+    """A further table stored beside a frozen one, whose digests are compared before and after."""
+    path = fresh(spark, "benchmark")
+    Tab.add_dataset({"documents": f"{sf}/documents.parquet"}, "benchmark", table(spark, sf, "benchmark"), path)
+    return spark.read.parquet(path).select("item_id", F.md5("text").alias("text_md5"))
 
 
 # ---------------------------------------------------------------------- the whole build

@@ -29,9 +29,11 @@ def _clean(attributions: DataFrame) -> DataFrame:
 def global_importance(attributions: DataFrame, k: int = 100) -> DataFrame:
     """Top k tokens by mean over occurrences of the absolute value summed over classes.
 
-    An occurrence is one place of one text, whichever classes have a value there.
+    An occurrence is one place of one text, whichever classes have a value there; without ``pos`` a
+    token occurs once in a text.
     Ties are listed by token.  The trim to k happens in every task before the last merge."""
-    places = _clean(attributions).groupBy("uid", "pos", "token").agg(F.sum(F.abs("value")).alias("_value"))
+    place = [c for c in ("uid", "pos") if c in attributions.columns]
+    places = _clean(attributions).groupBy(*place, "token").agg(F.sum(F.abs("value")).alias("_value"))
     per_token = places.groupBy("token").agg(F.sum("_value").alias("_total"), F.count(F.lit(1)).alias("count"))
     mean = F.round(F.col("_total") / F.col("count"), DIGITS)
     return per_token.select("token", mean.alias("mean_abs"), "count").orderBy(
@@ -122,8 +124,10 @@ def comparison_summary(per_text: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ linear-model producers
 def linear_attributions(counts: DataFrame, coefficients: DataFrame, means: DataFrame) -> DataFrame:
-    """Shapley values of a linear text model in logit space: coef * (count - mean count).
+    """Shapley values of the words present, for a linear text model in logit space: coef * (count - mean count).
 
+    Words that are absent from a text also have a value, -coef * mean; together they make up what the
+    values of a text lack to its logits' distance from the mean.
     ``counts``: (uid, token, x); ``coefficients``: (token, cls, coef); ``means``: (token, mean).
     The model side has vocabulary x classes rows; Spark picks the join by its size.
     """

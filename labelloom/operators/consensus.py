@@ -51,7 +51,8 @@ def table_checks(
 
     Every table is prefixed with its name (``name_column``) and joined on ``row_id``; each
     check is a boolean over the joined row.  One output row per check with the number of rows
-    that satisfy it; ``ok`` demands all of them, except for ``report_only`` checks.
+    that satisfy it; ``ok`` demands all of them, except for ``report_only`` checks.  Give texts as
+    hashes: every column travels through the joins.
     A row that is missing from one of the tables fails the checks that look at it.
     """
     joined = None

@@ -1,7 +1,7 @@
 """Text classifiers on MLlib, so that prediction tables exist.
 
-Bag-of-words counts over a bounded vocabulary and multinomial logistic regression; the
-training data stays distributed, the driver holds coefficients (vocabulary x classes).
+Bag-of-words counts over the whole training vocabulary and multinomial logistic regression; the
+training data stays distributed, the driver holds the model (vocabulary x classes).
 """
 
 from __future__ import annotations
@@ -39,19 +39,14 @@ class TextModel:
     def coefficients(self, df: DataFrame) -> DataFrame:
         """``(token, cls, coef)``: vocabulary x classes rows."""
         spark = df.sparkSession
-        matrix = self.classifier.coefficientMatrix.toArray()
-        if matrix.shape[0] == 1:  # binary models store one row: class 1 against class 0
-            matrix = [-matrix[0] / 2.0, matrix[0] / 2.0]
-        rows = [
-            (token, c, float(matrix[c][i]))
-            for i, token in enumerate(self.vectoriser.vocabulary)
-            for c in range(len(matrix))
-        ]
-        return spark.createDataFrame(rows, "token string, cls int, coef double")
+        matrix = self.classifier.coefficientMatrix.toArray()  # one row per class (multinomial family)
+        rows = zip(self.vectoriser.vocabulary, matrix.T.tolist(), strict=True)
+        each = spark.createDataFrame(rows, "token string, coef array<double>")
+        return each.select("token", F.posexplode("coef").alias("cls", "coef"))
 
 
 def fit_text_model(
-    train: DataFrame, text: Column, label: str, vocab_size: int = 50_000, min_df: float = 2.0,
+    train: DataFrame, text: Column, label: str, vocab_size: int = 1 << 30, min_df: float = 1.0,
     weight: str | None = None, max_iter: int = 20, reg: float = 0.01,
     vectoriser: CountVectorizerModel | None = None,
 ) -> TextModel:
