@@ -16,6 +16,7 @@ from labelloom.operators import consensus as C
 from labelloom.operators import dedup as D
 from labelloom.operators import splits as S
 from labelloom.plans import corpus_freeze as CF
+from labelloom.plans import task_loader as TL
 from labelloom.sources import corpora as Src
 from labelloom.sources import tables as Tab
 
@@ -217,3 +218,19 @@ def frozen_manifest_labels(spark, sf):
     return m.select(
         "orig_id", "split", "ws_v2", "ws_v2_conf", "ws_novote", "label3", "label_bin", "method_v2"
     )
+
+
+@query("load_task", f"""SELECT orig_id, split, (list_position(['HATE', 'OFFENSIVE', 'NEUTRAL'], label3) - 1)::INTEGER AS y
+FROM ({SQL_FREEZE_LABELS}) x""")
+def load_task(spark, sf):
+    """The frozen manifest, stored, proven and opened as one table per partition."""
+    path = fresh(spark, "manifest-table")
+    CF.freeze_corpus(annotated(spark, sf), PLAN)["manifest"].write.partitionBy("split").parquet(path)
+    manifest = spark.read.parquet(path)
+    task = TL.load_task(manifest, "label3", ["HATE", "OFFENSIVE", "NEUTRAL"], recorded=TL.manifest_digest(manifest),
+                        keep=["orig_id"], profile=PROFILE, stop_words=STOP_WORDS)
+    out = None
+    for part, rows in task.items():
+        named = rows.select("orig_id", F.lit(part).alias("split"), "y")
+        out = named if out is None else out.unionByName(named)
+    return out

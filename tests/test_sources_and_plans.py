@@ -175,3 +175,27 @@ def test_stream_labels_like_the_batch(spark, tmp_path):
     cols = ["id", "uid", "mv_label", "wv_label", "wv_conf"]
     assert got.select(cols).orderBy("id").collect() == want.select(cols).orderBy("id").collect()
     assert weak.matrix_summary(got).first().n_texts == 202
+
+
+def test_task_loader_proves_before_it_opens(spark):
+    from labelloom.functions.text import ANY_SCRIPT, text_id
+    from labelloom.plans.task_loader import load_task, manifest_digest
+
+    texts = ["first words here", "second words there", "third other words", "fourth last words"]
+    rows = [(t, s, y, f) for t, s, y, f in zip(texts, ("train", "train", "val", "test"), ("a", "b", "a", "b"), (1, 0, 1, 1))]
+    base = spark.createDataFrame(rows, "text string, split string, label string, flag int")
+    m = base.select(text_id("text", ANY_SCRIPT).alias("uid"), F.sha2("text", 256).alias("raw_sha256"), "*")
+    load = lambda df, **more: load_task(df, "label", ["b", "a"], profile=ANY_SCRIPT, **more)
+    task = load(m, recorded=manifest_digest(m))
+    assert {p: sorted((r.text, r.y) for r in t.collect()) for p, t in task.items()} == {
+        "train": [(texts[0], 1), (texts[1], 0)], "val": [(texts[2], 1)], "test": [(texts[3], 0)]}
+    assert [r.text for r in load(m, without_flag="flag")["train"].collect()] == [texts[1]]
+    with pytest.raises(ValueError, match="digest"):
+        load(m.withColumn("text", F.upper("text")), recorded=manifest_digest(m))
+    with pytest.raises(ValueError, match="more than once"):
+        load(m.unionByName(m.limit(1)))
+    copied = m.withColumn("text", F.when(F.col("split") == "test", texts[0]).otherwise(F.col("text")))
+    with pytest.raises(AssertionError, match="train&test"):
+        load(copied)
+    with pytest.raises(ValueError, match="not declared"):
+        load_task(m, "label", ["a"], profile=ANY_SCRIPT)
