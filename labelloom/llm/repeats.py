@@ -213,8 +213,7 @@ def _digest() -> Column:
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Texts dealt by id, and the digests of the texts whose first copy has that id."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    rows = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("doc_id"),
-                       F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     firsts = rows.select("key", _digest().alias("digest")).groupBy("digest").agg(F.min("key").alias("key"))
     firsts = firsts.groupBy("key").agg(F.collect_list("digest").alias("digests"))
     return rows.repartition("key"), firsts
@@ -244,7 +243,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, base: int = 5, id_col:
     later = later.groupBy("key").agg(F.collect_list("packed").alias("packed"))
     copy = ~F.coalesce(F.array_contains("digests", _digest()), F.lit(False))
     return (texts.join(firsts.hint("shuffle_hash"), "key", "left").join(later.hint("shuffle_hash"), "key", "left")
-            .select("doc_id", "text", copy.alias("copy"), "packed")
+            .select(F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "text", copy.alias("copy"), "packed")
             .mapInArrow(_strip(window), "doc_id long, n_words long, n_removed long, kept string"))
 
 
