@@ -14,7 +14,8 @@ survives.
 
 Scale.  Each level shuffles hashes and positions (about one row for eight words at the first
 level, only survivors later), sorted by hash; a group of equal hashes is streamed past its
-neighbours and never gathered.  Exact copies are found by digest first: only the copy
+neighbours and never gathered.  A chunk of texts (about a megabyte) sends a hash at most once, so
+a passage in every document is no hot key.  Exact copies are found by digest first: only the copy
 with the smallest id is searched, the others are repeats from end to end.  The texts are shuffled by id once
 and that exchange serves all levels.  Positions are 96-bit hash matches at the deciding length.
 
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.staging import stage
-from labelloom.llm.words import chunks, encoded, whole, window_hashes
+from labelloom.llm.words import chunks, encoded, mix, whole, window_hashes
 
 NO_ID = -(2**63)
 
@@ -79,6 +80,45 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+#: A row's ``start`` also tells its part: below it the row is settled and only passes through, with
+#: start ``SETTLED - start``; ``WITNESS`` stands for the settled rows of one hash.
+WITNESS, SETTLED = -1, -2
+
+
+def _elsewhere(h: np.ndarray, key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Another place to send a row to: scattered high bits, the hash's low 32 bits."""
+    high = mix(h ^ mix(key.view(np.uint64) + np.uint64(1)) + start.astype(np.uint64))
+    return (high & np.uint64(0xFFFFFFFF00000000)) | (h & np.uint64(0xFFFFFFFF))
+
+
+def repeated_here(h: np.ndarray, key: np.ndarray, start: np.ndarray):
+    """Rows to send out for candidates of one chunk of texts: ``(hash, key, start)``.
+
+    A hash that stands several times in the chunk repeats for certain; its rows go past the hash's
+    task and one witness is sent there.  So a chunk sends a hash at most one row.
+    """
+    order = np.argsort(h, kind="stable")
+    same = np.append(False, h[order][1:] == h[order][:-1])
+    several = np.zeros(len(h), dtype=bool)
+    several[order] = same | np.append(same[1:], False)
+    witness = order[~same & np.append(same[1:], False)]
+    sent = np.where(several, _elsewhere(h, key, start), h)
+    return (_signed(np.concatenate((sent, h[witness]))), np.concatenate((key, key[witness])),
+            np.concatenate((np.where(several, SETTLED - start, start), np.full(len(witness), WITNESS))).astype(np.int32))
+
+
+def later_here(h: np.ndarray, h2: np.ndarray, key: np.ndarray, start: np.ndarray):
+    """The same for the last level: all but the first place of a hash in the chunk are later ones."""
+    order = np.lexsort((start, key, h2, h))
+    o = [x[order] for x in (h, h2, key, start)]
+    new = np.append(True, (o[0][1:] != o[0][:-1]) | (o[1][1:] != o[1][:-1]))
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    later = np.zeros(len(h), dtype=bool)
+    later[order] = (o[2] != o[2][first]) | (o[3] != o[3][first])
+    sent = np.where(later, _elsewhere(h, key, start), h)
+    return _signed(sent), key, np.where(later, SETTLED - start, start).astype(np.int32), _signed(h2).astype(np.int32)
+
+
 def _batch(names, *columns):
     import pyarrow as pa
 
@@ -99,8 +139,8 @@ def _first_level(length: int, window: int):
                 at = anchors(h, bounds, length, window)
                 if len(at):
                     doc = np.searchsorted(bounds, at, side="right") - 1
-                    yield _batch(("h", "key", "start"), _signed(window_hashes(h, length)[at]), keys[first + doc],
-                                 (at - bounds[doc]).astype(np.int32))
+                    yield _batch(("h", "key", "start"), *repeated_here(
+                        window_hashes(h, length)[at], keys[first + doc], at - bounds[doc]))
     return run
 
 
@@ -116,12 +156,12 @@ def _next_level(length: int, window: int, last_level: bool):
                 if not len(at):
                     continue
                 doc = np.searchsorted(bounds, at, side="right") - 1
-                row = [_signed(window_hashes(h, 2 * length)[at]), keys[first + doc], (at - bounds[doc]).astype(np.int32)]
+                value, key, start = window_hashes(h, 2 * length)[at], keys[first + doc], at - bounds[doc]
                 if last_level:
-                    row.append(_signed(window_hashes(h, 2 * length, 1)[at]).astype(np.int32))
-                    yield _batch(("h", "key", "start", "h2"), *row)
+                    second = window_hashes(h, 2 * length, 1)[at]
+                    yield _batch(("h", "key", "start", "h2"), *later_here(value, second, key, start))
                 else:
-                    yield _batch(("h", "key", "start"), *row)
+                    yield _batch(("h", "key", "start"), *repeated_here(value, key, start))
     return run
 
 
@@ -130,6 +170,10 @@ def _keep_repeated(batches):
     held = None
     for batch in batches:
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        settled = cols[2] <= SETTLED
+        if settled.any():
+            yield _batch(("key", "start"), cols[1][settled], SETTLED - cols[2][settled])
+            cols = [c[~settled] for c in cols]
         if not len(cols[0]):
             continue
         flag = np.zeros(len(cols[0]) + (held is not None), dtype=bool)
@@ -140,10 +184,10 @@ def _keep_repeated(batches):
         flag[1:] |= same
         flag[:-1] |= same
         held = (cols[0][-1], cols[1][-1], cols[2][-1], flag[-1])
-        pick = np.flatnonzero(flag[:-1])
+        pick = np.flatnonzero(flag[:-1] & (cols[2][:-1] >= 0))
         if len(pick):
             yield _batch(("key", "start"), cols[1][pick], cols[2][pick].astype(np.int32))
-    if held is not None and held[3]:
+    if held is not None and held[3] and held[2] >= 0:
         yield _batch(("key", "start"), np.array([held[1]]), np.array([held[2]], dtype=np.int32))
 
 
@@ -152,6 +196,11 @@ def _keep_later(batches):
     held = None  # hash, second hash, id and start of the first row of the open group
     for batch in batches:
         h, h2, key, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        settled = start <= SETTLED
+        if settled.any():
+            packed = ((SETTLED - start[settled]).astype(np.int64) << 32) | (h[settled] & 0xFFFFFFFF)
+            yield _batch(("key", "packed"), key[settled], packed)
+            h, h2, key, start = (c[~settled] for c in (h, h2, key, start))
         n = len(h)
         if not n:
             continue
@@ -291,6 +340,6 @@ def _doubled(length: int):
                 at = np.unique(at[at + 2 * length <= bounds[doc + 1]])
                 if len(at):
                     doc = np.searchsorted(bounds, at, side="right") - 1
-                    yield _batch(("h", "key", "start"), _signed(window_hashes(h, 2 * length)[at]), keys[first + doc],
-                                 (at - bounds[doc]).astype(np.int32))
+                    yield _batch(("h", "key", "start"), *repeated_here(
+                        window_hashes(h, 2 * length)[at], keys[first + doc], at - bounds[doc]))
     return run
