@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-
 from labelloom.functions.staging import fresh_path
-from labelloom.llm import contamination, jaccard_join, main_text, mixing, quality, repeats, secrets, token_files, top_inner, url_templates
+from labelloom.llm import (
+    contamination, jaccard_join, main_text, mixing, quality, repeats, secrets, token_files, top_inner, url_templates,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,7 +23,17 @@ def query(fn):
     return fn
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers that share this machine's folders import the package from where it stands; on other
+    machines it has to be installed or sent with ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -144,6 +156,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     return corpus_pipeline.run(spark, sf_dir)
 
 
