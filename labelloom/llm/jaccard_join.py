@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.staging import stage
 from labelloom.llm.graph import components, sized, without
-from labelloom.llm.words import chunks, encoded, mix, whole, window_hashes
+from labelloom.llm.words import column_chunks, mix, whole, window_hashes
 
 NO_ID = -(2**63)
 SPAN = 2
@@ -62,9 +62,9 @@ def most_apart(a, b, percent: int):
     return ((100 - percent) * (a + b)) // (100 + percent)
 
 
-def shingle_sets(texts: list[bytes], n: int):
-    """Yield ``(first, last + 1, sorted distinct shingle hashes, offsets of the texts)``."""
-    for first, last, h, bounds in chunks([t.lower() for t in texts]):
+def shingle_sets(column, n: int):
+    """Yield ``(first, last + 1, sorted distinct shingle hashes, offsets of the texts)`` for an Arrow column."""
+    for first, last, h, bounds in column_chunks(column, lower=True):
         at, doc = whole(bounds, n)
         value = window_hashes(h, n)[at] if len(at) else np.zeros(0, dtype=np.uint64)
         for i in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < n)):
@@ -134,15 +134,29 @@ def bitmap(elements: np.ndarray) -> bytes:
     return np.packbits(spot.astype(np.uint8), bitorder="little").tobytes()
 
 
+def _fold(rows: np.ndarray, words: int) -> np.ndarray:
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
 def folded(maps: list[bytes]) -> np.ndarray:
     """Bitmaps as rows of 64-bit words, all folded to the shortest one's length."""
-    size = min(map(len, maps))
-    out = np.empty((len(maps), size // 8), dtype=np.uint64)
-    for i, m in enumerate(maps):
-        row = np.frombuffer(m, dtype=np.uint64)
-        while len(row) > size // 8:
-            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
-        out[i] = row
+    words = min(map(len, maps)) // 8
+    return np.concatenate([_fold(np.frombuffer(m, dtype=np.uint64)[None, :], words) for m in maps])
+
+
+def bitmap_distances(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Lower bounds of the symmetric differences, pair by pair."""
+    out = np.zeros(len(left), dtype=np.int64)
+    a, b = (np.fromiter(map(len, maps), dtype=np.int64, count=len(maps)) for maps in (left, right))
+    for kind in np.unique(a << 32 | b):
+        at = np.flatnonzero((a << 32 | b) == kind)
+        words = int(min(kind >> 32, kind & 0xFFFFFFFF)) // 8
+        two = [_fold(np.frombuffer(b"".join(maps[i] for i in at), dtype=np.uint64).reshape(len(at), -1), words)
+               for maps in (left, right)]
+        out[at] = np.bitwise_count(two[0] ^ two[1]).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -157,7 +171,7 @@ def _summaries(n: int):
         import pyarrow as pa
 
         for batch in batches:
-            for first, last, value, bounds in shingle_sets(encoded(batch.column(2)), n):
+            for first, last, value, bounds in shingle_sets(batch.column(2), n):
                 total = [np.concatenate(([np.uint64(0)], np.cumsum(mix(value ^ seed), dtype=np.uint64)))
                          for seed in (_PART, _SUM)]
                 d1, d2 = ((t[bounds[1:]] - t[bounds[:-1]]).view(np.int64) for t in total)
@@ -172,7 +186,7 @@ def _signed(n: int, percent: int):
     def run(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, _, value, bounds in shingle_sets(encoded(batch.column(1)), n):
+            for first, _, value, bounds in shingle_sets(batch.column(1), n):
                 sig, owner = signatures(value, bounds, percent)
                 if len(sig):
                     yield _rows(("sig", "key"), sig.view(np.int64), keys[first + owner])
@@ -184,7 +198,7 @@ def _sets(n: int):
         import pyarrow as pa
 
         for batch in batches:
-            for first, last, value, bounds in shingle_sets(encoded(batch.column(1)), n):
+            for first, last, value, bounds in shingle_sets(batch.column(1), n):
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(value.view(np.int64)))
                 yield _rows(("key", "elements"), batch.column(0).slice(first, last - first), lists)
     return run
@@ -221,27 +235,8 @@ def _near(percent: int):
     def run(batches):
         for batch in batches:
             u, v, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            ok = np.zeros(len(u), dtype=bool)
-            for i in range(len(u)):
-                if min(a[i], b[i]) * 100 >= max(a[i], b[i]) * percent:
-                    two = folded([left[i], right[i]])
-                    ok[i] = int(np.bitwise_count(two[0] ^ two[1]).sum()) <= most_apart(a[i], b[i], percent)
-            if ok.any():
-                yield _rows(("u", "v"), u[ok], v[ok])
-    return run
-
-
-def _linked(percent: int):
-    """Of pairs with their sets, those that link."""
-    def run(batches):
-        for batch in batches:
-            u, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            ok = np.zeros(len(u), dtype=bool)
-            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                a, b = a.values.to_numpy(), b.values.to_numpy()
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                ok[i] = 100 * common >= percent * (len(a) + len(b) - common)
+            apart = bitmap_distances(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            ok = apart <= most_apart(a, b, percent)
             if ok.any():
                 yield _rows(("u", "v"), u[ok], v[ok])
     return run
@@ -331,17 +326,19 @@ def _verified(texts: DataFrame, profile: DataFrame, pairs: DataFrame, n: int, pe
     if not filtered:
         left = profile.select(F.col("key").alias("u"), F.col("size").alias("a"), F.col("bits").alias("left"))
         right = profile.select(F.col("key").alias("v"), F.col("size").alias("b"), F.col("bits").alias("right"))
-        pairs = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b", "left", "right").mapInArrow(
-            _near(percent), "u long, v long")
+        pairs = pairs.join(left, "u").join(right, "v").where(
+            F.least("a", "b") * 100 >= F.greatest("a", "b") * percent).select("u", "v", "a", "b", "left", "right")
+        pairs = pairs.mapInArrow(_near(percent), "u long, v long")
     pairs = stage(pairs, "candidate-pairs")
     nodes = stage(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct(), "candidate-nodes")
     sets = texts.join(sized(nodes), "key", "left_semi").mapInArrow(_sets(n), "key long, elements array<long>")
     sets = stage(sets, "candidate-sets")
     left = sets.select(F.col("key").alias("u"), F.col("elements").alias("left"))
     right = sets.select(F.col("key").alias("v"), F.col("elements").alias("right"))
-    tested = pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(
-        _linked(percent), "u long, v long")
-    return stage(tested.distinct(), "links")
+    common = F.size(F.array_intersect("left", "right"))
+    union = F.size("left") + F.size("right") - common
+    tested = pairs.join(left, "u").join(right, "v").where(100 * common >= percent * union)
+    return stage(tested.select("u", "v").distinct(), "links")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

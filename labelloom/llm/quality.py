@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.words import chunks, encoded, mix
+from labelloom.llm.words import chunks, mix, parts
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 RUNS = (3, 4)
@@ -51,14 +51,14 @@ def features(texts: list[bytes], bits: int):
     """Yield ``(first, last + 1, [(buckets, offsets of the texts), ...])`` for runs of whole texts."""
     for first, last, words, bounds in chunks(texts):
         shift = np.uint64(64 - bits)
-        parts = [(((words * _B) >> shift).astype(np.int64), bounds)]
+        kinds = [(((words * _B) >> shift).astype(np.int64), bounds)]
         pair = mix(words[:-1] * _A + words[1:])
         pair[words[:-1] == words[1:]] = np.uint64(0)
         counts = np.diff(bounds)
         keep = np.ones(len(pair), dtype=bool)
         ends = bounds[1:] - 1
         keep[ends[(ends >= 0) & (ends < len(pair))]] = False  # pairs across two texts
-        parts.append((((pair[keep] * _B) >> shift).astype(np.int64),
+        kinds.append((((pair[keep] * _B) >> shift).astype(np.int64),
                       np.concatenate(([0], np.cumsum(np.maximum(counts - 1, 0))))))
         sizes = np.array([len(t) for t in texts[first:last]], dtype=np.int64)
         data = np.frombuffer(b"".join(texts[first:last]), dtype=np.uint8)
@@ -67,8 +67,8 @@ def features(texts: list[bytes], bits: int):
             room = np.maximum(sizes - length + 1, 0)
             starts = np.concatenate(([0], np.cumsum(room)))
             place = np.arange(starts[-1]) + np.repeat(at[:-1] - starts[:-1], room)
-            parts.append((_runs(data, length, bits)[place] if len(place) else place, starts))
-        yield first, last, parts
+            kinds.append((_runs(data, length, bits)[place] if len(place) else place, starts))
+        yield first, last, kinds
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -80,9 +80,9 @@ def logits(texts: list[bytes], scores: np.ndarray, bias: float) -> np.ndarray:
     """Log odds of label 1 for each text."""
     bits = int(len(scores)).bit_length() - 1
     out = np.full(len(texts), bias)
-    for first, last, parts in features(texts, bits):
-        for buckets, bounds in parts:
-            out[first:last] += _sums(scores[buckets], bounds) / np.maximum(np.diff(bounds), 1) / len(parts)
+    for first, last, kinds in features(texts, bits):
+        for buckets, bounds in kinds:
+            out[first:last] += _sums(scores[buckets], bounds) / np.maximum(np.diff(bounds), 1) / len(kinds)
     return out
 
 
@@ -95,10 +95,10 @@ class Model:
 def counted(texts: list[bytes], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Distinct buckets of each text and their weights in its mean."""
     out = []
-    for _, _, parts in features(texts, bits):
-        for i in range(len(parts[0][1]) - 1):
-            own = [b[bounds[i] : bounds[i + 1]] for b, bounds in parts]
-            share = np.concatenate([np.full(len(o), 1 / max(len(o), 1) / len(parts)) for o in own])
+    for _, _, kinds in features(texts, bits):
+        for i in range(len(kinds[0][1]) - 1):
+            own = [b[bounds[i] : bounds[i + 1]] for b, bounds in kinds]
+            share = np.concatenate([np.full(len(o), 1 / max(len(o), 1) / len(kinds)) for o in own])
             ids, place = np.unique(np.concatenate(own), return_inverse=True)
             out.append((ids.astype(np.int32), np.bincount(place, share, len(ids)).astype(np.float32)))
     return out
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         import pyarrow as pa
 
         for b in batches:
-            rows = counted(encoded(b.column(2)), bits)
+            rows = [row for _, texts in parts(b.column(2)) for row in counted(texts, bits)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int32())),
                  pa.array([r[1] for r in rows], pa.list_(pa.float32()))], names=["doc_id", "label", "ids", "weights"])
@@ -186,6 +186,7 @@ def score(text: Column, model: Model) -> Column:
     def probability(column):
         import pyarrow as pa
 
-        return pa.array(1 / (1 + np.exp(-logits(encoded(column), scores, bias))))
+        odds = [logits(texts, scores, bias) for _, texts in parts(column)]
+        return pa.array(1 / (1 + np.exp(-np.concatenate(odds)))) if odds else pa.array([], pa.float64())
 
     return probability(text)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.staging import stage
-from labelloom.llm.words import chunks, encoded, mix, whole, window_hashes
+from labelloom.llm.words import chunks, column_chunks, mix, parts, whole, window_hashes
 
 NO_ID = -(2**63)
 
@@ -135,7 +135,7 @@ def _first_level(length: int, window: int):
     def run(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, _, h, bounds in chunks(encoded(batch.column(1))):
+            for first, _, h, bounds in column_chunks(batch.column(1)):
                 at = anchors(h, bounds, length, window)
                 if len(at):
                     doc = np.searchsorted(bounds, at, side="right") - 1
@@ -149,7 +149,7 @@ def _next_level(length: int, window: int, last_level: bool):
     def run(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, last, h, bounds in chunks(encoded(batch.column(1))):
+            for first, last, h, bounds in column_chunks(batch.column(1)):
                 starts, sizes = _lists(batch.column(2), first, last)
                 doc = np.repeat(np.arange(last - first), sizes)
                 at = extended(bounds[doc] + starts, bounds[doc], bounds[doc + 1], length, window)
@@ -219,39 +219,42 @@ def _keep_later(batches):
             yield _batch(("key", "packed"), key[pick], packed)
 
 
+def _stripped(texts: list[bytes], bounds: np.ndarray, gone: np.ndarray, copies: np.ndarray, window: int):
+    """What is left of each text, and how many words are not."""
+    kept, removed = [], []
+    for text, a, b, copy in zip(texts, bounds[:-1], bounds[1:], copies, strict=True):
+        part = np.full(b - a, b - a >= window) if copy else gone[a:b]
+        n = int(part.sum())
+        words = text.split() if n < b - a else []
+        kept.append(b" ".join(itertools.compress(words, (~part).tolist()) if n else words))
+        removed.append(n)
+    return kept, removed
+
+
 def _strip(window: int):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             ids, copies = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
-            texts = encoded(batch.column(1))
-            for first, last, h, bounds in chunks(texts):
-                starts, sizes = _lists(batch.column(3), first, last)
-                covered = np.zeros(len(h) + 1, dtype=np.int64)
-                if len(starts):
-                    doc = np.repeat(np.arange(last - first), sizes)
-                    at = bounds[doc] + (starts >> 32)
-                    value = window_hashes(h, window)
-                    fits = at + window <= bounds[doc + 1]
-                    at, low = at[fits], starts[fits] & 0xFFFFFFFF
-                    at = at[(_signed(value[at]) & 0xFFFFFFFF) == low]
-                    np.add.at(covered, at, 1)
-                    np.add.at(covered, at + window, -1)
-                gone = np.cumsum(covered)[: len(h)] > 0
-                kept, removed = [], []
-                for i in range(first, last):
-                    a, b = bounds[i - first], bounds[i - first + 1]
-                    part = gone[a:b]
-                    if copies[i]:
-                        part = np.full(b - a, b - a >= window)
-                    n = int(part.sum())
-                    words = texts[i].split() if n < b - a else []
-                    kept.append(b" ".join(itertools.compress(words, (~part).tolist()) if n else words))
-                    removed.append(n)
-                yield _batch(("doc_id", "n_words", "n_removed", "kept"), ids.slice(first, last - first),
-                             np.diff(bounds).astype(np.int64), np.array(removed, dtype=np.int64),
-                             pa.array(kept, pa.binary()).cast(pa.string()))
+            for at, texts in parts(batch.column(1)):
+                for first, last, h, bounds in chunks(texts):
+                    starts, sizes = _lists(batch.column(3), at + first, at + last)
+                    covered = np.zeros(len(h) + 1, dtype=np.int64)
+                    if len(starts):
+                        doc = np.repeat(np.arange(last - first), sizes)
+                        place = bounds[doc] + (starts >> 32)
+                        value = window_hashes(h, window)
+                        fits = place + window <= bounds[doc + 1]
+                        place, low = place[fits], starts[fits] & 0xFFFFFFFF
+                        place = place[(_signed(value[place]) & 0xFFFFFFFF) == low]
+                        np.add.at(covered, place, 1)
+                        np.add.at(covered, place + window, -1)
+                    gone = np.cumsum(covered)[: len(h)] > 0
+                    kept, removed = _stripped(texts[first:last], bounds, gone, copies[at + first : at + last], window)
+                    yield _batch(("doc_id", "n_words", "n_removed", "kept"), ids.slice(at + first, last - first),
+                                 np.diff(bounds).astype(np.int64), np.array(removed, dtype=np.int64),
+                                 pa.array(kept, pa.binary()).cast(pa.string()))
     return run
 
 
@@ -333,7 +336,7 @@ def _doubled(length: int):
     def run(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, last, h, bounds in chunks(encoded(batch.column(1))):
+            for first, last, h, bounds in column_chunks(batch.column(1)):
                 starts, sizes = _lists(batch.column(2), first, last)
                 doc = np.repeat(np.arange(last - first), sizes)
                 at = bounds[doc] + starts

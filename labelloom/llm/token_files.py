@@ -17,13 +17,11 @@ first; columns besides the id and the text are not written.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.words import CHUNK, hashes, spans
+from labelloom.llm.words import hashes, spans
 
 SCHEMA = "doc_id long, part int, offset long, n_tokens int, ids array<int>"
 #: Pieces whose ids a worker remembers before it starts over.
@@ -121,16 +119,6 @@ class Encoder:
         ids = flat[np.repeat(begin[place] - total[:-1], each) + np.arange(total[-1])]
         return ids, np.diff(total[pieces])
 
-    def batch(self, texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        at = 0
-        while at < len(texts):
-            last, size = at, 0
-            while last < len(texts) and (last == at or size + len(texts[last]) <= 2 * CHUNK):
-                size += len(texts[last]) + 1
-                last += 1
-            yield (at, last, *self.chunk(texts[at:last]))
-            at = last
-
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
@@ -146,12 +134,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, id_col
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from labelloom.llm.words import encoded
+        from labelloom.llm.words import parts
 
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             keys = batch.column(0)
-            for first, last, ids, counts in encoder(tokenizer).batch(encoded(batch.column(1))):
+            for first, texts in parts(batch.column(1)):
+                ids, counts = encoder(tokenizer).chunk(texts)
                 sizes = counts + 1
                 total = np.concatenate(([0], np.cumsum(sizes)))
                 out = np.empty(total[-1], dtype=np.int32)
@@ -159,7 +148,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, id_col
                 spot = np.ones(len(out), dtype=bool)
                 spot[total[1:] - 1] = False
                 out[spot] = ids
-                n = last - first
+                n = len(texts)
                 yield pa.RecordBatch.from_arrays([
                     keys.slice(first, n), pa.array(np.full(n, part, dtype=np.int32)),
                     pa.array(before + total[:-1]), pa.array(sizes.astype(np.int32)),

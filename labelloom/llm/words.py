@@ -89,11 +89,28 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         at = last
 
 
-def encoded(column) -> list[bytes]:
-    """An Arrow string column as bytes; null is empty."""
+def parts(column, limit: int = 2 * CHUNK) -> Iterator[tuple[int, list[bytes]]]:
+    """An Arrow string column as bytes (null is empty), a few megabytes at a time, each with the
+    number of its first row.  Memory that Arrow has done with goes back at the end."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
+    data = column.cast(pa.binary())
+    sizes = pc.binary_length(data).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.concatenate(([0], np.cumsum(sizes)))
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + limit, side="right")) - 1)
+        yield at, [b"" if v is None else v for v in data.slice(at, end - at).to_pylist()]
+        at = end
+    pa.default_memory_pool().release_unused()
+
+
+def column_chunks(column, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """:func:`chunks` of a whole Arrow column, rows counted from its first; ``lower`` turns A-Z to a-z."""
+    for at, texts in parts(column):
+        for first, last, h, bounds in chunks([t.lower() for t in texts] if lower else texts):
+            yield at + first, at + last, h, bounds
 
 
 def window_hashes(h: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
