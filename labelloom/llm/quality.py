@@ -171,10 +171,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                  pa.array([r[1] for r in rows], pa.list_(pa.float32()))], names=["doc_id", "label", "ids", "weights"])
 
     got = chosen.mapInArrow(count, "doc_id long, label int, ids array<int>, weights array<float>").toArrow()
-    got = got.sort_by("doc_id")
+    # Views of the collected columns, put in the order of the ids without another copy.
     rows = [(i.values.to_numpy(zero_copy_only=False), w.values.to_numpy(zero_copy_only=False))
             for i, w in zip(got["ids"], got["weights"], strict=True)]
-    return train(rows, got["label"].to_numpy().astype(np.int64), bits=bits, dim=dim, epochs=epochs, rate=rate,
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    rows, known_labels = [rows[i] for i in order], got["label"].to_numpy().astype(np.int64)[order]
+    return train(rows, known_labels, bits=bits, dim=dim, epochs=epochs, rate=rate,
                  batch=batch, seed=seed)
 
 
