@@ -1,19 +1,22 @@
-"""Benchmark decontamination by canonical templates.
+"""Benchmark decontamination by word windows and canonical templates.
 
-Method.  A text becomes lower-case words in which numbers, names (capitalised words inside a sentence)
-and units after a number are typed placeholders.  Windows of ``k`` template words of the benchmark
-are joined by hash with those of the documents; windows with fewer than ``min_literal`` ordinary words
-are left out on the benchmark's side, so tables of numbers match nothing.  Where a matching
+Method.  Windows of ``k`` words of the benchmark are joined by hash with those of the documents, in two ways.
+*Word for word*: lower-case words as they stand; an item of fewer than ``k`` words is one window as long as itself.
+*By template*: numbers, names (capitalised words inside a sentence) and units after a number are typed placeholders;
+windows with fewer than ``min_literal`` ordinary words are left out on the benchmark's side.  Where a matching
 window holds slots, the values must map one to one along the alignment of document and item:
 a re-parameterised question changes its values consistently, an accident does not.
-An item is found in a document when ``min_share`` of its windows match.
+An item is found in a document when ``min_share`` of its windows match in either way, or when ``run`` or more of its
+words stand there one after another.
 
 Everything is DataFrame expressions.  The windows of the documents are never shuffled as long as the
 benchmark's windows, which are counted first, number at most ``broadcast_rows``; beyond that the
-join shuffles the hashes.  Texts meet only the few matches with slots again.
+join shuffles the hashes.  Texts meet only the few matches with slots again.  A document has one window for each word, and
+two where it holds a slot.
 
-Edge cases: null and empty texts have no windows; items with fewer than ``k`` words have none
-either and are never found; repeated items are reported each, rows sharing an id are
+Edge cases: null and empty texts have no windows; windows without a letter match nothing, so tables of numbers are
+no copies and items of numbers alone are never found; an item of one or two words is found in every document that
+holds them; changed values are looked for in items of ``k`` words or more; repeated items are reported each, rows sharing an id are
 one document; documents with
 a null id are found under the null id; empty tables give an empty result; other columns are not read.
 """
@@ -45,46 +48,109 @@ def canonical(text: Column, keep_values: bool = False) -> Column:
     return F.array_remove(F.split(F.lower(t), r"[^\p{L}\p{M}#@~0-9]+"), "")
 
 
-def _windows(words: Column, k: int) -> Column:
-    """Hash of every run of ``k`` words.  ``words`` should be a column, not an expression: it is used twice."""
+def plain_words(text: Column) -> Column:
+    """Lower-case words of a text as they stand; digits and letters are parted as in a template."""
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[0-9]+", " $0 ")
+    return F.array_remove(F.split(t, r"[^\p{L}\p{M}0-9]+"), "")
+
+
+def _is_slot(word: Column) -> Column:
+    return F.substring(word, 1, 1).isin(*MARKS)
+
+
+def _template(values: Column) -> Column:
+    """Template words of the words that ``canonical`` gives with their values."""
+    return F.transform(values, lambda w: F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w))
+
+
+def _all_starts(words: Column, k: int) -> Column:
+    return F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
+
+
+def _windows(words: Column, k: int, starts: Column, template: Column | None = None) -> Column:
+    """``pos, hash, template`` of the runs of ``k`` words at ``starts``.  ``words`` should be a column, not an expression."""
+    template = F.lit(False) if template is None else template
     value = F.transform(words, lambda w: F.xxhash64(w))
-    starts = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
     bound = F.transform(F.array(F.struct(value.alias("v"), starts.alias("s"))), lambda x: F.transform(
-        x["s"], lambda i: F.xxhash64(F.slice(x["v"], i + 1, F.lit(k)))))
+        x["s"], lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(x["v"], i + 1, F.lit(k))).alias("hash"), template.alias("template"))))
     return F.element_at(bound, 1)
 
 
 def _slots(words: Column) -> Column:
-    return F.filter(words, lambda w: F.substring(w, 1, 1).isin(*MARKS))
+    return F.filter(words, _is_slot)
 
 
 def benchmark_windows(benchmark: DataFrame, *, item_col: str, text_col: str, k: int, min_literal: int) -> DataFrame:
-    """``item_id, ipos, hash, slots, usable``: usable windows of each item, and how many it has."""
-    words = benchmark.select(F.col(item_col).alias("item_id"), canonical(F.col(text_col)).alias("words"),
-                             canonical(F.col(text_col), True).alias("values"))
-    each = words.select("item_id", "values", F.posexplode(_windows(F.col("words"), k)).alias("ipos", "hash"))
-    each = each.withColumn("slots", _slots(F.slice("values", F.col("ipos") + 1, F.lit(k))))
-    each = each.where(F.size("slots") <= k - min_literal).select("item_id", "ipos", "hash", "slots").distinct()
-    usable = each.groupBy(F.col("item_id").alias("u_item")).agg(F.countDistinct("ipos").alias("usable"))
-    return each.join(usable, F.col("item_id").eqNullSafe(F.col("u_item"))).drop("u_item")
+    """``item_id, literal, ipos, hash, len, slots, usable``: windows of each item, word for word and by template, and how
+    many it has of that kind."""
+    texts = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text"))
+    words = texts.select("item_id", plain_words(F.col("text")).alias("words"))
+    words = words.withColumn("len", F.least(F.size("words"), F.lit(k))).where("len > 0")
+    whole = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(F.transform("words", lambda w: F.xxhash64(w))).alias("hash"),
+                             F.lit(False).alias("template")))
+    own = F.when(F.col("len") < k, whole).otherwise(_windows(F.col("words"), k, _all_starts(F.col("words"), k)))
+    plain = words.select("item_id", "words", "len", F.inline(own)).where(
+        F.exists(F.slice("words", F.col("pos") + 1, F.col("len")), lambda w: ~w.rlike("^[0-9]")))
+    plain = plain.select("item_id", F.lit(True).alias("literal"), F.col("pos").alias("ipos"), "hash", "len",
+                         F.array().cast("array<string>").alias("slots"))
+    values = texts.select("item_id", canonical(F.col("text"), True).alias("values"))
+    words = values.select("item_id", "values", _template(F.col("values")).alias("words"))
+    each = words.select("item_id", "values", F.inline(_windows(F.col("words"), k, _all_starts(F.col("words"), k))))
+    each = each.withColumn("slots", _slots(F.slice("values", F.col("pos") + 1, F.lit(k)))).where(F.size("slots") <= k - min_literal)
+    each = each.select("item_id", F.lit(False).alias("literal"), F.col("pos").alias("ipos"), "hash", F.lit(k).alias("len"), "slots")
+    each = plain.unionByName(each).distinct()
+    usable = each.groupBy(F.col("item_id").alias("u_item"), F.col("literal").alias("u_literal")).agg(
+        F.countDistinct("ipos").alias("usable"))
+    same = F.col("item_id").eqNullSafe(F.col("u_item")) & (F.col("literal") == F.col("u_literal"))
+    return each.join(usable, same).drop("u_item", "u_literal")
+
+
+def document_windows(texts: DataFrame, k: int, lengths: list[int]) -> DataFrame:
+    """``doc_id, row, pos, hash, template``: all windows of ``lengths`` words as they stand and, of texts that hold a slot,
+    those of ``k`` template words.  In a text without slots the former are template windows too."""
+    slotted = F.col("text").rlike(rf"[0-9{MARKS}]|{NAME}")
+    values = F.when(slotted, canonical(F.col("text"), True)).otherwise(F.array().cast("array<string>"))
+    words = texts.select("doc_id", "row", plain_words(F.col("text")).alias("words"), values.alias("values"))
+    words = words.withColumn("template", _template(F.col("values")))
+    both = F.size("values") == 0
+    seen = [_windows(F.col("words"), n, _all_starts(F.col("words"), n), both) for n in lengths]
+    seen.append(_windows(F.col("template"), k, _all_starts(F.col("template"), k), F.lit(True)))
+    return words.select("doc_id", "row", F.inline(F.concat(*seen)))
+
+
+def _found_literally(hits: DataFrame, k: int, min_share: float, run: int) -> DataFrame:
+    """Items found word for word."""
+    need = max(run - k, 0)  # a run of windows holds k - 1 words more than windows
+    aligned = hits.where("literal").groupBy("doc_id", "row", "item_id", "usable", "shift").agg(
+        F.array_sort(F.collect_set("ipos")).alias("ipos"))
+    # Sorted distinct positions: those ``need`` places apart that differ by ``need`` enclose a run.
+    unbroken = F.exists(F.transform("ipos", lambda p, i: F.get("ipos", i + need) - p == need), lambda x: x)
+    found = aligned.groupBy("doc_id", "item_id", "usable").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("ipos")))).cast("long").alias("windows"),
+        F.max((F.size("ipos") > need) & F.coalesce(unbroken, F.lit(False)) & (F.col("usable") > need)).alias("unbroken"))
+    return found.select("doc_id", "item_id", "usable", "windows", F.lit(False).alias("changed"),
+                        (F.col("unbroken") | (F.col("windows") >= F.col("usable") * min_share)).alias("found"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id", item_text_col: str = "text", k: int = 8, min_literal: int = 5,
-         min_share: float = 0.5, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """``doc_id, item_id, windows, usable, changed``: items found, with the number of their windows that match and
-    whether any slot holds another value than in the benchmark."""
+         min_share: float = 0.5, run: int = 13, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``doc_id, item_id, windows, usable, changed``: items found, with the number of their windows that match and that
+    could match (by template where enough do, else in the way in which the larger share does), and whether
+    any slot holds another value than in the benchmark."""
     items = stage(benchmark_windows(benchmark, item_col=item_col, text_col=item_text_col, k=k, min_literal=min_literal),
                   "benchmark-windows")
     small = F.broadcast(items) if items.count() <= broadcast_rows else items
+    lengths = sorted({r.len for r in items.select("len").distinct().collect()} | {k})  # at most k
     # Rows that share an id are told apart by their text.
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    words = texts.select("doc_id", "row", canonical(F.col("text")).alias("words"))
-    seen = words.select("doc_id", "row", F.posexplode(_windows(F.col("words"), k)).alias("pos", "hash"))
+    seen = document_windows(texts, k, lengths)
     hits = stage(seen.join(small, "hash").select(
-        "doc_id", "row", "item_id", "ipos", "usable", "pos", (F.col("pos") - F.col("ipos")).alias("shift"), "slots"), "hits")
+        "doc_id", "row", "item_id", "literal", "ipos", "usable", "pos", (F.col("pos") - F.col("ipos")).alias("shift"), "slots", "template"), "hits")
+    literal = _found_literally(hits, k, min_share, run)
 
-    plain = hits.where(F.size("slots") == 0).select("doc_id", "item_id", "usable", "ipos", F.lit(False).alias("changed"))
+    hits = hits.where("not literal")
+    plain = hits.where(F.size("slots") == 0).select("doc_id", "item_id", "usable", "ipos", F.lit(False).alias("changed"), "template")
     slotted = hits.where(F.size("slots") > 0)
     wanted = slotted.select(F.col("doc_id").alias("w_id"), F.col("row").alias("w_row")).distinct()
     same_row = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row"))
@@ -98,11 +164,17 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
         F.size("pairs") == F.size(F.array_distinct(F.col("pairs.d"))))
     changed = F.exists("pairs", lambda p: p["b"] != p["d"])
     consistent = aligned.where(one_to_one).select(
-        "doc_id", "item_id", "usable", F.explode("ipos").alias("ipos"), changed.alias("changed"))
+        "doc_id", "item_id", "usable", F.explode("ipos").alias("ipos"), changed.alias("changed"), F.lit(True).alias("template"))
+    # A window without slots also matches words that are names in the document; the reported number leaves these out.
     found = plain.unionByName(consistent).groupBy("doc_id", "item_id", "usable").agg(
-        F.countDistinct("ipos").alias("windows"), F.max("changed").alias("changed"))
-    return found.where(F.col("windows") >= F.col("usable") * min_share).select(
-        "doc_id", "item_id", "windows", F.col("usable").cast("long").alias("usable"), "changed")
+        F.countDistinct(F.when(F.col("template"), F.col("ipos"))).alias("windows"), F.countDistinct("ipos").alias("folded"),
+        F.max("changed").alias("changed"))
+    found = found.withColumn("first", F.col("windows") >= F.col("usable") * min_share).withColumn(
+        "found", F.col("folded") >= F.col("usable") * min_share).drop("folded")
+    found = found.unionByName(literal.withColumn("first", F.lit(False))).groupBy("doc_id", "item_id").agg(
+        F.max_by(F.struct("windows", "usable"), F.struct("first", F.col("windows") / F.col("usable"))).alias("best"),
+        F.max("changed").alias("changed"), F.max("found").alias("found"))
+    return found.where("found").select("doc_id", "item_id", "best.windows", F.col("best.usable").cast("long").alias("usable"), "changed")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:

@@ -68,3 +68,22 @@ def test_a_large_benchmark_is_not_broadcast(spark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     bench = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
     assert len(contamination.find(docs, bench, broadcast_rows=0).collect()) == 1
+
+
+DENSE = "In 1912 Anna sold 3 kg for 20 eur and 5 kg for 30 eur to Karl, Otto and 12 men of Bonn at 7 h"
+LONG = ("the heavy stone wall along the northern edge of that field was built by hand during one long winter and it has "
+        "kept every sheep of the farm safe since then although nobody has ever mended a single part of it in all those years")
+
+
+def pairs(spark, docs, items):
+    found = contamination.find(spark.createDataFrame(docs, "doc_id long, text string"),
+                               spark.createDataFrame(items, "item_id long, text string"))
+    return {(r.doc_id, r.item_id): r.changed for r in found.collect()}
+
+
+def test_copies_word_for_word_are_found_whatever_they_hold(spark):
+    part = " ".join(LONG.split()[10:24])
+    docs = [(1, f"so it says: {DENSE}, they say"), (2, "well, Who wrote the old Song? nobody knows"), (3, f"once {part} but not here"),
+            (4, " ".join(part.split()[:12]) + " but"), (5, "who wrote the song"), (6, "1 2 3 4 5 6 7 8 9")]
+    items = [(20, DENSE), (21, "Who wrote the old song?"), (22, LONG), (23, "3 4 5"), (24, "")]
+    assert pairs(spark, docs, items) == {(1, 20): False, (2, 21): False, (3, 22): False}
