@@ -2,7 +2,8 @@
 
 Method.  Windows of ``k`` words of the benchmark are joined by hash with those of the documents, in two ways.
 *Word for word*: lower-case words as they stand; an item of fewer than ``k`` words is one window as long as itself.
-*By template*: numbers, names (capitalised words inside a sentence) and units after a number are typed placeholders;
+*By template*: numbers, names (capitalised words inside a sentence) and units after a number are typed placeholders; a capitalised word
+that opens a sentence and is a name elsewhere in its text counts both as a name and as an ordinary word;
 windows with fewer than ``min_literal`` ordinary words are left out on the benchmark's side.  Where a matching
 window holds slots, the values must map one to one along the alignment of document and item:
 a re-parameterised question changes its values consistently, an accident does not.
@@ -26,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.functions.arrays import let
 from labelloom.functions.staging import stage
 from labelloom.llm.graph import without
 
@@ -33,19 +35,49 @@ from labelloom.llm.graph import without
 MARKS = "#@~"
 #: The look behind stands after the capital, so it is only tried there.
 NAME = r"\p{Lu}(?<=[\p{Ll}\p{N},;:][ \t\r\n].)\p{Ll}+"
+#: A capitalised word that is no NAME where it stands, as at the start of a sentence.
+OPENING = r"\p{Lu}(?<![\p{L}\p{M}\p{N}@].)\p{Ll}++(?![\p{L}\p{M}])"
 UNITS = (
     "mm|cm|m|km|mg|g|kg|t|ml|cl|l|s|sec|secs|seconds|min|mins|minutes|h|hr|hrs|hours|days|weeks|months|years|"
     "inch|inches|ft|feet|yards|miles|mph|oz|lb|lbs|pounds|percent|eur|usd|euros|dollars|cents|degrees|w|kw|kwh|v|hz"
 )
 
 
+SPLIT = rf"[^\p{{L}}\p{{M}}{MARKS}0-9]+"
+LONG = 1 << 30
+
+
 def canonical(text: Column, keep_values: bool = False) -> Column:
     """Template words of a text; with ``keep_values`` each placeholder is followed by its value."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{MARKS}]", " ")
     t = F.regexp_replace(t, NAME, " @$0 " if keep_values else " @ ")
+    return F.array_remove(F.split(F.lower(_numbers(t, keep_values)), SPLIT), "")
+
+
+def _numbers(t: Column, keep_values: bool) -> Column:
     t = F.regexp_replace(t, rf"([0-9]+) ?((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", " #$1 ~$2 " if keep_values else " # ~ ")
-    t = F.regexp_replace(t, "(?<![#0-9])[0-9]+" if keep_values else "[0-9]+", " #$0 " if keep_values else " # ")
-    return F.array_remove(F.split(F.lower(t), r"[^\p{L}\p{M}#@~0-9]+"), "")
+    return F.regexp_replace(t, "(?<![#0-9])[0-9]+" if keep_values else "[0-9]+", " #$0 " if keep_values else " # ")
+
+
+def valued(text: Column) -> Column:
+    """Words of ``canonical`` with values; ``~@`` marks those that open a sentence and are names elsewhere in the text."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{MARKS}]", " ")
+    t = F.regexp_replace(t, NAME, " @$0 ")
+    t = F.when(F.contains(t, F.lit("@")), F.regexp_replace(t, OPENING, " ~@$0 ")).otherwise(t)
+    found = F.array_remove(F.split(F.lower(_numbers(t, True)), SPLIT), "")
+
+    def known(words: Column) -> Column:
+        names = F.array_distinct(F.filter(words, lambda w: w.startswith("@")))
+        opening = F.array_distinct(F.transform(F.filter(words, lambda w: w.startswith("~@")), lambda w: F.substring(w, 2, LONG)))
+        return let(F.array_intersect(opening, names), lambda both: F.transform(words, lambda w: F.when(
+            w.startswith("~@") & ~F.array_contains(both, F.substring(w, 2, LONG)), F.substring(w, 3, LONG)).otherwise(w)))
+
+    return let(found, known)
+
+
+def _opened(values: Column, names: bool) -> Column:
+    """Words of ``valued`` in which opening names are names or ordinary words."""
+    return F.transform(values, lambda w: F.when(w.startswith("~@"), F.substring(w, 2 if names else 3, LONG)).otherwise(w))
 
 
 def plain_words(text: Column) -> Column:
@@ -67,12 +99,20 @@ def _all_starts(words: Column, k: int) -> Column:
     return F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
 
 
-def _windows(words: Column, k: int, starts: Column, template: Column | None = None) -> Column:
-    """``pos, hash, template`` of the runs of ``k`` words at ``starts``.  ``words`` should be a column, not an expression."""
+def _starts_around(words: Column, k: int, wanted) -> Column:
+    """Starts of the windows that hold a word for which ``wanted`` is true."""
+    places = F.filter(F.transform(words, lambda w, i: F.when(wanted(w), i)), lambda i: i.isNotNull())
+    around = F.transform(places, lambda i: F.sequence(F.greatest(i - (k - 1), F.lit(0)), F.least(i, F.size(words) - k)))
+    return F.when(F.size(words) >= k, F.array_distinct(F.flatten(around))).otherwise(F.array().cast("array<int>"))
+
+
+def _windows(words: Column, k: int, starts: Column, template: Column | None = None, named: bool = False) -> Column:
+    """``pos, hash, template, named`` of the runs of ``k`` words at ``starts``.  ``words`` should be a column, not an expression."""
     template = F.lit(False) if template is None else template
     value = F.transform(words, lambda w: F.xxhash64(w))
     bound = F.transform(F.array(F.struct(value.alias("v"), starts.alias("s"))), lambda x: F.transform(
-        x["s"], lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(x["v"], i + 1, F.lit(k))).alias("hash"), template.alias("template"))))
+        x["s"], lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(x["v"], i + 1, F.lit(k))).alias("hash"), template.alias("template"),
+                                    F.lit(named).alias("named"))))
     return F.element_at(bound, 1)
 
 
@@ -80,6 +120,13 @@ def _slots(words: Column) -> Column:
     return F.filter(words, _is_slot)
 
 
+def _template_windows(k: int) -> list[Column]:
+    """Windows of the template ``words``, and of ``named_words`` where an opening name makes a difference."""
+    opening = _starts_around(F.col("valued"), k, lambda w: w.startswith("~@"))
+    return [_windows(F.col("words"), k, _all_starts(F.col("words"), k), F.lit(True)),
+            _windows(F.col("named_words"), k, opening, F.lit(True), True)]
+
+
 def benchmark_windows(benchmark: DataFrame, *, item_col: str, text_col: str, k: int, min_literal: int) -> DataFrame:
     """``item_id, literal, ipos, hash, len, slots, usable``: windows of each item, word for word and by template, and how
     many it has of that kind."""
@@ -87,15 +134,17 @@ def benchmark_windows(benchmark: DataFrame, *, item_col: str, text_col: str, k:
     words = texts.select("item_id", plain_words(F.col("text")).alias("words"))
     words = words.withColumn("len", F.least(F.size("words"), F.lit(k))).where("len > 0")
     whole = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(F.transform("words", lambda w: F.xxhash64(w))).alias("hash"),
-                             F.lit(False).alias("template")))
+                             F.lit(False).alias("template"), F.lit(False).alias("named")))
     own = F.when(F.col("len") < k, whole).otherwise(_windows(F.col("words"), k, _all_starts(F.col("words"), k)))
     plain = words.select("item_id", "words", "len", F.inline(own)).where(
         F.exists(F.slice("words", F.col("pos") + 1, F.col("len")), lambda w: ~w.rlike("^[0-9]")))
     plain = plain.select("item_id", F.lit(True).alias("literal"), F.col("pos").alias("ipos"), "hash", "len",
                          F.array().cast("array<string>").alias("slots"))
-    values = texts.select("item_id", canonical(F.col("text"), True).alias("values"))
-    words = values.select("item_id", "values", _template(F.col("values")).alias("words"))
-    each = words.select("item_id", "values", F.inline(_windows(F.col("words"), k, _all_starts(F.col("words"), k))))
+    words = texts.select("item_id", valued(F.col("text")).alias("valued"))
+    words = words.select("item_id", "valued", _opened(F.col("valued"), False).alias("plain"), _opened(F.col("valued"), True).alias("named_"))
+    words = words.select("*", _template(F.col("plain")).alias("words"), _template(F.col("named_")).alias("named_words"))
+    each = words.select("item_id", "plain", "named_", F.inline(F.concat(*_template_windows(k))))
+    each = each.withColumn("values", F.when(F.col("named"), F.col("named_")).otherwise(F.col("plain")))
     each = each.withColumn("slots", _slots(F.slice("values", F.col("pos") + 1, F.lit(k)))).where(F.size("slots") <= k - min_literal)
     each = each.select("item_id", F.lit(False).alias("literal"), F.col("pos").alias("ipos"), "hash", F.lit(k).alias("len"), "slots")
     each = plain.unionByName(each).distinct()
@@ -106,16 +155,16 @@ def benchmark_windows(benchmark: DataFrame, *, item_col: str, text_col: str, k:
 
 
 def document_windows(texts: DataFrame, k: int, lengths: list[int]) -> DataFrame:
-    """``doc_id, row, pos, hash, template``: all windows of ``lengths`` words as they stand and, of texts that hold a slot,
+    """``doc_id, row, pos, hash, template, named``: all windows of ``lengths`` words as they stand and, of texts that hold a slot,
     those of ``k`` template words.  In a text without slots the former are template windows too."""
     slotted = F.col("text").rlike(rf"[0-9{MARKS}]|{NAME}")
-    values = F.when(slotted, canonical(F.col("text"), True)).otherwise(F.array().cast("array<string>"))
-    words = texts.select("doc_id", "row", plain_words(F.col("text")).alias("words"), values.alias("values"))
-    words = words.withColumn("template", _template(F.col("values")))
-    both = F.size("values") == 0
-    seen = [_windows(F.col("words"), n, _all_starts(F.col("words"), n), both) for n in lengths]
-    seen.append(_windows(F.col("template"), k, _all_starts(F.col("template"), k), F.lit(True)))
-    return words.select("doc_id", "row", F.inline(F.concat(*seen)))
+    values = F.when(slotted, valued(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    words = texts.select("doc_id", "row", plain_words(F.col("text")).alias("plain"), values.alias("valued"))
+    words = words.withColumn("words", _template(_opened(F.col("valued"), False))).withColumn(
+        "named_words", _template(_opened(F.col("valued"), True)))
+    both = F.size("valued") == 0
+    seen = [_windows(F.col("plain"), n, _all_starts(F.col("plain"), n), both) for n in lengths]
+    return words.select("doc_id", "row", F.inline(F.concat(*seen, *_template_windows(k))))
 
 
 def _found_literally(hits: DataFrame, k: int, min_share: float, run: int) -> DataFrame:
@@ -146,7 +195,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     seen = document_windows(texts, k, lengths)
     hits = stage(seen.join(small, "hash").select(
-        "doc_id", "row", "item_id", "literal", "ipos", "usable", "pos", (F.col("pos") - F.col("ipos")).alias("shift"), "slots", "template"), "hits")
+        "doc_id", "row", "item_id", "literal", "ipos", "usable", "pos", (F.col("pos") - F.col("ipos")).alias("shift"), "slots", "template", "named"), "hits")
     literal = _found_literally(hits, k, min_share, run)
 
     hits = hits.where("not literal")
@@ -154,9 +203,11 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     slotted = hits.where(F.size("slots") > 0)
     wanted = slotted.select(F.col("doc_id").alias("w_id"), F.col("row").alias("w_row")).distinct()
     same_row = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row"))
-    valued = texts.join(wanted, same_row).select("w_id", "w_row", canonical(F.col("text"), True).alias("values")).distinct()
-    pairs = F.arrays_zip(F.col("slots").alias("b"), _slots(F.slice("values", F.col("pos") + 1, F.lit(k))).alias("d"))
-    aligned = slotted.join(valued, same_row).select(
+    known = texts.join(wanted, same_row).select("w_id", "w_row", valued(F.col("text")).alias("values")).distinct()
+    own = F.slice("values", F.col("pos") + 1, F.lit(k))
+    own = F.when(F.col("named"), _opened(own, True)).otherwise(_opened(own, False))
+    pairs = F.arrays_zip(F.col("slots").alias("b"), _slots(own).alias("d"))
+    aligned = slotted.join(known, same_row).select(
         "doc_id", "row", "item_id", "usable", "ipos", "shift", pairs.alias("pairs"))
     aligned = aligned.groupBy("doc_id", "row", "item_id", "usable", "shift").agg(
         F.collect_set("ipos").alias("ipos"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))

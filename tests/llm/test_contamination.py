@@ -87,3 +87,16 @@ def test_copies_word_for_word_are_found_whatever_they_hold(spark):
             (4, " ".join(part.split()[:12]) + " but"), (5, "who wrote the song"), (6, "1 2 3 4 5 6 7 8 9")]
     items = [(20, DENSE), (21, "Who wrote the old song?"), (22, LONG), (23, "3 4 5"), (24, "")]
     assert pairs(spark, docs, items) == {(1, 20): False, (2, 21): False, (3, 22): False}
+
+
+NAMED = ("Mary bakes fresh bread for the village. Mary also sells warm milk there. Mary never rests before noon. "
+         "Mary walks home slowly. So Mary sleeps well")
+
+
+def test_names_do_not_depend_on_case_or_place(spark):
+    cities = "we went from London over Paris and from there to Berlin and past Madrid before we saw Rome at last"
+    docs = [(1, cities.lower()), (2, cities.upper()), (3, NAMED.replace("Mary", "Anna")), (4, NAMED.replace("Mary", "Anna").lower())]
+    short = "Mary gave every apple to my sister. Now Mary has none"
+    docs += [(5, short.replace("Mary", "Anna")), (6, "Anna gave every apple to my brother. Now Anna has none")]
+    assert pairs(spark, docs, [(20, cities), (21, NAMED), (22, short)]) == {
+        (1, 20): False, (2, 20): False, (3, 21): True, (5, 22): True}
