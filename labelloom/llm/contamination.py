@@ -5,8 +5,10 @@ Method.  Windows of ``k`` words of the benchmark are joined by hash with those o
 *By template*: numbers, names (capitalised words inside a sentence) and units after a number are typed placeholders; a capitalised word
 that opens a sentence and is a name elsewhere in its text counts both as a name and as an ordinary word;
 windows with fewer than ``min_literal`` ordinary words are left out on the benchmark's side.  Where a matching
-window holds slots, the values must map one to one along the alignment of document and item:
-a re-parameterised question changes its values consistently, an accident does not.
+window holds slots that changed, the values must map consistently along the alignment of document and item: a value that
+stands more than once and is changed everywhere tells of it, and more than half of such slots have to agree
+with what most slots of their value became; then only the windows of the others are left out.  A re-parameterised question changes its
+values consistently, an accident does not.
 An item is found in a document when ``min_share`` of its windows match in either way, or when ``run`` or more of its
 words stand there one after another.
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.arrays import let
 from labelloom.functions.staging import stage
-from labelloom.llm.graph import without
+from labelloom.llm.graph import sized, without
 
 #: Marks of the placeholders for numbers, names and units.
 MARKS = "#@~"
@@ -181,6 +183,23 @@ def _found_literally(hits: DataFrame, k: int, min_share: float, run: int) -> Dat
                         (F.col("unbroken") | (F.col("windows") >= F.col("usable") * min_share)).alias("found"))
 
 
+def _judged(pairs: Column) -> Column:
+    """``at, b, d, agrees, repeated`` of the slots ``at, b, d`` of an alignment.
+
+    A slot agrees when its value is unchanged or more than half of the slots with its value in the benchmark
+    hold the same in the document.  It tells of consistency (``repeated``) when that value stands more than once and is changed everywhere.
+    """
+    def one(p: Column, all_pairs: Column) -> Column:
+        same = F.filter(all_pairs, lambda q: q["b"] == p["b"])
+        alike = F.filter(all_pairs, lambda q: (q["b"] == p["b"]) & (q["d"] == p["d"]))
+        kept = F.exists(all_pairs, lambda q: (q["b"] == p["b"]) & (q["d"] == p["b"]))
+        return F.struct(p["at"].alias("at"), p["b"].alias("b"), p["d"].alias("d"),
+                        ((p["b"] == p["d"]) | (2 * F.size(alike) > F.size(same))).alias("agrees"),
+                        ((F.size(same) > 1) & ~kept).alias("repeated"))
+
+    return let(pairs, lambda all_pairs: F.transform(all_pairs, lambda p: one(p, all_pairs)))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id", item_text_col: str = "text", k: int = 8, min_literal: int = 5,
          min_share: float = 0.5, run: int = 13, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -201,21 +220,30 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     hits = hits.where("not literal")
     plain = hits.where(F.size("slots") == 0).select("doc_id", "item_id", "usable", "ipos", F.lit(False).alias("changed"), "template")
     slotted = hits.where(F.size("slots") > 0)
-    wanted = slotted.select(F.col("doc_id").alias("w_id"), F.col("row").alias("w_row")).distinct()
+    # Written, so that its own size and not that of all matches decides whether the texts are shuffled.
+    wanted = sized(stage(slotted.select(F.col("doc_id").alias("w_id"), F.col("row").alias("w_row")).distinct(), "slotted"))
     same_row = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row"))
     known = texts.join(wanted, same_row).select("w_id", "w_row", valued(F.col("text")).alias("values")).distinct()
     own = F.slice("values", F.col("pos") + 1, F.lit(k))
     own = F.when(F.col("named"), _opened(own, True)).otherwise(_opened(own, False))
-    pairs = F.arrays_zip(F.col("slots").alias("b"), _slots(own).alias("d"))
+    places = F.transform(own, lambda w, i: F.struct((F.col("ipos") + i).alias("at"), w.alias("d")))
+    places = F.filter(places, lambda x: _is_slot(x["d"]))
+    pairs = F.zip_with("slots", places, lambda b, x: F.struct(x["at"].alias("at"), b.alias("b"), x["d"].alias("d")))
     aligned = slotted.join(known, same_row).select(
         "doc_id", "row", "item_id", "usable", "ipos", "shift", pairs.alias("pairs"))
     aligned = aligned.groupBy("doc_id", "row", "item_id", "usable", "shift").agg(
-        F.collect_set("ipos").alias("ipos"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    one_to_one = (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.b")))) & (
-        F.size("pairs") == F.size(F.array_distinct(F.col("pairs.d"))))
-    changed = F.exists("pairs", lambda p: p["b"] != p["d"])
-    consistent = aligned.where(one_to_one).select(
-        "doc_id", "item_id", "usable", F.explode("ipos").alias("ipos"), changed.alias("changed"), F.lit(True).alias("template"))
+        F.collect_list(F.struct("ipos", "pairs")).alias("seen"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    aligned = aligned.withColumn("pairs", _judged(F.col("pairs")))
+    known = F.filter("pairs", lambda p: p["repeated"])
+    trusted = 2 * F.size(F.filter("pairs", lambda p: p["repeated"] & p["agrees"])) > F.size(known)
+    aligned = aligned.withColumn("trusted", trusted | (F.size(known) == 0)).withColumn(
+        "clashing", F.transform(F.filter("pairs", lambda p: ~p["agrees"]), lambda p: F.struct(p["at"].alias("at"), p["b"].alias("b"), p["d"].alias("d"))))
+    differs = lambda p: p["b"] != p["d"]
+    consistent = aligned.withColumn("changed", F.col("trusted") & F.exists("pairs", differs)).select(
+        "doc_id", "item_id", "usable", "trusted", "clashing", "changed", F.inline("seen"))
+    agrees = F.col("trusted") & ~F.arrays_overlap("pairs", "clashing")
+    consistent = consistent.where(agrees | ~F.exists("pairs", differs)).select(
+        "doc_id", "item_id", "usable", "ipos", "changed", F.lit(True).alias("template"))
     # A window without slots also matches words that are names in the document; the reported number leaves these out.
     found = plain.unionByName(consistent).groupBy("doc_id", "item_id", "usable").agg(
         F.countDistinct(F.when(F.col("template"), F.col("ipos"))).alias("windows"), F.countDistinct("ipos").alias("folded"),

@@ -100,3 +100,13 @@ def test_names_do_not_depend_on_case_or_place(spark):
     docs += [(5, short.replace("Mary", "Anna")), (6, "Anna gave every apple to my brother. Now Anna has none")]
     assert pairs(spark, docs, [(20, cities), (21, NAMED), (22, short)]) == {
         (1, 20): False, (2, 20): False, (3, 21): True, (5, 22): True}
+
+
+def test_one_clash_costs_its_windows_only(spark):
+    way = ("the bus drives 60 km to the town and then it goes 2 km to the lake where 3 boys and 4 girls wait "
+           "while another 3 boys and 9 dogs walk 7 km along the shore")
+    merged = way.replace("3 boys", "5 boys").replace("4 girls", "5 girls").replace("60", "80").replace("2 km", "6 km").replace("9", "8")
+    unit = way.replace("2 km", "1 miles").replace("60", "80").replace("3", "6").replace("4", "1").replace("9", "7").replace("7 km", "9 km")
+    edited = way.replace("another 3", "another 8")
+    docs = [(1, merged), (2, unit), (3, edited), (4, merged.replace("another 5", "another 8"))]
+    assert pairs(spark, docs, [(20, way)]) == {(1, 20): True, (2, 20): True, (3, 20): True}
