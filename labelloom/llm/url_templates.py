@@ -3,14 +3,16 @@
 Method.  Digits of a path become ``#``; equal shapes of a host are counted once, with the good
 and bad labels of their pages.  The tree is built level by level from the host down.  Below one
 template, a segment with fewer than ``min_support`` pages is variable and joins the wildcard
-``*``; the others are ordered by their share of bad labels and merged as long as neighbours do not differ
-(two-proportion test, ``z`` below ``similar``).  The largest merged branch is the wildcard.
+``*``; the others are ordered by their share of bad labels, and each joins the branch before it as long as it does not differ
+from any member (two-proportion test, ``z`` below ``similar``).  The largest merged branch is the wildcard.
 Segments from ``depth`` on form one last segment.  A template is rejected when its share of good labels,
 smoothed by its host's share and that by the share of all labels, is below ``purity``.
 
 Everything is DataFrame expressions.  Pages are aggregated by host and shape before any join; the
 way back joins on (host, shape, salt), so a host or shape with a third of all pages is spread
 over ``salts`` keys.
+  Siblings are compared by their distinct pairs of good and bad labels, in one row for each
+template; the comparisons grow with the square of these pairs in one branch.
 
 Edge cases: a null url or one without ``://`` has an empty host and path and takes part as such;
 repeated pages count as often as they stand there; pages without labels only add support; an
@@ -24,6 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelloom.functions.arrays import let
 from labelloom.functions.staging import stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,19 +54,31 @@ def by_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
 def _merged(child: DataFrame, similar: float) -> DataFrame:
     """``host, template, part, branch`` for well-supported segments below each template.
 
-    Segments are put in order of their share of bad labels and cut where neighbours differ significantly;
-    what stands between two cuts is one branch.  The branch with most pages is the wildcard.
+    Segments are put in order of their share of bad labels; one that differs significantly from any member of the
+    branch before it begins the next branch.  The branch with most pages is the wildcard.
     """
     siblings = Window.partitionBy("host", "template")
-    order = siblings.orderBy("share", "part")
     c = child.withColumn("seen", F.col("good") + F.col("bad")).withColumn("share", F.col("bad") / F.col("seen"))
-    c = c.withColumn("n0", F.lag("seen").over(order)).withColumn("b0", F.lag("bad").over(order))
-    pooled = (F.col("bad") + F.col("b0")) / (F.col("seen") + F.col("n0"))
-    spread = pooled * (1 - pooled) * (1 / F.col("seen") + 1 / F.col("n0"))
-    apart = F.col("share") - F.col("b0") / F.col("n0")
-    cut = F.coalesce((spread > 0) & (apart * apart >= similar * similar * spread), F.lit(False)).cast("int")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = c.withColumn("cut", cut).withColumn("group", F.sum("cut").over(so_far))
+    c = c.withColumn("kind", F.struct("share", "seen", "bad"))
+    kinds = c.select("host", "template", "kind").distinct().groupBy("host", "template").agg(
+        F.array_sort(F.collect_list("kind")).alias("kinds"))
+
+    def differ(x: Column, y: Column) -> Column:
+        pooled = (x["bad"] + y["bad"]) / (x["seen"] + y["seen"])
+        spread = pooled * (1 - pooled) * (1 / x["seen"] + 1 / y["seen"])
+        apart = x["share"] - y["share"]
+        return (spread > 0) & (apart * apart >= similar * similar * spread)
+
+    def add(state: Column, x: Column) -> Column:
+        begins = F.exists(state["branch"], lambda y: differ(x, y))
+        return let(begins, lambda new: F.struct(
+            F.when(new, F.array(x)).otherwise(F.concat(state["branch"], F.array(x))).alias("branch"),
+            F.when(new, F.concat(state["cuts"], F.array(x))).otherwise(state["cuts"]).alias("cuts")))
+
+    empty = F.array().cast("array<struct<share:double,seen:bigint,bad:bigint>>")
+    cuts = kinds.select("host", "template", F.aggregate(
+        "kinds", F.struct(empty.alias("branch"), empty.alias("cuts")), add, lambda state: state["cuts"]).alias("cuts"))
+    c = c.join(cuts, ["host", "template"]).withColumn("group", F.size(F.filter("cuts", lambda x: x <= F.col("kind"))))
     together = Window.partitionBy("host", "template", "group")
     c = c.withColumn("pages", F.sum("n").over(together)).withColumn("parts_in", F.count(F.lit(1)).over(together))
     c = c.withColumn("main", F.max(F.struct(F.col("pages"), (-F.col("group")).alias("g"))).over(siblings))

@@ -80,3 +80,24 @@ def test_query_on_the_whole_table(spark, sf_dir):
         action, text = rule(host, path)
         assert (r.host, r.path, r.rule) == (host, path, text) and r.verdict in ("allow", "block")
         assert action is None or r.verdict == action
+
+
+def test_many_siblings_do_not_chain_bad_ones_to_good_ones(spark):
+    urls, labels = [], []
+    for section in range(40):
+        for page in range(50):
+            i = section * 50 + page
+            urls.append(f"https://h.example/x{'abcdefgh'[section // 8]}{'ijklmnop'[section % 8]}/{i}")
+            labels.append((i, 0 if page < section * 50 / 39 else 1))
+    known = spark.createDataFrame(labels, "url_label_key long, good int")
+    got = {r.page_id: r for r in url_templates.judge(pages(spark, urls), known, ()).collect()}
+    verdicts = [got[section * 50].verdict for section in range(40)]
+    assert verdicts[:10] == ["allow"] * 10 and verdicts[-10:] == ["block"] * 10
+    # Siblings that differ significantly share no template.
+    bad = [sum(page < section * 50 / 39 for page in range(50)) for section in range(40)]
+    for x in range(40):
+        for y in range(x):
+            pooled = (bad[x] + bad[y]) / 100
+            spread = pooled * (1 - pooled) * (2 / 50)
+            if spread > 0 and ((bad[x] - bad[y]) / 50) ** 2 >= 1.96**2 * spread:
+                assert got[x * 50].template != got[y * 50].template
