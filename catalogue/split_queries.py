@@ -171,9 +171,17 @@ def head_per_split(spark, sf):
 @query("exact_rank", """
 SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place FROM documents""")
 def exact_rank(spark, sf):
-    """Rank by length inside the language, in buckets of 256 characters."""
+    """Rank by length inside the language, in ranges cut by the data."""
     d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
-    ranked = R.exact_rank(
-        d, ["lang"], levels=[F.floor(-F.col("n_chars") / 256)], order=[F.desc("n_chars"), F.col("doc_id")], name="place"
-    )
-    return ranked.select("doc_id", "place")
+    return R.range_rank(d, ["lang"], [F.desc("n_chars"), F.col("doc_id").asc()], name="place").select("doc_id", "place")
+
+
+@query("source_numbers", """
+SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS source_no,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, count(*) OVER (PARTITION BY source) AS n_rows
+FROM documents""")
+def source_numbers(spark, sf):
+    """Position inside the source, size and number of the source, from one dealing of the rows."""
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    ranked = R.range_rank(d, ["source"], [F.col("doc_id").asc()], name="place", total="n_rows", group_no="source_no")
+    return ranked.select("doc_id", "source_no", "place", "n_rows")

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelloom.functions.staging import stage
+
 HASH_DIGITS = 3  # 4,096 buckets per partition; 4 digits give 65,536
 
 
@@ -95,6 +97,58 @@ def _bucket_offsets(sizes: DataFrame, n_groups: int, n_levels: int) -> DataFrame
     return out
 
 
+def dealt_in_order(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df`` written in ``order``, with ``_at``: number of the range (high bits) and place in it (low 33 bits).
+
+    The cut points are the quantiles Spark samples for a range shuffle, with a second sample of
+    input partitions that hold much, so ranges follow the data: one constant value or one
+    hot key is cut by whatever comes after it in the order, and full ties are cut by a hash of
+    the row's place.  ``df`` is read twice (sample and shuffle): give a written table of thin rows.
+    """
+    tied = df.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = tied.repartitionByRange(*order, F.col("_tie")).sortWithinPartitions(*order, "_tie")
+    return stage(dealt.drop("_tie").withColumn("_at", F.monotonically_increasing_id()), "in-order")
+
+
+def range_rank(
+    df: DataFrame,
+    partition: Sequence[str],
+    order: Sequence[Column],
+    name: str = "rank",
+    total: str | None = None,
+    group_no: str | None = None,
+) -> DataFrame:
+    """Add the 1-based position of each row inside its ``partition``; no buckets need be named.
+
+    Rows are dealt into sampled ranges of (partition, order) and numbered where they lie; one row
+    for each range and partition value is summed up.  ``total`` names a column for the size of the partition,
+    ``group_no`` one for the 0-based number of the partition value (ascending, null first).
+    Full ties are numbered in any order.  Runs jobs: the dealt rows are written.
+    """
+    keyed = df.withColumn("_group", F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(partition)], F.lit(0).alias("one")))
+    written = dealt_in_order(keyed, [*[F.col(c).asc_nulls_first() for c in partition], *order])
+    written = written.withColumn("_range", F.shiftright("_at", 33))
+    runs = written.groupBy("_range", "_group").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    own = Window.partitionBy("_group")
+    earlier = own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    if total:
+        runs = runs.withColumn(total, F.sum("_size").over(own))
+    if group_no:
+        # A partition value is counted in the range it begins in.
+        runs = runs.withColumn("_begins", (F.col("_before") == 0).cast("long"))
+        begun = runs.groupBy("_range").agg(F.sum("_begins").alias("_begun"))
+        ranges = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+        begun = begun.select("_range", F.coalesce(F.sum("_begun").over(ranges), F.lit(0)).alias("_begun"))
+        inside = Window.partitionBy("_range").orderBy("_first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        runs = runs.withColumn("_inside", F.sum("_begins").over(inside)).join(begun, "_range")
+        runs = runs.withColumn(group_no, F.col("_begun") + F.col("_inside") - 1)
+    extra = [c for c in (total, group_no) if c]
+    ranked = written.join(runs.select("_range", "_group", "_first", "_before", *extra), ["_range", "_group"])
+    place = F.col("_at") - F.col("_first") + F.col("_before") + 1
+    return ranked.withColumn(name, place.cast("long")).drop("_range", "_group", "_at", "_first", "_before")
+
+
 def hash_rank(
     df: DataFrame,
     partition: Sequence[str],

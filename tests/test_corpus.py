@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.text import ANY_SCRIPT
 from labelloom.operators import consensus, dedup, integrity, splits
-from labelloom.operators.ranking import exact_rank, first_k, hash_rank
+from labelloom.operators.ranking import dealt_in_order, exact_rank, first_k, hash_rank, range_rank
 
 
 def test_consensus_rules(spark):
@@ -250,3 +250,30 @@ def test_digest_ignores_order_and_sees_duplicates_and_tampering(spark):
     assert integrity.content_digest(twice, ["id", "t"]).first().fp_sum != d[0].fp_sum
     tampered = df.withColumn("t", F.coalesce("t", F.lit("")))
     assert integrity.content_digest(tampered, ["id", "t"]).collect() != d
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_range_rank_equals_row_number_and_numbers_the_groups(spark, parts):
+    rows = [(None if i % 5 == 0 else f"g{i % 3}", i % 4, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, v long, k long").repartition(parts)
+    got = range_rank(df, ["g"], [F.col("v").desc(), F.col("k").asc()], total="n", group_no="no").collect()
+    want = {}
+    for no, g in enumerate([None, "g0", "g1", "g2"]):
+        own = sorted((-v, k) for h, v, k in rows if h == g)
+        want |= {k: (place, len(own), no) for place, (_, k) in enumerate(own, start=1)}
+    assert {r.k: (r["rank"], r.n, r.no) for r in got} == want
+    empty = range_rank(df.limit(0), ["g"], [F.col("k").asc()], total="n", group_no="no")
+    assert empty.collect() == [] and empty.columns == ["g", "v", "k", "n", "no", "rank"]
+
+
+@pytest.mark.parametrize("order", [["c", "k"], ["c"]])
+def test_ranges_of_one_constant_value_are_even(spark, order):
+    """A unique id, or nothing but the row's place, cuts what one value would keep together."""
+    df = spark.range(40_000).select(F.lit("x").alias("c"), F.col("id").alias("k"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so small ranges are joined up
+    try:
+        dealt = dealt_in_order(df, [F.col(c).asc() for c in order])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in dealt.groupBy(F.shiftright("_at", 33)).count().collect()]
+    assert len(sizes) == 8 and sum(sizes) == 40_000 and max(sizes) <= 2 * sum(sizes) / len(sizes)
