@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from labelloom.functions.staging import fresh_path
 from labelloom.llm import (
-    contamination, jaccard_join, main_text, mixing, quality, repeats, secrets, token_files, top_inner, url_templates,
+    contamination, jaccard_join, main_text, merkle, mixing, quality, repeats, secrets, token_files, top_inner, url_templates,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,6 +154,22 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    rows = docs.select("doc_id", "source", merkle.record([*fields, F.col("text")]).alias("leaf"),
+                       merkle.record([*fields, F.coalesce(tampered, F.col("text"))]).alias("found"))
+    proven = merkle.prove(rows, carry=["found"])
+    folded = proven.withColumn("folded", merkle.fold(F.col("carry.found"), F.col("steps")))
+    hexed = merkle.hexed
+    return folded.select(
+        F.col("id").alias("doc_id"), hexed("leaf").alias("leaf"), hexed("subroot").alias("subroot"), hexed("root").alias("root"),
+        F.sha2(merkle.siblings(F.col("steps")), 256).alias("proof_sha256"), hexed("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
@@ -189,3 +205,49 @@ reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, link.y FR
 SELECT d.doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(r) AS component_id
 FROM d JOIN reach ON reach.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+_FRAMED = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_FIELDS = " || ".join(_FRAMED.format(c) for c in (
+    "CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)"))
+
+ORACLES["op13_merkle_manifest"] = rf"""
+WITH RECURSIVE c AS (
+  SELECT *, list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x:
+      [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda s, e:
+      CASE WHEN e >= 0 THEN xor(s, e) ELSE xor(s >> 1, (s & 1) * 3988292384) END, 4294967295::BIGINT) AS crc
+  FROM documents),
+h AS (
+  SELECT doc_id, source, sha256({_FIELDS} || {_FRAMED.format("text")}) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256({_FIELDS} || {_FRAMED.format("replace(text, chr(10), '')")})
+      ELSE sha256({_FIELDS} || {_FRAMED.format("text")}) END AS found FROM c),
+d AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t FROM h),
+up AS (
+  SELECT t, 0 AS level, i, n, leaf AS digest FROM d
+  UNION ALL
+  SELECT t, level + 1, i // 3, (max(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY i))
+  FROM up WHERE n > 1 GROUP BY t, level, i // 3),
+sub AS (SELECT t, digest AS subroot, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS level, t AS i, n, subroot AS digest FROM sub
+  UNION ALL
+  SELECT level + 1, i // 3, (max(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 3),
+node AS (SELECT * FROM up UNION ALL SELECT -1, level, i, n, digest FROM top),
+beside AS (
+  SELECT a.t, a.level, a.i, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+    coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM node a LEFT JOIN node b ON a.t = b.t AND a.level = b.level AND a.i // 3 = b.i // 3 AND a.i <> b.i
+  WHERE a.n > 1 GROUP BY a.t, a.level, a.i),
+walk AS (
+  SELECT d.t AS own, d.i AS leaf_i, d.t, 0 AS level, d.i, d.n, '' AS proof, found AS folded FROM d
+  UNION ALL
+  SELECT own, leaf_i, CASE WHEN w.n > 1 THEN w.t ELSE -1 END, CASE WHEN w.n > 1 THEN w.level + 1 ELSE 0 END,
+    CASE WHEN w.n > 1 THEN w.i // 3 ELSE w.t END, CASE WHEN w.n > 1 THEN (w.n + 2) // 3 ELSE (SELECT max(n) FROM sub) END,
+    CASE WHEN w.n > 1 THEN proof || l || r ELSE proof END, CASE WHEN w.n > 1 THEN sha256(l || folded || r) ELSE folded END
+  FROM walk w LEFT JOIN beside b ON w.t = b.t AND w.level = b.level AND w.i = b.i WHERE w.n > 1 OR w.t >= 0)
+SELECT d.doc_id, d.leaf, sub.subroot, top.digest AS root, sha256(walk.proof) AS proof_sha256, walk.folded AS folded_root,
+  walk.folded = top.digest AS verified
+FROM d JOIN sub ON d.t = sub.t JOIN walk ON walk.own = d.t AND walk.leaf_i = d.i AND walk.t = -1 AND walk.n = 1
+  JOIN top ON top.n = 1
+"""
