@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -49,3 +50,41 @@ def test_query_gives_every_article(spark, sf_dir):
         inner = re.search("<article>(.*)</article>", pages[r.page_id].html, re.S)[1]
         want = " ".join(html.unescape(re.sub("<[^<>]*>", " ", re.sub("</?b>", "", inner))).split())
         assert (r.url, r.text, r.n_chars) == (pages[r.page_id].url, want, len(want))
+
+
+BODY = "<p>" + "one two three four five six seven eight nine ten " * 5 + "</p>"
+WORDS = ("one two three four five six seven eight nine ten " * 5).strip()
+
+
+@pytest.mark.parametrize("page", [
+    "<p>a b c</p><a " + " ".join(f'x{i}="v{i}"' for i in range(1000)),
+    "<p>a b c</p><a " + " ".join(f'x{i}="v{i}' for i in range(1001)),
+    "<p>a b c</p><a " + "\"'<" * 3_000_000,
+    "<p>a b c</p>" + "<a '" * 300_000,
+    "<p>a b c</p><a " + "x " * 2_000_000 + "class" + " " * 1_000_000,
+    "<p>a b c</p><!--" + "<!--" * 500_000,
+])
+def test_pages_cut_short_are_read_in_linear_time(page):
+    start = time.time()
+    assert main_text.extract(page, PRIOR) == "a b c"
+    assert time.time() - start < 15  # a second or two; the square of it would take hours
+
+
+def test_ten_megabytes_of_quotes_and_deep_nesting():
+    assert main_text.extract("<p>a b c</p>" + "\"'" * 5_000_000, PRIOR).startswith("a b c")
+    assert main_text.extract("<p>a" + "<b>x</i>" * 50_000, PRIOR).count("x") == 50_000
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<html><head><title>T</title><meta charset=x><body><h1>Head</h1>{BODY}", "Head " + WORDS),
+    (f"<head><script>document.write('<div>')</script><title>T</title></head><body>{BODY}", WORDS),
+    (f"<html><body class='home has-sidebar'>{BODY}</body></html>", WORDS),
+    (f"<body><form id=f>{BODY}<nav>menu a b</nav></form></body>", WORDS),
+    (f"<div class='page-header with-sidebar'>{BODY}<div class=sidebar>side bar</div></div>", WORDS),
+    (f"<div class='post'>{BODY}</div><div class='comments'>{BODY * 3}</div>", WORDS),
+    ("<script>if (a<b && c>'d\" ) { x(\"</p>\") }</script>" + BODY, WORDS),
+    ("<p>a &#" + "9" * 6000 + "; b &#" + "0" * 6000 + "65; c</p>", "a � b A c"),
+    ("<p>a <svg> b</p><p>c</p>", "a b c"),
+])
+def test_missing_ends_wrappers_and_references(page, text):
+    assert main_text.extract(page, PRIOR) == text
