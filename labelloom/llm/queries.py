@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from labelloom.functions.staging import fresh_path
 from labelloom.llm import (
-    contamination, jaccard_join, main_text, merkle, mixing, quality, repeats, secrets, token_files, top_inner, url_templates,
+    contamination, jaccard_join, licenses, main_text, merkle, mixing, quality, ranked_search, repeats, secrets, token_files, top_inner, url_templates,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,6 +154,24 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    label = lambda spans: F.transform(spans, lambda d: d["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    starts = F.transform("base", lambda d: d["start"].cast("long"))
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), joined(label("base")).alias("base_labels"),
+        joined(F.concat(label("base"), label("found"))).alias("labels"),
+        F.coalesce(F.array_max(F.transform("found", lambda d: d["weight"])), F.lit(0.0)).alias("score"))
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -251,3 +269,22 @@ SELECT d.doc_id, d.leaf, sub.subroot, top.digest AS root, sha256(walk.proof) AS
 FROM d JOIN sub ON d.t = sub.t JOIN walk ON walk.own = d.t AND walk.leaf_i = d.i AND walk.t = -1 AND walk.n = 1
   JOIN top ON top.n = 1
 """
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+ORACLES["op11_ranked_search"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+s AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0),
+p AS (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d),
+f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, s GROUP BY term, n_docs),
+i AS (SELECT row_number() OVER () AS q, item_id, list_distinct({_TERMS}) AS t FROM benchmark),
+q AS (SELECT q, item_id, unnest(t) AS term FROM i),
+x AS (
+  SELECT q, item_id, r, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN w USING (term), s GROUP BY q, item_id, r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id, r) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
