@@ -17,7 +17,8 @@ level, only survivors later), sorted by hash; a group of equal hashes is streame
 neighbours and never gathered.  A chunk of texts (about a megabyte) sends a hash at most once, so
 a passage in every document is no hot key.  Exact copies are found by digest first: only the copy
 with the smallest id is searched, the others are repeats from end to end.  The texts are shuffled by id once
-and that exchange serves all levels.  Positions are 96-bit hash matches at the deciding length.
+and that exchange serves all levels.  At the deciding length two windows are the same when 96 bits of two hashes of their words'
+values agree (``words`` states how seldom two words share a value).
 
 Edge cases: a null text has no words; texts below ``window`` words keep everything; rows repeated
 under one id neither precede nor repeat each other, and give one row each; a null id stands before all

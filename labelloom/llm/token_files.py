@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.words import hashes, spans
+from labelloom.llm.words import equal, hashes, spans
 
 SCHEMA = "doc_id long, part int, offset long, n_tokens int, ids array<int>"
 #: Pieces whose ids a worker remembers before it starts over.
@@ -55,7 +55,7 @@ class Encoder:
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in keep]
         self.letters = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.known: dict[int, int] = {}  # hash of a piece -> number of its entry
+        self.known: dict[bytes, int] = {}  # piece -> number of its entry
         self.entries: list[bytes] = []  # ids as little-endian 32-bit integers
         self.fast = self._same_rules()
 
@@ -99,18 +99,26 @@ class Encoder:
         pieces = np.searchsorted(starts, bounds)
         if not len(starts):
             return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
-        values, first, place = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+        # Hashes find pieces that are alike; the bytes decide.
+        _, first, place = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+        unlike = np.flatnonzero(~equal(data, starts, ends, first[place]))
+        if len(unlike):
+            place[unlike] = len(first) + np.arange(len(unlike))
+            first = np.concatenate((first, unlike))
         known, entries = self.known, self.entries
-        numbers = list(map(known.get, keys := values.tolist()))
+        keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        numbers = list(map(known.get, keys))
         if len(entries) + numbers.count(None) > REMEMBERED and entries:
             known.clear()
             entries.clear()
             numbers = [None] * len(keys)
-        begins, stops = starts[first].tolist(), ends[first].tolist()
         for i, n in enumerate(numbers):
             if n is None:
-                numbers[i] = known[keys[i]] = len(entries)
-                entries.append(self.piece(raw[begins[i] : stops[i]]))
+                n = known.get(keys[i])
+                if n is None:
+                    n = known[keys[i]] = len(entries)
+                    entries.append(self.piece(keys[i]))
+                numbers[i] = n
         own = list(map(entries.__getitem__, numbers))
         sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
         flat, begin = np.frombuffer(b"".join(own), dtype="<i4"), np.concatenate(([0], np.cumsum(sizes)[:-1]))

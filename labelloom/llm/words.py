@@ -3,10 +3,15 @@
 A word is a run of bytes other than U+0020 and U+0009 to U+000D, taken unchanged.  Texts are
 handled in chunks of about a megabyte, so memory follows the chunk and the longest text's words,
 not the batch.
+
+Error bound.  Words of up to seven bytes have values of their own.  Longer ones are taken in blocks of eight bytes with a
+bijective scramble after each, so two different ones share a value with a probability of about 2**-64 (for two
+given words; no pattern of letters collides by construction).  Windows combine the values of their halves the same way.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -14,11 +19,12 @@ import numpy as np
 
 CHUNK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Words longer than this are hashed one by one.
+_VERY_LONG = 512
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BREAK = re.compile(rb"[\x09-\x0d\x20]")
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,17 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(n, CHUNK + 4096)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
-
-
 def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last-plus-one byte of each word."""
     inside = np.concatenate(([False], ~_SPACE[data], [False]))
@@ -46,12 +41,42 @@ def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
+def _blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one integer (zeros beyond the end)."""
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """One 64-bit value per span of bytes: equal bytes give equal values wherever they stand."""
-    up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    at, size = _blocks(data), ends - starts
+    out = at[starts] & _MASK[np.minimum(size, 8)]
+    longer = size > 7
+    out = mix(np.where(longer, out ^ _BASE, out | (size.astype(np.uint64) << np.uint64(56))))
+    rest = np.flatnonzero(longer)
+    out[rest] = mix(out[rest] * _BASE + size[rest].astype(np.uint64))
+    for i in rest[size[rest] > _VERY_LONG].tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    rest, done = rest[size[rest] <= _VERY_LONG], 8
+    while len(rest := rest[size[rest] > done]):
+        block = at[starts[rest] + done] & _MASK[np.minimum(size[rest] - done, 8)]
+        out[rest] = mix(out[rest] * _BASE + block)
+        done += 8
+    return out
+
+
+def equal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether each span holds the same bytes as the span with the number in ``others``."""
+    at, size = _blocks(data), ends - starts
+    same = size == size[others]
+    rest, done = np.flatnonzero(same & (others != np.arange(len(others)))), 0
+    while len(rest):
+        mask = _MASK[np.minimum(size[rest] - done, 8)]
+        same[rest] = (at[starts[rest] + done] & mask) == (at[starts[others[rest]] + done] & mask)
+        done += 8
+        rest = rest[same[rest] & (size[rest] > done)]
+    return same
 
 
 def _long(text: bytes) -> np.ndarray:
@@ -114,14 +139,25 @@ def column_chunks(column, lower: bool = False) -> Iterator[tuple[int, int, np.nd
 
 
 def window_hashes(h: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
-    """Hash of every run of ``length`` consecutive values (also across texts: mask those)."""
+    """Hash of every run of ``length`` consecutive values (also across texts: mask those).
+
+    The value of a run follows from those of its parts of 1, 2, 4, ... values, the longest part first."""
     if len(h) < length:
         return np.zeros(0, dtype=np.uint64)
     n = len(h) - length + 1
-    out = np.full(n, np.uint64(seed * 2 + 1) * np.uint64(0xD6E8FEB86659FD93), dtype=np.uint64)
-    for j in range(length):
-        out = out * _BASE + h[j : j + n]
-    return mix(out)
+    part = mix(h + np.uint64(seed * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+    parts = [part]
+    while 2 ** len(parts) <= length:
+        half = 2 ** (len(parts) - 1)
+        part = mix(part[:-half] * _BASE + part[half:])
+        parts.append(part)
+    out, done = None, 0
+    for k in range(len(parts) - 1, -1, -1):
+        if length >> k & 1:
+            own = parts[k][done : done + n]
+            out = own if out is None else mix(out * _BASE + own)
+            done += 2**k
+    return out
 
 
 def whole(offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
