@@ -18,7 +18,6 @@ on; texts are scanned whole; columns besides the named ones are not read.
 """
 
 from __future__ import annotations
-
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -234,14 +233,15 @@ def places(words: Column, pattern: Column) -> Column:
 
 
 def _literals(known: list[Rule]) -> Column:
-    """The rules as one constant, grouped by keyword."""
+    """The rules as one constant, grouped by keyword (written as SQL: a call for every value would take longer than a scan)."""
     forms = list(FORMS)
-    by_keyword: dict[str, list[Column]] = {}
+    by_keyword: dict[str, list[str]] = {}
     for no, r in enumerate(known):
-        by_keyword.setdefault(r.keyword, []).append(F.struct(
-            F.lit(rf"(?<= ){r.pattern}(?= )").alias("pattern"), F.lit(r.hint).alias("hint"), F.lit(forms.index(r.form)).alias("form"),
-            F.lit(no).alias("no"), F.lit(r.label).alias("label"), F.lit(FORMS[r.form]).alias("weight")))
-    return F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*own).alias("rules")) for k, own in by_keyword.items()])
+        by_keyword.setdefault(r.keyword, []).append(
+            rf"named_struct('pattern', r'(?<= ){r.pattern}(?= )', 'hint', '{r.hint}', 'form', {forms.index(r.form)}, "
+            f"'no', {no}, 'label', '{r.label}', 'weight', {FORMS[r.form]}D)")
+    groups = [f"named_struct('keyword', '{k}', 'rules', array({', '.join(own)}))" for k, own in by_keyword.items()]
+    return F.expr(f"array({', '.join(groups)})")
 
 
 def _detections(words: Column, known: list[Rule]) -> Column:
@@ -297,11 +297,13 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     names = F.array(*[F.lit(f) for f in FORMS])
     some = "array<struct<start:int,end:int,label:string>>"
 
+    def phrase_places(words: Column, phrase: str, label: str) -> Column:
+        named = F.transform(places(words, F.lit(f"(?<= ){phrase}(?= )")), lambda p: F.struct(
+            p["start"].alias("start"), p["end"].alias("end"), F.lit(label).alias("label")))
+        return F.when(F.contains(words, F.lit(f" {phrase} ")), named).otherwise(F.array().cast(some))
+
     def base(words: Column) -> Column:
-        each = [F.when(F.contains(words, F.lit(f" {phrase} ")), F.transform(
-            places(words, F.lit(f"(?<= ){phrase}(?= )")), lambda p, label=label: F.struct(
-                p["start"].alias("start"), p["end"].alias("end"), F.lit(label).alias("label")))).otherwise(F.array().cast(some)) for phrase, label in BASE]
-        return F.array_sort(F.concat(*each))
+        return F.array_sort(F.concat(*[phrase_places(words, phrase, label) for phrase, label in BASE]))
 
     def found(words: Column) -> Column:
         kept = let(_detections(words, known), lambda all_: let(_uncontained(all_), _unbeaten))
