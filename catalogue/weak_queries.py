@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from catalogue.base import SEED, SQL_WS, query, table, texts
 from labelloom.functions.staging import stage
 from labelloom.operators import weak
-from labelloom.operators.lexicon import lexicon_signals, lexicons_from_table
+from labelloom.operators.lexicon import lexicon_signals
 from labelloom.operators.rules import LABEL_NAMES, LEXICONS, NEUTRAL, RULES, apply_rules, votes_long
+from labelloom.operators.term_join import with_list_counts
 from labelloom.sources.corpora import weak_label_records, weak_label_table
 
 # Neutral syllables of the fixture texts stand in for the user's lexicons.
@@ -146,21 +147,25 @@ TERM_LISTS = ("l0", "l1", "l2", "l3")
 
 
 @query("lexicon_table_signals", """
-WITH terms AS (SELECT concat('l', item_id % 4) AS lexicon, substr(text, 1, 4) AS term FROM benchmark
+WITH words AS (SELECT unnest(string_split(text, ' ')) AS term FROM documents),
+terms AS (
+  SELECT DISTINCT concat('l', length(term) % 4) AS lexicon, term FROM words
+  UNION ALL SELECT concat('l', item_id % 4), substr(text, 1, 4) FROM benchmark
   UNION ALL SELECT 'l0', substr(text, 1, 4) FROM benchmark WHERE item_id = 0),
-hits AS (SELECT doc_id, lexicon, count(*) FILTER (WHERE contains(text, term)) AS n FROM documents CROSS JOIN terms GROUP BY doc_id, lexicon)
+entries AS (SELECT lexicon, term, count(*) AS times FROM terms GROUP BY lexicon, term),
+hits AS (SELECT doc_id, lexicon, sum(times) FILTER (WHERE contains(text, term)) AS n FROM documents CROSS JOIN entries GROUP BY doc_id, lexicon)
 SELECT doc_id, """ + ", ".join(
-    f"max(n) FILTER (WHERE lexicon = '{n}')::INTEGER AS n_{n}, max(n) FILTER (WHERE lexicon = '{n}') > 0 AS has_{n}"
+    f"coalesce(max(n) FILTER (WHERE lexicon = '{n}'), 0)::INTEGER AS n_{n}, coalesce(max(n) FILTER (WHERE lexicon = '{n}'), 0) > 0 AS has_{n}"
     for n in TERM_LISTS) + " FROM hits GROUP BY doc_id")
 def lexicon_table_signals(spark, sf):
-    """Term lists read from a table; one entry stands there twice and counts twice."""
+    """Every word of every document is an entry (some hundred thousand), by length; a few more entries, one of them twice."""
     start = F.substring("text", 1, 4).alias("term")
-    items = table(spark, sf, "benchmark")
-    terms = items.select(F.concat(F.lit("l"), F.col("item_id") % 4).alias("lexicon"), start).unionByName(
+    items, docs = table(spark, sf, "benchmark"), texts(spark, sf)
+    words = docs.select(F.explode(F.split("text", " ")).alias("term")).distinct()
+    terms = words.select(F.concat(F.lit("l"), F.length("term") % 4).alias("lexicon"), "term").unionByName(
+        items.select(F.concat(F.lit("l"), F.col("item_id") % 4).alias("lexicon"), start)).unionByName(
         items.where("item_id = 0").select(F.lit("l0").alias("lexicon"), start))
-    lexicons = lexicons_from_table(terms, TERM_LISTS)
-    sig = lexicon_signals(texts(spark, sf), "text", lexicons, TERM_LISTS)
-    return sig.select("doc_id", *[f"{p}_{n}" for n in TERM_LISTS for p in ("n", "has")])
+    return with_list_counts(docs.select("doc_id", "text"), "doc_id", "text", stage(terms, "terms"), TERM_LISTS).drop("text")
 
 
 @query("lf_votes_long", f"WITH {SQL_VOTES} SELECT doc_id, rule::INTEGER AS rule, {SQL_NAMES}[rule + 1] AS rule_name, "
