@@ -26,9 +26,9 @@ def tokens(spark, sf):
 
 
 def attributions(spark, sf):
-    """One value per word and class, derived from the word's length and place."""
-    value = ((F.length("token") * 13 + F.col("cls") * 5 + F.col("pos")) % 21 - 10).cast("double")
-    return tokens(spark, sf).withColumn("cls", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("value", value)
+    """Each word of each document with one value per class, derived from the word's length and place."""
+    value = [((F.length("token") * 13 + c * 5 + F.col("pos")) % 21 - 10).cast("double") for c in (0, 1)]
+    return tokens(spark, sf).withColumn("values", F.array(*value))
 
 
 @query("shap_global", f"""WITH {SQL_ATTR}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from catalogue.base import N_CLASSES, PROFILE, SQL_LABELS3, labels3, query, table, texts
+from catalogue.base import N_CLASSES, PROFILE, SQL_LABELS3, labels3, query, sql_full, table, texts
 from labelloom.functions import arrays as A
+from labelloom.functions.staging import stage
 from labelloom.functions.text import full
 from labelloom.operators import attribution as X
 from labelloom.operators import splits as S
@@ -50,7 +52,7 @@ padded AS (SELECT d.doc_id, list_concat(list_transform(range(0, 80 - coalesce(le
 SELECT doc_id, md5(array_to_string(ids, ',')) AS ids_md5, len(ids)::INTEGER AS n, len(list_filter(ids, lambda x: x > 0))::INTEGER AS n_known FROM padded""")
 def vocab_encode(spark, sf):
     docs = texts(spark, sf).select("doc_id", "text")
-    enc = V.encode(docs, "text", vocabulary(spark, sf), 5000, 80)
+    enc = V.encode(docs, "doc_id", "text", vocabulary(spark, sf), 5000, 80)
     return enc.select(
         "doc_id", F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids_md5"),
         F.size("ids").alias("n"), F.size(F.filter("ids", lambda i: i > 0)).alias("n_known"),
@@ -105,19 +107,43 @@ def model_text():
 
 def fitted(spark, sf):
     docs = labelled_documents(spark, sf)
-    return T.fit_text_model(docs.filter(F.col("split") == "train"), model_text(), "y"), docs
+    return T.fit_text_model(docs.filter(F.col("split") == "train"), "doc_id", model_text(), "y"), docs
+
+
+# Words of the labelled documents and which of them the training documents hold.
+SQL_KNOWN = f"""WITH {SQL_LABELS3},
+labelled AS (SELECT d.doc_id, d.text, split, y FROM documents d JOIN labels3 l USING (doc_id)),
+{sql_full('labelled', 'doc_id', 'text')},
+tok AS (SELECT doc_id, unnest(string_split(t, ' ')) AS token FROM norm WHERE t <> ''),
+cnt AS (SELECT doc_id, token, count(*) AS x FROM tok GROUP BY doc_id, token),
+trained AS (SELECT DISTINCT token FROM cnt JOIN labels3 USING (doc_id) WHERE split = 'train'),
+known AS (SELECT doc_id, count(*) AS n_distinct, sum(x)::BIGINT AS n_known FROM cnt JOIN trained USING (token) GROUP BY doc_id)"""
+SQL_SCORED = SQL_KNOWN + """
+SELECT l.doc_id, l.split, l.y::INTEGER AS y, coalesce(n_distinct, 0) AS n_distinct, coalesce(n_known, 0) AS n_known,
+  true AS probs_are_softmax, true AS pred_is_argmax, true AS right_more_often_than_not
+FROM labelled l LEFT JOIN known USING (doc_id)"""
+
+
+def checked_scores(model, docs):
+    """Scores of a model with what can be said of them exactly: the counts they rest on and the consistency of logits, probabilities and
+    predictions; and whether the model is right on more than half of its training documents."""
+    features = T.text_features(docs, "doc_id", model_text(), model.vocabulary, model.size)
+    sizes = features.select("doc_id", F.size(F.filter(vector_to_array("features"), lambda x: x > 0)).cast("long").alias("n_distinct"),
+                            F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x).cast("long").alias("n_known"))
+    out = stage(model.predict(docs, model_text(), ["doc_id", "split", "y"]), "scores").join(sizes, "doc_id")
+    apart = F.array_max(F.zip_with(A.softmax("logits"), "probs", lambda a, b: F.abs(a - b)))
+    right = out.where("split = 'train'").agg((F.avg((A.argmax("probs") == F.col("y")).cast("int")) > 0.5).alias("r"))
+    return out.select(
+        "doc_id", "split", "y", "n_distinct", "n_known", (apart < 1e-9).alias("probs_are_softmax"),
+        (A.argmax("probs") == A.argmax("logits")).alias("pred_is_argmax")).withColumn("right_more_often_than_not", right.scalar())
 
 
-@query("mllib_scores")
+@query("mllib_scores", SQL_SCORED)
 def mllib_scores(spark, sf):
-    model, docs = fitted(spark, sf)
-    out = model.predict(docs, model_text(), ["doc_id", "split", "y"])
-    return out.select(
-        "doc_id", "split", "y", A.argmax("probs").alias("pred"), F.round(F.array_max("probs"), 3).alias("top_prob")
-    )
+    return checked_scores(*fitted(spark, sf))
 
 
-@query("distill_scores")
+@query("distill_scores", SQL_SCORED)
 def distill_scores(spark, sf):
     """A student trained on the teacher's softened probabilities and the truth."""
     teacher, docs = fitted(spark, sf)
@@ -125,51 +151,61 @@ def distill_scores(spark, sf):
     logits = teacher.predict(train, model_text(), ["doc_id"]).select("doc_id", "logits")
     soft = T.soft_label_rows(train, logits, "doc_id", "y", N_CLASSES)
     student = T.fit_text_model(
-        soft, model_text(), "soft_label", weight="soft_weight", vectoriser=teacher.vectoriser
+        train.select("doc_id", "text", F.col("y").alias("soft_label")), "doc_id", model_text(), "soft_label", soft=soft, weight="soft_weight",
+        like=teacher,
     )
-    out = student.predict(docs, model_text(), ["doc_id", "split", "y"])
-    return out.select("doc_id", "split", "y", A.argmax("probs").alias("pred"))
+    return checked_scores(student, docs)
 
 
-@query("linear_attributions")
-def linear_attributions(spark, sf):
-    """Contributions of the words that stand in a test document to the linear model's logits,
-    aggregated to the most important words."""
-    model, docs = fitted(spark, sf)
-    test = docs.filter(F.col("split") == "test")
-    train_counts = T.word_counts(docs.filter(F.col("split") == "train"), model_text(), "doc_id")
+# A linear model whose coefficients both engines can write down.
+SQL_LINEAR = SQL_KNOWN + """,
+coefs AS (SELECT token, cls, (((length(token) * 13 + ascii(token) * 7 + cls * 5) % 41) - 20) / 8.0::DOUBLE AS coef
+  FROM trained, (VALUES (0), (1), (2)) c(cls)),
+n_train AS (SELECT count(*) AS n FROM labels3 WHERE split = 'train'),
+means AS (SELECT token, sum(x)::DOUBLE / (SELECT n FROM n_train) AS mean FROM cnt JOIN labels3 USING (doc_id) WHERE split = 'train' GROUP BY token),
+test_cnt AS (SELECT c.* FROM cnt c JOIN labels3 USING (doc_id) WHERE split = 'test'),
+vals AS (SELECT doc_id, token, cls, coef * (x - mean) AS value FROM test_cnt JOIN coefs USING (token) JOIN means USING (token))"""
+
+
+def linear_parts(spark, sf):
+    """Counts of the test documents, coefficients and means of the training words."""
+    docs = labelled_documents(spark, sf)
+    counts = stage(T.word_counts(docs, model_text(), "doc_id").join(labels3(spark, sf).select("doc_id", "split"), "doc_id"), "counts")
+    train = counts.filter(F.col("split") == "train")
     n_train = labels3(spark, sf).filter(F.col("split") == "train").agg(F.count(F.lit(1)).alias("n"))
-    means = train_counts.groupBy("token").agg(F.sum("x").alias("_x")).withColumn(
-        "mean", F.col("_x") / n_train.scalar()
-    ).drop("_x")
-    counts = T.word_counts(test, model_text(), "doc_id").withColumnRenamed("doc_id", "uid")
-    attr = X.linear_attributions(counts, model.coefficients(docs), means)
-    return X.global_importance(attr).select("token", F.round("mean_abs", 6).alias("mean_abs"), "count")
-
-
-def explained(spark, sf):
-    """Local surrogates of an outcome-free sample of test documents."""
-    model, docs = fitted(spark, sf)
-    test = docs.filter(F.col("split") == "test")
-    sample = S.stratified_sample(test, "doc_id", "y", [0, 1, 2], 15, 42)
-    counts = T.word_counts(test.join(sample.select("doc_id"), "doc_id", "left_semi"), model_text(), "doc_id")
-    coefs = model.coefficients(docs).groupBy("token").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("cls", "coef"))), lambda s: s["coef"]).alias("c")
-    )
-    bias = [float(b) for b in model.classifier.interceptVector.toArray()]
-    rows = counts.join(coefs, "token").groupBy(F.col("doc_id").cast("string").alias("uid")).agg(
-        F.array_sort(F.collect_list(F.struct("token", "x", "c"))).alias("t")
-    )
-    instances = rows.select(
-        "uid", F.col("t.token").alias("tokens"), F.col("t.x").alias("x"), F.col("t.c").alias("coefs"),
-        F.array(*[F.lit(b) for b in bias]).alias("bias"),
-    )
-    return X.explain_locally(instances, N_CLASSES)
+    means = T.mean_counts(train, n_train.scalar())
+    coef = ((F.length("token") * 13 + F.ascii("token") * 7 + F.col("cls") * 5) % 41 - 20) / F.lit(8.0)
+    coefs = train.select("token").distinct().select("token", F.explode(F.array(*[F.lit(c) for c in range(3)])).alias("cls"))
+    test = counts.filter(F.col("split") == "test").select(F.col("doc_id").alias("uid"), "token", "x")
+    return test, coefs.withColumn("coef", coef), means, docs.filter(F.col("split") == "test").select(F.col("doc_id").alias("uid"))
 
 
-@query("local_surrogates")
-def local_surrogates(spark, sf):
-    return explained(spark, sf).withColumn("weight", F.round("weight", 6))
+@query("linear_attributions", SQL_LINEAR + """,
+place AS (SELECT doc_id, c.token, coalesce(sum(abs(value)), 0) AS v FROM test_cnt c LEFT JOIN vals USING (doc_id, token) GROUP BY doc_id, c.token)
+SELECT token, round(avg(v), 9) AS mean_abs, count(*) AS "count" FROM place GROUP BY token
+ORDER BY round(avg(v), 12) DESC, token LIMIT 100""")
+def linear_attributions(spark, sf):
+    """Contributions of the words that stand in a test document to the linear model's logits, aggregated to the most important
+    words; words that no training document holds count with 0."""
+    counts, coefs, means, _ = linear_parts(spark, sf)
+    attr = X.linear_attributions(counts, coefs, means)
+    return X.global_importance(attr.withColumn("values", F.coalesce("values", F.array().cast("array<double>")))).select(
+        "token", F.round("mean_abs", 9).alias("mean_abs"), "count")
+
+
+@query("linear_remainders", SQL_LINEAR + """,
+shift AS (SELECT cls, sum(coef * mean) AS total FROM coefs JOIN means USING (token) GROUP BY cls),
+logit AS (SELECT doc_id, cls, sum(coef * x) AS logit FROM test_cnt JOIN coefs USING (token) GROUP BY doc_id, cls),
+here AS (SELECT doc_id, cls, sum(value) AS present FROM vals GROUP BY doc_id, cls)
+SELECT l.doc_id AS uid, s.cls::INTEGER AS cls, round(coalesce(present, 0), 6) AS present,
+  round(coalesce(logit, 0) - total - coalesce(present, 0), 6) AS absent, round(coalesce(logit, 0) - total, 6) AS logit_shift
+FROM labels3 l JOIN documents USING (doc_id) CROSS JOIN shift s LEFT JOIN logit g ON g.doc_id = l.doc_id AND g.cls = s.cls
+LEFT JOIN here h ON h.doc_id = l.doc_id AND h.cls = s.cls WHERE l.split = 'test'""")
+def linear_remainders(spark, sf):
+    """What the words of a test document and all words it lacks add up to: its logit less the mean logit."""
+    counts, coefs, means, uids = linear_parts(spark, sf)
+    out = X.absent_words(counts, coefs, means, uids, N_CLASSES)
+    return out.select("uid", "cls", *[(F.round(c, 6) + 0.0).alias(c) for c in ("present", "absent", "logit_shift")])
 
 
 SAMPLE_SQL = f"""WITH {SQL_LABELS3},

@@ -1,16 +1,12 @@
 """Aggregating token attributions, and producing them for linear text models.
 
-Attributions are a long table ``(uid, pos, token, cls, value)``.
+Attributions are a table of occurrences ``(uid, pos, token, values)``, with one value for each class.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,15 +22,23 @@ def _clean(attributions: DataFrame) -> DataFrame:
     return attributions.withColumn("token", token).filter(F.col("token") != "")
 
 
+def occurrences(attributions: DataFrame, classes: Sequence[int]) -> DataFrame:
+    """Attributions listed by class, ``(uid, pos, token, cls, value)``, as one row for each occurrence (a shuffle by place).
+
+    A class without a value at a place has null there."""
+    place = [c for c in ("uid", "pos") if c in attributions.columns]
+    each = [F.sum(F.when(F.col("cls") == c, F.col("value"))) for c in classes]
+    return attributions.groupBy(*place, "token").agg(F.array(*each).alias("values"))
+
+
 def global_importance(attributions: DataFrame, k: int = 100) -> DataFrame:
     """Top k tokens by mean over occurrences of the absolute value summed over classes.
 
-    An occurrence is one place of one text, whichever classes have a value there; without ``pos`` a
-    token occurs once in a text.
+    Each row is an occurrence, so the rows shrink to one record per token in every task; null values count nothing.
     Ties are listed by token.  The trim to k happens in every task before the last merge."""
-    place = [c for c in ("uid", "pos") if c in attributions.columns]
-    places = _clean(attributions).groupBy(*place, "token").agg(F.sum(F.abs("value")).alias("_value"))
-    per_token = places.groupBy("token").agg(F.sum("_value").alias("_total"), F.count(F.lit(1)).alias("count"))
+    value = F.aggregate("values", F.lit(0.0), lambda acc, v: acc + F.abs(F.coalesce(v, F.lit(0.0))))
+    per_token = _clean(attributions).select("token", value.alias("_value")).groupBy("token").agg(
+        F.sum("_value").alias("_total"), F.count(F.lit(1)).alias("count"))
     mean = F.round(F.col("_total") / F.col("count"), DIGITS)
     return per_token.select("token", mean.alias("mean_abs"), "count").orderBy(
         F.desc("mean_abs"), "token"
@@ -43,7 +47,8 @@ def global_importance(attributions: DataFrame, k: int = 100) -> DataFrame:
 
 def class_importance(attributions: DataFrame, k: int = 30, min_count: int = 3) -> DataFrame:
     """Top k tokens per class by mean signed value, tokens seen fewer than ``min_count`` times left out."""
-    per_token = _clean(attributions).groupBy("cls", "token").agg(
+    listed = _clean(attributions).select("token", F.posexplode("values").alias("cls", "value")).filter(F.col("value").isNotNull())
+    per_token = listed.groupBy("cls", "token").agg(
         F.round(F.avg("value"), DIGITS).alias("mean_value"), F.count(F.lit(1)).alias("count")
     )
     w = Window.partitionBy("cls").orderBy(F.desc("mean_value"), "token")
@@ -124,80 +129,45 @@ def comparison_summary(per_text: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ linear-model producers
 def linear_attributions(counts: DataFrame, coefficients: DataFrame, means: DataFrame) -> DataFrame:
-    """Shapley values of the words present, for a linear text model in logit space: coef * (count - mean count).
+    """``(uid, token, values)``: Shapley values of the words present, for a linear text model in logit space, coef * (count - mean
+    count) for every class.
 
-    Words that are absent from a text also have a value, -coef * mean; together they make up what the
-    values of a text lack to its logits' distance from the mean.
-    ``counts``: (uid, token, x); ``coefficients``: (token, cls, coef); ``means``: (token, mean).
-    The model side has vocabulary x classes rows; Spark picks the join by its size.
+    Words that are absent from a text have a value too, -coef * mean; :func:`absent_words` gives their sum.
+    ``counts``: (uid, token, x), all words of the texts; ``coefficients``: (token, cls, coef); ``means``: (token, mean).
+    A word the model does not know is worth nothing, one without a mean has the mean 0.
     """
-    model = coefficients.join(means, "token")
-    return counts.join(model, "token").select(
-        "uid", "token", "cls", (F.col("coef") * (F.col("x") - F.col("mean"))).alias("value")
-    )
+    return _linear(counts, coefficients, means).select("uid", "token", "values")
+
+
+def _model_table(coefficients: DataFrame, means: DataFrame) -> DataFrame:
+    """``(token, mean, coefs)``: one row for each word of the model, coefficients in class order."""
+    rows = coefficients.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("cls", "coef"))).alias("c"))  # one entry a class
+    rows = rows.select("token", F.transform("c", lambda e: e["coef"]).alias("coefs"))
+    return rows.join(means, "token", "left").select("token", F.coalesce("mean", F.lit(0.0)).alias("mean"), "coefs")
+
+
+def _linear(counts: DataFrame, coefficients: DataFrame, means: DataFrame) -> DataFrame:
+    """Words of the texts with ``values`` and ``means`` (coef * mean), null for words the model does not know."""
+    both = counts.join(_model_table(coefficients, means), "token", "left")
+    return both.select(
+        "uid", "token", F.transform("coefs", lambda c: c * (F.col("x") - F.col("mean"))).alias("values"),
+        F.transform("coefs", lambda c: c * F.col("mean")).alias("means"))
 
 
-def explain_locally(
-    instances: DataFrame, labels: int, num_samples: int = 500, num_features: int = 15,
-    seed: int = 42, kernel_width: float = 25.0,
-) -> DataFrame:
-    """Local surrogate of a linear text classifier around each sampled text.
+def absent_words(counts: DataFrame, coefficients: DataFrame, means: DataFrame, uids: DataFrame, n_classes: int) -> DataFrame:
+    """``(uid, cls, present, absent, logit_shift)`` for every text of ``uids`` and class.
 
-    ``instances``: one row per text with ``uid`` and parallel arrays ``tokens``, ``x`` (count),
-    ``coefs`` (tokens x classes) and ``bias`` (classes).  Words are switched off at random,
-    the model scores each variant, a distance-weighted ridge regression per class yields the
-    word weights, and the ``num_features`` largest are refitted.  Texts are spread over tasks;
-    the work per text is ``num_samples`` x its distinct words.
+    ``present`` sums the values of the words that stand in the text, ``absent`` those of all other words of the model: the sum of
+    coef * mean over the whole model is one number for each class, and a text takes off what its own words have of it.
+    Together they are the distance of the text's logit from the mean logit.
     """
-    schema = "uid string, cls int, pos int, token string, weight double"
-
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                frame = surrogate_weights(
-                    list(row.tokens), np.asarray(row.x, float),
-                    np.array([np.asarray(c, float) for c in row.coefs]).reshape(len(row.tokens), labels),
-                    np.asarray(row.bias, float), num_samples, num_features, seed, kernel_width,
-                )
-                frame.insert(0, "uid", str(row.uid))
-                yield frame
-
-    return instances.select("uid", "tokens", "x", "coefs", "bias").mapInPandas(explain, schema)
-
-
-def surrogate_weights(tokens, x, coefs, bias, num_samples, num_features, seed, kernel_width):
-    d = len(tokens)
-    if d == 0:
-        return pd.DataFrame({"cls": [], "pos": [], "token": [], "weight": []}).astype(
-            {"cls": "int32", "pos": "int32", "token": "str", "weight": "float64"}
-        )
-    rng = np.random.RandomState(seed)
-    on = np.ones((num_samples, d))
-    for i, size in enumerate(rng.randint(1, d + 1, num_samples - 1), start=1):
-        on[i, rng.choice(d, size, replace=False)] = 0.0
-    logits = on @ (coefs * x[:, None]) + bias
-    z = np.exp(logits - logits.max(axis=1, keepdims=True))
-    probs = z / z.sum(axis=1, keepdims=True)
-    cosine = on.sum(axis=1) / (np.sqrt(np.maximum(on.sum(axis=1), 1e-300)) * np.sqrt(d))
-    weight = np.sqrt(np.exp(-((100.0 * (1.0 - cosine)) ** 2) / kernel_width**2))
-    out = []
-    for c in range(probs.shape[1]):
-        first = ridge(on, probs[:, c], weight, 0.01)
-        top = np.argsort(-np.abs(first), kind="stable")[:num_features]
-        final = ridge(on[:, top], probs[:, c], weight, 1.0)
-        order = np.argsort(-np.abs(final), kind="stable")
-        for pos, j in enumerate(order):
-            out.append((c, pos, tokens[top[j]], float(final[j])))
-    return pd.DataFrame(out, columns=["cls", "pos", "token", "weight"])
-
-
-def ridge(a, y, w, alpha):
-    """Weighted ridge regression with an unpenalised intercept."""
-    centre, mean = np.average(a, axis=0, weights=w), np.average(y, weights=w)
-    root = np.sqrt(w)[:, None]
-    m = (a - centre) * root
-    gram = m.T @ m + alpha * np.eye(a.shape[1])
-    return np.linalg.solve(gram, m.T @ ((y - mean) * root[:, 0]))
-
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    total = _model_table(coefficients, means).agg(F.array(*[
+        F.coalesce(F.sum(F.get("coefs", F.lit(c)) * F.col("mean")), F.lit(0.0)) for c in range(n_classes)]).alias("t"))
+    per_text = _linear(counts, coefficients, means).groupBy("uid").agg(*[
+        F.sum(F.get(name, F.lit(c))).alias(f"{name}{c}") for name in ("values", "means") for c in range(n_classes)])
+    rows = F.array(*[F.struct(F.lit(c).alias("cls"), F.coalesce(f"values{c}", F.lit(0.0)).alias("present"),
+                              F.coalesce(f"means{c}", F.lit(0.0)).alias("own")) for c in range(n_classes)])
+    each = uids.select("uid").join(per_text, "uid", "left").select("uid", F.inline(rows))
+    each = each.crossJoin(total)  # one row
+    absent = F.col("own") - F.get("t", F.col("cls"))
+    return each.select("uid", "cls", "present", absent.alias("absent"), (F.col("present") + absent).alias("logit_shift"))

@@ -1,7 +1,8 @@
 """Text classifiers on MLlib, so that prediction tables exist.
 
-Bag-of-words counts over the whole training vocabulary and multinomial logistic regression; the
-training data stays distributed, the driver holds the model (vocabulary x classes).
+Words are numbered by frequency in a distributed index, texts become sparse counts by a grouped aggregate, and multinomial
+logistic regression is fitted on them.  Index, counts and training data stay tables; the driver holds the model's
+matrix alone, at most ``num_words`` x classes numbers.
 """
 
 from __future__ import annotations
@@ -9,64 +10,86 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelloom.functions.arrays import softmax
-from labelloom.functions.staging import stage
+from labelloom.functions.staging import fresh_path, stage
 from labelloom.functions.text import words
+from labelloom.operators.vocab import fit_vocabulary, vocabulary_size
+
+#: Words a model has weights for, at most; the most frequent ones of the training texts.
+NUM_WORDS = 1 << 16
+
+
+def text_features(df: DataFrame, id_col: str, text: Column, vocabulary: DataFrame, size: int) -> DataFrame:
+    """``(id, features)`` for every row: counts of the words with an index up to ``size``, as sparse vectors.
+
+    Written once.  The vectors are made as plain structures and read back as vectors, so they never leave the JVM.
+    """
+    known = vocabulary.filter(F.col("idx") <= size).select(F.col("word").alias("token"), (F.col("idx") - 1).cast("int").alias("at"))
+    counts = word_counts(df, text, id_col).join(known, "token")
+    rows = counts.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", F.col("x").cast("double").alias("x")))).alias("_f"))
+    rows = df.select(id_col).join(rows, id_col, "left").withColumn("_f", F.coalesce("_f", F.array().cast("array<struct<at:int,x:double>>")))
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
+                      F.transform("_f", lambda p: p["at"]).alias("indices"), F.transform("_f", lambda p: p["x"]).alias("values"))
+    path = fresh_path(df.sparkSession, "features")
+    written = rows.select(id_col, vector.alias("features"))
+    written.write.parquet(path)
+    schema = T.StructType([written.schema[id_col], T.StructField("features", VectorUDT())])
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 @dataclass(frozen=True)
 class TextModel:
-    vectoriser: CountVectorizerModel
+    vocabulary: DataFrame
+    size: int
     classifier: LogisticRegressionModel
 
     def predict(self, df: DataFrame, text: Column, keep: Sequence[str]) -> DataFrame:
-        """``keep`` columns, ``logits`` and ``probs``."""
-        scored = self.classifier.transform(
-            self.vectoriser.transform(df.select(*keep, words(text).alias("_words")))
-        )
-        return scored.select(
-            *keep,
-            vector_to_array("rawPrediction").alias("logits"),
-            vector_to_array("probability").alias("probs"),
-        )
+        """``keep`` columns (the first tells rows apart), ``logits`` and ``probs``."""
+        features = text_features(df, keep[0], text, self.vocabulary, self.size)
+        scored = self.classifier.transform(features).select(
+            keep[0], vector_to_array("rawPrediction").alias("logits"), vector_to_array("probability").alias("probs"))
+        return df.select(*keep).join(scored, keep[0])
 
     def coefficients(self, df: DataFrame) -> DataFrame:
-        """``(token, cls, coef)``: vocabulary x classes rows."""
-        spark = df.sparkSession
+        """``(token, cls, coef)``: words x classes rows."""
         matrix = self.classifier.coefficientMatrix.toArray()  # one row per class (multinomial family)
-        rows = zip(self.vectoriser.vocabulary, matrix.T.tolist(), strict=True)
-        each = spark.createDataFrame(rows, "token string, coef array<double>")
-        return each.select("token", F.posexplode("coef").alias("cls", "coef"))
+        each = df.sparkSession.createDataFrame(
+            pd.DataFrame({"idx": range(1, self.size + 1), "coef": matrix.T.tolist()}), "idx long, coef array<double>")
+        named = each.join(self.vocabulary.select(F.col("word").alias("token"), "idx"), "idx")
+        return named.select("token", F.posexplode("coef").alias("cls", "coef"))
 
 
 def fit_text_model(
-    train: DataFrame, text: Column, label: str, vocab_size: int = 1 << 30, min_df: float = 1.0,
-    weight: str | None = None, max_iter: int = 20, reg: float = 0.01,
-    vectoriser: CountVectorizerModel | None = None,
+    train: DataFrame, id_col: str, text: Column, label: str, num_words: int = NUM_WORDS, max_iter: int = 20, reg: float = 0.01,
+    soft: DataFrame | None = None, weight: str | None = None, like: TextModel | None = None,
 ) -> TextModel:
     """Fit on the training partition (runs jobs).
 
-    The texts are normalised once: the words are written to the shared folder, and counting the
-    vocabulary and fitting read them from there."""
-    keep = [label] + ([weight] if weight else [])
-    tokens = stage(train.select(*keep, words(text).alias("_words")), "words")
-    if vectoriser is None:
-        vectoriser = CountVectorizer(
-            inputCol="_words", outputCol="_features", vocabSize=vocab_size, minDF=min_df
-        ).fit(tokens)
+    The texts are normalised once and written; the index and the features read them from there.  ``soft`` holds labels and
+    weights of its own (several rows a text, by id), ``like`` a model whose words are taken over.
+    """
+    texts = stage(train.select(id_col, label, text.alias("_text")), "texts")
+    if like is None:
+        vocabulary = stage(fit_vocabulary(texts, "_text", id_col), "vocabulary")
+        size = max(1, vocabulary_size(vocabulary, num_words + 1).first()[0] - 1)
+    else:
+        vocabulary, size = like.vocabulary, like.size
+    features = text_features(texts, id_col, F.col("_text"), vocabulary, size)
     lr = LogisticRegression(
-        featuresCol="_features", labelCol=label, maxIter=max_iter, regParam=reg,
-        family="multinomial", standardization=False,
+        featuresCol="features", labelCol=label, maxIter=max_iter, regParam=reg, family="multinomial", standardization=False,
     )
     if weight:
         lr = lr.setWeightCol(weight)
-    return TextModel(vectoriser, lr.fit(vectoriser.transform(tokens)))
+    labels = (texts if soft is None else soft).select(id_col, label, *([weight] if weight else []))
+    return TextModel(vocabulary, size, lr.fit(stage(labels.join(features, id_col), "training")))
 
 
 def soft_label_rows(
@@ -106,5 +129,5 @@ def word_counts(df: DataFrame, text: Column, uid: str) -> DataFrame:
 
 
 def mean_counts(counts: DataFrame, n_texts: Column) -> DataFrame:
-    """Mean count of every token over the background texts (absent ones count 0)."""
+    """``(token, mean)``: mean count of every token over the background texts (absent ones count 0)."""
     return counts.groupBy("token").agg((F.sum("x") / n_texts).alias("mean"))

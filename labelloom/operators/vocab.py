@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions.staging import stage
@@ -18,8 +12,8 @@ from labelloom.operators.ranking import exact_rank
 FILTERS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n"
 #: Positions in a text are 32-bit integers.
 PLACES = 1 << 31
-#: Index entries that are collected and sent to every worker at most.
-LARGEST_INDEX = 1_000_000
+#: Row numbers below this share a 64-bit integer with a position.
+ROWS = 1 << 32
 
 
 def tokens(text: Column | str) -> Column:
@@ -28,24 +22,26 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.translate(t, FILTERS, " " * len(FILTERS)), " "), lambda w: w != "")
 
 
-def fit_vocabulary(df: DataFrame, text: str, row_no: str) -> DataFrame:
+def fit_vocabulary(df: DataFrame, text: Column | str, row_no: str) -> DataFrame:
     """``(word, n, first_row, first_pos, idx)``: most frequent first, ties by first appearance.
 
-    The place of first appearance is one wide decimal, so the word counts are plain hash
-    aggregates; frequent words shrink to one record per task.  The counts are written once (a
-    job), since ranking reads them more than once and the texts should be read once.
+    The place of first appearance is one number, so the word counts are plain hash aggregates and
+    frequent words shrink to one record per task: an integer where the row numbers (read in a job of their own)
+    leave room for the position, a decimal elsewhere.  The counts are written once (a job), since ranking reads them
+    more than once and the texts should be read once.
     """
-    place = F.col(row_no).cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(10,0)") + F.col("pos")
-    counted = (
-        df.select(F.col(row_no).cast("long").alias(row_no), F.posexplode(tokens(text)).alias("pos", "word"))
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("_first"))
-    )
-    first_row = F.floor(F.col("_first") / F.lit(PLACES).cast("decimal(10,0)")).cast("long")
-    counted = counted.select("word", "n", first_row.alias("first_row"), "_first").select(
-        "word", "n", "first_row",
-        (F.col("_first") - F.col("first_row").cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(10,0)")).cast("long").alias("first_pos"),
-    )
+    reach = df.agg(F.min(F.col(row_no).cast("long")).alias("low"), F.max(F.col(row_no).cast("long")).alias("high")).first()
+    words = df.select(F.col(row_no).cast("long").alias("_row"), F.posexplode(tokens(text)).alias("pos", "word"))
+    if reach.low is None or 0 <= reach.low and reach.high < ROWS:
+        place = F.shiftleft("_row", 31) + F.col("pos")
+        first_row, first_pos = F.shiftright("_first", 31), F.col("_first").bitwiseAND(F.lit(PLACES - 1))
+    else:
+        wide = F.lit(PLACES).cast("decimal(10,0)")
+        place = F.col("_row").cast("decimal(20,0)") * wide + F.col("pos")
+        first_row = F.floor(F.col("_first") / wide).cast("long")
+        first_pos = (F.col("_first") - first_row.cast("decimal(20,0)") * wide).cast("long")
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("_first"))
+    counted = counted.select("word", "n", first_row.alias("first_row"), first_pos.alias("first_pos"))
     ranked = exact_rank(
         stage(counted, "word-counts"),
         partition=[],
@@ -63,36 +59,22 @@ def vocabulary_size(vocabulary: DataFrame, num_words: int) -> DataFrame:
 
 
 def encode(
-    df: DataFrame, text: str, vocabulary: DataFrame, num_words: int, max_len: int,
+    df: DataFrame, id_col: str, text: Column | str, vocabulary: DataFrame, num_words: int, max_len: int,
     out: str = "ids",
 ) -> DataFrame:
-    """Word indices per text: unknown words and indices >= ``num_words`` are dropped, the last
+    """``(id, out)``: word indices per text.  Unknown words and indices >= ``num_words`` are dropped, the last
     ``max_len`` stay, zeros pad on the left.
 
-    At most ``num_words - 1`` index entries exist (``LARGEST_INDEX`` at most); they are collected once (a job) and shipped
-    as a broadcast variable, so encoding needs no shuffle however long the texts are.
+    The words meet the index in a join that Spark plans by its size; every task then trims what it holds of a
+    text to ``max_len`` places before the texts are put together, so no more than that is gathered anywhere.
+    ``id_col`` tells the rows apart.
     """
-    if num_words > LARGEST_INDEX:
-        raise ValueError(f"an index of more than {LARGEST_INDEX} words does not fit a broadcast")
-    known = vocabulary.filter(F.col("idx") < num_words).select("word", "idx")
-    index = {r.word: r.idx for r in known.collect()}
-    shared = df.sparkSession.sparkContext.broadcast(index)
-
-    @F.pandas_udf("array<int>")
-    def lookup(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = shared.value
-        for batch in batches:
-            yield batch.map(lambda ws: pad([table[w] for w in ws if w in table], max_len))
-
-    return df.withColumn(out, lookup(tokens(text)))
-
-
-def pad(ids: list[int], max_len: int) -> np.ndarray:
-    row = np.zeros(max_len, dtype=np.int32)
-    tail = ids[-max_len:]
-    if tail:
-        row[max_len - len(tail):] = tail
-    return row
-
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    known = vocabulary.filter(F.col("idx") < num_words).select("word", F.col("idx").cast("int").alias("idx"))
+    places = df.select(id_col, F.posexplode(tokens(text)).alias("pos", "word"))
+    found = places.join(known, "word").select(id_col, "pos", "idx")
+    back = Window.partitionBy(id_col).orderBy(F.desc("pos"))
+    tail = found.withColumn("_back", F.row_number().over(back)).filter(F.col("_back") <= max_len)
+    rows = tail.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("_tail"))
+    ids = F.coalesce(F.transform("_tail", lambda p: p["idx"]), F.array().cast("array<int>"))
+    padded = F.concat(F.array_repeat(F.lit(0), F.lit(max_len) - F.coalesce(F.size("_tail"), F.lit(0))), ids)
+    return df.select(id_col).join(rows, id_col, "left").select(id_col, padded.alias(out))

@@ -32,7 +32,7 @@ def test_vocabulary_and_encoding_match_brute_force(spark):
     assert V.vocabulary_size(vocab, 5).first()[0] == 5
     assert V.vocabulary_size(vocab, 500).first()[0] == len(order) + 1
     index = {w: k + 1 for k, (w, _) in enumerate(order)}
-    got = {r.i: list(r.ids) for r in V.encode(df, "t", vocab, 6, 4).collect()}
+    got = {r.i: list(r.ids) for r in V.encode(df, "i", "t", vocab, 6, 4).collect()}
     for i, t in enumerate(texts):
         ids = [index[w] for w in split(t) if index.get(w, 99) < 6][-4:]
         assert got[i] == [0] * (4 - len(ids)) + ids
@@ -48,51 +48,68 @@ def corpus(spark):
     return spark.createDataFrame(rows, "uid int, t string, y int")
 
 
+def test_encoding_has_no_python_and_wide_row_numbers_give_the_same_index(spark):
+    df = spark.createDataFrame([(i, " ".join("abcdef"[: 1 + i % 6])) for i in range(30)], "i long, t string")
+    near = V.fit_vocabulary(df, "t", "i")
+    far = V.fit_vocabulary(df.withColumn("i", F.col("i") + (1 << 50)), "t", "i")
+    shift = F.col("first_row") - (1 << 50)
+    assert sorted(near.collect()) == sorted(far.withColumn("first_row", shift).collect())
+    plan = V.encode(df, "i", "t", near, 100, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_train_predict_distil_and_explain(spark):
     df = corpus(spark)
-    model = T.fit_text_model(df, F.col("t"), "y", vocab_size=50)
+    model = T.fit_text_model(df, "uid", F.col("t"), "y")
+    assert model.size == 8
     out = model.predict(df, F.col("t"), ["uid", "y"])
     r = out.first()
     assert len(r.logits) == len(r.probs) == 3 and sum(r.probs) == pytest.approx(1.0)
     from labelloom.functions.arrays import argmax
 
     assert out.filter(argmax("probs") == F.col("y")).count() > 110
+    small = T.fit_text_model(df, "uid", F.col("t"), "y", num_words=3)
+    assert small.size == 3 and len(small.coefficients(df).collect()) == 9
 
     soft = T.soft_label_rows(df, out.select("uid", "logits"), "uid", "y", 3)
     assert soft.count() == 360
     assert soft.groupBy("uid").agg(F.sum("soft_weight").alias("s")).filter("abs(s - 1) > 1e-9").count() == 0
-    student = T.fit_text_model(soft, F.col("t"), "soft_label", weight="soft_weight", vectoriser=model.vectoriser)
+    texts = df.withColumnRenamed("y", "soft_label")
+    student = T.fit_text_model(texts, "uid", F.col("t"), "soft_label", soft=soft, weight="soft_weight", like=model)
     assert student.predict(df, F.col("t"), ["uid", "y"]).filter(argmax("probs") == F.col("y")).count() > 110
     with pytest.raises(Exception, match="without teacher scores"):
         T.soft_label_rows(df, out.filter("uid > 5").select("uid", "logits"), "uid", "y", 3).collect()
 
-    # Shapley values of present words, plus the part of the absent ones, give the logit.
+    # Values of the words present and of all absent ones are the distance to the mean logit.
     counts = T.word_counts(df, F.col("t"), "uid")
     means = T.mean_counts(counts, F.lit(120))
-    attr = X.linear_attributions(counts, model.coefficients(df), means)
-    coef = {(r.token, r.cls): r.coef for r in model.coefficients(df).collect()}
-    mean = {r.token: r["mean"] for r in means.collect()}
-    row = next(r for r in out.collect() if r.uid == 0)
-    present = {r.token for r in counts.filter("uid = 0").collect()}
-    for c in range(3):
-        part = sum(r.value for r in attr.filter(f"uid = 0 and cls = {c}").collect())
-        absent = sum(-coef[(t, c)] * mean[t] for t in mean if t not in present)
-        base = model.classifier.interceptVector[c] + sum(coef[(t, c)] * mean[t] for t in mean)
-        assert part + absent + base == pytest.approx(row.logits[c], abs=1e-9)
-
-
-def test_local_surrogate_finds_the_deciding_word(spark):
-    rows = [("a", ["good", "and", "the"], [1, 1, 1], [[-2.0, 2.0], [0.0, 0.0], [0.0, 0.0]], [0.0, 0.0]), ("e", [], [], [], [0.0, 0.0])]
-    df = spark.createDataFrame(rows, "uid string, tokens array<string>, x array<long>, coefs array<array<double>>, bias array<double>")
-    got = X.explain_locally(df, 2, num_samples=200, num_features=2).collect()
-    first = {r.cls: r for r in got if r.pos == 0}
-    assert first[1].token == "good" and first[1].weight > 0 and first[0].weight < 0
-    assert {r.pos for r in got} == {0, 1} and {r.uid for r in got} == {"a"}
+    coefs = model.coefficients(df)
+    parts = X.absent_words(counts, coefs, means, df.select("uid"), 3)
+    shift = {(r.uid, r.cls): r.logit_shift for r in parts.collect()}
+    logits = {r.uid: r.logits for r in out.collect()}
+    middle = [np.mean([v[c] for v in logits.values()]) for c in range(3)]
+    for (uid, c), value in shift.items():
+        assert value == pytest.approx(logits[uid][c] - middle[c], abs=1e-9)
+    attr = X.linear_attributions(counts, coefs, means)
+    present = attr.select("uid", F.posexplode("values").alias("cls", "v")).groupBy("uid", "cls").agg(F.sum("v").alias("v"))
+    assert present.join(parts, ["uid", "cls"]).filter("abs(v - present) > 1e-9").isEmpty()
+
+
+def test_texts_without_a_known_word_have_features_and_remainders(spark):
+    vocab = spark.createDataFrame([("a", 1), ("b", 2)], "word string, idx long")
+    df = spark.createDataFrame([(1, "a b b zz"), (2, "zz"), (3, None), (4, "")], "uid long, t string")
+    got = {r.uid: r.features for r in T.text_features(df, "uid", F.col("t"), vocab, 2).collect()}
+    assert {k: v.toArray().tolist() for k, v in got.items()} == {1: [1.0, 2.0], 2: [0.0, 0.0], 3: [0.0, 0.0], 4: [0.0, 0.0]}
+    coefs = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 10.0)], "token string, cls int, coef double")
+    means = spark.createDataFrame([("a", 0.5)], "token string, mean double")
+    parts = X.absent_words(T.word_counts(df, F.col("t"), "uid"), coefs, means, df, 1)
+    assert {r.uid: (r.present, r.absent, r.logit_shift) for r in parts.collect()} == {
+        1: (20.5, 0.0, 20.5), 2: (0.0, -0.5, -0.5), 3: (0.0, -0.5, -0.5), 4: (0.0, -0.5, -0.5)}
 
 
 def test_importance_skips_blanks_and_breaks_ties_by_token(spark):
     rows = [("u", i, t, c, v) for i, (t, v) in enumerate([(" b ", 1.0), ("a", -1.0), ("", 9.0), (" ", 9.0), ("b", 1.0)]) for c in (0, 1)]
-    df = spark.createDataFrame(rows, "uid string, pos int, token string, cls int, value double")
+    df = X.occurrences(spark.createDataFrame(rows, "uid string, pos int, token string, cls int, value double"), (0, 1))
     got = [(r.token, r.mean_abs, r["count"]) for r in X.global_importance(df, 10).collect()]
     assert got == [("a", 2.0, 1), ("b", 2.0, 2)]
     per = X.class_importance(df, 10, min_count=2).collect()
