@@ -7,12 +7,13 @@ Three plain patterns give the base spans (leftmost, not overlapping, each kind o
 * ``hex``: 32 or more hexadecimal digits.
 
 The method adds ``lexed`` spans: assignments of source and configuration syntax (``name = value``,
-``name: value``, ``name => value``, ``name := value``, also after ``export``, ``set``, ``const`` and the like) are
-read into (name, expression) pairs.  An expression is a literal, a name, or a sum of these; constants are
+``name: value``, ``name => value``, ``name := value``, with a type annotation, as a subscript, also after ``export``, ``set``,
+``const`` and the like) are read into (name, expression) pairs.  An expression is a literal (triple quotes included), a name, or a
+sum of these, in parentheses or not, continued on the next line or not; constants are
 propagated, so a name that holds a literal hands it on, and joined parts count as one literal.  A literal
-is scored by its target's name (sensitive words, minus words that mark public or placeholder values), by
-its length and variety of characters; from ``threshold`` on, the spans of its literals are reported, unless a
-base span of the same text covers them.
+is scored by its target's name (sensitive words, less a part for each word that marks public or placeholder values), by
+its length and variety of characters; a literal of nothing but placeholder words scores nothing.  From ``threshold`` on, the
+spans of its literals are reported, unless a base span of the same text covers them.
 
 Spans are in code points, end exclusive; order is by start, then by kind as listed.
 
@@ -35,14 +36,24 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-#: A name, its operator and the start of what follows on the line.
+#: A name (a subscript's too), a type where one is declared, its operator and the start of what follows.
+_TYPE = r"""[&*]?[A-Za-z_][\w.]{0,40}(?:[<\[][\w.,\x20|<>]{0,40}[>\]])?\??"""
 PAIR = re.compile(
-    r"""(?<![\w.$-])["']?([A-Za-z_$][\w.$-]*)["']?[\x20\t]*(?::=|=>|=(?![=~])|:(?![:/]))[\x20\t]*(?=["'`\w$])""", re.A)
-LINE_END = re.compile(r"[\r\n]|\Z")
-LITERAL = re.compile(r""""((?:[^"\\\r\n]|\\.)*)"|'((?:[^'\\\r\n]|\\.)*)'|`([^`\r\n]*)`""")
+    rf"""(?:(?<![\w.$-])["']?|(?<=\[["']))([A-Za-z_$][\w.$-]*)["']?\]?
+    (?:[\x20\t]*:[\x20\t]*{_TYPE}[\x20\t]*=(?![=~>])
+      |(?:(?<=[\w$])[\x20\t]+{_TYPE})?[\x20\t]*(?::=|=>|=(?![=~])|:(?![:/])))
+    [\x20\t]*(?=[("'`\w$])""", re.A | re.X)
+#: What declares a name and its type without a colon.
+DECLARES = re.compile(r"(?:var|let|const|val)[\x20\t]+\Z")
+LITERAL = re.compile(
+    r"""\"{3}(.*?)\"{3}|'{3}(.*?)'{3}|"((?:[^"\\\r\n]|\\.)*)"|'((?:[^'\\\r\n]|\\.)*)'|`([^`\r\n]*)`""", re.S)
 NAME = re.compile(r"[A-Za-z_$][\w.$-]*", re.A)
 BARE = re.compile(r"[A-Za-z0-9+/_.=~!@#%^&*-]+", re.A)
-PLUS = re.compile(r"[\x20\t]*(?:\+|\.\.?|&)[\x20\t]*")
+_LINE = r"(?:\\?\r?\n[\x20\t]*)?"
+PLUS = re.compile(rf"[\x20\t]*{_LINE}(?:\+(?!\+)|\.\.?(?=[\x20\t\"'])|&(?!&))[\x20\t]*{_LINE}")
+#: Between literals in parentheses nothing need stand.
+BESIDE = re.compile(r"\s*(?:\\\r?\n\s*)?(?=[\"'`])")
+OPEN = re.compile(r"\([\x20\t]*(?:\r?\n[\x20\t]*)?")
 #: Parts of names that mark a secret, and how strongly.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.6, "secret": 1.0, "token": 0.9,
@@ -50,58 +61,63 @@ SENSITIVE = {
     "authorization": 0.8, "bearer": 0.9, "session": 0.4, "signature": 0.6, "signing": 0.6, "encryption": 0.7,
     "salt": 0.6, "cookie": 0.4, "key": 0.5, "api": 0.3, "client": 0.2, "webhook": 0.5, "dsn": 0.6,
 }
-#: Parts of names or literals that mark something public or a placeholder.
-HARMLESS = frozenset(
-    "public example sample test dummy placeholder changeme name path file url uri type length size count id field "
-    "header label prefix suffix regex pattern format none null true false your xxx".split())
+#: Parts of names or literals that mark something public or a placeholder, and how much they take off a name.
+HARMLESS = dict.fromkeys(
+    "public example sample test dummy placeholder changeme none null true false your xxx".split(), 0.3) | dict.fromkeys(
+    "name path file url uri type length size count id field header label prefix suffix regex pattern format".split(), 0.1)
 CUT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
 def name_score(name: str) -> float:
-    """How sensitive a target name is, from 0 to 1."""
+    """How sensitive a target name is, from 0 to 1; every harmless word takes something off."""
     parts = [p.lower() for p in CUT.split(name) if p]
-    if any(p in HARMLESS for p in parts):
-        return 0.0
     score = sum(SENSITIVE.get(p, 0.0) for p in parts)
-    if "key" in parts and {"api", "private", "access", "secret", "signing", "encryption"} & set(parts):
+    if "key" in parts and {"api", "private", "access", "secret", "signing", "encryption", "auth"} & set(parts):
         score += 0.3
-    return min(1.0, score)
+    return max(0.0, min(1.0, score) - sum(HARMLESS.get(p, 0.0) for p in parts))
 
 
 def literal_score(literal: str) -> float:
-    """How much a literal looks like a secret: its length and the entropy of its characters."""
+    """How much a literal looks like a secret: its length and the entropy of its characters; several words count half."""
     n = len(literal)
-    if n < 8 or " " in literal or any(p in HARMLESS for p in (x.lower() for x in CUT.split(literal))):
+    words = [x.lower() for x in CUT.split(literal) if x]
+    if n < 8 or (words and all(w in HARMLESS for w in words)):
+        return 0.0
+    if " " in literal and (literal.count(" ") < 2 or any(w in HARMLESS for w in words)):
         return 0.0
     entropy = -sum(c / n * math.log2(c / n) for c in map(literal.count, set(literal)))
     mixed = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, entropy / 4) * (0.5 + mixed / 8)
+    return min(1.0, entropy / 4) * (0.5 + mixed / 8) * (0.5 if " " in literal else 1.0)
 
 
-def expression(text: str, start: int, end: int, known: dict[str, tuple[str, list[tuple[int, int]]]]):
-    """The constant value between two places, its literal spans, and whether any was quoted; None when unknown."""
+def expression(text: str, start: int, known: dict[str, tuple[str, list[tuple[int, int]]]]):
+    """The constant value from a place on, its literal spans, whether any was quoted, and where it ends; None when unknown."""
     value, found, quoted, at = "", [], False, start
+    inside = OPEN.match(text, at)
+    if inside:
+        at = inside.end()
     while True:
-        literal = LITERAL.match(text, at, end)
+        literal = LITERAL.match(text, at)
         if literal:
-            group = next(g for g in (1, 2, 3) if literal[g] is not None)
+            group = literal.lastindex
             value += literal[group]
             found.append(literal.span(group))
             quoted, at = True, literal.end()
         else:
-            name = NAME.match(text, at, end)
+            name = NAME.match(text, at)
             if name and name[0] in known:
                 value += known[name[0]][0]
                 found += known[name[0]][1]
                 quoted, at = True, name.end()
             else:
-                bare = BARE.match(text, at, end)
+                bare = None if inside else BARE.match(text, at)
                 if not bare or value:
-                    return (value, found, quoted) if found else None
-                return bare[0].rstrip(".=,"), [(bare.start(), bare.start() + len(bare[0].rstrip(".=,")))], False
-        plus = PLUS.match(text, at, end)
+                    return (value, found, quoted, at) if found else None
+                word = bare[0].rstrip(".=,")
+                return word, [(bare.start(), bare.start() + len(word))], False, bare.end()
+        plus = PLUS.match(text, at) or (inside and BESIDE.match(text, at))
         if not plus:
-            return value, found, quoted
+            return value, found, quoted, at
         at = plus.end()
 
 
@@ -109,18 +125,21 @@ def lexed(text: str, threshold: float) -> list[tuple[int, int]]:
     """Spans of literals assigned to sensitive names, after constant propagation."""
     known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
     out: set[tuple[int, int]] = set()
-    at = line = 0
+    at = 0
     while pair := PAIR.search(text, at):
         at = pair.end()
-        if line < at:
-            line = LINE_END.search(text, at).start()
-        held = expression(text, at, line, known)
+        spaced = re.match(r"[\x20\t]+[&*A-Za-z_]", text[pair.end(1) : pair.end()])
+        if spaced and not DECLARES.search(text, max(0, pair.start() - 12), pair.start(1)):
+            at = pair.end(1)  # two words of prose; the second one may be a name itself
+            continue
+        held = expression(text, at, known)
         if held is None:
             known.pop(pair[1], None)
             continue
-        value, found, quoted = held
+        value, found, quoted, end = held
         if quoted:
             known[pair[1]] = value, found
+            at = max(at, end)
         else:
             known.pop(pair[1], None)
         weight = name_score(pair[1])

@@ -44,6 +44,49 @@ def test_lexed_spans(text, found):
     assert [text[a:b] for k, a, b in secrets.scan(text) if k == "lexed"] == found
 
 
+SECRET = "Ab12Cd34Ef56Gh78"
+
+
+@pytest.mark.parametrize("text", [
+    f'const signingKey: string = "{SECRET}";', f'private_key: str = "{SECRET}"', f'var authKey string = "{SECRET}"',
+    f'let auth_credential: &str = "{SECRET}";', f'cfg["signing_key"] = "{SECRET}"', f"settings['auth']['signing-key'] = '{SECRET}'",
+    f'signing_key = """{SECRET}"""', f"signing_key = \'\'\'{SECRET}\'\'\'", f'signing_key = ("{SECRET}")',
+    f'signing_key = (\n    "{SECRET}"\n)', f'webhook_url = "https://hooks.net/{SECRET}"', f'AUTH_HEADER = "{SECRET}"',
+    f'{{"signing_key": "{SECRET}"}}', f'static final String privateKey = "{SECRET}";', f'signing_key: Optional[str] = "{SECRET}"',
+    'passphrase = "blorft gramble wexing Quoft9"',
+])
+def test_syntax_of_assignments(text):
+    found = [text[a:b] for k, a, b in secrets.scan(text) if k == "lexed"]
+    assert len(found) == 1 and (SECRET in found[0] or "gramble" in found[0]), found
+
+
+@pytest.mark.parametrize(("text", "found"), [
+    ('signing_key = "Ab12Cd34" + \\\n  "Ef56Gh78"', ["Ab12Cd34", "Ef56Gh78"]),
+    ('signing_key = "Ab12Cd34"\n  + "Ef56Gh78"', ["Ab12Cd34", "Ef56Gh78"]),
+    ('signing_key = ("Ab12Cd34"\n  "Ef56Gh78")', ["Ab12Cd34", "Ef56Gh78"]),
+    ('half = "Ab12Cd34"\nsigning_key = (half +\n "Ef56Gh78")', ["Ab12Cd34", "Ef56Gh78"]),
+    ('signing_key = "your-example-placeholder"', []), ('x = 1\nthe signing key string = nothing', []),
+])
+def test_sums_over_lines_and_placeholders(text, found):
+    assert [text[a:b] for k, a, b in secrets.scan(text) if k == "lexed"] == found
+
+
+def test_generated_sources():
+    """Assignments written by templates: exactly the sensitive ones with a varied literal are found."""
+    r = random.Random(8)
+    forms = ['{n} = "{v}"', "{n}: '{v}'", '"{n}": "{v}",', "{n} := `{v}`", "export {n}={v}", 'const {n}: string = "{v}"', 'o["{n}"] = "{v}"',
+             '{n} = ("{v}")', '{n} => "{v}"', 'var {n} string = "{v}"']
+    hot, cold = ["signing_key", "db_pwd", "authCredential", "PRIVATE_KEY", "session-salt-bearer"], ["width", "title", "colour", "row_count"]
+    for _ in range(300):
+        lines, want = [], []
+        for _ in range(r.randint(1, 8)):
+            name, value = r.choice(hot + cold), "".join(r.choices("abcdefgHJKLMNP23456789", k=18)) + "Zz7"
+            lines.append(r.choice(forms).format(n=name, v=value))
+            want += [value] if name in hot else []
+        text = "\n".join(lines)
+        assert [text[a:b] for k, a, b in secrets.scan(text) if k == "lexed"] == want, text
+
+
 def test_long_line_of_pairs_is_scanned_whole():
     text = "a: b " * 40_000 + 'auth_token_x = "Ab12Cd34Ef56Gh78"'
     assert [text[a:b] for k, a, b in secrets.scan(text) if k == "lexed"] == ["Ab12Cd34Ef56Gh78"]
