@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from catalogue.base import (
-    N_CLASSES, SEEDS, SQL_PREDICTIONS, SYSTEMS, labels3, predictions, query, table,
+    N_CLASSES, SEEDS, SQL_LABELS3, SQL_PREDICTIONS, SYSTEMS, labels3, predictions, query, table,
 )
+from labelloom.functions.arrays import argmax
+from labelloom.functions.staging import fresh_path, stage
 from labelloom.operators import ensemble as E
 from labelloom.operators import metrics as M
 from labelloom.operators import selection as Sel
 from labelloom.operators import stats as H
+from labelloom.operators.integrity import content_digest
 from labelloom.plans import evaluation as P
+from labelloom.plans import selections as Sels
 
 RUN = ["system", "seed"]
 TEST = "split = 'test'"
@@ -277,18 +283,60 @@ def resolve_runs(spark, sf):
     return M.predicted(chosen).select("encoder", "alpha", "seed", "uid", "y", "pred")
 
 
-@query("ens_materialised", f"""WITH {SQL_PREDICTIONS}, ens AS ({_sql_ensemble('uniform_prob_mean')}),
-every AS (
-  SELECT 'ens' AS system, seed, split, y, CASE WHEN q0 >= q1 AND q0 >= q2 THEN 0 WHEN q1 >= q2 THEN 1 ELSE 2 END AS pred FROM ens
-  UNION ALL SELECT system, seed, split, y, pred FROM preds),
-{_sql_metrics('every', 'system, seed, split')}
-SELECT system, seed, split, n, round(macro_f1, 9) AS macro_f1 FROM runm""")
+TASK = "three"
+TEACHERS = {"primary": ["m0", "m1", "m2"], "repro": ["m2", "m0"]}
+EXPECTED = [f"{role}_{TASK}" for role in ("best_single", "teacher_primary", "teacher_repro", "ensemble")]
+
+
+def frozen_selections(spark, sf):
+    """The selections of the task and the written record of all of them."""
+    p = predictions(spark, sf)
+    inputs = content_digest(Sel.validation_only(p).withColumn("pred", argmax("probs")), ["uid", "y", "pred"]).first()
+    chosen = stage(Sels.gather(p, TASK, plan(), TEACHERS, f"{inputs.n_rows}:{inputs.fp_sum}"), "selections")
+    return chosen, Sels.freeze(chosen, fresh_path(spark, "frozen"), EXPECTED)
+
+
+def _sql_chosen() -> str:
+    """The selected ensemble over validation and test, whichever candidate it is."""
+    rules = ("uniform_prob_mean", "hard_majority", "valf1_weighted_prob_mean")
+    parts = [f"SELECT e.* FROM ({_sql_ensemble(r, s, 'pw', 'w')}) e WHERE {i} = (SELECT candidate FROM scored WHERE rank = 1)"
+             for i, (s, r) in enumerate((s, r) for s in E.subsets(SYSTEMS, 3) for r in rules)]
+    return " UNION ALL ".join(parts)
+
+
+SQL_MATERIALISED = SQL_SELECT + f""",
+pw AS (SELECT p.*, s.score AS w FROM preds p JOIN single s USING (system) WHERE split <> 'train'),
+chosen_ens AS ({_sql_chosen()}),
+fixed_ens AS ({_sql_ensemble('uniform_prob_mean', source='pw')}),
+both_ens AS (SELECT 'ens' AS system, * FROM chosen_ens UNION ALL SELECT 'ensfixed', * FROM fixed_ens)"""
+
+
+@query("ens_materialised", SQL_MATERIALISED + """
+SELECT system, seed, split, uid, y, """ + ", ".join(
+    f"round(q{c}, 9) AS p{c}, round(ln(greatest(q{c}, 1e-12)), 6) AS l{c}" for c in range(3)) + " FROM both_ens")
 def ens_materialised(spark, sf):
-    """The ensemble as one more system beside its members, scored like them."""
+    """The selected ensemble and one declared beforehand, over validation and test, read under the frozen record."""
     p = predictions(spark, sf)
-    ens = E.as_system(E.combine(p, MEMBERS, "uniform_prob_mean", N_CLASSES, ["seed", "split"]), "ens")
-    scores = P.run_scores(p.unionByName(ens), ["system", "seed", "split"], N_CLASSES)
-    return _rounded(scores.select("system", "seed", "split", "n", "macro_f1"), "macro_f1")
+    chosen, record = frozen_selections(spark, sf)
+    weights = {r.system: r.score for r in P.single_scores(p, plan()).collect()}  # one row a candidate
+    open_rows = p.filter(F.col("split") != "train")
+    ens = Sels.materialise(open_rows, record, chosen, TASK, N_CLASSES, "ens", weights)
+    fixed = Sels.materialise(open_rows, record, chosen, TASK, N_CLASSES, "ensfixed", members=MEMBERS)
+    columns = [F.round(F.get(a, F.lit(c)), d).alias(f"{n}{c}") for c in range(3) for a, d, n in (("probs", 9, "p"), ("logits", 6, "l"))]
+    return ens.unionByName(fixed).select("system", "seed", "split", "uid", "y", *columns)
+
+
+@query("selection_record", SQL_SELECT + """,
+pick AS (
+  SELECT 'best_single' AS role, (SELECT system FROM single ORDER BY score DESC, position LIMIT 1) AS chosen
+  UNION ALL SELECT 'teacher_primary', (SELECT system FROM single WHERE system IN ('m0', 'm1', 'm2') ORDER BY score DESC, system LIMIT 1)
+  UNION ALL SELECT 'teacher_repro', (SELECT system FROM single WHERE system IN ('m2', 'm0') ORDER BY score DESC, system DESC LIMIT 1)
+  UNION ALL SELECT 'ensemble', (SELECT concat(members, '|', rule) FROM scored WHERE rank = 1))
+SELECT concat(role, '_three') AS name, 'three' AS task, role, chosen FROM pick""")
+def selection_record(spark, sf):
+    """Everything that is selected for the task, frozen in one record."""
+    _, record = frozen_selections(spark, sf)
+    return record.select("name", "task", "role", "chosen")
 
 
 @query("alias_system", f"""WITH {SQL_PREDICTIONS},
@@ -382,18 +430,83 @@ def mcnemar(spark, sf):
     return out.withColumn("chi2_cc", F.round("chi2_cc", 9)).withColumn("p", F.round("p", 6))
 
 
-@query("paired_compare", SQL_TTEST + """,
+def _with_mcnemar(out, keys):
+    """The p-values of single runs as columns."""
+    def p_of(key):
+        runs = F.filter("mcnemar", lambda m: _is_run(m, key))
+        return F.round(F.get(F.transform(runs, lambda m: m["p"]), F.lit(0)), 6).alias("p_" + "_".join(map(str, key.values())))
+
+    return out.withColumn("n_mcnemar", F.size("mcnemar")).select("*", *[p_of(k) for k in keys]).drop("mcnemar")
+
+
+def _is_run(m, key):
+    same = F.lit(True)
+    for name, value in key.items():
+        same = same & (m[name] == value)
+    return same
+
+
+SQL_HOLM = """
 k AS (SELECT *, row_number() OVER (ORDER BY p, a, b) AS k, count(*) OVER () AS m FROM tp),
-h AS (SELECT x.a, x.b, max(least(1.0, (y.m - y.k + 1) * y.p)) AS p_holm FROM k x JOIN k y ON y.k <= x.k GROUP BY x.a, x.b)
-SELECT tp.a, tp.b, r, round(mean_diff, 9) AS mean_diff, round(p, 6) AS p, round(p_holm, 6) AS p_holm, 3 AS n_mcnemar
-FROM tp JOIN h ON tp.a = h.a AND tp.b = h.b""")
+h AS (SELECT x.a, x.b, max(least(1.0, (y.m - y.k + 1) * y.p)) AS p_holm FROM k x JOIN k y ON y.k <= x.k GROUP BY x.a, x.b)"""
+
+
+@query("paired_compare", SQL_TTEST + f""",
+{SQL_HOLM}, {SQL_MCNEMAR.split(', ' + SQL_PAIRS + ',', 1)[1].strip()},
+mp AS (SELECT m2.a, m2.b_system, """ + ", ".join(
+    f"round(max(CASE method WHEN 'none' THEN 1 WHEN 'exact_binomial' THEN exact_p ELSE chi_p END) FILTER (WHERE m2.seed = {s}), 6) AS p_{s}"
+    for s in SEEDS) + """
+  FROM m2 JOIN tail t ON t.seed = m2.seed AND t.a = m2.a AND t.b_system = m2.b_system GROUP BY m2.a, m2.b_system)
+SELECT tp.a, tp.b, r, df, round(mean_diff, 9) AS mean_diff, round(sd_diff, 9) AS sd_diff, round(t, 6) AS t, round(p, 6) AS p,
+  round(p_holm, 6) AS p_holm, 3 AS n_mcnemar, p_42, p_43, p_44
+FROM tp JOIN h ON tp.a = h.a AND tp.b = h.b JOIN mp ON mp.a = tp.a AND mp.b_system = tp.b""")
 def paired_compare(spark, sf):
     test = predictions(spark, sf).filter(F.col("split") == "test")
     out = P.comparison_report(test, PAIRS, N_CLASSES, *partition_sizes(spark, sf))
-    return out.select(
-        "a", "b", "r", F.round("mean_diff", 9).alias("mean_diff"), F.round("p", 6).alias("p"),
-        F.round("p_holm", 6).alias("p_holm"), F.size("mcnemar").alias("n_mcnemar"),
-    )
+    out = _with_mcnemar(out, [{"seed": s} for s in SEEDS])
+    return _rounded(_rounded(out, "mean_diff", "sd_diff"), "t", "p", "p_holm", digits=6)
+
+
+# The declared pairs name roles; who stands for them follows from the frozen record.
+DECLARED = [("@ensemble", "@best_single"), ("@best_single", "m0"), ("m3", "@teacher_primary"), ("@teacher_repro", "@teacher_primary"),
+            ("@nobody", "m1"), ("m2", "m1")]
+
+
+@query("declared_comparisons", SQL_MATERIALISED + f""",
+picks AS (
+  SELECT '@best_single' AS ref, (SELECT system FROM single ORDER BY score DESC, position LIMIT 1) AS chosen
+  UNION ALL SELECT '@teacher_primary', (SELECT system FROM single WHERE system IN ('m0', 'm1', 'm2') ORDER BY score DESC, system LIMIT 1)
+  UNION ALL SELECT '@teacher_repro', (SELECT system FROM single WHERE system IN ('m2', 'm0') ORDER BY score DESC, system DESC LIMIT 1)
+  UNION ALL SELECT '@ensemble', 'ens'),
+declared AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in DECLARED)}) d(a, b)),
+pairs AS (SELECT DISTINCT coalesce(x.chosen, d.a) AS a, coalesce(y.chosen, d.b) AS b FROM declared d LEFT JOIN picks x ON x.ref = d.a
+  LEFT JOIN picks y ON y.ref = d.b WHERE coalesce(x.chosen, d.a) <> coalesce(y.chosen, d.b) AND coalesce(x.chosen, d.a) <> '@nobody'),
+everyone AS (SELECT system, seed, y, pred FROM preds WHERE split = 'test' UNION ALL
+  SELECT system, seed, y, CASE WHEN q0 >= q1 AND q0 >= q2 THEN 0 WHEN q1 >= q2 THEN 1 ELSE 2 END FROM both_ens WHERE split = 'test'),
+{_sql_metrics('everyone', 'system, seed', 'e')},
+d AS (SELECT p.a, p.b, x.macro_f1 - y.macro_f1 AS d FROM pairs p JOIN erunm x ON x.system = p.a
+      JOIN erunm y ON y.system = p.b AND y.seed = x.seed),
+size AS (SELECT count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'test') AS n_test FROM labels3),
+tt AS (SELECT a, b, count(*) AS r, avg(d) AS mean_diff, stddev_samp(d) AS sd_diff,
+    avg(d) / sqrt((1.0::DOUBLE / count(*) + max(n_test)::DOUBLE / max(n_train)) * var_samp(d)) AS t, count(*) - 1 AS df
+  FROM d, size GROUP BY a, b),
+tp AS (SELECT *, 1 - abs(t) / sqrt(2 + t * t) AS p FROM tt), {SQL_HOLM}
+SELECT tp.a, tp.b, r, df, round(mean_diff, 9) AS mean_diff, round(t, 6) AS t, round(p, 6) AS p, round(p_holm, 6) AS p_holm
+FROM tp JOIN h ON tp.a = h.a AND tp.b = h.b""")
+def declared_comparisons(spark, sf):
+    """The comparisons of a task as they follow from its selections, the selected ensemble among the systems."""
+    p = predictions(spark, sf)
+    chosen, record = frozen_selections(spark, sf)
+    weights = {r.system: r.score for r in P.single_scores(p, plan()).collect()}  # one row a candidate
+    test = p.filter(F.col("split") == "test")
+    ens = Sels.materialise(test, record, chosen, TASK, N_CLASSES, "ens", weights)
+    names = record.withColumn("chosen", F.when(F.col("role") == "ensemble", "ens").otherwise(F.col("chosen")))
+    declared = spark.createDataFrame([(TASK, a, b) for a, b in DECLARED], "task string, a string, b string")
+    pairs = Sels.comparison_families(names, declared).orderBy("a", "b").collect()  # a report-sized list
+    everyone = stage(test.unionByName(ens.drop("logits")), "systems")
+    out = P.comparison_report(everyone, [(r.a, r.b) for r in pairs], N_CLASSES, *partition_sizes(spark, sf))
+    out = out.select("a", "b", "r", "df", "mean_diff", "t", "p", "p_holm")
+    return _rounded(_rounded(out, "mean_diff"), "t", "p", "p_holm", digits=6)
 
 
 @query("t_ci", SQL_TEST_M + f"""
@@ -409,16 +522,6 @@ def t_ci(spark, sf):
     )
 
 
-@query("system_report", SQL_TEST_M + f"""
-SELECT system, count(*) AS n_runs, """ + ", ".join(
-    f"round(avg({c}), 9) AS {c}_mean, round(stddev_samp({c}), 9) AS {c}_sd" for c in FOUR) + f""",
-  round(avg(macro_f1) - {T975_DF2} * stddev_samp(macro_f1) / sqrt(count(*)), 6) AS macro_f1_lo,
-  round(avg(macro_f1) + {T975_DF2} * stddev_samp(macro_f1) / sqrt(count(*)), 6) AS macro_f1_hi
-FROM runm GROUP BY system""")
-def system_report(spark, sf):
-    out = P.system_report(predictions(spark, sf).filter(F.col("split") == "test"), N_CLASSES)
-    out = _rounded(out, *[f"{c}_{s}" for c in FOUR for s in ("mean", "sd")])
-    return _rounded(out, "macro_f1_lo", "macro_f1_hi", digits=6)
 
 
 # Five folds and three seeds: t(0.975) for df = 14.
@@ -456,14 +559,25 @@ def fold_paired_keys(spark, sf):
     return out.select("a", "b", "seed", "fold", F.round(F.col("score_a") - F.col("score_b"), 9).alias("diff"))
 
 
+# Student's t with an even number of degrees of freedom has a closed form (here 14): with s = t / sqrt(14 + t^2) and
+# c = 14 / (14 + t^2), p = 1 - |s| (1 + c / 2 + 3 c^2 / 8 + ...), six powers of c.
+_SERIES = " + ".join(f"{math.comb(2 * k, k) / 4**k!r}::DOUBLE * power(14 / (14 + t * t), {k})" for k in range(7))
+
+
 @query("fold_comparisons", SQL_FOLDS_M + f""", {SQL_PAIRS},
 d AS (SELECT p.a, p.b, x.macro_f1 - y.macro_f1 AS d FROM pairs p JOIN runm x ON x.system = p.a
-  JOIN runm y ON y.system = p.b AND y.seed = x.seed AND y.fold = x.fold)
-SELECT a, b, count(*) AS r, round(avg(d), 9) AS mean_diff, 15 AS n_mcnemar FROM d GROUP BY a, b""")
+  JOIN runm y ON y.system = p.b AND y.seed = x.seed AND y.fold = x.fold),
+size AS (SELECT count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'test') AS n_test FROM labels3),
+tt AS (SELECT a, b, count(*) AS r, avg(d) AS mean_diff, stddev_samp(d) AS sd_diff, count(*) - 1 AS df,
+    avg(d) / sqrt((1.0::DOUBLE / count(*) + max(n_test)::DOUBLE / max(n_train)) * var_samp(d)) AS t FROM d, size GROUP BY a, b),
+tp AS (SELECT *, 1 - abs(t) / sqrt(14 + t * t) * ({_SERIES}) AS p FROM tt), {SQL_HOLM}
+SELECT tp.a, tp.b, r, df, round(mean_diff, 9) AS mean_diff, round(sd_diff, 9) AS sd_diff, round(t, 6) AS t, round(p, 6) AS p,
+  round(p_holm, 6) AS p_holm, 15 AS n_mcnemar FROM tp JOIN h ON tp.a = h.a AND tp.b = h.b""")
 def fold_comparisons(spark, sf):
     out = P.comparison_report(
         fold_predictions(spark, sf), PAIRS, N_CLASSES, *partition_sizes(spark, sf), run=("seed", "fold"))
-    return out.select("a", "b", "r", F.round("mean_diff", 9).alias("mean_diff"), F.size("mcnemar").alias("n_mcnemar"))
+    out = out.withColumn("n_mcnemar", F.size("mcnemar")).drop("mcnemar")
+    return _rounded(_rounded(out, "mean_diff", "sd_diff"), "t", "p", "p_holm", digits=6)
 
 
 @query("bootstrap_patterns", f"""WITH {SQL_PREDICTIONS},
@@ -475,9 +589,97 @@ def bootstrap_patterns(spark, sf):
     return H.bootstrap_patterns(test, ["system"], "seed", SEEDS, N_CLASSES)
 
 
-@query("boot_ci")
+_CASES = " ".join(f"WHEN h < '{t:08x}' THEN {k}" for k, t in enumerate(H.poisson_steps()))
+_F1 = " + ".join(
+    f"CASE WHEN sum(n * ((y = {c})::INTEGER + (code // {3**r} % 3 = {c})::INTEGER)) > 0 THEN "
+    f"2.0::DOUBLE * sum(n) FILTER (WHERE y = {c} AND code // {3**r} % 3 = {c}) "
+    f"/ sum(n * ((y = {c})::INTEGER + (code // {3**r} % 3 = {c})::INTEGER)) ELSE 0 END" for r in range(3) for c in range(3))
+_F1 = _F1.replace("sum(n) FILTER", "coalesce(sum(n) FILTER").replace(") / sum", "), 0) / sum")
+SQL_BOOT = f"""
+item AS (SELECT system, uid, max(y) AS y, sum(pred * CASE seed WHEN 42 THEN 1 WHEN 43 THEN 3 ELSE 9 END)::BIGINT AS code
+  FROM preds WHERE split = 'test' GROUP BY system, uid),
+hashed AS (SELECT system, y, code, k.k AS block, md5(concat('0:', k.k, ':', uid)) AS md FROM item, unnest(range(0, 500)) AS k(k)),
+parts AS (SELECT system, y, code, block * 4 + p.p AS replicate, substr(md, 1 + 8 * p.p, 8) AS h FROM hashed, (VALUES (0), (1), (2), (3)) p(p)),
+drawn AS (SELECT system, replicate, y, code, CASE {_CASES} ELSE {len(H.poisson_steps())} END AS n FROM parts),
+boot AS (SELECT system, replicate, ({_F1}) / 9 AS value FROM drawn WHERE n > 0 GROUP BY system, replicate),
+interval_of AS (SELECT system, quantile_cont(value, 0.025) AS boot_lo, quantile_cont(value, 0.975) AS boot_hi FROM boot GROUP BY system)"""
+
+
+@query("boot_ci", f"WITH {SQL_PREDICTIONS}, {SQL_BOOT} SELECT system, round(boot_lo, 9) AS boot_lo, round(boot_hi, 9) AS boot_hi FROM interval_of")
 def boot_ci(spark, sf):
-    return H.bootstrap_interval(bootstrap_patterns(spark, sf), ["system"], len(SEEDS), N_CLASSES)
+    test = M.predicted(predictions(spark, sf).filter(F.col("split") == "test"))
+    return _rounded(H.bootstrap_interval(test, ["system"], "seed", SEEDS, N_CLASSES), "boot_lo", "boot_hi")
+
+
+SQL_REPORT = """
+  SELECT system, count(*) AS n_runs, """ + ", ".join(
+    f"round(avg({c}), 9) AS {c}_mean, round(stddev_samp({c}), 9) AS {c}_sd" for c in FOUR) + f""",
+    round(avg(macro_f1) - {T975_DF2} * stddev_samp(macro_f1) / sqrt(count(*)), 6) AS macro_f1_lo,
+    round(avg(macro_f1) + {T975_DF2} * stddev_samp(macro_f1) / sqrt(count(*)), 6) AS macro_f1_hi
+  FROM runm GROUP BY system"""
+
+
+@query("system_report", SQL_TEST_M + f""", {SQL_BOOT}, report AS ({SQL_REPORT})
+SELECT report.*, round(boot_lo, 9) AS boot_lo, round(boot_hi, 9) AS boot_hi FROM report JOIN interval_of USING (system)""")
+def system_report(spark, sf):
+    """Everything a report says of a system, with both intervals."""
+    out = P.system_report(predictions(spark, sf).filter(F.col("split") == "test"), N_CLASSES, seeds=SEEDS)
+    out = _rounded(out, *[f"{c}_{s}" for c in FOUR for s in ("mean", "sd")], "boot_lo", "boot_hi")
+    return _rounded(out, "macro_f1_lo", "macro_f1_hi", digits=6)
+
+
+_TWO = _sql_metrics("two", "system, seed", "t").replace("(VALUES (0), (1), (2)) k(k)", "(VALUES (0), (1)) k(k)")
+
+
+def _sql_campaign(task: str, runs: str) -> str:
+    return f"""SELECT '{task}' AS task, system, count(*) AS n_runs, """ + ", ".join(
+        f"round(avg({c}), 9) AS {c}_mean, round(stddev_samp({c}), 9) AS {c}_sd" for c in FOUR) + f""",
+  round(avg(macro_f1) - {T975_DF2} * stddev_samp(macro_f1) / sqrt(count(*)), 6) AS macro_f1_lo,
+  round(avg(macro_f1) + {T975_DF2} * stddev_samp(macro_f1) / sqrt(count(*)), 6) AS macro_f1_hi,
+  (row_number() OVER (ORDER BY avg(macro_f1) DESC, system))::INTEGER AS place FROM {runs} GROUP BY system"""
+
+
+@query("campaign_report", SQL_TEST_M.replace("SELECT * FROM preds WHERE", "SELECT concat('sys-', system) AS system, seed, y, pred FROM preds WHERE system <> 'm3' AND") + f""",
+two AS (SELECT concat('sys-', system) AS system, seed, (y = 2)::INTEGER AS y, (p2 > p0 + p1)::INTEGER AS pred FROM preds
+  WHERE split = 'test' AND system <> 'm3'),
+{_TWO}
+{_sql_campaign('three', 'runm')} UNION ALL {_sql_campaign('binary', 'trunm')}""")
+def campaign_report(spark, sf):
+    """Two tasks over the same texts in one report; systems are found by patterns of run ids, one system is not asked for."""
+    p = predictions(spark, sf).filter(F.col("split") == "test").withColumn("run_id", F.concat("system", F.lit("__s"), "seed"))
+    two = p.withColumn("y", (F.col("y") == 2).cast("int")).withColumn("probs", F.array(
+        F.get("probs", F.lit(0)) + F.get("probs", F.lit(1)), F.get("probs", F.lit(2))))
+    both = p.withColumn("task", F.lit("three")).unionByName(two.withColumn("task", F.lit("binary")))
+    out = P.campaign_report(both.drop("system"), {"three": 3, "binary": 2}, {f"sys-m{k}": f"m{k}__s.*" for k in range(3)})
+    out = _rounded(out, *[f"{c}_{s}" for c in FOUR for s in ("mean", "sd")])
+    return _rounded(out, "macro_f1_lo", "macro_f1_hi", digits=6)
+
+
+# A hundred systems of varying quality, compared with their neighbours.
+MANY = 100
+MANY_PAIRS = [(f"s{k}", f"s{(k + 1) % MANY}") for k in range(MANY)]
+
+
+@query("mcnemar_many", f"""WITH {SQL_LABELS3},
+p AS (SELECT k, doc_id, y, CASE WHEN (doc_id * 31 + k * 17) % 101 < 40 + k % 50 THEN y ELSE (y + 1) % 3 END AS pred
+  FROM labels3, unnest(range(0, {MANY})) AS s(k) WHERE (doc_id + k) % 13 <> 0)
+SELECT concat('s', a.k) AS a, concat('s', (a.k + 1) % {MANY}) AS b_system,
+  count(*) FILTER (WHERE a.pred IS NOT NULL AND b.pred IS NOT NULL) AS n_items,
+  count(*) FILTER (WHERE a.pred IS NULL OR b.pred IS NULL) AS n_unpaired,
+  count(*) FILTER (WHERE a.pred = a.y AND b.pred <> b.y) AS b, count(*) FILTER (WHERE a.pred <> a.y AND b.pred = b.y) AS c
+FROM (SELECT k.k, doc_id, pred, p.y FROM (SELECT unnest(range(0, {MANY})) AS k) k CROSS JOIN labels3 LEFT JOIN p USING (k, doc_id)) a
+JOIN (SELECT k.k, doc_id, pred, p.y FROM (SELECT unnest(range(0, {MANY})) AS k) k CROSS JOIN labels3 LEFT JOIN p USING (k, doc_id)) b
+  ON b.k = (a.k + 1) % {MANY} AND a.doc_id = b.doc_id
+WHERE a.pred IS NOT NULL OR b.pred IS NOT NULL GROUP BY a.k""")
+def mcnemar_many(spark, sf):
+    """Paired counts among a hundred systems that do not all predict every item, from one pass."""
+    rows = labels3(spark, sf).select("doc_id", "y", F.explode(F.sequence(F.lit(0), F.lit(MANY - 1))).alias("k"))
+    rows = rows.filter((F.col("doc_id") + F.col("k")) % 13 != 0)
+    good = (F.col("doc_id") * 31 + F.col("k") * 17) % 101 < 40 + F.col("k") % 50
+    p = rows.select(F.concat(F.lit("s"), "k").alias("system"), F.lit(1).alias("seed"), F.col("doc_id").alias("uid"), "y",
+                    F.when(good, F.col("y")).otherwise((F.col("y") + 1) % 3).alias("pred"))
+    names = [f"s{k}" for k in range(MANY)]
+    return H.mcnemar_counts(H.correctness_masks(p, names, ["seed"]), names, MANY_PAIRS, ["seed"]).drop("seed")
 
 
 # -------------------------------------------------------------------------- early stopping

@@ -8,9 +8,11 @@ from catalogue.base import PROFILE, SQL_PREDICTIONS, STOP_WORDS, predictions, qu
 from catalogue.consensus_queries import SQL_RESOLVED, annotators
 from catalogue.dedup_queries import SOURCES, SQL_GROUPS, SQL_KEYS
 from catalogue.explanation_queries import SQL_ATTR, attributions
-from catalogue.split_queries import SQL_FOLDS, _sql_quota, kfold
+from catalogue.integrity_queries import _DIGEST, _sql_fp
+from catalogue.split_queries import LANGS, SQL_FOLDS, SQL_NESTED, _sql_quota, kfold
 from catalogue.weak_queries import SQL_VOTES, TERMS, _sql_weighted, _sql_weights
 from labelloom.functions.staging import fresh_path as fresh
+from labelloom.functions.staging import stage
 from labelloom.operators import attribution as X
 from labelloom.operators import consensus as C
 from labelloom.operators import dedup as D
@@ -147,12 +149,28 @@ def csv_export(spark, sf):
     return spark.read.schema(top.schema).csv(path, header=True).withColumn("mean_value", F.round("mean_value", 9))
 
 
-@query("dataset_added", "SELECT item_id, md5(text) AS text_md5 FROM benchmark")
+def _sql_all_digests(tables):
+    rows = ", ".join(f"fp_{t} AS (SELECT {_sql_fp(c)} AS fp FROM {t})" for t, c in tables.items())
+    return rows + " " + " UNION ALL ".join(f"SELECT '{t}' AS name, {_DIGEST} FROM fp_{t}" for t in tables)
+
+
+@query("json_array_round_trip", """
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_no, doc_id, md5(text) AS text_md5, source, lang AS keyword_category FROM documents""")
+def json_array_round_trip(spark, sf):
+    """The documents as JSON arrays, each file read in ranges of a quarter megabyte by as many tasks."""
+    d = texts(spark, sf).select("doc_id", "text", "source", F.col("lang").alias("keyword_category")).sortWithinPartitions("doc_id")
+    path = fresh(spark, "json-array")
+    Src.write_json_array(d, path)
+    back = Src.read_json_array(spark, path, d.schema, split=1 << 18)
+    return back.select("row_no", "doc_id", F.md5("text").alias("text_md5"), "source", "keyword_category")
+
+
+@query("dataset_added", f"""WITH {_sql_all_digests({'benchmark': ['item_id', 'text'], 'documents': ['doc_id', 'lang', 'n_chars', 'source', 'text']})}""")
 def dataset_added(spark, sf):
-    """A further table stored beside a frozen one, whose digests are compared before and after."""
-    path = fresh(spark, "benchmark")
-    Tab.add_dataset({"documents": f"{sf}/documents.parquet"}, "benchmark", table(spark, sf, "benchmark"), path)
-    return spark.read.parquet(path).select("item_id", F.md5("text").alias("text_md5"))
+    """A further table stored beside a frozen one, whose digest was stored when it was frozen: the digests of both."""
+    frozen = {"documents": f"{sf}/documents.parquet"}
+    recorded = stage(Tab.table_digests(spark, frozen), "digests")
+    return Tab.add_dataset(frozen, recorded, "benchmark", table(spark, sf, "benchmark"), fresh(spark, "benchmark"))
 
 
 # ---------------------------------------------------------------------- the whole build
@@ -170,15 +188,17 @@ lk AS (SELECT k.*, r.final_label FROM keys k JOIN resolved r USING (doc_id)),
 keepers AS (SELECT uid, min(doc_id) AS doc_id FROM lk WHERE NOT is_empty GROUP BY uid HAVING count(DISTINCT final_label) = 1)"""
 
 
-@query("frozen_manifest", SQL_FREEZE_KEYS + """
-SELECT r.doc_id AS orig_id, p.uid, r.final_label AS label3_v1,
-  CASE WHEN r.final_label = 'NEUTRAL' THEN 'NEUTRAL' ELSE 'HARMFUL' END AS labelb_v1, r.ws_label AS ws_v1,
-  r.method AS method_v1, lk.raw_sha256
-FROM keepers p JOIN resolved r USING (doc_id) JOIN lk USING (doc_id)""")
+@query("frozen_manifest", SQL_FREEZE_KEYS + """,
+numbered AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS orig_row FROM resolved JOIN documents USING (doc_id))
+SELECT r.doc_id AS orig_id, orig_row, p.uid, r.final_label AS label3_v1,
+  CASE WHEN r.final_label = 'NEUTRAL' THEN 'NEUTRAL' ELSE 'HARMFUL' END AS labelb_v1, r.ws_label AS ws_v1, r.gpt_label, r.llama_label,
+  r.method AS method_v1, d.source, d.lang AS keyword_cat, lk.raw_sha256, md5(d.text) AS text_md5
+FROM keepers p JOIN resolved r USING (doc_id) JOIN lk USING (doc_id) JOIN documents d USING (doc_id) JOIN numbered USING (doc_id)""")
 def frozen_manifest(spark, sf):
     """Columns of the frozen manifest that do not depend on the split."""
     m = CF.freeze_corpus(annotated(spark, sf), PLAN)["manifest"]
-    return m.select("orig_id", "uid", "label3_v1", "labelb_v1", "ws_v1", "method_v1", "raw_sha256")
+    return m.select("orig_id", "orig_row", "uid", "label3_v1", "labelb_v1", "ws_v1", "gpt_label", "llama_label", "method_v1", "source",
+                    "keyword_cat", "raw_sha256", F.md5("text").alias("text_md5"))
 
 
 SQL_FREEZE_LABELS = SQL_FREEZE_KEYS + f""",
@@ -220,8 +240,47 @@ def frozen_manifest_labels(spark, sf):
     )
 
 
-@query("load_task", f"""SELECT orig_id, split, (list_position(['HATE', 'OFFENSIVE', 'NEUTRAL'], label3) - 1)::INTEGER AS y
-FROM ({SQL_FREEZE_LABELS}) x""")
+# The documents as a pooled corpus: label and language are one, a source is a file.  Texts with one key and several labels go, of
+# others the smallest id stays, and splits go by key.
+SQL_POOL_KEPT = f"""{SQL_KEYS},
+kept AS (SELECT uid, min(doc_id) AS pool_id, min(lang) AS lang FROM keys WHERE NOT is_empty GROUP BY uid HAVING count(DISTINCT lang) = 1),
+pool AS (SELECT uid AS doc_id, lang FROM kept)"""
+
+
+def _over_pool(sql):
+    return sql.replace("FROM documents),\nranked", "FROM pool),\nranked")
+
+
+def pooled(spark, sf):
+    return texts(spark, sf).select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), F.col("source").alias("src_file"), "text")
+
+
+@query("frozen_auxiliary", f"""WITH {SQL_POOL_KEPT}, {_over_pool(SQL_NESTED)},
+main AS (SELECT uid, max((doc_id % 5 = 0)::INTEGER) AS held FROM keys WHERE doc_id % 3 = 0 GROUP BY uid)
+SELECT k.uid, k.pool_id, s.split, k.lang AS label, d.source AS src_file, (m.uid IS NOT NULL)::INTEGER AS collides_hs_any,
+  coalesce(m.held, 0) AS mtl_exclude, x.raw_sha256, md5(d.text) AS text_md5
+FROM kept k JOIN split s ON s.doc_id = k.uid JOIN documents d ON d.doc_id = k.pool_id JOIN keys x ON x.doc_id = k.pool_id
+LEFT JOIN main m ON m.uid = k.uid""")
+def frozen_auxiliary(spark, sf):
+    """A second corpus frozen beside a main one (every third document), flagged where it meets it and its held-out part."""
+    keys = D.text_keys(texts(spark, sf), "text", ["doc_id"], PROFILE)
+    main = keys.filter(F.col("doc_id") % 3 == 0).select("uid", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"))
+    out = CF.freeze_auxiliary(pooled(spark, sf), stage(main, "main"), LANGS, profile=PROFILE)
+    return out.withColumn("text_md5", F.md5("text")).drop("text")
+
+
+@query("frozen_folds", f"""WITH {SQL_POOL_KEPT}, {_over_pool(SQL_FOLDS)}
+SELECT k.uid, k.pool_id, m.fold, m.part, k.lang AS label, d.source AS src_file, x.raw_sha256, md5(d.text) AS text_md5
+FROM kept k JOIN member m ON m.doc_id = k.uid JOIN documents d ON d.doc_id = k.pool_id JOIN keys x ON x.doc_id = k.pool_id""")
+def frozen_folds(spark, sf):
+    """The pooled corpus frozen in ten folds; every row with its role in every fold."""
+    out = CF.freeze_folds(pooled(spark, sf), LANGS, profile=PROFILE)
+    return out.select("uid", "pool_id", F.posexplode("parts").alias("fold", "part"), "label", "src_file", "raw_sha256",
+                      F.md5("text").alias("text_md5"))
+
+
+@query("load_task", f"""SELECT x.orig_id, uid, md5(text) AS text_md5, split, (list_position(['HATE', 'OFFENSIVE', 'NEUTRAL'], label3) - 1)::INTEGER AS y
+FROM ({SQL_FREEZE_LABELS}) x JOIN documents d ON d.doc_id = x.orig_id JOIN (WITH {SQL_KEYS} SELECT doc_id, uid FROM keys) u ON u.doc_id = x.orig_id""")
 def load_task(spark, sf):
     """The frozen manifest, stored, proven and opened as one table per partition."""
     path = fresh(spark, "manifest-table")
@@ -231,6 +290,6 @@ def load_task(spark, sf):
                         keep=["orig_id"], profile=PROFILE, stop_words=STOP_WORDS)
     out = None
     for part, rows in task.items():
-        named = rows.select("orig_id", F.lit(part).alias("split"), "y")
+        named = rows.select("orig_id", "uid", F.md5("text").alias("text_md5"), F.lit(part).alias("split"), "y")
         out = named if out is None else out.unionByName(named)
     return out

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogue.base import SEED, SQL_WS, query, table, texts
-from labelloom.functions.staging import stage
+from labelloom.functions.staging import fresh_path, stage
 from labelloom.operators import weak
 from labelloom.operators.lexicon import lexicon_signals
 from labelloom.operators.rules import LABEL_NAMES, LEXICONS, NEUTRAL, RULES, apply_rules, votes_long
 from labelloom.operators.term_join import with_list_counts
-from labelloom.sources.corpora import weak_label_records, weak_label_table
+from labelloom.sources.corpora import read_json_lines, read_tsv, weak_label_records, weak_label_table, write_tsv
 
 # Neutral syllables of the fixture texts stand in for the user's lexicons.
 TERMS = {
@@ -300,34 +300,59 @@ def label_flips(spark, sf):
     })
 
 
-@query("vote_reproduction", f"""WITH {SQL_VOTES}, {_sql_weights()}, {_sql_weighted()}
-SELECT count(*) AS n, count(*) AS n_equal, true AS reproduced FROM wv""")
+SQL_STORED = """
+stored AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END AS label FROM labels)"""
+
+
+@query("vote_reproduction", f"""WITH {SQL_VOTES}, {_sql_weights()}, {_sql_weighted()}, {SQL_STORED}
+SELECT count(*) AS n, count(*) FILTER (WHERE wv_label = label) AS n_equal, bool_and(coalesce(wv_label = label, false)) AS reproduced
+FROM wv FULL JOIN stored USING (doc_id)""")
 def vote_reproduction(spark, sf):
-    """Labels recomputed from stored votes equal the labels stored beside them."""
-    votes = votes_of(spark, sf)
-    stored = stage(
-        weak.fit_and_vote(votes, NAMES, 3, NEUTRAL).select("doc_id", F.col("wv_label").alias("stored")), "labels"
-    )
-    again = weak.fit_and_vote(votes, NAMES, 3, NEUTRAL)
-    return weak.reproduction(again.join(stored, "doc_id", "full"), "wv_label", "stored")
+    """Labels stored by people beside the labels recomputed from the rules: rows without the one or the other count as not reproduced."""
+    again = weak.fit_and_vote(votes_of(spark, sf), NAMES, 3, NEUTRAL)
+    people = table(spark, sf, "labels")
+    stored = people.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2).alias("stored"))
+    both = again.select("doc_id", "wv_label").join(stored, "doc_id", "full")
+    return weak.reproduction(both, "wv_label", "stored")
+
+
+@query("vote_reproduction_by_label", f"""WITH {SQL_VOTES}, {_sql_weights()}, {_sql_weighted()}, {SQL_STORED}
+SELECT label AS stored, count(*) AS n, count(*) FILTER (WHERE wv_label = label) AS n_equal, bool_and(wv_label = label) AS reproduced
+FROM wv JOIN stored USING (doc_id) GROUP BY label""")
+def vote_reproduction_by_label(spark, sf):
+    """The same for each stored label, over the rows that have one."""
+    again = weak.fit_and_vote(votes_of(spark, sf), NAMES, 3, NEUTRAL)
+    people = table(spark, sf, "labels")
+    stored = people.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2).alias("stored"))
+    return weak.reproduction(again.select("doc_id", "wv_label").join(stored, "doc_id"), "wv_label", "stored", ["stored"])
 
 
 @query("weak_label_table", BOTH + """
-SELECT d.doc_id + 1 AS id, md5(replace(replace(d.text, chr(9), ' '), chr(10), ' ')) AS text_md5, d.source,
-  d.lang AS keyword_cat, wv_label::INTEGER AS weak_label, ['HATE', 'OFFENSIVE', 'NEUTRAL'][wv_label + 1] AS label_name,
-  '' AS human_label
+SELECT CAST(d.doc_id + 1 AS VARCHAR) AS id, md5(regexp_replace(d.text, '[\\t\\n\\r]', ' ', 'g')) AS text_md5, d.source,
+  d.lang AS keyword_cat, CAST(wv_label AS VARCHAR) AS weak_label, ['HATE', 'OFFENSIVE', 'NEUTRAL'][wv_label + 1] AS label_name,
+  round_even(wv_conf, 3) AS confidence, '' AS human_label
 FROM documents d JOIN wv USING (doc_id)""")
 def weak_labels(spark, sf):
+    """The published layout, written without quoting and read back."""
     # The sink needs the texts: they are read twice (weights, then labels) and never copied.
     docs = texts(spark, sf)
     votes = apply_rules(docs, "text", TERMS, RULES, ["doc_id", "text", "source", "lang"])
     out = weak_label_table(weak.fit_and_vote(votes, NAMES, 3, NEUTRAL), "doc_id", "text", "source", "lang", "wv_label", "wv_conf", LABEL_NAMES)
-    return out.select("id", F.md5("text").alias("text_md5"), "source", "keyword_cat", "weak_label", "label_name", "human_label")
+    path = fresh_path(spark, "weak-labels")
+    write_tsv(out, path)
+    back = read_tsv(spark, path, out.columns)
+    return back.select("id", F.md5("text").alias("text_md5"), "source", "keyword_cat", "weak_label", "label_name",
+                       F.col("confidence").cast("double").alias("confidence"), "human_label")
 
 
 @query("weak_label_records", BOTH + """
 SELECT doc_id, mv_label::INTEGER AS weak_label_mv, ['HATE', 'OFFENSIVE', 'NEUTRAL'][mv_label + 1] AS weak_label_mv_name,
-  wv_label::INTEGER AS weak_label_wv, ['HATE', 'OFFENSIVE', 'NEUTRAL'][wv_label + 1] AS weak_label_wv_name
+  round_even(mv_conf, 3) AS weak_conf_mv, wv_label::INTEGER AS weak_label_wv,
+  ['HATE', 'OFFENSIVE', 'NEUTRAL'][wv_label + 1] AS weak_label_wv_name, round_even(wv_conf, 3) AS weak_conf_wv
 FROM mv JOIN wv USING (doc_id)""")
 def weak_records(spark, sf):
-    return weak_label_records(labelled(spark, sf), ["doc_id"], LABEL_NAMES).drop("weak_conf_mv", "weak_conf_wv")
+    """The records with both votes, written as JSON and read back."""
+    out = weak_label_records(labelled(spark, sf), ["doc_id"], LABEL_NAMES)
+    path = fresh_path(spark, "weak-records")
+    out.write.json(path)
+    return read_json_lines(spark, path, out.schema)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.functions import bits
 from labelloom.functions.arrays import argmax
 from labelloom.functions.text import ARABIC, TextProfile, preprocess
 
@@ -39,16 +39,6 @@ def representation_keys(
     )
 
 
-def _bit(part: Column, parts: Sequence[str]) -> Column:
-    """One bit per partition name; rows of other partitions carry no bit."""
-    if len(parts) > 62:
-        raise ValueError("at most 62 names fit one mask")
-    out = F.lit(0).cast("long")
-    for i, p in enumerate(parts):
-        out = F.when(part == p, F.lit(1 << i).cast("long")).otherwise(out)
-    return out
-
-
 def leakage_matrix(
     df: DataFrame,
     keys: Column,
@@ -58,42 +48,33 @@ def leakage_matrix(
 ) -> DataFrame:
     """Keys shared by each pair of partitions under each view; zero rows are listed too.
 
-    One aggregation serves all pairs and views: every key ends up with a bit mask of the
-    partitions it was seen in, so a boiler-plate key is one small record per map task.
+    One aggregation serves all pairs and views: every key ends up with the set of the
+    partitions it was seen in, so a boiler-plate key is one small record per map task.  There may be any number of
+    partitions; rows of others count nowhere.
     """
-    masks = (
-        df.select(_bit(F.col(part), parts).alias("bit"), F.inline_outer(keys))
-        .groupBy("view", "key")
-        .agg(F.bit_or("bit").alias("mask"))
-        .withColumn("n", F.lit(1).cast("long"))
-    )
-    pairs = [(i, j) for i, j in combinations(range(len(parts)), 2)]
-    return _pair_counts(
-        masks, views, [(f"{parts[i]}&{parts[j]}", (1 << i) | (1 << j)) for i, j in pairs]
-    )
+    size, names = len(parts), bits.names("_m", len(parts))
+    masked = df.select(
+        *[w.alias(n) for w, n in zip(bits.words(bits.place(F.col(part), parts), size), names, strict=True)], F.inline_outer(keys))
+    counts = _pair_counts(masked, names, bits.members("_m", size), size, views)
+    return counts.select("view", _pair_name("i", "j", parts).alias("pair"), "n_shared")
 
 
-def _pair_counts(masks: DataFrame, views: Sequence[str], pairs: list[tuple[str, int]]) -> DataFrame:
-    """Sum the masks of all keys into one count per view and pair."""
-    sums = masks.groupBy("view").agg(
-        F.array(*[
-            F.struct(
-                F.lit(name).alias("pair"),
-                F.sum(F.when(F.col("mask").bitwiseAND(F.lit(m)) == m, F.col("n")).otherwise(0)).alias("n_shared"),
-            )
-            for name, m in pairs
-        ]).alias("c")
-    )
-    # A view without rows must still show its zeros.
-    grid = F.array(*[
-        F.struct(F.lit(v).alias("view"), F.lit(name).alias("pair"), F.lit(0).cast("long").alias("n_shared"))
-        for v in views for name, _ in pairs
-    ])
-    found = sums.select("view", F.inline("c"))
-    zeros = found.sparkSession.range(1).select(F.inline(grid))
-    return (
-        found.unionByName(zeros).groupBy("view", "pair").agg(F.max("n_shared").alias("n_shared"))
-    )
+def _pair_name(i: str, j: str, parts: Sequence[str]) -> Column:
+    listed = F.array(*[F.lit(p) for p in parts])
+    return F.concat(F.get(listed, F.col(i)), F.lit("&"), F.get(listed, F.col(j)))
+
+
+def _pair_counts(masked: DataFrame, names: list[str], members: Column, size: int, views: Sequence[str],
+                 group: int | None = None) -> DataFrame:
+    """``(view, i, j, n_shared)``: keys whose set holds both numbers, for all pairs (of one group) and views."""
+    sets = masked.groupBy("view", "key").agg(*[F.bit_or(n).alias(n) for n in names])
+    sets = sets.groupBy("view", *names).agg(F.count(F.lit(1)).alias("n")).select("view", "n", members.alias("_held"))
+    found = sets.select("view", "n", F.inline(bits.pairs(F.col("_held"), group)))
+    # A pair that shares nothing must still show its zero.
+    every = F.sequence(F.lit(0), F.lit(size - 1))
+    zeros = masked.sparkSession.range(1).select(every.alias("_all"), F.explode(F.array(*[F.lit(v) for v in views])).alias("view"))
+    zeros = zeros.select("view", F.lit(0).cast("long").alias("n"), F.inline(bits.pairs(F.col("_all"), group)))
+    return found.unionByName(zeros).groupBy("view", "i", "j").agg(F.sum("n").alias("n_shared"))
 
 
 def with_severity(matrix: DataFrame, fatal_all: bool = False) -> DataFrame:
@@ -119,50 +100,22 @@ def leakage_by_fold(
 ) -> DataFrame:
     """The same counts in every fold, still with one aggregation over one row per text.
 
-    ``folds`` is the array of roles (one entry per fold).  The roles of all folds are packed
-    into long masks, ``len(parts)`` bits per fold, instead of repeating each row k times.
+    ``folds`` is the array of roles (one entry per fold).  The roles of all folds are one set, ``len(parts)`` numbers
+    per fold, instead of repeating each row k times.
     """
     width = len(parts)
-    per_long = 60 // width
-    chunks = [range(lo, min(lo + per_long, k)) for lo in range(0, k, per_long)]
-
-    def mask(fold_range: range) -> Column:
-        out = F.lit(0).cast("long")
-        for f in fold_range:
-            bit = _bit(F.get(F.col(folds), F.lit(f)), parts)
-            out = out.bitwiseOR(F.shiftleft(bit, (f - fold_range.start) * width))
-        return out
-
-    masked = df.select(
-        *[mask(c).alias(f"_m{i}") for i, c in enumerate(chunks)], F.inline_outer(keys)
-    )
-    names = [f"_m{i}" for i in range(len(chunks))]
-    masks = (
-        masked.groupBy("view", "key")
-        .agg(*[F.bit_or(n).alias(n) for n in names])
-        .groupBy("view", *names)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    pairs = [(i, j) for i, j in combinations(range(width), 2)]
-
-    def count_of(f: int, i: int, j: int) -> Column:
-        chunk, at = divmod(f, per_long)
-        need = ((1 << i) | (1 << j)) << (at * width)
-        return F.sum(F.when(F.col(names[chunk]).bitwiseAND(F.lit(need)) == need, F.col("n")).otherwise(0))
-
-    flat = masks.groupBy("view").agg(F.array(*[
-        F.struct(F.lit(f).alias("fold"), F.lit(f"{parts[i]}&{parts[j]}").alias("pair"),
-                 count_of(f, i, j).alias("n_shared"))
-        for f in range(k) for i, j in pairs
-    ]).alias("c"))
-    # A view without rows must still show its zeros.
-    zeros = flat.sparkSession.range(1).select(F.inline(F.array(*[
-        F.struct(F.lit(v).alias("view"), F.lit(f).alias("fold"), F.lit(f"{parts[i]}&{parts[j]}").alias("pair"),
-                 F.lit(0).cast("long").alias("n_shared"))
-        for v in views for f in range(k) for i, j in pairs
-    ])))
-    found = flat.select("view", F.inline("c")).unionByName(zeros)
-    return found.groupBy("fold", "view", "pair").agg(F.max("n_shared").alias("n_shared"))
+    size, names = k * width, bits.names("_m", k * width)
+    columns = [F.lit(0).cast("long")] * len(names)
+    for f in range(k):
+        role = bits.place(F.get(F.col(folds), F.lit(f)), parts)
+        own = bits.words(F.when(role >= 0, role + f * width).otherwise(-1), size)
+        for w in range(f * width // bits.WIDTH, ((f + 1) * width - 1) // bits.WIDTH + 1):
+            columns[w] = columns[w].bitwiseOR(own[w])
+    masked = df.select(*[c.alias(n) for c, n in zip(columns, names, strict=True)], F.inline_outer(keys))
+    counts = _pair_counts(masked, names, bits.members("_m", size), size, views, group=width)
+    at = counts.select("view", F.floor(F.col("i") / width).cast("int").alias("fold"), (F.col("i") % width).alias("i"),
+                       (F.col("j") % width).alias("j"), "n_shared")
+    return at.select("fold", "view", _pair_name("i", "j", parts).alias("pair"), "n_shared")
 
 
 def repeated_keys(df: DataFrame, key: str = "uid") -> DataFrame:
@@ -310,21 +263,24 @@ def alignment_check(
     One row per run: keys, keys not covered exactly once by every member, keys with
     conflicting truth, keys whose score arrays have another length.
     """
+    size, seen = len(members), bits.names("_seen", len(members))
     per_key = (
         predictions.filter(F.col(system).isin(*members))
         .groupBy(*run, uid)
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.bit_or(_bit(F.col(system), members)).alias("seen"),
+            *[F.bit_or(w).alias(n) for w, n in zip(bits.words(bits.place(F.col(system), members), size), seen, strict=True)],
             F.min(y).alias("lo"),
             F.max(y).alias("hi"),
             F.max((F.size("probs") != n_classes).cast("int")).alias("bad"),
         )
     )
-    everyone = (1 << len(members)) - 1
+    everyone = F.lit(True)
+    for w, n in enumerate(seen):
+        everyone = everyone & (F.col(n) == (1 << min(bits.WIDTH, size - w * bits.WIDTH)) - 1)
     return per_key.groupBy(*run).agg(
         F.count(F.lit(1)).alias("n_keys"),
-        F.count_if((F.col("n") != len(members)) | (F.col("seen") != everyone)).alias("misaligned"),
+        F.count_if((F.col("n") != size) | ~everyone).alias("misaligned"),
         F.count_if(F.col("lo") != F.col("hi")).alias("label_mismatch"),
         F.count_if(F.col("bad") == 1).alias("wrong_width"),
     )

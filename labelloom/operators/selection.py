@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from labelloom.functions.staging import publish
 from labelloom.operators.integrity import framed
 
 
@@ -58,17 +58,14 @@ def write_once(selection: DataFrame, path: str, name: str = "name") -> DataFrame
     """Store a selection table unless it exists; an existing one must agree.
 
     ``selection`` needs ``name``, ``chosen`` and ``inputs_sha256``.  A repeat with other inputs
-    or another choice raises.  Runs jobs; the table has one row per selection.
+    or another choice raises, also when two write at once: one of them stores its table.  Runs jobs; the table has one
+    row per selection.
     """
     spark: SparkSession = selection.sparkSession
     new = selection.select(name, "chosen", "inputs_sha256")
-    try:
-        old = spark.read.schema(new.schema).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        new.withColumn("frozen_at", F.current_timestamp()).coalesce(1).write.mode("errorifexists").parquet(path)
+    if publish(new.withColumn("frozen_at", F.current_timestamp()), path):
         return spark.read.parquet(path)
+    old = spark.read.schema(new.schema).parquet(path)
     a = old.select(name, F.col("chosen").alias("c0"), F.col("inputs_sha256").alias("i0"))
     differing = (
         a.join(new, name, "full")

@@ -6,15 +6,13 @@ prediction rows themselves are aggregated once, map-side combined, per question.
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelloom.functions import bits
 from labelloom.functions.numeric import chi2_pvalue_1df, t_critical, t_pvalue
 
 EXACT_BELOW = 25  # fixed value: discordant pairs below this get the exact binomial test
@@ -35,96 +33,109 @@ def t_interval(summary: DataFrame, score: str, level: float = 0.95) -> DataFrame
 
 
 # ------------------------------------------------------------------------------ bootstrap
-def bootstrap_patterns(
-    predictions: DataFrame, by: Sequence[str], run: str, runs: Sequence, n_classes: int,
-    uid: str = "uid",
+def item_codes(
+    predictions: DataFrame, by: Sequence[str], run: str, runs: Sequence, n_classes: int, uid: str = "uid",
 ) -> DataFrame:
-    """Items with the same truth and the same predictions in every run are exchangeable.
+    """``(by, uid, y, code, complete)``: every item with the predictions of all runs packed in base ``n_classes``.
 
-    ``(by, y, code, n)``: ``code`` packs the predictions of all runs in base ``n_classes``.
-    ``complete`` tells whether every item was predicted by every run exactly once.
+    ``complete`` tells whether the item was predicted by every run exactly once.
     """
     if n_classes ** len(runs) >= 1 << 62:
         raise ValueError("too many runs or classes to pack into one code")
     weight = F.lit(0).cast("long")
     for i, r in enumerate(runs):
         weight = F.when(F.col(run) == r, F.lit(n_classes**i).cast("long")).otherwise(weight)
-    seen = F.lit(0).cast("long")
+    size = len(runs)
+    number = F.lit(-1)
     for i, r in enumerate(runs):
-        seen = F.when(F.col(run) == r, F.lit(1 << i).cast("long")).otherwise(seen)
+        number = F.when(F.col(run) == r, F.lit(i)).otherwise(number)
+    seen = bits.names("_s", size)
+    whole = F.col("k") == size
+    for w, n in enumerate(seen):
+        whole = whole & (F.col(n) == (1 << min(bits.WIDTH, size - w * bits.WIDTH)) - 1)
     per_item = (
         predictions.filter(F.col(run).isin(*runs))
-        .select(*by, uid, F.col("y").cast("int").alias("y"), (weight * F.col("pred")).alias("c"), seen.alias("s"))
+        .select(*by, uid, F.col("y").cast("int").alias("y"), (weight * F.col("pred")).alias("c"),
+                *[w.alias(n) for w, n in zip(bits.words(number, size), seen, strict=True)])
         .groupBy(*by, uid)
-        .agg(
-            F.max("y").alias("y"), F.sum("c").alias("code"), F.bit_or("s").alias("s"),
-            F.count(F.lit(1)).alias("k"),
-        )
-    )
-    whole = (F.col("s") == (1 << len(runs)) - 1) & (F.col("k") == len(runs))
-    return per_item.groupBy(*by, "y", "code", whole.alias("complete")).agg(
-        F.count(F.lit(1)).alias("n")
+        .agg(F.max("y").alias("y"), F.sum("c").alias("code"), F.count(F.lit(1)).alias("k"),
+             *[F.bit_or(n).alias(n) for n in seen])
     )
+    return per_item.select(*by, uid, "y", "code", whole.alias("complete"))
+
+
+def bootstrap_patterns(
+    predictions: DataFrame, by: Sequence[str], run: str, runs: Sequence, n_classes: int,
+    uid: str = "uid",
+) -> DataFrame:
+    """``(by, y, code, complete, n)``: items with the same truth and the same predictions in every run are exchangeable."""
+    items = item_codes(predictions, by, run, runs, n_classes, uid)
+    return items.groupBy(*by, "y", "code", "complete").agg(F.count(F.lit(1)).alias("n"))
+
+
+def poisson_steps() -> list[int]:
+    """How far the values 0, 1, 2, ... of a Poisson variable with mean 1 reach in 2**32 equal parts."""
+    term = total = math.exp(-1)
+    steps: list[int] = []
+    while (reach := math.floor(total * 2**32)) < 2**32 - 1:
+        steps.append(reach)
+        term /= len(steps)
+        total += term
+    return steps
 
 
 def bootstrap_interval(
-    patterns: DataFrame, by: Sequence[str], n_runs: int, n_classes: int,
-    replicates: int = 2000, level: float = 0.95, seed: int = 0, block: int = 50,
+    predictions: DataFrame, by: Sequence[str], run: str, runs: Sequence, n_classes: int,
+    replicates: int = 2000, level: float = 0.95, seed: int = 0, uid: str = "uid",
 ) -> DataFrame:
     """Percentile interval of the run-averaged macro-F1, items resampled jointly for all runs.
 
-    Drawing n items with replacement and counting patterns is a multinomial draw over the
-    pattern counts, so a replicate costs the number of patterns, not of items.  Replicates are
-    spread over tasks in blocks; each block has its own seed, hence repeatable results.
+    How often an item is drawn in a replicate is a Poisson variable with mean 1 that is read off
+    md5(seed, replicate, item), four replicates a hash.  So every task resamples the items it holds, alike on every engine and in
+    every run; what is shuffled are counts of (replicate, truth, predictions), and no item meets another.  The number of items drawn
+    varies by its square root, which the mean over them does not feel.
     Groups whose runs cover different items get nulls.
     """
-    blocks = -(-replicates // block)
-    grouped = patterns.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct("y", "code", "n"))).alias("p"),
-        F.min("complete").alias("complete"),
-    )
-    tasks = grouped.filter("complete").select(
-        *by, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        F.col("p.y").alias("py"), F.col("p.code").alias("pc"), F.col("p.n").alias("pn"),
-    )
-    names = [f.name for f in tasks.schema.fields if f.name in by]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tasks.schema.fields if f.name in by)
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                size = min(block, replicates - row.block * block)
-                values = bootstrap_block(
-                    np.asarray(row.py), np.asarray(row.pc), np.asarray(row.pn),
-                    n_runs, n_classes, size, [seed, int(row.block)],
-                )
-                yield pd.DataFrame({**{n: getattr(row, n) for n in names}, "value": values})
-
-    values = tasks.repartition(F.col("block"), *by).mapInPandas(draw, f"{schema}, value double")
+    items = item_codes(predictions, by, run, runs, n_classes, uid)
+    groups = items.groupBy(*by).agg(F.min("complete").alias("complete"))
+    steps = poisson_steps()
+
+    def times(part: int) -> Column:
+        digits = F.substring("_h", 1 + 8 * part, 8)  # fixed width, so hexadecimal order is numeric order
+        n = F.lit(len(steps))
+        for k in range(len(steps) - 1, -1, -1):
+            n = F.when(digits < f"{steps[k]:08x}", k).otherwise(n)
+        return n
+
+    block = F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // 4) - 1)))
+    hashed = items.select(*by, "y", "code", uid, block.alias("_block"))
+    key = F.concat(F.lit(f"{seed}:"), F.col("_block").cast("string"), F.lit(":"), F.col(uid).cast("string"))
+    drawn = hashed.select(*by, "y", "code", "_block", F.md5(key).alias("_h"))
+    drawn = drawn.select(*by, "y", "code", F.inline(F.array(*[
+        F.struct((F.col("_block") * 4 + part).alias("replicate"), times(part).alias("n")) for part in range(4)])))
+    drawn = drawn.filter((F.col("n") > 0) & (F.col("replicate") < replicates))
+    counts = drawn.groupBy(*by, "replicate", "y", "code").agg(F.sum("n").alias("n"))
+
+    def pred(r: int) -> Column:
+        return F.pmod(F.floor(F.col("code") / F.lit(n_classes**r)), F.lit(n_classes)) if r else F.pmod("code", F.lit(n_classes))
+
+    def f1(r: int, c: int) -> Column:
+        hit = F.sum(F.when((F.col("y") == c) & (pred(r) == c), F.col("n")).otherwise(0))
+        both = F.sum(F.col("n") * ((F.col("y") == c).cast("int") + (pred(r) == c).cast("int")))
+        return F.when(both > 0, 2.0 * hit / both).otherwise(0.0)
+
+    scores = [f1(r, c) for r in range(len(runs)) for c in range(n_classes)]
+    value = sum(scores[1:], scores[0]) / float(len(scores))
+    values = counts.groupBy(*by, "replicate").agg(value.alias("value"))
     tail = (1.0 - level) / 2.0
     ci = values.groupBy(*by).agg(F.percentile("value", F.array(F.lit(tail), F.lit(1.0 - tail))).alias("q"))
-    return grouped.select(*by).join(ci, list(by), "left").select(
-        *by, F.get("q", F.lit(0)).alias("boot_lo"), F.get("q", F.lit(1)).alias("boot_hi")
+    same = [groups[c].eqNullSafe(ci[c]) for c in by]
+    q = F.when(F.col("complete"), F.col("q"))
+    return groups.join(ci, same, "left").select(
+        *[groups[c] for c in by], F.get(q, F.lit(0)).alias("boot_lo"), F.get(q, F.lit(1)).alias("boot_hi")
     )
 
 
-def bootstrap_block(y, codes, counts, n_runs, n_classes, size, seed):
-    """Run-averaged macro-F1 of ``size`` resamples of the pattern counts."""
-    rng = np.random.default_rng(seed)
-    n = int(counts.sum())
-    draws = rng.multinomial(n, counts / n, size=size).astype(float)
-    total = np.zeros(size)
-    for r in range(n_runs):
-        pred = (codes // n_classes**r) % n_classes
-        f1 = np.zeros(size)
-        for c in range(n_classes):
-            hit = draws @ ((y == c) & (pred == c)).astype(float)
-            both = draws @ ((y == c).astype(float) + (pred == c).astype(float))
-            f1 += np.divide(2.0 * hit, both, out=np.zeros(size), where=both > 0)
-        total += f1 / n_classes
-    return total / n_runs
-
-
 # ----------------------------------------------------------------------------- paired tests
 def paired_differences(
     scores: DataFrame, comparisons: DataFrame, task: str, system: str, pair: Sequence[str],
@@ -181,20 +192,20 @@ def correctness_masks(
     predictions: DataFrame, systems: Sequence[str], run: Sequence[str], uid: str = "uid",
     system: str = "system",
 ) -> DataFrame:
-    """Distinct (who predicted, who was right) masks per run, with their number of items.
+    """Distinct sets of (who predicted, who was right) per run, with their number of items.
 
-    One pass serves every comparison between the listed systems, and no system is ever joined
+    One pass serves every comparison between the listed systems, any number of them, and no system is ever joined
     with another."""
-    bit = F.lit(0).cast("long")
-    for i, s in enumerate(systems):
-        bit = F.when(F.col(system) == s, F.lit(1 << i).cast("long")).otherwise(bit)
-    right = F.when(F.col("pred") == F.col("y"), bit).otherwise(F.lit(0).cast("long"))
+    size = len(systems)
+    number, right = bits.place(F.col(system), systems), F.col("pred") == F.col("y")
+    columns = dict(zip(bits.names("seen", size), bits.words(number, size), strict=True)) | dict(
+        zip(bits.names("right", size), bits.words(number, size, right), strict=True))
     return (
         predictions.filter(F.col(system).isin(*systems))
-        .select(*run, uid, bit.alias("seen"), right.alias("right"))
+        .select(*run, uid, *[c.alias(n) for n, c in columns.items()])
         .groupBy(*run, uid)
-        .agg(F.bit_or("seen").alias("seen"), F.bit_or("right").alias("right"))
-        .groupBy(*run, "seen", "right")
+        .agg(*[F.bit_or(n).alias(n) for n in columns])
+        .groupBy(*run, *columns)
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -202,25 +213,21 @@ def correctness_masks(
 def mcnemar_counts(masks: DataFrame, systems: Sequence[str], pairs: Sequence[tuple[str, str]],
                    run: Sequence[str]) -> DataFrame:
     """Per run and pair: b (only a right), c (only b right), items seen by one system only."""
-    at = {s: 1 << i for i, s in enumerate(systems)}
-
-    def has(mask: str, s: str) -> Column:
-        return F.col(mask).bitwiseAND(F.lit(at[s])) != 0
+    at = {s: i for i, s in enumerate(systems)}
+    who, good = bits.members("seen", len(systems)), bits.members("right", len(systems))
+    listed = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b_system"), F.lit(at[a]).alias("i"), F.lit(at[b]).alias("j"))
+                       for a, b in pairs])
+    each = masks.select(*run, "n", who.alias("_who"), good.alias("_good")).select(*run, "n", "_who", "_good", F.inline(listed))
+    flags = each.select(
+        *run, "n", "a", "b_system", *[F.array_contains(s, F.col(x)).alias(f"{s}{x}") for s in ("_who", "_good") for x in "ij"])
 
     def total(cond: Column) -> Column:
         return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
 
-    entries = [
-        F.struct(
-            F.lit(a).alias("a"), F.lit(b).alias("b_system"),
-            total(has("seen", a) & has("seen", b)).alias("n_items"),
-            total(has("seen", a) != has("seen", b)).alias("n_unpaired"),
-            total(has("seen", a) & has("seen", b) & has("right", a) & ~has("right", b)).alias("b"),
-            total(has("seen", a) & has("seen", b) & ~has("right", a) & has("right", b)).alias("c"),
-        )
-        for a, b in pairs
-    ]
-    return masks.groupBy(*run).agg(F.array(*entries).alias("x")).select(*run, F.inline("x"))
+    both = F.col("_whoi") & F.col("_whoj")
+    return flags.groupBy(*run, "a", "b_system").agg(
+        total(both).alias("n_items"), total(F.col("_whoi") != F.col("_whoj")).alias("n_unpaired"),
+        total(both & F.col("_goodi") & ~F.col("_goodj")).alias("b"), total(both & ~F.col("_goodi") & F.col("_goodj")).alias("c"))
 
 
 def binomial_two_sided(b: Column, c: Column) -> Column:
@@ -259,5 +266,3 @@ def mcnemar(counts: DataFrame) -> DataFrame:
         .otherwise(F.col("_tail")),
     ).drop("_tail")
 
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

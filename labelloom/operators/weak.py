@@ -264,9 +264,9 @@ def label_flips(df: DataFrame, split: str, pairs: dict[str, tuple[str, str]]) ->
     )
 
 
-def reproduction(labelled: DataFrame, recomputed: str, stored: str) -> DataFrame:
-    """Rows, and rows whose recomputed label equals the stored one."""
-    same = F.count_if(F.col(recomputed).eqNullSafe(F.col(stored)))
-    return labelled.agg(F.count(F.lit(1)).alias("n"), same.alias("n_equal")).withColumn(
+def reproduction(labelled: DataFrame, recomputed: str, stored: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows, and rows whose recomputed label equals the stored one; ``stored`` comes from elsewhere than the votes."""
+    same = F.count_if(F.coalesce(F.col(recomputed) == F.col(stored), F.lit(False)))
+    return labelled.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), same.alias("n_equal")).withColumn(
         "reproduced", F.col("n") == F.col("n_equal")
     )

@@ -19,6 +19,7 @@ from labelloom.functions.staging import stage
 from labelloom.functions.text import ARABIC, TextProfile, preprocess
 from labelloom.operators import consensus, dedup, integrity, splits, weak
 from labelloom.operators.lexicon import Lexicons
+from labelloom.operators.ranking import range_rank
 from labelloom.operators.rules import LABEL_NAMES, NEUTRAL, RULES, Rule, apply_rules
 
 # Coarse label of every fine label.
@@ -91,6 +92,9 @@ def freeze_corpus(corpus: DataFrame, plan: CorpusPlan) -> dict[str, DataFrame]:
         F.bround(F.col("ws_conf") if p.weights_from_train else F.lit(0.0), 4).alias("ws_v2_conf"),
         F.col("ws_novote"),
     )
+    # Position of every row in the raw corpus, counted over all rows, kept or not.
+    rows = range_rank(corpus.select(F.col(rid).cast("long").alias(rid)), [], [F.col(rid).asc()], name="orig_row")
+    relabelled = relabelled.join(rows.withColumn("orig_row", F.col("orig_row") - 1), rid)
     stored = corpus.select(
         F.col(rid).cast("long").alias(rid), F.col(p.weak_label).alias("ws_v1"), *p.annotators,
         F.col(p.method).alias("method_v1"), *p.extra, F.col(p.text).alias("text"),
@@ -98,7 +102,7 @@ def freeze_corpus(corpus: DataFrame, plan: CorpusPlan) -> dict[str, DataFrame]:
     label, method = consensus.resolve(("ws_v2", *p.annotators), p.tie_breaker)
     joined = relabelled.join(stored, rid).select("*", label.alias("label3"), method.alias("method_v2"))
     manifest = joined.select(
-        "uid", F.col(rid).alias("orig_id"), "split", "label3",
+        "uid", F.col(rid).alias("orig_id"), "orig_row", "split", "label3",
         consensus.coarsen("label3", p.binary, p.binary_other).alias("label_bin"),
         "label3_v1",
         consensus.coarsen("label3_v1", p.binary, p.binary_other).alias("labelb_v1"),

@@ -6,7 +6,7 @@ each time reduced map-side; everything after that has systems x runs rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -101,13 +101,28 @@ def system_report(
     report = stats.t_interval(metrics.mean_sd(scores, ["system"], METRICS), "macro_f1", level)
     if seeds is None:
         return report
-    patterns = stats.bootstrap_patterns(
-        metrics.predicted(predictions), ["system"], "seed", seeds, n_classes
-    )
-    boot = stats.bootstrap_interval(patterns, ["system"], len(seeds), n_classes, replicates, level)
+    boot = stats.bootstrap_interval(
+        metrics.predicted(predictions), ["system"], "seed", seeds, n_classes, replicates, level)
     return report.join(boot, "system", "left")
 
 
+def campaign_report(
+    predictions: DataFrame, n_classes: Mapping[str, int], systems: Mapping[str, str], run_id: str = "run_id", level: float = 0.95,
+) -> DataFrame:
+    """The system report of all tasks in one table: ``task``, the report's columns and ``place`` by mean macro-F1 in the task.
+
+    ``n_classes``: classes of each task; ``systems``: name -> pattern of the run ids that make it up, over all tasks.  A system
+    without runs in a task has no row there.
+    """
+    named = metrics.systems_from_patterns(predictions, run_id, dict(systems))
+    report = None
+    for task, n in n_classes.items():
+        own = system_report(named.filter(F.col("task") == task), n, level).withColumn("task", F.lit(task))
+        report = own if report is None else report.unionByName(own)
+    w = Window.partitionBy("task").orderBy(F.desc("macro_f1_mean"), "system")
+    return report.withColumn("place", F.row_number().over(w))
+
+
 def class_report(predictions: DataFrame, n_classes: int, run: Sequence[str] = ("seed",)) -> DataFrame:
     """Per system and class: mean and SD of precision, recall and F1 over runs."""
     run = ["system", *run]

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from labelloom.functions.text import ARABIC, TextProfile, text_id
 from labelloom.operators.ranking import row_ids
+from labelloom.sources.json_arrays import read_json_array, write_json_array  # noqa: F401
 
 NO_NULL = "\u0000"  # a cell value that never occurs, so that empty cells stay empty
 
@@ -22,23 +23,6 @@ def string_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Files that hold one JSON array of objects each: ``path``, ``row_no`` (0-based) and fields.
-
-    One array file cannot be split, so it is one task; store large corpora as many files or as
-    JSON lines (:func:`read_json_lines`).
-    """
-    whole = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.from_json("value", T.ArrayType(schema), {"mode": "FAILFAST"}).alias("rows"),
-    )
-    # Outer, so that no filter on the parsed array is pushed down and parses it twice.
-    every = whole.select("path", F.posexplode_outer("rows").alias("row_no", "r"))
-    return every.filter(F.col("row_no").isNotNull()).select(
-        "path", F.col("row_no").cast("long").alias("row_no"), "r.*"
-    )
-
-
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Splittable form of the same corpus; the row number is a field of the record."""
     return spark.read.schema(schema).json(path, mode="FAILFAST")

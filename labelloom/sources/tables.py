@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from labelloom.functions.staging import publish
 from labelloom.operators.integrity import content_digest, digest_changes
 
 PREDICTION_SCHEMA = (
@@ -45,33 +45,36 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.csv(path, header=True, mode=mode)
 
 
-def add_dataset(frozen: dict[str, str], name: str, df: DataFrame, path: str) -> None:
-    """Store one more table beside frozen ones and prove that those did not change (runs jobs).
+def table_digests(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
+    """``(name, n_rows, fp_sum, fp_xor)`` of stored tables (name -> Parquet path), to be kept beside them."""
+    out = None
+    for table, where in sorted(tables.items()):
+        t = spark.read.parquet(where)
+        d = content_digest(t, sorted(t.columns)).withColumn("name", F.lit(table))
+        out = d if out is None else out.unionByName(d)
+    return out
 
-    ``frozen``: table name -> Parquet path.  An existing table of that name stops the call.
+
+def add_dataset(frozen: dict[str, str], recorded: DataFrame, name: str, df: DataFrame, path: str) -> DataFrame:
+    """Store one more table beside frozen ones, which must have the digests recorded when they were frozen, before and after
+    (runs jobs).  Returns the digests of all of them, the new one's included.
+
+    ``frozen``: table name -> Parquet path; ``recorded``: a stored :func:`table_digests`.  An existing table of that name
+    stops the call, and so does a frozen table without a recorded digest.
     """
     spark = df.sparkSession
 
-    def digests() -> DataFrame | None:
-        out = None
-        for table, where in sorted(frozen.items()):
-            t = spark.read.parquet(where)
-            d = content_digest(t, sorted(t.columns)).withColumn("name", F.lit(table))
-            out = d if out is None else out.unionByName(d)
-        return out
-
-    before = digests()
-    kept = None if before is None else spark.createDataFrame(before.collect(), before.schema)
-    try:
-        df.write.mode("errorifexists").parquet(path)
-    except AnalysisException as e:
-        if "PATH_ALREADY_EXISTS" not in str(e):
-            raise
-        raise RuntimeError(f"{name} is already stored at {path}") from e
-    if kept is not None:
-        changed = digest_changes(kept, digests(), ["name"]).collect()
+    def prove() -> None:
+        changed = {r.name for r in digest_changes(recorded, table_digests(spark, frozen), ["name"]).collect()}  # one row a table
+        changed |= set(frozen) - {r.name for r in recorded.select("name").collect()}
         if changed:
-            raise RuntimeError("frozen tables changed: " + ", ".join(sorted(r.name for r in changed)))
+            raise RuntimeError("frozen tables changed: " + ", ".join(sorted(changed)))
+
+    prove()
+    if not publish(df, path, files=None):
+        raise RuntimeError(f"{name} is already stored at {path}")
+    prove()
+    return table_digests(spark, {**frozen, name: path})
 
 
 def markdown_table(rows: Sequence[Row], columns: dict[str, Callable[[Row], str]]) -> str:

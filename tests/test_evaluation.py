@@ -229,8 +229,8 @@ def test_bootstrap_agrees_with_resampling_items(spark):
     p = metrics.predicted(predictions(spark, n=150, systems=("a",), splits=("test",)))
     patterns = stats.bootstrap_patterns(p, ["system"], "seed", [1, 2], 3)
     assert patterns.agg(F.sum("n")).first()[0] == 150
-    got = stats.bootstrap_interval(patterns, ["system"], 2, 3, replicates=2000).first()
-    again = stats.bootstrap_interval(patterns.repartition(5), ["system"], 2, 3, replicates=2000).first()
+    got = stats.bootstrap_interval(p, ["system"], "seed", [1, 2], 3, replicates=2000).first()
+    again = stats.bootstrap_interval(p.repartition(5), ["system"], "seed", [1, 2], 3, replicates=2000).first()
     assert got == again
     rows = {}
     for r in p.collect():
@@ -248,8 +248,7 @@ def test_bootstrap_agrees_with_resampling_items(spark):
 def test_bootstrap_needs_the_same_items_in_every_run(spark):
     p = metrics.predicted(predictions(spark, n=20, systems=("a",), splits=("test",)))
     p = p.filter("not (seed = 2 and uid = 'u3')")
-    patterns = stats.bootstrap_patterns(p, ["system"], "seed", [1, 2], 3)
-    r = stats.bootstrap_interval(patterns, ["system"], 2, 3, replicates=100).first()
+    r = stats.bootstrap_interval(p, ["system"], "seed", [1, 2], 3, replicates=100).first()
     assert r.boot_lo is None and r.boot_hi is None
 
 
@@ -263,10 +262,11 @@ def test_digest_frames_values_so_that_borders_cannot_move(spark):
 
 
 def test_tokens_lose_all_white_space_and_occurrences_need_no_class_zero(spark):
-    from labelloom.operators.attribution import global_importance
+    from labelloom.operators.attribution import global_importance, occurrences
     rows = [("u", 0, "\thello\n", 1, 2.0), ("u", 1, "hello\xa0", 1, 4.0), ("u", 1, "hello\xa0", 2, -1.0),
             ("v", 0, "\u2003", 1, 9.0), ("v", 1, "hello", 2, 0.5)]
-    got = global_importance(spark.createDataFrame(rows, "uid string, pos int, token string, cls int, value double")).collect()
+    listed = spark.createDataFrame(rows, "uid string, pos int, token string, cls int, value double")
+    got = global_importance(occurrences(listed, (0, 1, 2))).collect()
     assert [(r.token, r["count"], r.mean_abs) for r in got] == [("hello", 3, 2.5)]
 
 
@@ -285,3 +285,27 @@ def test_runs_of_folds_are_not_pooled(spark):
     report = P.system_report(p, 2, run=("seed", "fold")).first()
     each = P.run_scores(p, ["seed", "fold"], 2).agg(F.avg("macro_f1")).first()[0]
     assert report.n_runs == 10 and abs(report.macro_f1_mean - each) < 1e-12
+
+
+def test_poisson_steps_are_its_distribution():
+    steps = stats.poisson_steps()
+    u = np.random.default_rng(0).integers(0, 2**32, 200_000)
+    n = (u[:, None] >= np.array(steps)[None, :]).sum(axis=1)
+    assert n.mean() == pytest.approx(1, abs=0.01) and n.var() == pytest.approx(1, abs=0.02)
+    assert steps == sorted(set(steps)) and steps[0] == math.floor(math.exp(-1) * 2**32)
+
+
+def test_sets_of_more_than_sixty_names(spark):
+    """A hundred partitions and seventy members: every pair and every gap is seen."""
+    from labelloom.operators.integrity import alignment_check, leakage_matrix
+    parts = [f"p{i}" for i in range(100)]
+    rows = [(f"p{i}", [("v", bytes([k]))]) for k, own in enumerate([(0, 99), (61, 62, 63), (59, 60), (5,), (7, 7)]) for i in own]
+    df = spark.createDataFrame([*rows, ("other", [("v", b"x")])], "part string, keys array<struct<view:string,key:binary>>")
+    got = {(r.view, r.pair): r.n_shared for r in leakage_matrix(df, F.col("keys"), "part", parts, ("v", "w")).collect()}
+    assert len(got) == 2 * 4950
+    assert {k[1] for k, n in got.items() if n} == {"p0&p99", "p61&p62", "p61&p63", "p62&p63", "p59&p60"} and sum(got.values()) == 5
+    members = [f"m{i}" for i in range(70)]
+    rows = [(m, 1, u, 0, [0.5, 0.5]) for m in members for u in ("a", "b") if not (m == "m69" and u == "b")]
+    p = spark.createDataFrame(rows, "system string, seed int, uid string, y int, probs array<double>")
+    r = alignment_check(p, members, "system", ["seed"], "uid", "y", 2).first()
+    assert (r.n_keys, r.misaligned) == (2, 1)

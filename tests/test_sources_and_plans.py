@@ -58,10 +58,44 @@ def test_staging_uses_the_shared_folder_of_the_session(spark):
 def test_add_dataset_proves_old_tables_unchanged(spark, tmp_path):
     old, new = str(tmp_path / "old"), str(tmp_path / "new")
     spark.range(10).write.parquet(old)
-    tables.add_dataset({"old": old}, "new", spark.range(3), new)
-    assert spark.read.parquet(new).count() == 3
+    recorded = spark.createDataFrame(tables.table_digests(spark, {"old": old}).collect())
+    digests = {r.name: r.n_rows for r in tables.add_dataset({"old": old}, recorded, "new", spark.range(3), new).collect()}
+    assert digests == {"old": 10, "new": 3} and spark.read.parquet(new).count() == 3
     with pytest.raises(RuntimeError, match="already stored"):
-        tables.add_dataset({"old": old}, "new", spark.range(3), new)
+        tables.add_dataset({"old": old}, recorded, "new", spark.range(3), new)
+    spark.range(1).write.mode("append").parquet(old)
+    with pytest.raises(RuntimeError, match="frozen tables changed: old"):
+        tables.add_dataset({"old": old}, recorded, "other", spark.range(3), str(tmp_path / "other"))
+    with pytest.raises(RuntimeError, match="frozen tables changed: new"):
+        tables.add_dataset({"new": new}, recorded, "other", spark.range(3), str(tmp_path / "other"))
+    assert not (tmp_path / "other").exists()
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    """Both find nothing and write; one table is stored and the other writer is told."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from labelloom.functions.staging import publish
+    from labelloom.operators import selection
+
+    for k in range(3):
+        path = str(tmp_path / f"t{k}")
+        with ThreadPoolExecutor(4) as pool:
+            won = list(pool.map(lambda i, path=path: publish(spark.createDataFrame([(i,)], "i int"), path), range(4)))
+        assert sum(won) == 1 and [r.i for r in spark.read.parquet(path).collect()] == [won.index(True)]
+    path = str(tmp_path / "selection")
+
+    def choose(i):
+        try:
+            selection.write_once(spark.createDataFrame([("best", f"m{i}", "h")], "name string, chosen string, inputs_sha256 string"), path)
+        except RuntimeError as e:
+            return str(e)
+        return "stored"
+
+    with ThreadPoolExecutor(2) as pool:
+        said = list(pool.map(choose, range(2)))
+    assert sorted(x == "stored" for x in said) == [False, True] and "choice changed" in "".join(said)
+    assert spark.read.parquet(path).first().chosen == f"m{said.index('stored')}"
 
 
 def test_reattach(spark):
