@@ -5,13 +5,14 @@ candidates are all rows with another id.
 
 Method.  Vectors are grouped by length into buckets (powers of ``RATIO``), and a bucket into blocks of about
 ``BLOCK`` vectors by hash.  Each query first meets one block of the longest well-filled bucket, whose k-th
-score is a lower bound for its answer.  Then it meets every block with a local threshold for the cosine, bound / (length of the
+score is a lower bound for its answer.  Blocks of buckets too short for that bound are left out before anything is shuffled.  The others it
+meets with a local threshold for the cosine, bound / (length of the
 query * greatest length in the block).  Above 1 the block is skipped; when it is high, vectors are
 pruned by coordinate: a cosine of t confines each coordinate of the unit vector to an interval around t
 times the query's; when it is low, they are pruned by length.  What is left is verified by exact
 products.
 
-Scale.  Queries are repeated once for each block and sorted behind the block's vectors; a task holds one
+Scale.  Queries are repeated once for each block in reach and sorted behind the block's vectors; a task holds one
 block and streams the queries past it.  Each block returns at most k rows for each query.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, nor do rows
@@ -26,7 +27,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions.staging import stage
@@ -145,6 +146,28 @@ def _meet(k: int):
     return run
 
 
+def bucket_of(length: Column) -> Column:
+    """Number of the length bucket."""
+    return F.floor(F.log(F.greatest(length, F.lit(1.0))) / math.log(RATIO)).cast("int")
+
+
+def reachable_blocks(queries: DataFrame, buckets: DataFrame, total: int) -> DataFrame:
+    """``queries`` (length, bound, ...) once for each ``block`` that can hold a vector of their best.
+
+    A product is at most the product of the lengths, so only vectors of ``bound / length`` and more count.  Blocks are numbered by
+    bucket, shortest first: what is left of them is a run up to the last.  One row a bucket is looked up, and no row is
+    made for a block that is out of reach.
+    """
+    starts = buckets.agg(F.array_sort(F.collect_list(F.struct("bucket", "first"))).alias("s")).scalar()
+    needed = bucket_of(F.col("bound") / F.col("length") * (1 - 1e-9))
+    open_from = F.get(F.filter("_starts", lambda s: s["bucket"] >= F.col("_needed")), F.lit(0))["first"]
+    placed = queries.withColumn("_starts", starts).withColumn(
+        "_needed", F.when((F.col("bound") > 0) & (F.col("length") > 0), needed))
+    placed = placed.withColumn("_low", F.when(F.col("_needed").isNull(), F.lit(0)).otherwise(F.coalesce(open_from, F.lit(total))))
+    run = F.when(F.col("_low") < total, F.sequence(F.col("_low").cast("long"), F.lit(max(total - 1, 0)).cast("long")))
+    return placed.select(*queries.columns, F.explode(run).alias("block"))
+
+
 def search(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best of every query."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
@@ -152,8 +175,8 @@ def search(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "ve
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(~odd).distinct()
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.floor(x.cast("double") * 256).cast("double") * F.floor(
         x.cast("double") * 256).cast("double"))
-    bucket = F.floor(F.log(F.greatest(F.sqrt(squares), F.lit(1.0))) / math.log(RATIO)).cast("int")
-    rows = stage(rows.select("vec_id", "v", bucket.alias("bucket")), "vectors")
+    rows = rows.select("vec_id", "v", F.sqrt(squares).alias("length"))
+    rows = stage(rows.withColumn("bucket", bucket_of(F.col("length"))), "vectors")
 
     first = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
@@ -165,7 +188,7 @@ def search(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "ve
     blocks = rows.join(F.broadcast(buckets), "bucket").select(
         number.cast("long").alias("block"), F.lit(False).alias("is_query"), "vec_id", F.lit(0).cast("long").alias("q_key"),
         "v", F.lit(None).cast("double").alias("bound"))
-    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", F.xxhash64("vec_id", "v").alias("q_key"), "v")
+    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", F.xxhash64("vec_id", "v").alias("q_key"), "v", "length")
 
     def meet(asking: DataFrame, among: DataFrame) -> DataFrame:
         both = among.unionByName(asking.withColumn("is_query", F.lit(True)))
@@ -174,11 +197,10 @@ def search(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "ve
 
     low, count = (probe["first"], probe["blocks"]) if probe else (0, 1)
     chosen = (F.pmod(F.col("q_key"), F.lit(count)) + low).cast("long")
-    probed = meet(queries.withColumn("block", chosen).withColumn("bound", F.lit(None).cast("double")),
+    probed = meet(queries.drop("length").withColumn("block", chosen).withColumn("bound", F.lit(None).cast("double")),
                   blocks.where(F.col("block").between(low, low + count - 1)))
     bounds = probed.groupBy("q_key").agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("bound"))
     bounds = bounds.where(F.col("n") >= k).select("q_key", "bound")
-    asking = queries.join(bounds, "q_key", "left").withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(total - 1, 0)).cast("long"))))
+    asking = reachable_blocks(queries.join(bounds, "q_key", "left"), buckets, total).drop("length")
     rank = F.row_number().over(Window.partitionBy("query_id", "q_key").orderBy(F.col("score").desc(), "vec_id"))
     return meet(asking, blocks).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -74,3 +74,30 @@ def test_query_against_sql(spark, sf_dir):
     message, ok = compare(spark, duck(sf_dir), "op4_top_inner", queries.QUERIES["op4_top_inner"],
                           queries.ORACLES["op4_top_inner"], sf_dir)
     assert ok, message
+
+
+def test_blocks_out_of_reach_get_no_row(spark):
+    """The number of (query, block) rows is that of the pairs whose lengths can reach the bound."""
+    r = random.Random(11)
+    lengths = [math.exp(r.uniform(0, 9)) for _ in range(300)]
+    number = lambda x: math.floor(math.log(max(x, 1.0)) / math.log(top_inner.RATIO))
+    sizes = {}
+    for x in lengths:
+        sizes[number(x)] = sizes.get(number(x), 0) + 1
+    first, rows = 0, []
+    for b in sorted(sizes):
+        rows.append((b, first, sizes[b]))  # as many blocks as vectors
+        first += sizes[b]
+    buckets = spark.createDataFrame(rows, "bucket int, first long, blocks long")
+    queries = [(i, math.exp(r.uniform(0, 9)), r.choice([None, -5.0, *[math.exp(r.uniform(4, 18)) for _ in range(8)]])) for i in range(60)] + [(99, 0.0, 7.0)]
+    got = top_inner.reachable_blocks(spark.createDataFrame(queries, "q long, length double, bound double"), buckets, first).collect()
+    want = set()
+    for q, length, bound in queries:
+        for b, start, n in rows:
+            if not (bound and bound > 0 and length > 0) or b >= number(bound / length * (1 - 1e-9)):
+                want |= {(q, block) for block in range(start, start + n)}
+    assert {(x.q, x.block) for x in got} == want and len(got) == len(want)
+    # Nothing that can reach the bound is left out, and much else is.
+    longest = {start + i: top_inner.RATIO ** (b + 1) for b, start, n in rows for i in range(n)}
+    assert all((q, block) in want for q, length, bound in queries for block, x in longest.items() if not bound or length * x >= bound)
+    assert len(want) < 0.8 * len(queries) * first
