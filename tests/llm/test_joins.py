@@ -133,3 +133,13 @@ def test_query_on_the_whole_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = queries.QUERIES["op8_jaccard_join"](spark, sf_dir).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 3, 90)
+
+
+def test_words_a_polynomial_hash_confuses_are_not_linked(spark):
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame(
+        [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper())], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.link(docs, n=3, percent=90).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}

@@ -76,3 +76,14 @@ def test_longest_repeats(spark):
     got = repeats.longest_repeats(spark.createDataFrame(docs, "doc_id long, text string"), window=20).collect()
     longest = {(x.doc_id, x.start): x.length for x in got}
     assert longest[1, 0] == 40 and longest[2, 10] == 40 and longest[1, 30] == 20 and (3, 0) not in longest
+
+
+def test_windows_that_differ_in_one_confusable_word_are_no_repeats(spark):
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    shared = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{shared} {word}"), (2, f"{shared} {word.translate(str.maketrans('ab', 'ba'))}"), (3, f"{shared} {word}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(docs).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}

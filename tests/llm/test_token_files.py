@@ -72,6 +72,16 @@ def test_files_hold_encoded_lists_and_a_page_index(spark):
     assert all(c.has_offset_index and c.has_column_index for c in columns.values())
 
 
+def test_pieces_a_polynomial_hash_confuses_keep_their_ids():
+    """Two letters in the Thue-Morse order and its complement: one hash for every odd base, other ids."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), "x " + word[::-1], word[:100] + "c" * 600, word[:100] + "c" * 599 + "d"]
+    got, counts = token_files.Encoder(PATH).chunk([t.encode() for t in texts])
+    assert [x.tolist() + [1] for x in np.split(got, np.cumsum(counts)[:-1])] == [list(ids(t)) for t in texts]
+
+
 def test_empty_table(spark):
     path = fresh_path(spark, "tokens-none")
     token_files.write(spark.createDataFrame([], "doc_id long, text string"), path, PATH)
