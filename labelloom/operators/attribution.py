@@ -37,8 +37,10 @@ def global_importance(attributions: DataFrame, k: int = 100) -> DataFrame:
     Each row is an occurrence, so the rows shrink to one record per token in every task; null values count nothing.
     Ties are listed by token.  The trim to k happens in every task before the last merge."""
     value = F.aggregate("values", F.lit(0.0), lambda acc, v: acc + F.abs(F.coalesce(v, F.lit(0.0))))
-    per_token = _clean(attributions).select("token", value.alias("_value")).groupBy("token").agg(
+    # Cleaned after the first sums: once for each spelling, not for each occurrence.
+    spelled = attributions.select("token", value.alias("_value")).groupBy("token").agg(
         F.sum("_value").alias("_total"), F.count(F.lit(1)).alias("count"))
+    per_token = _clean(spelled).groupBy("token").agg(F.sum("_total").alias("_total"), F.sum("count").alias("count"))
     mean = F.round(F.col("_total") / F.col("count"), DIGITS)
     return per_token.select("token", mean.alias("mean_abs"), "count").orderBy(
         F.desc("mean_abs"), "token"
@@ -47,10 +49,10 @@ def global_importance(attributions: DataFrame, k: int = 100) -> DataFrame:
 
 def class_importance(attributions: DataFrame, k: int = 30, min_count: int = 3) -> DataFrame:
     """Top k tokens per class by mean signed value, tokens seen fewer than ``min_count`` times left out."""
-    listed = _clean(attributions).select("token", F.posexplode("values").alias("cls", "value")).filter(F.col("value").isNotNull())
-    per_token = listed.groupBy("cls", "token").agg(
-        F.round(F.avg("value"), DIGITS).alias("mean_value"), F.count(F.lit(1)).alias("count")
-    )
+    listed = attributions.select("token", F.posexplode("values").alias("cls", "value")).filter(F.col("value").isNotNull())
+    spelled = listed.groupBy("cls", "token").agg(F.sum("value").alias("_total"), F.count(F.lit(1)).alias("count"))
+    summed = _clean(spelled).groupBy("cls", "token").agg(F.sum("_total").alias("_total"), F.sum("count").alias("count"))
+    per_token = summed.select("cls", "token", F.round(F.col("_total") / F.col("count"), DIGITS).alias("mean_value"), "count")
     w = Window.partitionBy("cls").orderBy(F.desc("mean_value"), "token")
     return (
         per_token.filter(F.col("count") >= min_count)
