@@ -16,6 +16,8 @@ from labelloom.functions import bits
 from labelloom.functions.numeric import chi2_pvalue_1df, t_critical, t_pvalue
 
 EXACT_BELOW = 25  # fixed value: discordant pairs below this get the exact binomial test
+#: Tasks among which the items of a bootstrap are dealt, for each core of the session.
+TASKS_A_CORE = 3
 
 
 # ------------------------------------------------------------------- intervals over runs
@@ -92,29 +94,30 @@ def bootstrap_interval(
 
     How often an item is drawn in a replicate is a Poisson variable with mean 1 that is read off
     md5(seed, replicate, item), four replicates a hash.  So every task resamples the items it holds, alike on every engine and in
-    every run; what is shuffled are counts of (replicate, truth, predictions), and no item meets another.  The number of items drawn
+    every run; an item is hashed once for all groups that hold it, and what is shuffled are counts of (replicate, truth, predictions).
+    Items are dealt by ``TASKS_A_CORE`` tasks a core: they are few bytes and much work, so their size must not decide.  The number of items drawn
     varies by its square root, which the mean over them does not feel.
     Groups whose runs cover different items get nulls.
     """
     items = item_codes(predictions, by, run, runs, n_classes, uid)
     groups = items.groupBy(*by).agg(F.min("complete").alias("complete"))
     steps = poisson_steps()
-
-    def times(part: int) -> Column:
-        digits = F.substring("_h", 1 + 8 * part, 8)  # fixed width, so hexadecimal order is numeric order
-        n = F.lit(len(steps))
-        for k in range(len(steps) - 1, -1, -1):
-            n = F.when(digits < f"{steps[k]:08x}", k).otherwise(n)
-        return n
-
-    block = F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // 4) - 1)))
-    hashed = items.select(*by, "y", "code", uid, block.alias("_block"))
-    key = F.concat(F.lit(f"{seed}:"), F.col("_block").cast("string"), F.lit(":"), F.col(uid).cast("string"))
-    drawn = hashed.select(*by, "y", "code", "_block", F.md5(key).alias("_h"))
-    drawn = drawn.select(*by, "y", "code", F.inline(F.array(*[
-        F.struct((F.col("_block") * 4 + part).alias("replicate"), times(part).alias("n")) for part in range(4)])))
-    drawn = drawn.filter((F.col("n") > 0) & (F.col("replicate") < replicates))
-    counts = drawn.groupBy(*by, "replicate", "y", "code").agg(F.sum("n").alias("n"))
+    # An item's row lists the groups that hold it, one entry each.
+    tasks = TASKS_A_CORE * predictions.sparkSession.sparkContext.defaultParallelism
+    held = items.select(F.col(uid).alias("_uid"), F.struct(*by, "y", "code").alias("_e")).repartition(tasks, "_uid")
+    held = held.groupBy("_uid").agg(F.collect_list("_e").alias("_held"))
+    blocks = held.select("_held", "_uid", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // 4) - 1))).alias("_block"))
+    key = F.concat(F.lit(f"{seed}:"), F.col("_block").cast("string"), F.lit(":"), F.col("_uid").cast("string"))
+    hashed = blocks.select("_held", "_block", F.md5(key).alias("_h"))
+    drawn = hashed.select("_held", F.inline(F.array(*[
+        F.struct((F.col("_block") * 4 + part).alias("replicate"), F.substring("_h", 1 + 8 * part, 8).alias("_d")) for part in range(4)])))
+    # Digits of fixed width, so hexadecimal order is numeric order; below the first step nothing is drawn.
+    drawn = drawn.filter(F.coalesce(F.col("_d") >= f"{steps[0]:08x}", F.lit(True)) & (F.col("replicate") < replicates))
+    n = F.lit(len(steps))
+    for k in range(len(steps) - 1, 0, -1):
+        n = F.when(F.col("_d") < f"{steps[k]:08x}", k).otherwise(n)
+    counts = drawn.select("_held", "replicate", n.alias("n")).select("replicate", "n", F.inline("_held"))
+    counts = counts.groupBy(*by, "replicate", "y", "code").agg(F.sum("n").alias("n"))
 
     def pred(r: int) -> Column:
         return F.pmod(F.floor(F.col("code") / F.lit(n_classes**r)), F.lit(n_classes)) if r else F.pmod("code", F.lit(n_classes))

@@ -252,6 +252,16 @@ def test_bootstrap_needs_the_same_items_in_every_run(spark):
     assert r.boot_lo is None and r.boot_hi is None
 
 
+def test_bootstrap_hashes_an_item_once_in_every_task(spark):
+    """Items are dealt by cores, however few bytes they are, and hashed once for all systems; a null id is drawn as before."""
+    p = metrics.predicted(predictions(spark, n=30, systems=("a", "b"), splits=("test",)))
+    out = stats.bootstrap_interval(p, ["system"], "seed", [1, 2], 3, replicates=40)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "_held" in plan
+    alone = [stats.bootstrap_interval(p.filter(F.col("system") == s), ["system"], "seed", [1, 2], 3, replicates=40).first() for s in "ab"]
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, alone))
+
+
 def test_digest_frames_values_so_that_borders_cannot_move(spark):
     from labelloom.operators.integrity import content_digest
     a = spark.createDataFrame([("x\x1fvy", "z")], "a string, b string")
