@@ -6,7 +6,7 @@ ids were computed with; ``ANY_SCRIPT`` keeps every letter and folds case, so tha
 operators serve corpora in other scripts.
 
 Everything stays on the JVM except NFKC, which Spark does not offer: that single step is an
-Arrow UDF, and only texts that hold a non-ASCII character are sent through it.
+Arrow UDF, and only texts that hold a character NFKC may change are sent through it.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ import unicodedata
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from labelloom.functions.arrays import let
 
@@ -63,6 +63,13 @@ BAG_FOLD_TO = "\u0627\u0627\u0627\u064A\u0621\u0621\u0647\u0643"
 
 # Persian yeh and kaf, folded only in the canonical key.
 PERSIAN_FROM, PERSIAN_TO = "\u06CC\u06A9", "\u064A\u0643"
+# What NFKC may change: characters outside these ranges, in which every character is its own normal form and melts with none before it, and
+# marks that follow each other, which may be put in order.
+STABLE = (r"\x00-\x9f\xbf-\x{131}\x{180}-\x{1c3}\x{3fa}-\x{52f}\x{600}-\x{652}\x{679}-\x{70d}"
+          r"\x{2012}-\x{2016}\x{2018}-\x{2023}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}\x{1f300}-\x{1f6d7}")
+MAY_CHANGE = rf"[^{STABLE}]|\p{{M}}\p{{M}}"
+#: Texts a worker holds as Python strings at a time.
+SLICE = 64
 # --------------------------------------------------------------------------- end fixed values
 
 
@@ -195,15 +202,24 @@ def preprocess(
 
 
 def nfkc(col: Column | str) -> Column:
-    """Unicode NFKC.  ASCII texts are already normal and never leave the JVM."""
+    """Unicode NFKC.  Only texts that hold a character which may change leave the JVM, and only changed ones come back.
 
-    @F.pandas_udf("string")
-    def normalise(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+    A worker holds an Arrow batch (Spark bounds its bytes) and ``SLICE`` texts of it as Python strings."""
+
+    @F.arrow_udf(StringType())
+    def normalise(texts):
+        import pyarrow as pa
+
+        out = []
+        for at in range(0, len(texts), SLICE):
+            some = texts.slice(at, SLICE).to_pylist()
+            out.append(pa.array([None if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t)
+                                 for t in some], pa.string()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     t = _text(col)
-    not_ascii = F.when(F.length(t) != F.octet_length(t), t)
-    return F.coalesce(normalise(not_ascii), t)
+    open_to_change = F.when((F.length(t) != F.octet_length(t)) & F.rlike(t, F.lit(MAY_CHANGE)), t)
+    return F.coalesce(normalise(open_to_change), t)
 
 
 def known(col: Column) -> Column:

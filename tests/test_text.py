@@ -1,6 +1,7 @@
 """Normalisation: hand-worked cases for every trap, and properties over random texts."""
 
 import random
+import re
 import unicodedata
 
 import pytest
@@ -106,3 +107,24 @@ def test_random_texts_keep_the_invariants(spark):
     assert counts == [len(t.split()) for t in texts]
     norms = [r[0] for r in apply(spark, texts, T.nfkc(F.col("t")))]
     assert norms == [unicodedata.normalize("NFKC", t) for t in texts]
+
+
+def test_only_texts_that_nfkc_may_change_reach_python(spark):
+    """Stable characters stay as they are wherever they stand; everything else equals the library, slice by slice."""
+    ranges = [(int(a, 16), int(b, 16)) for a, b in re.findall(
+        r"\\x\{?([0-9a-f]+)\}?-\\x\{?([0-9a-f]+)\}?", T.STABLE)]
+    second = {unicodedata.normalize("NFD", c)[1:] for c in map(chr, range(0x110000))
+              if len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.is_normalized("NFC", c)}
+    second = set("".join(second)) | set(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))
+    stable = [chr(i) for a, b in ranges for i in range(a, b + 1)]
+    assert len(ranges) == 11 and not [c for c in stable if not unicodedata.is_normalized("NFKC", c) or c in second]
+    assert not [c for c in stable if unicodedata.combining(c) and unicodedata.category(c)[0] != "M"]
+    r = random.Random(3)
+    odd = ["e\u0301", "\u0650\u0651", "\u0651\u0650", "\ufb01", "\u1100\u1161\u11a8", "\u0627\u0653", "x\u0327\u0301", "\u2126", "\U0001d400"]
+    rows = [(i, "".join(r.choice(odd if r.random() < 0.2 else stable) for _ in range(r.randint(0, 6))).replace("\x00", "")) for i in range(300)]
+    df = spark.createDataFrame([*rows, (300, None), (301, "\u0628" * 9)], "i int, t string")
+    got = {x.i: x.n for x in df.select("i", T.nfkc("t").alias("n")).collect()}
+    assert got == {i: unicodedata.normalize("NFKC", t) for i, t in rows} | {300: "", 301: "\u0628" * 9}
+    sent = [i for i, t in rows if not unicodedata.is_normalized("NFKC", t)]
+    may = {x.i for x in df.where(F.rlike("t", F.lit(T.MAY_CHANGE))).collect()}
+    assert set(sent) <= may and len(may) < 250 and 301 not in may
