@@ -3,7 +3,7 @@
 Method.  Words, word pairs and runs of three and four bytes of a text are hashed into ``2 ** bits`` buckets.
 Every bucket has a learned vector; a document is the mean of its features' vectors (each of the
 four kinds weighs the same), followed by a softmax over the two labels.  Vectors and output layer are trained by stochastic gradient
-descent in NumPy on the driver, from the bucket counts of at most ``max_rows`` labelled
+descent in NumPy in one task, from the bucket counts of at most ``max_rows`` labelled
 documents, the first by a hash of their id.  Only that sample is bounded; every text is
 scored whole.
 
@@ -170,14 +170,23 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 [b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int32())),
                  pa.array([r[1] for r in rows], pa.list_(pa.float32()))], names=["doc_id", "label", "ids", "weights"])
 
-    got = chosen.mapInArrow(count, "doc_id long, label int, ids array<int>, weights array<float>").toArrow()
-    # Views of the collected columns, put in the order of the ids without another copy.
-    rows = [(i.values.to_numpy(zero_copy_only=False), w.values.to_numpy(zero_copy_only=False))
-            for i, w in zip(got["ids"], got["weights"], strict=True)]
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    rows, known_labels = [rows[i] for i in order], got["label"].to_numpy().astype(np.int64)[order]
-    return train(rows, known_labels, bits=bits, dim=dim, epochs=epochs, rate=rate,
-                 batch=batch, seed=seed)
+    def learn(batches):
+        import pyarrow as pa
+
+        got = pa.Table.from_batches(batches, pa.schema([
+            ("doc_id", pa.int64()), ("label", pa.int32()), ("ids", pa.list_(pa.int32())), ("weights", pa.list_(pa.float32()))]))
+        # Views of the columns, put in the order of the ids without another copy.
+        rows = [(i.values.to_numpy(zero_copy_only=False), w.values.to_numpy(zero_copy_only=False))
+                for i, w in zip(got["ids"], got["weights"], strict=True)]
+        order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+        rows, known_labels = [rows[i] for i in order], got["label"].to_numpy().astype(np.int64)[order]
+        model = train(rows, known_labels, bits=bits, dim=dim, epochs=epochs, rate=rate, batch=batch, seed=seed)
+        yield pa.RecordBatch.from_arrays([pa.array([model.scores.tobytes()], pa.binary()), pa.array([model.bias])], names=["scores", "bias"])
+
+    # The sample is bounded, so one task learns; the driver gets a number for each bucket.
+    counts = chosen.mapInArrow(count, "doc_id long, label int, ids array<int>, weights array<float>")
+    made = counts.repartition(1).mapInArrow(learn, "scores binary, bias double").first()
+    return Model(np.frombuffer(made["scores"], dtype=np.float32), made["bias"])
 
 
 def score(text: Column, model: Model) -> Column:

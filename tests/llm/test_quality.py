@@ -32,3 +32,17 @@ def test_nulls_ties_contradictions_and_empty_tables(spark):
     none = quality.fit(docs.limit(0), labels)
     assert docs.limit(0).select(quality.score(F.col("text"), none).alias("p")).collect() == []
     assert docs.select(quality.score(F.col("text"), none).alias("p")).first().p == 0.5
+
+
+def test_the_driver_gets_the_model_only(spark, monkeypatch):
+    """The counts of the sample stay in a task."""
+    from pyspark.sql import DataFrame
+
+    def refused(self):
+        raise AssertionError("counts on the driver")
+
+    monkeypatch.setattr(DataFrame, "toArrow", refused)
+    docs = spark.createDataFrame([(i, "good words" if i % 2 else "bad text") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, bits=10)
+    assert len(model.scores) == 1 << 10 and quality.logits([b"good words"], model.scores, model.bias) > quality.logits([b"bad text"], model.scores, model.bias)
