@@ -111,7 +111,8 @@ def compare_explanations(pairs: DataFrame) -> DataFrame:
     union = F.count_if(F.col("top_base") | F.col("top_other"))
     n_shared = F.count_if("_s")
     ra, rb = F.when(F.col("_s"), F.col("_ra")), F.when(F.col("_s"), F.col("_rb"))
-    rho = F.corr(ra, rb)
+    # An aggregate is finished for every text, also behind a condition, and corr divides by zero where all ranks tie.
+    rho = F.covar_pop(ra, rb) / F.nullif(F.sqrt(F.var_pop(ra) * F.var_pop(rb)), F.lit(0.0))
     return ranked.groupBy("uid").agg(
         (inter / F.greatest(union, F.lit(1))).alias("jaccard"),
         n_shared.alias("n_shared"),

@@ -128,3 +128,14 @@ def test_explanations_compared(spark):
     assert (r.jaccard, r.n_shared) == (1.0, 3) and r.spearman == pytest.approx(ranks)
     few = X.token_pairs(spark.createDataFrame(base[:2], schema), spark.createDataFrame(other[:2], schema), 2)
     assert X.compare_explanations(few).first().spearman is None
+
+
+def test_explanations_whose_shared_weights_all_tie_have_no_correlation(spark):
+    schema = "uid string, pos int, token string, weight double"
+    rows = [(u, i, t, w) for u, n, w in (("two", 2, 1.0), ("four", 4, 1.0), ("one", 1, 2.0)) for i, t in enumerate("abcd"[:n])]
+    rises = [("half", i, t, float(i)) for i, t in enumerate("abcd")]
+    base = spark.createDataFrame(rows + [("half", i, t, 1.0) for i, t in enumerate("abcd")], schema)
+    compared = X.compare_explanations(X.token_pairs(base, spark.createDataFrame(rows + rises, schema), 2))
+    assert {r.uid: (r.n_shared, r.spearman) for r in compared.collect()} == {
+        "two": (2, None), "four": (4, None), "one": (1, None), "half": (4, None)}
+    assert tuple(X.comparison_summary(compared).first())[::2] == (4, None)
