@@ -19,10 +19,16 @@ attr AS (
   FROM toks, (VALUES (0), (1)) c(cls))"""
 
 
-def tokens(spark, sf):
-    return texts(spark, sf).select(
-        F.col("doc_id").alias("uid"), F.posexplode(words(F.col("text"))).alias("pos", "token")
-    )
+#: Texts a task takes when they are dealt by id; their words and ranks fit its memory.
+TEXTS_PER_TASK = 4096
+
+
+def tokens(spark, sf, by_text=False):
+    """Words of every document; with ``by_text`` the texts are dealt by id, so that what is grouped by text later stays in its task."""
+    docs = texts(spark, sf).select(F.col("doc_id").alias("uid"), "text")
+    if by_text:
+        docs = docs.repartition(max(spark.sparkContext.defaultParallelism, -(-docs.count() // TEXTS_PER_TASK)), "uid")
+    return docs.select("uid", F.posexplode(words(F.col("text"))).alias("pos", "token"))
 
 
 def attributions(spark, sf):
@@ -81,7 +87,7 @@ cmp AS (SELECT j.uid, jaccard, coalesce(n_shared, 0) AS n_shared, spearman FROM
 
 def pairs(spark, sf):
     """Two explanations of every document: one weight per distinct word, each model blind to some."""
-    one = tokens(spark, sf).groupBy("uid", "token").agg(F.min("pos").alias("pos"))
+    one = tokens(spark, sf, by_text=True).groupBy("uid", "token").agg(F.min("pos").alias("pos"))
 
     def weight(model):
         return ((F.length("token") * 13 + model * 5 + F.col("pos") * 7) % 41 - 20).cast("double").alias("weight")

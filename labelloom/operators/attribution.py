@@ -78,21 +78,21 @@ def token_pairs(base: DataFrame, other: DataFrame, k: int) -> DataFrame:
     Inputs: ``(uid, pos, token, weight)``, one row per text and token, of the class to explain.
     The top k are the largest absolute weights, equal ones in listing order.
     """
-    w = Window.partitionBy("model", "uid").orderBy(F.desc(F.abs("weight")), "pos")
     both = base.withColumn("model", F.lit(0)).unionByName(other.withColumn("model", F.lit(1)))
-    # One shuffle by text serves the ranking, the pairing and the comparison that follows.
-    both = both.repartition("uid")
-    ranked = both.withColumn("_top", F.row_number().over(w) <= k)
-
-    def of(model: int, col: str) -> Column:
-        return F.max(F.when(F.col("model") == model, F.col(col)))
-
-    return ranked.groupBy("uid", "token").agg(
-        of(0, "weight").alias("w_base"),
-        of(1, "weight").alias("w_other"),
-        F.coalesce(of(0, "_top"), F.lit(False)).alias("top_base"),
-        F.coalesce(of(1, "_top"), F.lit(False)).alias("top_other"),
-    ).withColumn("delta", F.col("w_other") - F.col("w_base"))
+
+    def of(model: int, col: Column) -> Column:
+        return F.max(F.when(F.col("model") == model, col))
+
+    names = ("base", "other")
+    each = [of(m, value).alias(f"{kind}_{n}") for m, n in enumerate(names) for kind, value in (
+        ("w", F.col("weight")), ("_pos", F.col("pos")), ("_in", F.lit(True)))]
+    # Paired first: one row a token is ranked, not one for each model.  Inputs dealt by text are not shuffled again.
+    paired = both.groupBy("uid", "token").agg(*each)
+    for n in names:
+        order = Window.partitionBy("uid").orderBy(F.desc_nulls_last(f"_in_{n}"), F.desc(F.abs(f"w_{n}")), f"_pos_{n}")
+        paired = paired.withColumn(f"top_{n}", F.col(f"_in_{n}").isNotNull() & (F.row_number().over(order) <= k))
+    return paired.select(
+        "uid", "token", "w_base", "w_other", "top_base", "top_other", (F.col("w_other") - F.col("w_base")).alias("delta"))
 
 
 def compare_explanations(pairs: DataFrame) -> DataFrame:

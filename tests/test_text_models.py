@@ -139,3 +139,22 @@ def test_explanations_whose_shared_weights_all_tie_have_no_correlation(spark):
     assert {r.uid: (r.n_shared, r.spearman) for r in compared.collect()} == {
         "two": (2, None), "four": (4, None), "one": (1, None), "half": (4, None)}
     assert tuple(X.comparison_summary(compared).first())[::2] == (4, None)
+
+
+def test_explanations_are_paired_where_the_texts_were_dealt(spark, sf_dir):
+    """Only whole texts are shuffled; their words, weights and ranks are not."""
+    from catalogue.explanation_queries import token_delta
+
+    plan = token_delta(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange " in line]
+    assert dealt and all("REPARTITION_BY_NUM" in line and "token" not in line for line in dealt)
+
+
+def test_pairs_of_equal_and_missing_weights(spark):
+    schema = "uid long, pos int, token string, weight double"
+    base = spark.createDataFrame([(1, 0, "a", 1.0), (1, 1, "b", -1.0), (1, 2, "c", None), (2, 0, "a", None)], schema)
+    other = spark.createDataFrame([(1, 5, "b", 2.0), (1, 6, "d", 3.0), (3, 0, "z", 0.0)], schema)
+    got = {(r.uid, r.token): tuple(r)[2:] for r in X.token_pairs(base, other, 1).collect()}
+    assert got == {
+        (1, "a"): (1.0, None, True, False, None), (1, "b"): (-1.0, 2.0, False, False, 3.0), (1, "c"): (None, None, False, False, None),
+        (1, "d"): (None, 3.0, False, True, None), (2, "a"): (None, None, True, False, None), (3, "z"): (None, 0.0, False, True, None)}
