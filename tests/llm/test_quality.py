@@ -46,3 +46,19 @@ def test_the_driver_gets_the_model_only(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     model = quality.fit(docs, labels, bits=10)
     assert len(model.scores) == 1 << 10 and quality.logits([b"good words"], model.scores, model.bias) > quality.logits([b"bad text"], model.scores, model.bias)
+
+
+def test_the_sample_stays_compressed_and_trains_alike():
+    import numpy as np
+
+    long = " ".join(f"word{i * i}" for i in range(2000)).encode()
+    texts = [long, b"", b"bad bad text"] * 6
+    rows = quality.counted(texts, 12)
+    cells = quality.Packed([quality.packed(*r) for r in rows], np.array([len(r[0]) for r in rows]))
+    assert all((a == c).all() and (b == d).all() and c.dtype == a.dtype and d.dtype == b.dtype
+               for (a, b), (c, d) in zip(rows, cells, strict=True))
+    assert sum(map(len, cells.cells)) < sum(a.nbytes + b.nbytes for a, b in rows) / 2
+    how = {"bits": 12, "dim": 4, "epochs": 2, "rate": 0.5, "batch": 4, "seed": 1}
+    labels = np.array([1, 0, 0] * 6)
+    one, two = quality.train(rows, labels, **how), quality.train(cells, labels, **how)
+    assert (one.scores == two.scores).all() and one.bias == two.bias
