@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalogue.base import N_CLASSES, PROFILE, SQL_LABELS3, labels3, query, sql_full, table, texts
@@ -106,8 +105,12 @@ def model_text():
 
 
 def fitted(spark, sf):
-    docs = labelled_documents(spark, sf)
-    return T.fit_text_model(docs.filter(F.col("split") == "train"), "doc_id", model_text(), "y"), docs
+    """A model of the training documents, the labelled documents with normalised texts, and the features of all of them; each made once."""
+    docs = stage(labelled_documents(spark, sf).withColumn("text", model_text()), "labelled-texts")
+    train = docs.filter(F.col("split") == "train")
+    known = T.fit_words(train, "doc_id", "text")
+    features = T.text_features(docs, "doc_id", F.col("text"), known.vocabulary, known.size)
+    return T.fit_text_model(train, "doc_id", F.col("text"), "y", like=known, features=features), docs, features
 
 
 # Words of the labelled documents and which of them the training documents hold.
@@ -124,13 +127,11 @@ SELECT l.doc_id, l.split, l.y::INTEGER AS y, coalesce(n_distinct, 0) AS n_distin
 FROM labelled l LEFT JOIN known USING (doc_id)"""
 
 
-def checked_scores(model, docs):
+def checked_scores(model, docs, features):
     """Scores of a model with what can be said of them exactly: the counts they rest on and the consistency of logits, probabilities and
     predictions; and whether the model is right on more than half of its training documents."""
-    features = T.text_features(docs, "doc_id", model_text(), model.vocabulary, model.size)
-    sizes = features.select("doc_id", F.size(F.filter(vector_to_array("features"), lambda x: x > 0)).cast("long").alias("n_distinct"),
-                            F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x).cast("long").alias("n_known"))
-    out = stage(model.predict(docs, model_text(), ["doc_id", "split", "y"]), "scores").join(sizes, "doc_id")
+    sizes = features.select("doc_id", "n_distinct", "n_known")
+    out = stage(model.score(docs, features, ["doc_id", "split", "y"]), "scores").join(sizes, "doc_id")
     apart = F.array_max(F.zip_with(A.softmax("logits"), "probs", lambda a, b: F.abs(a - b)))
     right = out.where("split = 'train'").agg((F.avg((A.argmax("probs") == F.col("y")).cast("int")) > 0.5).alias("r"))
     return out.select(
@@ -146,15 +147,13 @@ def mllib_scores(spark, sf):
 @query("distill_scores", SQL_SCORED)
 def distill_scores(spark, sf):
     """A student trained on the teacher's softened probabilities and the truth."""
-    teacher, docs = fitted(spark, sf)
+    teacher, docs, features = fitted(spark, sf)
     train = docs.filter(F.col("split") == "train")
-    logits = teacher.predict(train, model_text(), ["doc_id"]).select("doc_id", "logits")
+    logits = teacher.score(train, features, ["doc_id"]).select("doc_id", "logits")
     soft = T.soft_label_rows(train, logits, "doc_id", "y", N_CLASSES)
     student = T.fit_text_model(
-        train.select("doc_id", "text", F.col("y").alias("soft_label")), "doc_id", model_text(), "soft_label", soft=soft, weight="soft_weight",
-        like=teacher,
-    )
-    return checked_scores(student, docs)
+        train, "doc_id", F.col("text"), "soft_label", soft=soft, weight="soft_weight", like=teacher, features=features)
+    return checked_scores(student, docs, features)
 
 
 # A linear model whose coefficients both engines can write down.

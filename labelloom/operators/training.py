@@ -28,35 +28,50 @@ NUM_WORDS = 1 << 16
 
 
 def text_features(df: DataFrame, id_col: str, text: Column, vocabulary: DataFrame, size: int) -> DataFrame:
-    """``(id, features)`` for every row: counts of the words with an index up to ``size``, as sparse vectors.
+    """``(id, features, n_distinct, n_known)`` for every row: counts of the words with an index up to ``size``, as sparse vectors, and how many
+    such words and places of them there are.
 
-    Written once.  The vectors are made as plain structures and read back as vectors, so they never leave the JVM.
+    Written once.  The texts are dealt by id; their words meet the index, which is no longer than ``size``, and are counted where they are.  The
+    vectors are made as plain structures and read back as vectors, so they never leave the JVM.
     """
     known = vocabulary.filter(F.col("idx") <= size).select(F.col("word").alias("token"), (F.col("idx") - 1).cast("int").alias("at"))
-    counts = word_counts(df, text, id_col).join(known, "token")
-    rows = counts.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", F.col("x").cast("double").alias("x")))).alias("_f"))
+    known = F.broadcast(known) if size <= NUM_WORDS else known
+    dealt = df.select(id_col, text.alias("_text")).filter(F.col(id_col).isNotNull()).repartition(id_col)
+    places = dealt.select(id_col, F.explode(words(F.col("_text"))).alias("token")).join(known, "token")
+    counts = places.groupBy(id_col, "at").agg(F.count(F.lit(1)).cast("double").alias("x"))
+    rows = counts.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("_f"), F.sum("x").cast("long").alias("n_known"))
     rows = df.select(id_col).join(rows, id_col, "left").withColumn("_f", F.coalesce("_f", F.array().cast("array<struct<at:int,x:double>>")))
     vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
                       F.transform("_f", lambda p: p["at"]).alias("indices"), F.transform("_f", lambda p: p["x"]).alias("values"))
     path = fresh_path(df.sparkSession, "features")
-    written = rows.select(id_col, vector.alias("features"))
+    written = rows.select(id_col, vector.alias("features"), F.size("_f").cast("long").alias("n_distinct"),
+                          F.coalesce("n_known", F.lit(0).cast("long")).alias("n_known"))
     written.write.parquet(path)
-    schema = T.StructType([written.schema[id_col], T.StructField("features", VectorUDT())])
+    schema = T.StructType([f if f.name != "features" else T.StructField("features", VectorUDT()) for f in written.schema])
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
 @dataclass(frozen=True)
-class TextModel:
+class TextWords:
+    """The words a model has weights for: index and how many of it count."""
+
     vocabulary: DataFrame
     size: int
+
+
+@dataclass(frozen=True)
+class TextModel(TextWords):
     classifier: LogisticRegressionModel
 
     def predict(self, df: DataFrame, text: Column, keep: Sequence[str]) -> DataFrame:
         """``keep`` columns (the first tells rows apart), ``logits`` and ``probs``."""
-        features = text_features(df, keep[0], text, self.vocabulary, self.size)
-        scored = self.classifier.transform(features).select(
-            keep[0], vector_to_array("rawPrediction").alias("logits"), vector_to_array("probability").alias("probs"))
-        return df.select(*keep).join(scored, keep[0])
+        return self.score(df, text_features(df, keep[0], text, self.vocabulary, self.size), keep)
+
+    def score(self, df: DataFrame, features: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """As ``predict``, with features that were made before."""
+        rows = df.select(*keep).join(features.select(keep[0], "features"), keep[0])
+        return self.classifier.transform(rows).select(
+            *keep, vector_to_array("rawPrediction").alias("logits"), vector_to_array("probability").alias("probs"))
 
     def coefficients(self, df: DataFrame) -> DataFrame:
         """``(token, cls, coef)``: words x classes rows."""
@@ -67,29 +82,36 @@ class TextModel:
         return named.select("token", F.posexplode("coef").alias("cls", "coef"))
 
 
+def fit_words(texts: DataFrame, id_col: str, text: Column | str, num_words: int = NUM_WORDS) -> TextWords:
+    """The most frequent words of the training texts (runs jobs)."""
+    vocabulary = stage(fit_vocabulary(texts, text, id_col), "vocabulary")
+    return TextWords(vocabulary, max(1, vocabulary_size(vocabulary, num_words + 1).first()[0] - 1))
+
+
 def fit_text_model(
     train: DataFrame, id_col: str, text: Column, label: str, num_words: int = NUM_WORDS, max_iter: int = 20, reg: float = 0.01,
-    soft: DataFrame | None = None, weight: str | None = None, like: TextModel | None = None,
+    soft: DataFrame | None = None, weight: str | None = None, like: TextWords | None = None, features: DataFrame | None = None,
 ) -> TextModel:
     """Fit on the training partition (runs jobs).
 
     The texts are normalised once and written; the index and the features read them from there.  ``soft`` holds labels and
-    weights of its own (several rows a text, by id), ``like`` a model whose words are taken over.
+    weights of its own (several rows a text, by id), ``like`` a model (or words) whose words are taken over, ``features`` the texts' features
+    with these words, which then are not made again.
     """
-    texts = stage(train.select(id_col, label, text.alias("_text")), "texts")
-    if like is None:
-        vocabulary = stage(fit_vocabulary(texts, "_text", id_col), "vocabulary")
-        size = max(1, vocabulary_size(vocabulary, num_words + 1).first()[0] - 1)
-    else:
-        vocabulary, size = like.vocabulary, like.size
-    features = text_features(texts, id_col, F.col("_text"), vocabulary, size)
+    if features is not None and like is None:
+        raise ValueError("features need the words they were made with")
+    texts = train if features is not None else stage(train.select(id_col, label, text.alias("_text")), "texts")
+    like = fit_words(texts, id_col, "_text", num_words) if like is None else like
+    if features is None:
+        features = text_features(texts, id_col, F.col("_text"), like.vocabulary, like.size)
     lr = LogisticRegression(
         featuresCol="features", labelCol=label, maxIter=max_iter, regParam=reg, family="multinomial", standardization=False,
     )
     if weight:
         lr = lr.setWeightCol(weight)
     labels = (texts if soft is None else soft).select(id_col, label, *([weight] if weight else []))
-    return TextModel(vocabulary, size, lr.fit(stage(labels.join(features, id_col), "training")))
+    training = stage(labels.join(features.select(id_col, "features"), id_col), "training")
+    return TextModel(like.vocabulary, like.size, lr.fit(training))
 
 
 def soft_label_rows(
