@@ -20,13 +20,15 @@ from functools import cached_property
 import numpy as np
 
 #: Bytes of texts whose distinct words are searched together.
-SLICE = 8 << 20
+SLICE = 2 << 20
 #: Places looked up together, pairs of texts and terms held together.
 STEP = 1 << 17
-PLACES = 1 << 20
-HELD = 1 << 20
+PLACES = 1 << 19
+HELD = 1 << 19
 #: Words beyond this are searched as often as they stand.
 LONG = 512
+#: Of terms with more bytes than these (at least 4, 8), the first ones are kept in filters.
+FILTERED = (4, 8, 16, 24, 32)
 _FILTER = np.uint64(42)
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _SIZE = np.uint64(0x9E3779B97F4A7C15)
@@ -42,10 +44,13 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def padded(data: np.ndarray) -> np.ndarray:
+    return np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+
+
 def eights(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on as one integer (zeros beyond the end)."""
-    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
-    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    """The eight bytes from each place of padded bytes on as one integer."""
+    return np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
 
 
 def _short(first: np.ndarray, size) -> np.ndarray:
@@ -95,20 +100,26 @@ def distinct(x: np.ndarray) -> np.ndarray:
 
 
 class Terms:
-    """A block of terms: their bytes one after another, their sizes, and a code below ``len(profiles)`` each."""
+    """A block of terms in the order of their values: their padded bytes one after another, their sizes, and a code below
+    ``len(profiles)`` each."""
 
     def __init__(self, data: np.ndarray, size: np.ndarray, code: np.ndarray, profiles: np.ndarray):
         self.data, self.size, self.code, self.profiles = data, size, code, profiles
 
     @classmethod
-    def of(cls, table) -> Terms:
-        """From an Arrow table of terms (binary) and profiles."""
-        chunks = [_bytes(c) for c in table.column(0).chunks]
-        none = np.zeros(0, dtype=np.int64)
-        data = np.concatenate([np.zeros(0, dtype=np.uint8), *[d[o[0]:o[-1]] for o, d in chunks]])
-        size = np.concatenate([none, *[np.diff(o) for o, _ in chunks]])
-        profiles, code = np.unique(np.concatenate([none, *[c.to_numpy(zero_copy_only=False) for c in table.column(1).chunks]]), return_inverse=True)
-        return cls(data, size.astype(np.int32), code.astype(np.int32), profiles)
+    def of(cls, batches: list) -> Terms:
+        """From Arrow batches of terms (binary) and profiles; the list is emptied, so that they need not be held."""
+        import pyarrow as pa
+
+        terms = pa.concat_arrays([pa.array([], pa.binary()), *[b.column(0) for b in batches]])
+        codes = pa.chunked_array([b.column(1) for b in batches], pa.int64()).combine_chunks().dictionary_encode()
+        batches.clear()
+        offsets, data = _bytes(terms)
+        order = np.argsort(_values_of_all(eights(padded(data)), offsets[:-1], np.diff(offsets)))
+        profiles, code = codes.dictionary.to_numpy(), codes.indices.to_numpy()[order]
+        offsets, data = _bytes(terms.take(pa.array(order)))
+        size = np.diff(offsets)
+        return cls(padded(data), size.astype(np.min_scalar_type(size.max(initial=0))), code.astype(np.min_scalar_type(len(profiles))), profiles)
 
     @cached_property
     def index(self) -> Index:
@@ -116,6 +127,15 @@ class Terms:
         return Index.of(self)
 
 
+def _values_of_all(at: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Values of many runs, some at a time; runs without bytes come first and have none."""
+    out = np.zeros(len(size), dtype=np.uint64)
+    for i in range(0, len(size), STEP):
+        own = size[i:i + STEP].astype(np.int64)
+        out[i:i + STEP] = np.where(own > 0, values(at, begin[i:i + STEP], own), 0)
+    return out
+
+
 @dataclass(frozen=True)
 class Index:
     """Terms by value.  ``first`` has the place of the first one of each bucket of values."""
@@ -128,39 +148,37 @@ class Index:
     first: np.ndarray
     shift: np.uint64
     lengths: list[int]
-    #: Whether terms of at least 4 bytes, of 8, of more than 16, 24, ... begin with bytes of a value.
+    #: Whether terms begin with bytes of a value, by ``FILTERED``.
     begins: dict[int, np.ndarray]
 
     @classmethod
     def of(cls, terms: Terms) -> Index:
-        at = eights(terms.data)
-        begin = np.cumsum(terms.size, dtype=np.int64) - terms.size
-        some = np.flatnonzero(terms.size)
-        value = values(at, begin[some], terms.size[some])
-        order = np.argsort(value)
-        value, some = value[order], some[order]
-        begin, size, code = begin[some].astype(np.int32 if len(at) < 1 << 31 else np.int64), terms.size[some], terms.code[some]
-        bits = max(8, len(some).bit_length())
+        at, size = eights(terms.data), terms.size
+        begin = np.zeros(len(size), dtype=np.int32 if len(at) < 1 << 31 else np.int64)
+        np.cumsum(size[:-1], out=begin[1:])
+        value = _values_of_all(at, begin, size)
+        bits = max(8, len(size).bit_length())
         shift = np.uint64(64 - bits)
         first = np.zeros((1 << bits) + 1, dtype=np.int32)
-        np.cumsum(np.bincount((value >> shift).astype(np.int64), minlength=1 << bits), out=first[1:])
-        lengths = np.flatnonzero(np.bincount(size)).tolist()
-        begins, longest = {}, lengths[-1] if lengths else 0
-        state = None
-        for to in (4, *range(8, longest + 1, 8)):
-            own = np.flatnonzero(size >= to) if to <= 8 else own[size[own] > to]
-            if not len(own):
-                break
-            if to == 4:
-                state = scramble(at[begin[own]] & _MASK[4])
-            elif to == 8:
-                state = scramble(at[begin[own]])
-            else:
-                state = scramble(state[size[last] > to] ^ at[begin[own] + to - 8])
-            last = own
-            begins[to] = np.zeros(1 << (64 - int(_FILTER)), dtype=bool)
-            begins[to][state >> _FILTER] = True
-        return cls(at, value, begin, size, code, first, shift, lengths, begins)
+        begins = {to: np.zeros(1 << (64 - int(_FILTER)), dtype=bool) for to in FILTERED}
+        there = np.zeros(int(size.max(initial=0)) + 1, dtype=bool)
+        for i in range(0, len(size), STEP):
+            first[1:] += np.bincount((value[i:i + STEP] >> shift).astype(np.int64), minlength=1 << bits)
+            there[size[i:i + STEP]] = True
+        np.cumsum(first, out=first)
+        lengths = [n for n in np.flatnonzero(there).tolist() if n]
+        for i in range(0, len(size), STEP):
+            own = np.arange(i, min(i + STEP, len(size)))
+            state = np.zeros(len(own), dtype=np.uint64)
+            for to in FILTERED:
+                stay = size[own] >= to if to <= 8 else size[own] > to
+                own, state = own[stay], state[stay]
+                if to <= 8:
+                    state = scramble(at[begin[own]] & _MASK[to])
+                else:
+                    state = scramble(state ^ at[begin[own].astype(np.int64) + (to - 8)])
+                begins[to][state >> _FILTER] = True
+        return cls(at, value, begin, size, terms.code, first, shift, lengths, begins)
 
     def hits(self, at: np.ndarray, place: np.ndarray, room: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Indices of places and the terms that stand there, no longer than the room is."""
@@ -180,15 +198,12 @@ class Index:
             n = int(np.searchsorted(less, -size, side="right"))
             own, where, less, eight = own[:n], where[:n], less[:n], eight[:n]
             state = None if state is None else state[:n]
-            for to in self.begins:
-                if to <= done or to > size or to > 8 and to == size:
-                    continue
-                if to <= 8:
-                    state = scramble(eight & _MASK[to])
-                else:
-                    state = scramble(state ^ at[where + (to - 8)])
-                stay = np.flatnonzero(self.begins[to][state >> _FILTER])
-                own, where, less, eight, state, done = own[stay], where[stay], less[stay], eight[stay], state[stay], to
+            while done < 8 and done + 4 <= size or done + 8 < size:
+                done = done + 4 if done < 8 else done + 8
+                state = scramble(eight & _MASK[done] if done <= 8 else state ^ at[where + (done - 8)])
+                if done in self.begins:
+                    stay = np.flatnonzero(self.begins[done][state >> _FILTER])
+                    own, where, less, eight, state = own[stay], where[stay], less[stay], eight[stay], state[stay]
             if not len(own):
                 return
             value = _short(eight, size) if size <= 8 else _longer(state, at[where + (size - 8)], size)
@@ -201,7 +216,7 @@ class Index:
                 same = same[self.size[term[same]] == size]
                 if size > 8:
                     t = term[same]
-                    same = same[equal(at, where[some[same]], self.at, self.begin[t], self.size[t])]
+                    same = same[equal(at, where[some[same]], self.at, self.begin[t], self.size[t].astype(np.int64))]
                 if len(same):
                     yield own[some[same]], term[same]
                 term = term + 1
@@ -281,7 +296,8 @@ def grouped(at: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.nda
     group[short[order]] = np.cumsum(new) - 1
     pick = one[group[short]] if len(one) else one
     same = size[short] == size[pick]
-    same[same] = equal(at, begin[short[same]], at, begin[pick[same]], size[pick[same]])
+    longer = np.flatnonzero(same & (size[short] > 8))  # up to eight bytes a size and a value are the word
+    same[longer] = equal(at, begin[short[longer]], at, begin[pick[longer]], size[pick[longer]])
     group[short[~same]] = -1
     alone = np.flatnonzero(group < 0)
     group[alone] = len(one) + np.arange(len(alone))
@@ -290,7 +306,7 @@ def grouped(at: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.nda
 
 def _united(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """Sorted ``text << 32 | term`` for terms without a blank, a text at most in two neighbouring ones."""
-    at = eights(data)
+    at = eights(padded(data))
     text, begin, size = words(data, offsets)
     one, group = grouped(at, begin, size)
     held = index.pairs(at, begin[one], size[one])
@@ -314,7 +330,7 @@ def found(index: Index, array, whole: bool) -> Iterator[np.ndarray]:
     offsets, data = _bytes(array)
     rest = np.zeros(0, dtype=np.int64)
     for first, part, own in slices(data, offsets) if not whole else [(0, data[offsets[0]:offsets[-1]], offsets - offsets[0])]:
-        for some in _united(index, part, own) if not whole else [index.pairs(eights(part), own[:-1], np.diff(own))]:
+        for some in _united(index, part, own) if not whole else [index.pairs(eights(padded(part)), own[:-1], np.diff(own))]:
             if not len(some):
                 continue
             some = some + (np.int64(first) << 32)

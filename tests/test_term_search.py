@@ -17,7 +17,8 @@ def counted(texts, terms, whole):
     half = len(terms) // 2
     encoded = [pa.array([t.encode() for t in part], pa.binary()) for part in (terms[:half], terms[half:])]
     profile = pa.array([i % 5 * 10 for i in range(len(terms))], pa.int64())
-    block = S.Terms.of(pa.table({"term": pa.chunked_array(encoded), "profile": profile}))
+    block = S.Terms.of([pa.RecordBatch.from_arrays([e, p], names=["term", "profile"])
+                        for e, p in zip(encoded, (profile[:half], profile[half:]), strict=True)])
     rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
     got = Counter()
     third = len(texts) // 3
