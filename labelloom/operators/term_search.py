@@ -28,7 +28,7 @@ HELD = 1 << 19
 #: Words beyond this are searched as often as they stand.
 LONG = 512
 #: Of terms with more bytes than these (at least 4, 8), the first ones are kept in filters.
-FILTERED = (4, 8, 16, 24, 32)
+FILTERED = (4, 8, 16)
 _FILTER = np.uint64(42)
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _SIZE = np.uint64(0x9E3779B97F4A7C15)
